@@ -1,100 +1,119 @@
 """Lenient reading of untyped JSON values.
 
-A raw field travels as ``struct<kind string, text string>``: ``kind`` is the
-JSON type as the VARIANT reader sees it (it tells ``0`` from ``"0"``), ``text``
-is the value as written, with object keys still in file order (VARIANT sorts
-them). Both are needed: truth tests depend on the type, text on the order.
+A raw field is a pair of columns: ``kind`` is the JSON type as the VARIANT
+reader sees it (it tells ``0`` from ``"0"``), ``text`` is the value as written,
+with object keys still in file order (VARIANT sorts them). Truth tests depend
+on the type, text on the order.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER_PATTERN = r"\d+(?:\.\d+)?"
 TRUE_WORDS = ["1", "true", "t", "yes", "y"]
 
+_FALSE_VALUES = (
+    r"\A(?:BOOLEAN:false|STRING:|ARRAY:\[\]|OBJECT:\{\}"
+    r"|(?:BIGINT|DECIMAL|DOUBLE|FLOAT):-?0+(?:\.0*)?(?:[eE][-+]?\d+)?)\z"
+)
 _TEXT_DEPTH = 3
 
 
+class Field(NamedTuple):
+    kind: Column
+    text: Column
+
+
+def stage(df: DataFrame, fields: dict[str, Field]) -> tuple[DataFrame, dict[str, Field]]:
+    """Add fields as plain columns, so that later uses refer to them instead of repeating them.
+
+    The columns come out of a one-row generator: the optimizer moves neither
+    filters nor expressions across it, so each line is decoded once.
+    """
+    columns = []
+    for name, field in fields.items():
+        columns += [field.kind.alias(f"{name}_kind"), field.text.alias(f"{name}_text")]
+    out = df.select("*", F.inline(F.array(F.struct(*columns))))
+    return out, {name: Field(F.col(f"{name}_kind"), F.col(f"{name}_text")) for name in fields}
+
+
 def kind_of(variant: Column) -> Column:
     """STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE, ARRAY, OBJECT or VOID; null when absent."""
-    return F.split(F.schema_of_variant(variant), "[<(]")[0]
+    return F.regexp_extract(F.schema_of_variant(variant), "^[A-Z]+", 0)
 
 
-def raw_field(variant: Column, texts: Column, key: str) -> Column:
-    """One key of a JSON object as (kind, text)."""
-    return F.struct(
-        kind_of(F.variant_get(variant, f"$.{key}", "variant")).alias("kind"),
-        F.try_element_at(texts, F.lit(key)).alias("text"),
+def raw_field(variant: Column, texts: Column, key: str) -> Field:
+    """One key of a JSON object."""
+    return Field(
+        kind_of(F.variant_get(variant, f"$.{key}", "variant")), F.try_element_at(texts, F.lit(key))
     )
 
 
-def text_field(text: Column) -> Column:
-    """A plain string column as (kind, text)."""
-    return F.struct(
-        F.when(text.isNull(), "VOID").otherwise("STRING").alias("kind"), text.alias("text")
-    )
+def text_field(text: Column) -> Field:
+    """A plain string column as a field."""
+    return Field(F.when(text.isNull(), "VOID").otherwise("STRING"), text)
+
 
+def missing(field: Field) -> Column:
+    return field.kind.isNull() | (field.kind == "VOID")
 
-def truthy(field: Column) -> Column:
+
+def truthy(field: Field) -> Column:
     """Null, false, zero and empty text, list or object are false; everything else is true."""
-    kind, text = field["kind"], field["text"]
-    return (
-        F.when(kind.isNull() | (kind == "VOID") | text.isNull(), False)
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind == "STRING", text != "")
-        .when(kind == "ARRAY", text != "[]")
-        .when(kind == "OBJECT", text != "{}")
-        .otherwise(text.try_cast("double") != 0)
-    )
+    return F.coalesce(~F.concat(field.kind, F.lit(":"), field.text).rlike(_FALSE_VALUES), F.lit(False))
 
 
-def first_truthy(*fields: Column) -> Column:
+def first_truthy(*fields: Field) -> Field:
     """The first true field, else the last one as it is."""
-    tested = [F.when(truthy(f), f) for f in fields[:-1]]
-    return F.coalesce(*tested, fields[-1])
+    kind, text = fields[-1]
+    for field in reversed(fields[:-1]):
+        true = truthy(field)
+        kind, text = F.when(true, field.kind).otherwise(kind), F.when(true, field.text).otherwise(text)
+    return Field(kind, text)
 
 
-def scalar_text(field: Column) -> Column:
+def scalar_text(field: Field) -> Column:
     """The value as text; booleans are capitalised, a missing value stays null."""
-    return F.when(field["kind"] == "BOOLEAN", F.initcap(field["text"])).otherwise(field["text"])
+    return F.when(field.kind == "BOOLEAN", F.initcap(field.text)).otherwise(field.text)
 
 
-def _nested_text(variant: Column, text: Column, depth: int) -> Column:
-    kind = kind_of(variant)
+def _nested_text(kind: Column, variant: Column, text: Column, depth: int) -> Column:
     plain = F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(F.coalesce(text, F.lit("")))
     if depth == 0:
-        return F.when(kind.isNull() | (kind == "VOID"), "").otherwise(plain)
-    elements = F.zip_with(
-        variant.try_cast("array<variant>"),
-        F.from_json(text, "array<string>"),
-        lambda v, t: _nested_text(v, t, depth - 1),
+        return plain
+    # Typed elements and written elements side by side, in file order.
+    items = F.when(
+        kind == "ARRAY",
+        F.arrays_zip(
+            variant.try_cast("array<variant>").alias("v"), F.from_json(text, "array<string>").alias("t")
+        ),
     )
     by_key = variant.try_cast("map<string,variant>")
-    values = F.transform(
-        F.map_entries(F.from_json(text, "map<string,string>")),
-        lambda e: _nested_text(F.try_element_at(by_key, e["key"]), e["value"], depth - 1),
+    entries = F.when(
+        kind == "OBJECT",
+        F.transform(
+            F.map_entries(F.from_json(text, "map<string,string>")),
+            lambda e: F.struct(F.try_element_at(by_key, e["key"]).alias("v"), e["value"].alias("t")),
+        ),
     )
-    return (
-        F.when(kind.isNull() | (kind == "VOID"), "")
-        .when(kind == "ARRAY", F.array_join(elements, " "))
-        .when(kind == "OBJECT", F.array_join(values, " "))
-        .otherwise(plain)
+    inner = F.transform(
+        F.coalesce(items, entries), lambda x: _nested_text(kind_of(x["v"]), x["v"], x["t"], depth - 1)
     )
+    return F.coalesce(F.array_join(inner, " "), plain)
 
 
-def as_text(field: Column) -> Column:
+def as_text(field: Field) -> Column:
     """Lists and objects joined by one blank in file order, nulls as ''; three levels deep."""
-    kind, text = field["kind"], field["text"]
-    nested = _nested_text(F.parse_json(text), text, _TEXT_DEPTH)
-    return (
-        F.when(kind.isNull() | (kind == "VOID"), "")
-        .when(kind.isin("ARRAY", "OBJECT"), nested)
-        .otherwise(F.coalesce(scalar_text(field), F.lit("")))
+    nested = F.when(
+        field.kind.isin("ARRAY", "OBJECT"),
+        _nested_text(field.kind, F.parse_json(field.text), field.text, _TEXT_DEPTH),
     )
+    return F.coalesce(nested, scalar_text(field), F.lit(""))
 
 
 def number_from_text(text: Column, default: float = 0.0) -> Column:
@@ -103,11 +122,11 @@ def number_from_text(text: Column, default: float = 0.0) -> Column:
     return F.coalesce(found.try_cast("double"), F.lit(float(default)))
 
 
-def parse_number(field: Column, default: float = 0.0) -> Column:
+def parse_number(field: Field, default: float = 0.0) -> Column:
     """Native numbers keep their sign; text goes through ``number_from_text``."""
-    kind, text = field["kind"], field["text"]
+    kind, text = field
     return (
-        F.when(kind.isNull() | (kind == "VOID"), F.lit(float(default)))
+        F.when(missing(field), F.lit(float(default)))
         .when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
         .when(kind.isin("STRING", "ARRAY", "OBJECT"), number_from_text(text, default))
         .otherwise(text.try_cast("double"))
@@ -120,10 +139,10 @@ def bool_from_text(text: Column, default: bool = False) -> Column:
     )
 
 
-def parse_bool(field: Column, default: bool = False) -> Column:
-    kind, text = field["kind"], field["text"]
+def parse_bool(field: Field, default: bool = False) -> Column:
+    kind, text = field
     return (
-        F.when(kind.isNull() | (kind == "VOID"), F.lit(default))
+        F.when(missing(field), F.lit(default))
         .when(kind.isin("BOOLEAN", "STRING", "ARRAY", "OBJECT"), bool_from_text(text, default))
         .otherwise(text.try_cast("double") != 0)
     )

@@ -19,76 +19,74 @@ _REVIEW_KEYS = [
 ]
 
 
-def _fields(raw: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-    """Decode each line once; malformed JSON fails the job."""
+def _decode(raw: DataFrame, keys: list[str]) -> tuple[DataFrame, dict[str, C.Field]]:
+    """Decode each line once into its fields; malformed JSON fails the job."""
     decoded = raw.select(
         "ord",
         F.parse_json("value").alias("_v"),
         F.from_json("value", "map<string,string>").alias("_texts"),
     )
-    picked = [C.raw_field(F.col("_v"), F.col("_texts"), key).alias(f"raw_{key}") for key in keys]
-    return decoded.select("ord", "_texts", *extra, *picked)
+    return C.stage(decoded, {key: C.raw_field(F.col("_v"), F.col("_texts"), key) for key in keys})
 
 
-def _raw(key: str) -> Column:
-    return F.col(f"raw_{key}")
-
-
-def _or_else(field: Column, *others: Column, default: str) -> Column:
+def _or_else(*fields: C.Field, default: str) -> Column:
     """Text of the first true field, else a default."""
-    tested = [F.when(C.truthy(f), C.scalar_text(f)) for f in (field, *others)]
+    tested = [F.when(C.truthy(f), C.scalar_text(f)) for f in fields]
     return F.coalesce(*tested, F.lit(default))
 
 
-def _last_item(field: Column) -> Column:
-    """Last list element as a field; null when the list is empty or absent."""
-    items = F.from_json(field["text"], "array<string>")
-    kinds = F.parse_json(field["text"]).try_cast("array<variant>")
-    item = F.struct(
-        C.kind_of(F.try_element_at(kinds, F.lit(-1))).alias("kind"),
-        F.try_element_at(items, F.lit(-1)).alias("text"),
+def _last_item(field: C.Field) -> C.Field:
+    """Last list element; missing when the list is empty or absent."""
+    is_list = field.kind == "ARRAY"
+    kinds = F.parse_json(F.when(is_list, field.text)).try_cast("array<variant>")
+    return C.Field(
+        F.when(is_list, C.kind_of(F.try_element_at(kinds, F.lit(-1)))),
+        F.when(is_list, F.try_element_at(F.from_json(field.text, "array<string>"), F.lit(-1))),
     )
-    return F.when((field["kind"] == "ARRAY") & C.truthy(field), item)
 
 
 def normalize_products(raw: DataFrame) -> DataFrame:
-    """(ord, value) JSON lines to product rows; rows without id or title are rejected."""
-    detail = lambda key: C.raw_field(
-        F.variant_get("_v", "$.details", "variant"),
-        F.from_json(F.try_element_at("_texts", F.lit("details")), "map<string,string>"),
-        key,
-    )
-    rows = _fields(
-        raw, _PRODUCT_KEYS,
-        detail("Brand").alias("raw_detail_brand"), detail("Manufacturer").alias("raw_detail_maker"),
+    """(ord, value) JSON lines to product rows; rows without id or title are rejected.
+
+    Values used more than once are staged as columns, which keeps the plan
+    small: the optimizer does not repeat an expensive expression it can refer to.
+    """
+    rows, f = _decode(raw, _PRODUCT_KEYS)
+    rows, more = C.stage(rows, {
+        "id": C.first_truthy(f["product_id"], f["parent_asin"], f["asin"]),
+        "stars": C.first_truthy(f["average_rating"], f["rating"]),
+        "votes": C.first_truthy(f["rating_number"], f["review_count"]),
+        "last_category": _last_item(f["categories"]),
+    })
+    f.update(more)
+    details = F.variant_get("_v", "$.details", "variant")
+    detail_texts = F.from_json(f["details"].text, "map<string,string>")
+    rows, more = C.stage(
+        rows.filter(C.truthy(f["id"]) & C.truthy(f["title"])),
+        {f"detail_{key}": C.raw_field(details, detail_texts, key) for key in ("Brand", "Manufacturer")},
     )
-    rows = rows.withColumn("_id", C.first_truthy(_raw("product_id"), _raw("parent_asin"), _raw("asin")))
-    rows = rows.filter(C.truthy(F.col("_id")) & C.truthy(_raw("title")))
-    features = C.as_text(_raw("features"))
-    described = C.as_text(_raw("description"))
-    title = C.scalar_text(_raw("title"))
-    joined = F.concat_ws(" ", F.nullif(described, F.lit("")), F.nullif(features, F.lit("")))
-    rating = C.parse_number(C.first_truthy(_raw("average_rating"), _raw("rating")))
-    votes = C.parse_number(C.first_truthy(_raw("rating_number"), _raw("review_count"))).cast("int")
+    f.update(more)
+    rows = rows.withColumns({
+        "_title": C.scalar_text(f["title"]),
+        "_features": C.as_text(f["features"]),
+        "_described": C.as_text(f["description"]),
+        "_stars": C.parse_number(f["stars"]),
+        "_votes": C.parse_number(f["votes"]).cast("int"),
+    })
+    joined = F.concat_ws(" ", F.nullif("_described", F.lit("")), F.nullif("_features", F.lit("")))
     return rows.select(
         "ord",
-        C.scalar_text(F.col("_id")).alias("product_id"),
-        title.alias("title"),
-        features.alias("features"),
-        C.first_nonempty(joined, title).alias("description"),
-        _or_else(
-            _raw("category"), _last_item(_raw("categories")), _raw("main_category"),
-            default="Electronics",
-        ).alias("category"),
-        _or_else(
-            _raw("brand"), _raw("store"), _raw("detail_brand"), _raw("detail_maker"),
-            default="Unknown",
-        ).alias("brand"),
-        C.parse_number(_raw("price")).alias("price"),
-        rating.alias("rating"),
-        votes.alias("review_count"),
-        rating.alias("average_rating"),
-        votes.alias("rating_number"),
+        C.scalar_text(f["id"]).alias("product_id"),
+        F.col("_title").alias("title"),
+        F.col("_features").alias("features"),
+        C.first_nonempty(joined, F.col("_title")).alias("description"),
+        _or_else(f["category"], f["last_category"], f["main_category"], default="Electronics").alias("category"),
+        _or_else(f["brand"], f["store"], f["detail_Brand"], f["detail_Manufacturer"], default="Unknown").alias("brand"),
+        C.parse_number(f["price"]).alias("price"),
+        F.col("_stars").alias("rating"),
+        F.col("_votes").alias("review_count"),
+        F.col("_stars").alias("average_rating"),
+        F.col("_votes").alias("rating_number"),
     )
 
 
@@ -105,36 +103,44 @@ def normalize_reviews(raw: DataFrame) -> DataFrame:
 
     A text that is present but null counts as ''.
     """
-    rows = _fields(raw, _REVIEW_KEYS)
-    rows = rows.withColumn("_id", C.first_truthy(_raw("parent_asin"), _raw("asin"), _raw("product_id")))
-    rows = rows.filter(C.truthy(F.col("_id")))
-    product = C.scalar_text(F.col("_id"))
-    user = _or_else(_raw("user_id"), _raw("reviewerID"), default="anonymous")
-    stamp = _raw("timestamp")
+    rows, f = _decode(raw, _REVIEW_KEYS)
+    given = F.map_contains_key("_texts", F.lit("verified_purchase"))
+    flag, alias = f["verified_purchase"], f["verified"]
+    rows, more = C.stage(rows, {
+        "product": C.first_truthy(f["parent_asin"], f["asin"], f["product_id"]),
+        "stars": C.first_truthy(f["rating"], f["overall"]),
+        "headline": C.first_truthy(f["title"], f["summary"]),
+        "body": C.first_truthy(f["text"], f["reviewText"]),
+        "bought": C.Field(
+            F.when(given, flag.kind).otherwise(alias.kind), F.when(given, flag.text).otherwise(alias.text)
+        ),
+    })
+    f.update(more)
+    stamp = f["timestamp"]
     # An absent title is '', one that is null prints as None.
     title_part = F.when(~F.map_contains_key("_texts", F.lit("title")), "").otherwise(
-        F.coalesce(C.scalar_text(_raw("title")), F.lit("None"))
+        F.coalesce(C.scalar_text(f["title"]), F.lit("None"))
     )
+    rows = rows.filter(C.truthy(f["product"])).withColumns({
+        "_product": C.scalar_text(f["product"]),
+        "_user": _or_else(f["user_id"], f["reviewerID"], default="anonymous"),
+        "_given": F.coalesce(*[F.when(C.truthy(f[k]), C.scalar_text(f[k])) for k in ("review_id", "id")]),
+        "_stamp": F.when(C.truthy(stamp), C.scalar_text(stamp)),
+    })
     generated = content_key(
-        product, user,
-        F.when(C.truthy(stamp), C.scalar_text(stamp)).otherwise(title_part),
-        C.scalar_text(_raw("text")),
+        F.col("_product"), F.col("_user"), F.coalesce("_stamp", title_part), C.scalar_text(f["text"])
     )
-    verified = F.when(
-        F.map_contains_key("_texts", F.lit("verified_purchase")), _raw("verified_purchase")
-    ).otherwise(_raw("verified"))
-    given = F.coalesce(*[F.when(C.truthy(_raw(k)), C.scalar_text(_raw(k))) for k in ("review_id", "id")])
     return rows.select(
         "ord",
-        F.coalesce(given, generated).alias("review_id"),
-        product.alias("product_id"),
-        user.alias("user_id"),
-        C.parse_number(C.first_truthy(_raw("rating"), _raw("overall"))).alias("rating"),
-        C.as_text(C.first_truthy(_raw("title"), _raw("summary"))).alias("title"),
-        C.as_text(C.first_truthy(_raw("text"), _raw("reviewText"))).alias("text"),
-        C.parse_number(_raw("helpful_vote")).cast("int").alias("helpful_vote"),
-        C.parse_bool(verified).alias("verified_purchase"),
-        F.when(C.truthy(stamp), C.digits_to_long(stamp["text"])).alias("timestamp"),
+        F.coalesce("_given", generated).alias("review_id"),
+        F.col("_product").alias("product_id"),
+        F.col("_user").alias("user_id"),
+        C.parse_number(f["stars"]).alias("rating"),
+        C.as_text(f["headline"]).alias("title"),
+        C.as_text(f["body"]).alias("text"),
+        C.parse_number(f["helpful_vote"]).cast("int").alias("helpful_vote"),
+        C.parse_bool(f["bought"]).alias("verified_purchase"),
+        C.digits_to_long(F.col("_stamp")).alias("timestamp"),
     )
 
 

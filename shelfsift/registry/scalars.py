@@ -52,10 +52,10 @@ def lenient_number(spark, folder):
     p = table(spark, folder, "part")
     price = F.concat(F.lit("from $"), F.format_number("p_retailprice", 2))
     native = (-F.col("p_size")).cast("string")
-    field = F.struct(
-        F.when(F.col("p_size") % 4 == 3, "BIGINT").otherwise("STRING").alias("kind"),
+    field = C.Field(
+        F.when(F.col("p_size") % 4 == 3, "BIGINT").otherwise("STRING"),
         F.when(F.col("p_size") % 4 == 0, price).when(F.col("p_size") % 4 == 1, F.concat(F.lit("-"), F.col("p_size")))
-        .when(F.col("p_size") % 4 == 2, "none").otherwise(native).alias("text"),
+        .when(F.col("p_size") % 4 == 2, "none").otherwise(native),
     )
     parts = p.select(F.col("p_partkey").alias("k"), F.lit("part").alias("origin"), C.parse_number(field, 7).alias("number"))
     events = table(spark, folder, "events").select(
@@ -71,10 +71,10 @@ def lenient_number(spark, folder):
 def lenient_boolean(spark, folder):
     e = table(spark, folder, "events")
     case = F.col("event_id") % 5
-    field = F.struct(
-        F.when(case == 0, "VOID").when(case == 3, "DOUBLE").when(case == 4, "BOOLEAN").otherwise("STRING").alias("kind"),
+    field = C.Field(
+        F.when(case == 0, "VOID").when(case == 3, "DOUBLE").when(case == 4, "BOOLEAN").otherwise("STRING"),
         F.when(case == 1, "  Yes ").when(case == 2, "maybe").when(case == 3, F.col("value").cast("string"))
-        .when(case == 4, "true").alias("text"),
+        .when(case == 4, "true"),
     )
     return e.select("event_id", C.parse_bool(field).alias("flag"))
 
@@ -87,14 +87,13 @@ def lenient_boolean(spark, folder):
 def first_truthy(spark, folder):
     """Zero and '' fall through like null."""
     rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    number = F.struct(
-        F.when(F.col("quality").isNull(), "VOID").otherwise("BIGINT").alias("kind"),
-        F.col("quality").cast("string").alias("text"),
+    number = C.Field(
+        F.when(F.col("quality").isNull(), "VOID").otherwise("BIGINT"), F.col("quality").cast("string")
     )
     tag = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "")
     return rows.select(
         "doc_id",
-        C.first_truthy(number, C.text_field(tag), C.text_field(F.col("source")))["text"].alias("picked"),
+        C.first_truthy(number, C.text_field(tag), C.text_field(F.col("source"))).text.alias("picked"),
         C.first_nonzero(F.col("quality"), F.col("toxic"), F.col("n_chars").cast("int")).alias("picked_number"),
     )
 
