@@ -31,11 +31,11 @@ ENGLISH_STOP_WORDS = [
 
 
 def fold(text: Column) -> Column:
-    """ASCII letters for accented Latin ones; expects lower case."""
+    """ASCII letters for accented Latin ones; expects lower case. Plain ASCII passes untouched."""
     out = F.translate(text, ACCENTED, PLAIN)
     for ligature, letters in LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return out
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(out)
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,13 @@ class Analyzer:
             words = F.transform(words, lambda w: F.regexp_replace(w, "['’]s$", ""))
         return words
 
+    def count(self, text: Column) -> Column:
+        """Number of terms; without stop words nothing has to be folded or cut for it."""
+        if self.stop_words:
+            return F.size(self.terms(text))
+        pattern = WORD_WITH_APOSTROPHE if self.possessive else WORD
+        return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+
     def keeps(self, term: Column) -> Column:
         """False for stop words."""
         return ~term.isin(*self.stop_words) if self.stop_words else F.lit(True)

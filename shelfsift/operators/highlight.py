@@ -33,19 +33,32 @@ def mark_all(text: Column, terms: Column, tag: str = "mark", analyzer: Analyzer
     return F.array_join(marked, "")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate a value once and use it in an expression, also inside its lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def best_fragment(text: Column, terms: Column, words: int, tag: str = "mark", analyzer: Analyzer = PRODUCT) -> Column:
     """The run of at most ``words`` words with most query words, the earliest of equals."""
-    units = F.regexp_extract_all(text, F.lit(_WORD_AND_GAP), F.lit(0))
-    flags = F.transform(
-        units, lambda u: F.array_contains(terms, _normal(F.regexp_extract(u, WORD, 0), analyzer)).cast("int")
-    )
-    starts = F.sequence(F.lit(1), F.greatest(F.size(units) - (words - 1), F.lit(1)))
-    scored = F.transform(
-        starts, lambda i: F.struct(F.size(F.filter(F.slice(flags, i, words), lambda x: x == 1)).alias("hits"), (-i).alias("at"))
-    )
-    start = -F.array_max(scored)["at"]
-    run = F.rtrim(F.array_join(F.slice(units, start, words), ""))
-    return F.when(F.size(units) > 0, mark_all(run, terms, tag, analyzer)).otherwise("")
+
+    def start_of(flags: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(flags) - (words - 1), F.lit(1)))
+        scored = F.transform(
+            starts,
+            lambda i: F.struct(F.size(F.array_compact(F.slice(flags, i, words))).alias("hits"), (-i).alias("at")),
+        )
+        return -F.array_max(scored)["at"]
+
+    def run_of(units: Column) -> Column:
+        # A query word is true, any other word null.
+        flags = F.transform(
+            units,
+            lambda u: F.when(F.array_contains(terms, _normal(F.regexp_extract(u, WORD, 0), analyzer)), True),
+        )
+        return F.rtrim(F.array_join(F.slice(units, _let(flags, start_of), words), ""))
+
+    run = _let(F.regexp_extract_all(text, F.lit(_WORD_AND_GAP), F.lit(0)), run_of)
+    return F.when(text.rlike(WORD), mark_all(run, terms, tag, analyzer)).otherwise("")
 
 
 def fragments(text: Column, terms: Column, size: int, count: int, tag: str = "em",

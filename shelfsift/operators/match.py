@@ -29,7 +29,8 @@ def lookup(positions: DataFrame, terms: DataFrame) -> DataFrame:
 def term_impacts(index: TextIndex, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(doc_id, field, term, impact): BM25 weight of every wanted term in every document."""
     tf = lookup(index.positions, terms).groupBy("doc_id", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(index.statistics, "field")
+    # Counting on tf keeps this branch equal to the other one, so both read one exchange.
+    df = tf.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(index.statistics, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.select("field", "term", "avg_dl", idf.alias("idf"))
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))

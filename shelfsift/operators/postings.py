@@ -32,6 +32,9 @@ class IndexField:
         tokens = self.analyzer.tokens(text)
         return tokens if self.words == 1 else shingles(tokens, self.words)
 
+    def count(self, text: Column) -> Column:
+        return F.greatest(self.analyzer.count(text) - (self.words - 1), F.lit(0))
+
     def keeps(self, term: Column) -> Column:
         return self.analyzer.keeps(term) if self.words == 1 else F.lit(True)
 
@@ -78,9 +81,9 @@ def term_positions(df: DataFrame, fields: list[IndexField], id_column: str, chai
 def field_statistics(df: DataFrame, fields: list[IndexField], id_column: str) -> DataFrame:
     """(field, n_docs, avg_dl) over the documents that have the field; a row per field."""
     lengths = F.array(*[
-        F.struct(F.lit(f.name).alias("field"), _length(f, i).alias("dl")) for i, f in enumerate(fields)
+        F.struct(F.lit(f.name).alias("field"), f.count(F.col(f.column or f.name)).alias("dl")) for f in fields
     ])
-    rows = _token_columns(df, fields, id_column).select(F.inline(lengths)).filter(F.col("dl") > 0)
+    rows = df.select(F.inline(lengths)).filter(F.col("dl") > 0)
     return rows.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 

@@ -51,6 +51,9 @@ class KeywordAnalyzer(Analyzer):
     def tokens(self, text: Column) -> Column:
         return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array(text))
 
+    def count(self, text: Column) -> Column:
+        return F.when(text.isNull(), 0).otherwise(1)
+
 
 KEYWORD = KeywordAnalyzer(folded=False)
 
