@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfsift.functions.distance import MAX_EDITS, auto_edits, deletion_keys, edit_distance
+from shelfsift.operators.sizes import hinted, is_small, materialized
 
 # Expansions per term of a fuzzy match, the customary engine default.
 MAX_EXPANSIONS = 50
@@ -31,7 +32,7 @@ def similar_terms(wanted: DataFrame, vocab: DataFrame, edits: Callable[[Column],
     longest = q.select(F.max(F.length("q_term") + F.col("edits"))).scalar()
     keyed = q.select("*", F.explode(deletion_keys(F.col("q_term"), F.col("edits"))).alias("key"))
     near = deletion_index(vocab.filter(F.length("term") <= longest))
-    pairs = keyed.join(near, ["field", "key"]).select("field", "q_term", "term", "edits").distinct()
+    pairs = near.join(hinted(keyed, is_small(keyed)), ["field", "key"]).select("field", "q_term", "term", "edits").distinct()
     guard = F.substring("q_term", 1, prefix_length) == F.substring("term", 1, prefix_length)
     pairs = pairs.filter(guard) if prefix_length else pairs
     return pairs.withColumn("typos", edit_distance(F.col("q_term"), F.col("term"))).filter(
@@ -45,6 +46,8 @@ def expand_terms(terms: DataFrame, vocab: DataFrame, edits: Callable[[Column], C
 
     Adds ``typos`` and ``weight`` = 1 - typos / length of the shorter word.
     ``max_expansions`` keeps the closest spellings of each term; None keeps all.
+    The result is materialised: scoring reads it several times, and the
+    vocabulary behind it takes a pass over the corpus.
     """
     near = similar_terms(terms, vocab, edits, prefix_length)
     if max_expansions is not None:
@@ -52,4 +55,4 @@ def expand_terms(terms: DataFrame, vocab: DataFrame, edits: Callable[[Column], C
         near = near.withColumn("_rank", rank).filter(F.col("_rank") <= max_expansions).drop("_rank")
     shorter = F.least(F.length("q_term"), F.length("term"))
     near = near.withColumn("weight", 1 - F.col("typos") / shorter)
-    return terms.withColumnRenamed("term", "q_term").join(near, ["field", "q_term"])
+    return materialized(terms.withColumnRenamed("term", "q_term").join(near, ["field", "q_term"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import PRODUCT, WORD, Analyzer, fold
+from shelfsift.operators.sizes import hinted
 
 _PIECE = WORD + r"|[^\p{L}\p{N}]+"
 _WORD_AND_GAP = WORD + r"[^\p{L}\p{N}]*"
@@ -91,10 +92,14 @@ def spelled_terms(terms: DataFrame) -> DataFrame:
     return terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def with_source(hits: DataFrame, source: DataFrame, id_column: str, terms: DataFrame) -> DataFrame:
-    """Hits next to their source row and the words to mark; the text is fetched for hits only."""
-    rows = hits.withColumnRenamed("doc_id", id_column).join(source, id_column)
-    marked = rows.join(terms, "query_id", "left")
+def with_source(hits: DataFrame, source: DataFrame, id_column: str, terms: DataFrame, small: bool) -> DataFrame:
+    """Hits next to their source row and the words to mark; the text is fetched for hits only.
+
+    ``small`` says the hits of all queries together were found few enough to
+    broadcast; then the texts of the source never move.
+    """
+    page = hits.withColumnRenamed("doc_id", id_column).join(terms, "query_id", "left")
+    marked = source.join(hinted(page, small), id_column)
     return marked.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 

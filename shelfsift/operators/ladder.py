@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.distance import ladder_edits
 from shelfsift.operators.fuzzy import expand_terms
-from shelfsift.operators.match import SCORE_DIGITS, lookup
+from shelfsift.operators.match import SCORE_DIGITS
 from shelfsift.operators.postings import TextIndex, query_terms, vocabulary
 from shelfsift.operators.rank import COVER_SLOTS, covers
+from shelfsift.operators.sizes import hinted, is_small
 
 # Span of words that do not all occur in one field.
 NO_SPAN = 1_000_000
@@ -23,10 +24,9 @@ def ladder_matches(index: TextIndex, queries: DataFrame, max_slots: int = COVER_
     into (0, 1].
     """
     terms = expand_terms(query_terms(queries, index.fields), vocabulary(index), ladder_edits, max_expansions=None)
-    postings = lookup(index.positions, terms).select("doc_id", "field", "field_no", "term", "pos")
     spelled = terms.select("query_id", "field", "slot", "n_terms", "term", "typos")
-    hits = postings.join(spelled, ["field", "term"]).repartition("query_id", "doc_id")
-    # A position can serve one slot once; several spellings of a slot at one place cannot occur.
+    postings = index.positions.select("doc_id", "field", "field_no", "term", "pos")
+    hits = postings.join(hinted(spelled, is_small(spelled)), ["field", "term"]).repartition("query_id", "doc_id")
     words = hits.groupBy("query_id", "doc_id", "slot", "n_terms").agg(
         F.min("typos").alias("typos"), F.min("field_no").alias("attribute")
     ).groupBy("query_id", "doc_id", "n_terms").agg(

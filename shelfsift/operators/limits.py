@@ -53,7 +53,9 @@ def first_n(df: DataFrame, n: int, order: str, bucket: Column | None = None) ->
 def numbered(df: DataFrame, order: str, bucket: Column | None = None, name: str = "row_no") -> DataFrame:
     """A global 1-based row number by a unique column, ranked bucket by bucket."""
     df = df.withColumn("_bucket", value_bucket(df, order) if bucket is None else bucket)
-    placed = df.join(_rows_before(df, "_bucket").drop("_n"), "_bucket")
+    before = _rows_before(df, "_bucket").drop("_n")
+    # Without a bucket of the caller's there are at most BUCKETS rows to send around.
+    placed = df.join(F.broadcast(before) if bucket is None else before, "_bucket")
     local = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
     return placed.withColumn(name, local + F.col("_before")).drop("_bucket", "_before")
 
@@ -88,8 +90,12 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> D
 
 
 def match_totals(df: DataFrame, by: str = "query_id", cap: int | None = None) -> DataFrame:
-    """Number of matches per query, counted map-side first; ``cap`` bounds the reported number."""
-    total = F.count(F.lit(1))
+    """Number of matches per query, counted map-side first; ``cap`` bounds the reported number.
+
+    Scored matches are counted by their score: the count then needs the same
+    columns as the page of hits, and both read one exchange instead of matching twice.
+    """
+    total = F.count("score") if "score" in df.columns else F.count(F.lit(1))
     if cap is not None:
         total = F.least(total, F.lit(cap).cast("long"))
     return df.groupBy(by).agg(total.alias("total"))

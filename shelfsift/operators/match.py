@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.text import Analyzer
 from shelfsift.operators.postings import IndexField, TextIndex
+from shelfsift.operators.sizes import hinted, is_small
 
 # Okapi BM25 (Robertson & Zaragoza 2009).
 K1 = 1.2
@@ -17,22 +18,28 @@ SCORE_DIGITS = 6
 ANY_DOCUMENT = ""
 
 
-def lookup(positions: DataFrame, terms: DataFrame) -> DataFrame:
+def lookup(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """Postings of the wanted (field, term) pairs.
 
-    A plain equi-join: a small query side is broadcast by its measured size, a
-    large one is shuffled and its frequent terms are split by the skew handling.
+    An equi-join: query terms found small are broadcast, so only their postings
+    are ever shuffled; more of them are joined by shuffle, where the skew
+    handling splits frequent terms.
     """
-    return positions.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    wanted = terms.select("field", "term").distinct()
+    return positions.join(hinted(wanted, small), ["field", "term"], "left_semi")
 
 
-def term_impacts(index: TextIndex, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, field, term, impact): BM25 weight of every wanted term in every document."""
-    tf = lookup(index.positions, terms).groupBy("doc_id", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def term_impacts(index: TextIndex, terms: DataFrame, small: bool, k1: float = K1, b: float = B) -> DataFrame:
+    """(doc_id, field, term, impact): BM25 weight of every wanted term in every document.
+
+    The table of document frequencies has at most a row per wanted term, so it
+    is as small as the terms are.
+    """
+    tf = lookup(index.positions, terms, small).groupBy("doc_id", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     # Counting on tf keeps this branch equal to the other one, so both read one exchange.
     df = tf.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(index.statistics, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.select("field", "term", "avg_dl", idf.alias("idf"))
+    df = hinted(df.select("field", "term", "avg_dl", idf.alias("idf")), small)
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))
     return tf.join(df, ["field", "term"]).select(
         "doc_id", "field", "term", (F.col("idf") * F.col("tf") / (F.col("tf") + norm)).alias("impact")
@@ -48,7 +55,9 @@ def field_scores(index: TextIndex, terms: DataFrame) -> DataFrame:
     """
     if "weight" not in terms.columns:
         terms = terms.withColumn("weight", F.lit(1.0))
-    hits = term_impacts(index, terms).join(terms, ["field", "term"]).repartition("query_id", "doc_id")
+    small = is_small(terms)
+    hits = term_impacts(index, terms, small).join(hinted(terms, small), ["field", "term"])
+    hits = hits.repartition("query_id", "doc_id")
     slots = hits.groupBy("query_id", "doc_id", "field", "slot", "n_terms").agg(
         F.max(F.col("impact") * F.col("weight")).alias("score")
     )
@@ -137,7 +146,7 @@ def boolean_match(positions: DataFrame, units: DataFrame) -> DataFrame:
     """
     start = F.when(F.col("n") == 1, 0).otherwise(F.col("pos") - F.col("offset"))
     keys = ["query_id", "grp", "unit", "negated", "n_positive", "n", "doc_id"]
-    found = positions.join(units, "term").withColumn("start", start).groupBy(*keys, "start").agg(
+    found = positions.join(hinted(units, is_small(units)), "term").withColumn("start", start).groupBy(*keys, "start").agg(
         F.count(F.lit(1)).alias("c")
     ).filter(F.col("c") >= F.col("n"))
     found = found.repartition("query_id", "doc_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("places"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.text import PRODUCT
 from shelfsift.operators.limits import top_k
-from shelfsift.operators.match import SCORE_DIGITS, lookup, term_impacts
+from shelfsift.operators.match import SCORE_DIGITS, term_impacts
 from shelfsift.operators.postings import IndexField, TextIndex, query_terms, vocabulary
+from shelfsift.operators.sizes import hinted, is_small, materialized
 
 MIN_PREFIX = 2
 
@@ -28,7 +29,8 @@ def prefix_terms(wanted: DataFrame, vocab: DataFrame) -> DataFrame:
     beginnings = vocab.filter(F.length("term") >= low).select(
         "field", "term", F.explode(F.sequence(low, until)).alias("_n")
     ).withColumn("prefix", F.expr("substring(term, 1, _n)")).drop("_n")
-    return beginnings.join(wanted.select("field", "prefix").distinct(), ["field", "prefix"])
+    asked = wanted.select("field", "prefix").distinct()
+    return beginnings.join(hinted(asked, is_small(asked)), ["field", "prefix"])
 
 
 def prefix_search(index: TextIndex, queries: DataFrame) -> DataFrame:
@@ -37,11 +39,14 @@ def prefix_search(index: TextIndex, queries: DataFrame) -> DataFrame:
     is_last = F.col("slot") == F.col("n_terms") - 1
     whole = terms.filter(~is_last)
     last = terms.filter(is_last).withColumnRenamed("term", "prefix")
-    scored = term_impacts(index, whole).join(whole, ["field", "term"]).select(
+    small = is_small(whole)
+    scored = term_impacts(index, whole, small).join(hinted(whole, small), ["field", "term"]).select(
         "query_id", "doc_id", "field", F.col("impact").alias("score")
     )
     started = last.join(prefix_terms(last, vocabulary(index)), ["field", "prefix"]).select("query_id", "field", "term")
-    begun = lookup(index.positions, started).select("doc_id", "field", "term").join(started, ["field", "term"]).groupBy(
+    started = materialized(started)
+    postings = index.positions.select("doc_id", "field", "term")
+    begun = postings.join(hinted(started, is_small(started)), ["field", "term"]).groupBy(
         "query_id", "doc_id", "field"
     ).agg(F.lit(1.0).alias("score"))
     return scored.unionByName(begun).groupBy("query_id", "doc_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.text import word_trigrams
 from shelfsift.operators.match import SCORE_DIGITS
+from shelfsift.operators.sizes import hinted, is_small
 
 THRESHOLD = 0.3
 
@@ -27,7 +28,7 @@ def similarity(df: DataFrame, id_column: str, text: str, queries: DataFrame) ->
     q = trigrams(queries, "query_id", "q").select(
         F.col("doc_id").alias("query_id"), F.col("n").alias("n_query"), "gram"
     )
-    shared = trigrams(df, id_column, text).join(q, "gram").groupBy("query_id", "doc_id", "n", "n_query").agg(
+    shared = trigrams(df, id_column, text).join(hinted(q, is_small(q)), "gram").groupBy("query_id", "doc_id", "n", "n_query").agg(
         F.count(F.lit(1)).alias("common")
     )
     ratio = F.col("common") / (F.col("n") + F.col("n_query") - F.col("common"))

@@ -20,6 +20,7 @@ from shelfsift.operators import enrich, facets, fuzzy, highlight, ladder, limits
 from shelfsift.operators.postings import (
     IndexField, TextIndex, query_terms, stem_table, term_positions, vocabulary,
 )
+from shelfsift.operators.sizes import MAX_BROADCAST_ROWS, is_small
 from shelfsift.schemas import PRODUCT_SEARCHABLE, REVIEW_SEARCHABLE, REVIEW_SORTABLE
 
 DIALECTS = ["lucene", "ladder", "weighted"]
@@ -166,9 +167,14 @@ def _product_facets(rows: DataFrame, dialect: str, by: list[str]) -> DataFrame:
     return out
 
 
+def few_hits(queries: DataFrame, k: int) -> bool:
+    """Whether all pages together, ``k`` rows per query, stay small."""
+    return is_small(queries, MAX_BROADCAST_ROWS // (10 * k))
+
+
 def _marked_products(page: DataFrame, products: DataFrame, marks: DataFrame, fields: list[str],
-                     dialect: str) -> DataFrame:
-    rows = highlight.with_source(page, products, "product_id", marks)
+                     dialect: str, small: bool) -> DataFrame:
+    rows = highlight.with_source(page, products, "product_id", marks, small)
     terms = F.col("terms")
     parts = {}
     for name in _available(products, fields):
@@ -195,7 +201,7 @@ def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
         positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)
         page = weighted_basic_hits(products, positions, queries, PLAIN_WORDS, wanted, k)
         marks = match.highlight_terms(match.query_units(queries, PLAIN_WORDS))
-        hits = _marked_products(page.select("query_id", "doc_id", "score", "rank"), products, marks, fields[:2], dialect)
+        hits = _marked_products(page.select("query_id", "doc_id", "score", "rank"), products, marks, fields[:2], dialect, few_hits(queries, k))
         # The total is the number of rows returned, and facets look at the filters only.
         return SearchResult(hits, limits.match_totals(page), _product_facets(kept, dialect, []))
     if dialect == "lucene":
@@ -209,7 +215,7 @@ def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
         order = ladder.ladder_order()
     matches = filtered(matches, products, "product_id", predicate)
     page = limits.top_k(matches, k, order).select("query_id", "doc_id", "score", "rank")
-    hits = _marked_products(page, products, marks, fields, dialect)
+    hits = _marked_products(page, products, marks, fields, dialect, few_hits(queries, k))
     facet_rows = matches.select("query_id", F.col("doc_id").alias("product_id")).join(
         kept.select("product_id", "brand", "category", "price"), "product_id"
     )
@@ -236,7 +242,8 @@ def product_scenario(products: DataFrame, queries: DataFrame, dialect: str, k: i
         order = [F.desc("score"), F.desc("_r"), F.desc("_c"), F.asc("doc_id")]
         fields = ["title", "description"]
     page = limits.top_k(matches, k, order).select("query_id", "doc_id", "score", "rank")
-    return SearchResult(_marked_products(page, products, marks, fields, dialect), limits.match_totals(matches))
+    hits = _marked_products(page, products, marks, fields, dialect, few_hits(queries, k))
+    return SearchResult(hits, limits.match_totals(matches))
 
 
 def fitting_reviews(matches: DataFrame, reviews: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
@@ -276,7 +283,7 @@ def review_scenario(reviews: DataFrame, products: DataFrame, queries: DataFrame,
     else:
         fitting = fitting_reviews(matches, reviews, queries, "helpful_vote")
     page = limits.top_k(fitting, k, order).select("query_id", "doc_id", "score", "rank")
-    rows = highlight.with_source(page, reviews, "review_id", marks)
+    rows = highlight.with_source(page, reviews, "review_id", marks, few_hits(queries, k))
     terms, title, text = F.col("terms"), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
     if dialect == "lucene":
         parts = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfsift.functions import display
 from shelfsift.functions.text import PLAIN_WORDS, PRODUCT
 from shelfsift.operators import highlight, ladder, limits, match, postings
-from shelfsift.plans.search import overlap, side_by_side
+from shelfsift.plans.search import few_hits, overlap, side_by_side
 from shelfsift.registry import corpora as C
 from shelfsift.registry import matching as M
 from shelfsift.registry import register
@@ -37,7 +37,7 @@ def _shown(spark, folder, source=None):
     terms = postings.query_terms(queries, index.fields)
     page = limits.top_k(match.any_term_match(index, terms), 10, [F.desc("score"), F.asc("doc_id")])
     docs = (source or table(spark, folder, "documents"))
-    return highlight.with_source(page, docs, "doc_id", highlight.spelled_terms(terms))
+    return highlight.with_source(page, docs, "doc_id", highlight.spelled_terms(terms), few_hits(queries, 10))
 
 
 @register("h01_mark_whole_field", f"""
@@ -91,10 +91,12 @@ _PRODUCT_TOP_SQL = f"""{M._PRODUCT_SQL}, {C.bm25_sql()}, {M._BOOSTED},
 
 def _product_hits(spark, folder):
     index = C.product_index(spark, folder)
-    terms = postings.query_terms(C.query_table(spark, C.PRODUCT_QUERIES), index.fields)
+    queries = C.query_table(spark, C.PRODUCT_QUERIES)
+    terms = postings.query_terms(queries, index.fields)
     scores = match.any_term_match(index, terms, C.PRODUCT_BOOSTS)
     page = limits.top_k(scores, 10, [F.desc("score"), F.asc("doc_id")])
-    return highlight.with_source(page, views.products(spark, folder), "product_id", highlight.spelled_terms(terms))
+    marks = highlight.spelled_terms(terms)
+    return highlight.with_source(page, views.products(spark, folder), "product_id", marks, few_hits(queries, 10))
 
 
 @register("h04_field_fragments", f"""
@@ -134,7 +136,7 @@ def _review_result(spark, folder):
     matches, marks, order = S.review_matches(reviews, queries, "lucene", PRODUCT, fuzziness=False)
     fitting = S.fitting_reviews(matches, reviews, queries, "helpful_vote")
     page = limits.top_k(fitting, 10, order).select("query_id", "doc_id", "score", "rank")
-    rows = highlight.with_source(page, reviews, "review_id", marks)
+    rows = highlight.with_source(page, reviews, "review_id", marks, S.few_hits(queries, 10))
     parts = {
         "title": highlight.fragments(F.col("title"), F.col("terms"), 120, 1),
         "text": highlight.fragments(F.col("text"), F.col("terms"), 180, 2),
