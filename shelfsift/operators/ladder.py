@@ -9,7 +9,7 @@ from shelfsift.functions.distance import ladder_edits
 from shelfsift.operators.fuzzy import expand_terms
 from shelfsift.operators.match import SCORE_DIGITS
 from shelfsift.operators.postings import TextIndex, query_terms, vocabulary
-from shelfsift.operators.rank import COVER_SLOTS, covers
+from shelfsift.operators.rank import COVER_SLOTS, with_spans
 from shelfsift.operators.sizes import hinted, is_small
 
 # Span of words that do not all occur in one field.
@@ -27,17 +27,15 @@ def ladder_matches(index: TextIndex, queries: DataFrame, max_slots: int = COVER_
     spelled = terms.select("query_id", "field", "slot", "n_terms", "term", "typos")
     postings = index.positions.select("doc_id", "field", "field_no", "term", "pos")
     hits = postings.join(hinted(spelled, is_small(spelled)), ["field", "term"]).repartition("query_id", "doc_id")
-    words = hits.groupBy("query_id", "doc_id", "slot", "n_terms").agg(
-        F.min("typos").alias("typos"), F.min("field_no").alias("attribute")
+    # The closest span and the best spelling come out of one pass over the hits.
+    spans = with_spans(hits.withColumn("weight", F.lit(1.0)), ["query_id", "doc_id", "field"], max_slots)
+    rows = spans.groupBy("query_id", "doc_id", "slot", "n_terms").agg(
+        F.min("typos").alias("typos"), F.min("field_no").alias("attribute"),
+        F.min(F.col("pos") - F.col("start") + 1).alias("span"),
     ).groupBy("query_id", "doc_id", "n_terms").agg(
         F.count(F.lit(1)).alias("words"), F.sum("typos").alias("typos"), F.min("attribute").alias("attribute"),
-        F.count_if(F.col("typos") == 0).alias("exact"),
+        F.count_if(F.col("typos") == 0).alias("exact"), F.coalesce(F.min("span"), F.lit(NO_SPAN)).alias("span"),
     )
-    keys = ["query_id", "doc_id", "field"]
-    spans = covers(hits.withColumn("weight", F.lit(1.0)), keys, max_slots).groupBy("query_id", "doc_id").agg(
-        F.min("length").alias("span")
-    )
-    rows = words.join(spans, ["query_id", "doc_id"], "left").withColumn("span", F.coalesce("span", F.lit(NO_SPAN)))
     n = F.col("n_terms")
     fine = (2 * n - F.col("typos") + 1 / (1 + F.col("span"))) / (2 * n + 1)
     return rows.withColumn("score", F.round((F.col("words") - 1 + fine) / n, SCORE_DIGITS))

@@ -32,14 +32,14 @@ def frequency_rank(positions: DataFrame, slots: DataFrame) -> DataFrame:
     )
 
 
-def covers(hits: DataFrame, keys: list[str], slots: int = COVER_SLOTS) -> DataFrame:
-    """Shortest spans that hold every word of a query (Clarke, Cormack & Tudhope 2000).
+def with_spans(hits: DataFrame, keys: list[str], slots: int = COVER_SLOTS) -> DataFrame:
+    """Each occurrence with the span that ends at it and holds every word of its query.
 
-    For each occurrence the span reaches back to the earliest of the last
-    occurrences of all words; of the spans with one start the shortest stays.
-    One window pass over the matched positions of a document. ``weight`` of a
-    span is the harmonic mean of its words' weights. Queries with more than
-    ``slots`` distinct words fail rather than lose words; raise ``slots`` then.
+    The span reaches back to the earliest of the last occurrences of all words;
+    ``start`` is null while a word is still missing. ``span_weight`` is the
+    harmonic mean of the words' weights. One window pass over the matched
+    positions of a document. Queries with more than ``slots`` distinct words
+    fail rather than lose words; raise ``slots`` then.
     """
     running = W.partitionBy(*keys).orderBy("pos").rangeBetween(W.unboundedPreceding, W.currentRow)
     fits = F.assert_true(F.col("n_terms") <= slots, F.lit(f"more than {slots} distinct words in a query"))
@@ -47,18 +47,28 @@ def covers(hits: DataFrame, keys: list[str], slots: int = COVER_SLOTS) -> DataFr
         F.max(F.when(F.col("slot") == i, F.struct("pos", "weight"))).over(running).alias(f"_s{i}")
         for i in range(slots)
     ]
-    seen = hits.filter(fits.isNull()).select(*keys, "n_terms", "pos", *last)
-    present, start, inverse = F.lit(0), [], F.lit(0.0)
+    present, starts, inverse = F.lit(0), [], F.lit(0.0)
     for i in range(slots):
         one = F.col(f"_s{i}")
         present = present + F.when(one.isNotNull(), 1).otherwise(0)
-        start.append(one["pos"])
+        starts.append(one["pos"])
         inverse = inverse + F.when(one.isNotNull(), 1 / one["weight"]).otherwise(0.0)
-    complete = seen.filter(present == F.col("n_terms")).select(
-        *keys, F.least(*start).alias("start"),
-        F.struct(F.col("pos").alias("end"), (F.col("n_terms") / inverse).alias("weight")).alias("_end"),
+    return hits.filter(fits.isNull()).select("*", *last).select(
+        *hits.columns, F.when(present == F.col("n_terms"), F.least(*starts)).alias("start"),
+        (F.col("n_terms") / inverse).alias("span_weight"),
+    )
+
+
+def covers(hits: DataFrame, keys: list[str], slots: int = COVER_SLOTS) -> DataFrame:
+    """Shortest spans that hold every word of a query (Clarke, Cormack & Tudhope 2000).
+
+    Of the spans with one start the shortest stays.
+    """
+    end = F.struct(F.col("pos").alias("end"), F.col("span_weight").alias("weight"))
+    spans = with_spans(hits, keys, slots).filter(F.col("start").isNotNull()).groupBy(*keys, "start").agg(
+        F.min(end).alias("_end")
     )
-    return complete.groupBy(*keys, "start").agg(F.min("_end").alias("_end")).select(
+    return spans.select(
         *keys, "start", F.col("_end.end").alias("end"), F.col("_end.weight").alias("weight"),
         (F.col("_end.end") - F.col("start") + 1).alias("length"),
     )

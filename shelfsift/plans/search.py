@@ -20,7 +20,7 @@ from shelfsift.operators import enrich, facets, fuzzy, highlight, ladder, limits
 from shelfsift.operators.postings import (
     IndexField, TextIndex, query_terms, stem_table, term_positions, vocabulary,
 )
-from shelfsift.operators.sizes import MAX_BROADCAST_ROWS, is_small
+from shelfsift.operators.sizes import MAX_BROADCAST_ROWS, hinted, is_small
 from shelfsift.schemas import PRODUCT_SEARCHABLE, REVIEW_SEARCHABLE, REVIEW_SORTABLE
 
 DIALECTS = ["lucene", "ladder", "weighted"]
@@ -249,7 +249,8 @@ def product_scenario(products: DataFrame, queries: DataFrame, dialect: str, k: i
 def fitting_reviews(matches: DataFrame, reviews: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
     """Matches whose rating fits the mood of their query, with the named review columns."""
     rated = reviews.select(F.col("review_id").alias("doc_id"), "rating", *columns)
-    joined = matches.join(rated, "doc_id").join(queries.select("query_id", "q"), "query_id")
+    asked = queries.select("query_id", "q")
+    joined = matches.join(rated, "doc_id").join(hinted(asked, is_small(asked)), "query_id")
     return joined.filter(filters.rating_fits(F.col("q"), F.col("rating"))).drop("q")
 
 

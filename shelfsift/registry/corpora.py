@@ -50,10 +50,15 @@ def tokens_sql(text: str, folded: bool = True) -> str:
     return f"regexp_extract_all({clean}, '[\\p{{L}}\\p{{N}}]+')"
 
 
-def postings_sql(source: str, id_column: str, fields: list[tuple[str, bool]], name: str = "posts") -> str:
+def field_tokens_sql(text: str, folded: bool | None) -> str:
+    """Words of a field; None takes the whole value as its one word."""
+    return f"[{text}]" if folded is None else tokens_sql(text, folded)
+
+
+def postings_sql(source: str, id_column: str, fields: list[tuple[str, bool | None]], name: str = "posts") -> str:
     """(doc_id, field, field_no, term, pos, dl) and the field statistics as CTEs."""
     parts = " UNION ALL ".join(
-        f"SELECT {id_column} AS doc_id, '{f}' AS field, {i} AS field_no, {tokens_sql(f, folded)} AS toks FROM {source}"
+        f"SELECT {id_column} AS doc_id, '{f}' AS field, {i} AS field_no, {field_tokens_sql(f, folded)} AS toks FROM {source}"
         for i, (f, folded) in enumerate(fields)
     )
     return f"""{name}_docs AS ({parts}),
@@ -68,10 +73,10 @@ PRODUCT_POSTINGS_SQL = PRODUCTS_SQL + ",\n    " + postings_sql(
 )
 
 
-def query_terms_sql(fields: list[tuple[str, bool]], queries: str = "queries", name: str = "qterms") -> str:
+def query_terms_sql(fields: list[tuple[str, bool | None]], queries: str = "queries", name: str = "qterms") -> str:
     parts = " UNION ALL ".join(
-        f"SELECT query_id, '{f}' AS field, unnest({tokens_sql('q', folded)}) AS term, "
-        f"generate_subscripts({tokens_sql('q', folded)}, 1) - 1 AS slot, len({tokens_sql('q', folded)}) AS n_terms FROM {queries}"
+        f"SELECT query_id, '{f}' AS field, unnest({field_tokens_sql('q', folded)}) AS term, "
+        f"generate_subscripts({field_tokens_sql('q', folded)}, 1) - 1 AS slot, len({field_tokens_sql('q', folded)}) AS n_terms FROM {queries}"
         for f, folded in fields
     )
     return f"{name} AS (SELECT *, CAST(1 AS DOUBLE) AS weight FROM ({parts}))"

@@ -1 +1,336 @@
+"""End-to-end flows (P)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfsift.functions.filters import ProductFilter
+from shelfsift.functions.text import PLAIN_WORDS, PRODUCT
+from shelfsift.plans import analytics, autocomplete, load, prepare, search, semantic
+from shelfsift.registry import corpora as C
+from shelfsift.registry import matching as M
+from shelfsift.registry import register
+from shelfsift.session import scratch_path
+from shelfsift.sources import views
+from shelfsift.sources.views import PRODUCTS_SQL, REVIEWS_SQL, table
+
+# Prepare and load -----------------------------------------------------------------
+
+
+def _raw_files(spark, folder):
+    """Parts and documents written as raw product and review lines; paths of both."""
+    products, reviews = scratch_path(spark, "raw-products"), scratch_path(spark, "raw-reviews")
+    p = views.products(spark, folder)
+    p.select(F.to_json(F.struct(
+        F.col("product_id").alias("parent_asin"), "title", F.array("features").alias("features"),
+        F.array("title").alias("description"), F.array(F.lit("All"), "category").alias("categories"),
+        F.col("brand").alias("store"), F.concat(F.lit("$"), F.col("price").cast("string")).alias("price"),
+        F.col("rating").alias("average_rating"), F.col("review_count").alias("rating_number"),
+    )).alias("value")).write.text(products)
+    r = views.reviews(spark, folder)
+    r.orderBy("ord").select(F.to_json(F.struct(
+        "review_id", F.col("product_id").alias("asin"), "user_id", "rating", "title", "text", "helpful_vote",
+        "verified_purchase", "timestamp",
+    )).alias("value")).write.option("compression", "gzip").text(reviews)
+    return products, reviews
+
+
+_PREPARED_SQL = f"""{PRODUCTS_SQL}, {REVIEWS_SQL},
+    kept AS (SELECT * FROM v_reviews WHERE product_id IN (SELECT product_id FROM v_products)
+             QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY ord) <= 5),
+    agg AS (SELECT product_id, count(*) AS loaded_review_count, round_even(sum(rating) / count(*), 2) AS avg_review_rating,
+                   CAST(sum(helpful_vote) AS BIGINT) AS helpful_votes, string_agg(text, ' ' ORDER BY ord) FILTER (text <> '') AS review_text FROM kept GROUP BY 1)"""
+
+
+@register("p01_prepare", f"""
+    WITH {_PREPARED_SQL}
+    SELECT p.product_id, p.title, p.features, p.title || ' ' || p.features AS description, p.category, p.brand, p.price, p.rating, p.review_count,
+           coalesce(a.loaded_review_count, 0) AS loaded_review_count, coalesce(a.avg_review_rating, 0) AS avg_review_rating,
+           coalesce(a.helpful_votes, 0) AS helpful_votes, coalesce(a.review_text, '') AS review_text
+    FROM v_products p LEFT JOIN agg a ON a.product_id = p.product_id""")
+def prepare_products(spark, folder):
+    """Raw lines to enriched products, through files; the reviews carry their input order."""
+    from shelfsift.sources import jsonl
+
+    products, reviews = _raw_files(spark, folder)
+    ready = prepare.prepare(jsonl.read_json_lines(spark, products), jsonl.read_json_lines(spark, reviews), None, 5)
+    return ready.products.drop("ord", "average_rating", "rating_number", "title_suggest")
+
+
+@register("p02_load", f"""
+    WITH {_PREPARED_SQL}
+    SELECT k.review_id, k.product_id, k.user_id, k.rating, k.title, k.text, k.helpful_vote, k.verified_purchase, k.timestamp,
+           (SELECT count(*) FROM part) AS stored_products, (SELECT count(*) FROM kept) AS stored_documents
+    FROM kept k""")
+def load_reviews(spark, folder):
+    """Prepared files loaded twice into keyed tables: the second load changes nothing."""
+    products, reviews = _raw_files(spark, folder)
+    processed, root = scratch_path(spark, "processed"), scratch_path(spark, "store")
+    prepare.run(spark, products, reviews, processed, None, 5)
+    load.run(spark, processed, root, embeddings=False)
+    tables = load.run(spark, processed, root, embeddings=False)
+    count = lambda name: tables[name].select(F.count(F.lit(1))).scalar()
+    return tables["reviews"].select(
+        "*", count("products").alias("stored_products"), count("review_documents").alias("stored_documents")
+    )
+
+
+# Basic product search ----------------------------------------------------------------
+
+_FILTER = ProductFilter(min_price=20, max_price=350, min_rating=2)
+_FILTER_SQL = "price BETWEEN 20 AND 350 AND rating >= 2"
+_BASIC_FIELDS_SQL = [("title", True), ("brand", None), ("category", None), ("features", True), ("description", True)]
+_BASIC_SQL = f"""{C.queries_sql(C.MISSPELT_QUERIES)}, {PRODUCTS_SQL}, {C.postings_sql('v_products', 'product_id', _BASIC_FIELDS_SQL)},
+    {C.query_terms_sql(_BASIC_FIELDS_SQL, name='raw_terms')}, {M._expanded_sql('raw_terms', 0)}, {C.bm25_sql()},
+    scored AS (SELECT query_id, doc_id, round(max(score * {C.boost_sql(search.BASIC_BOOSTS)}), 6) AS score FROM field_scores
+               WHERE doc_id IN (SELECT product_id FROM v_products WHERE {_FILTER_SQL}) GROUP BY 1, 2)"""
+
+
+def _basic(spark, folder, dialect, queries):
+    return search.basic_product_search(views.products(spark, folder), C.query_table(spark, queries), dialect, _FILTER)
+
+
+@register("p03_basic_search_lucene", f"""
+    WITH {_BASIC_SQL} SELECT p.query_id, p.doc_id AS product_id, p.score, p.rank, p.total, v.title, v.price
+    FROM ({M._page_sql('scored')}) p JOIN v_products v ON v.product_id = p.doc_id""")
+def basic_search_lucene(spark, folder):
+    """Misspelt queries with filters: hits and total."""
+    result = _basic(spark, folder, "lucene", C.MISSPELT_QUERIES)
+    return result.hits.join(result.totals, "query_id").select(
+        "query_id", "product_id", "score", F.col("rank").cast("long").alias("rank"), "total", "title", "price"
+    )
+
+
+@register("p03_basic_facets_lucene", f"""
+    WITH {_BASIC_SQL}, rows AS (SELECT s.query_id, v.* FROM scored s JOIN v_products v ON v.product_id = s.doc_id),
+    counts AS (SELECT query_id, 'brand' AS facet, brand AS value, count(*) AS n FROM rows GROUP BY 1, 3
+               UNION ALL SELECT query_id, 'category', category, count(*) FROM rows GROUP BY 1, 3),
+    asked AS (SELECT DISTINCT query_id FROM rows)
+    SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY query_id, facet ORDER BY n DESC, value) <= 10
+    UNION ALL SELECT a.query_id, 'price', b.value, count(r.price) FROM asked a
+      CROSS JOIN (VALUES ('*-50.0', 0, 50), ('50.0-100.0', 50, 100), ('100.0-300.0', 100, 300), ('300.0-*', 300, 1000000)) b(value, low, high)
+      LEFT JOIN rows r ON r.query_id = a.query_id AND r.price >= b.low AND r.price < b.high GROUP BY 1, 3""")
+def basic_facets_lucene(spark, folder):
+    """Facets of the matched and filtered rows."""
+    return _basic(spark, folder, "lucene", C.MISSPELT_QUERIES).facets
+
+
+@register("p03_basic_search_ladder")
+def basic_search_ladder(spark, folder):
+    """Hits with the whole fields marked."""
+    hits = _basic(spark, folder, "ladder", C.MISSPELT_QUERIES).hits
+    return hits.select("query_id", "product_id", "score", "rank", "highlights")
+
+
+@register("p03_basic_search_weighted", f"""
+    WITH f AS (SELECT p_brand AS brand, p_type AS category FROM part WHERE (p_partkey % 400) BETWEEN 20 AND 350 AND 1 + p_size % 5 >= 2)
+    SELECT * FROM (SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM f GROUP BY 2 ORDER BY n DESC, value LIMIT 10)
+    UNION ALL SELECT * FROM (SELECT 'category', category, count(*) AS n FROM f GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10)""")
+def basic_search_weighted(spark, folder):
+    """Facets look at the filters only, whatever the query says."""
+    return _basic(spark, folder, "weighted", C.PRODUCT_QUERIES).facets
+
+
+# Product scenario -------------------------------------------------------------------------
+
+
+def _scenario_hits(spark, folder, dialect, queries):
+    result = search.product_scenario(views.products(spark, folder), C.query_table(spark, queries), dialect)
+    return result.hits.join(result.totals, "query_id").select(
+        "query_id", F.col("product_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"), "total"
+    )
+
+
+@register("p04_product_scenario_lucene", f"""
+    WITH {C.queries_sql(C.MISSPELT_QUERIES)}, {C.PRODUCT_POSTINGS_SQL}, {C.query_terms_sql(C.PRODUCT_FIELDS_SQL, name='raw_terms')},
+    {M._expanded_sql('raw_terms', 1)}, {C.bm25_sql()}, {M._BOOSTED} {M._page_sql('scored')}""")
+def product_scenario_lucene(spark, folder):
+    return _scenario_hits(spark, folder, "lucene", C.MISSPELT_QUERIES)
+
+
+@register("p04_product_scenario_ladder")
+def product_scenario_ladder(spark, folder):
+    return _scenario_hits(spark, folder, "ladder", C.MISSPELT_QUERIES)
+
+
+@register("p04_product_scenario_weighted", f"""
+    WITH {M._CHAINED_SQL},
+    slots AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY term) AS slot FROM hits),
+    last AS (SELECT query_id, doc_id, pos, n_terms,
+               max(CASE WHEN slot = 1 THEN {{'p': pos, 'w': weight}} END) OVER w AS a, max(CASE WHEN slot = 2 THEN {{'p': pos, 'w': weight}} END) OVER w AS b,
+               max(CASE WHEN slot = 3 THEN {{'p': pos, 'w': weight}} END) OVER w AS c
+             FROM slots WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos)),
+    complete AS (SELECT query_id, doc_id, least(a.p, b.p, c.p) AS s, pos AS e,
+                   n_terms / (coalesce(1 / a.w, 0) + coalesce(1 / b.w, 0) + coalesce(1 / c.w, 0)) AS hm
+                 FROM last WHERE (a.p IS NOT NULL)::INT + (b.p IS NOT NULL)::INT + (c.p IS NOT NULL)::INT = n_terms),
+    spans AS (SELECT query_id, doc_id, s, min(e) AS e, arg_min(hm, e) AS hm FROM complete GROUP BY 1, 2, 3),
+    scored AS (SELECT query_id, doc_id, round(sum(hm / (e - s + 1)), 6) AS score FROM spans GROUP BY 1, 2)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rating DESC, review_count DESC, doc_id) AS rank,
+           count(*) OVER (PARTITION BY query_id) AS total FROM scored JOIN v_products v ON v.product_id = doc_id QUALIFY rank <= 10""")
+def product_scenario_weighted(spark, folder):
+    return _scenario_hits(spark, folder, "weighted", M._ECONOMY)
+
+
+# Review scenario -----------------------------------------------------------------------------
+
+_REVIEW_QUERIES = [(1, "wiht fromm"), (2, "great with this")]
+_REVIEW_FIELDS_SQL = [("title", True), ("text", True)]
+_FITS = "CASE WHEN contains(lower(q.q), 'great') THEN r.rating >= 4 ELSE r.rating <= 2 END"
+
+
+def _review_match_sql(queries, fuzzy: bool) -> str:
+    terms = C.query_terms_sql(_REVIEW_FIELDS_SQL, name="raw_terms" if fuzzy else "qterms")
+    spelled = f"{M._expanded_sql('raw_terms', 0)}," if fuzzy else ""
+    return f"""{C.queries_sql(queries)}, {REVIEWS_SQL}, {PRODUCTS_SQL}, {C.postings_sql('v_reviews', 'review_id', _REVIEW_FIELDS_SQL)},
+    {terms}, {spelled} {C.bm25_sql()},
+    scored AS (SELECT query_id, doc_id, round(max(score * CASE field WHEN 'title' THEN 2 ELSE 1 END), 6) AS score FROM field_scores GROUP BY 1, 2),
+    fitting AS (SELECT s.query_id, s.doc_id, s.score, r.rating, r.helpful_vote, r.product_id FROM scored s
+                JOIN v_reviews r ON r.review_id = s.doc_id JOIN queries q ON q.query_id = s.query_id WHERE {_FITS})"""
+
+
+@register("p05_review_evidence_lucene", f"""
+    WITH {_review_match_sql(_REVIEW_QUERIES, True)}
+    SELECT f.query_id, f.doc_id AS review_id, f.score, f.rating, f.helpful_vote, p.title AS product_title,
+           row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.helpful_vote DESC, f.doc_id) AS rank,
+           count(*) OVER (PARTITION BY f.query_id) AS total
+    FROM fitting f LEFT JOIN v_products p ON p.product_id = f.product_id QUALIFY rank <= 10""")
+def review_evidence_lucene(spark, folder):
+    """Misspelt words, the rating filter of the query's mood, votes as second order."""
+    result = search.review_scenario(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _REVIEW_QUERIES), "lucene", analyzer=PRODUCT
+    )
+    return result.hits.join(result.totals, "query_id").select(
+        "query_id", "review_id", "score", "rating", "helpful_vote", "product_title", F.col("rank").cast("long").alias("rank"), "total"
+    )
+
+
+@register("p05_review_evidence_stemmed")
+def review_evidence_stemmed(spark, folder):
+    """The English analyser with stems; evidence snippets."""
+    result = search.review_scenario(
+        views.reviews(spark, folder), views.products(spark, folder),
+        C.query_table(spark, [(1, "their nation's station"), (2, "great things there")]), "lucene", stemming=True,
+    )
+    return result.snippets
+
+
+@register("p05_review_evidence_ladder")
+def review_evidence_ladder(spark, folder):
+    result = search.review_scenario(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _REVIEW_QUERIES), "ladder"
+    )
+    return result.snippets
+
+
+_WEIGHTED_REVIEWS = [(1, "with from"), (2, "great or this")]
+_WEIGHTED_REVIEW_SQL = f"""{C.queries_sql(_WEIGHTED_REVIEWS)}, {REVIEWS_SQL}, {PRODUCTS_SQL},
+    words AS (SELECT *, {C.tokens_sql('title', False)} || {C.tokens_sql('text', False)} AS t FROM v_reviews),
+    fitting AS (
+      SELECT q.query_id, r.*, p.brand, p.category, p.title AS product_title FROM words r JOIN v_products p ON p.product_id = r.product_id, queries q
+      WHERE CASE q.query_id WHEN 1 THEN list_contains(t, 'with') AND list_contains(t, 'from')
+                 ELSE list_contains(t, 'great') OR list_contains(t, 'this') END AND {_FITS})"""
+
+
+@register("p05_review_evidence_weighted", f"""
+    WITH {_WEIGHTED_REVIEW_SQL} SELECT query_id, count(*) AS total FROM fitting GROUP BY 1""")
+def review_evidence_weighted(spark, folder):
+    """Totals of the boolean match with the rating filter and the product join."""
+    return search.review_scenario(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _WEIGHTED_REVIEWS), "weighted",
+        analyzer=PLAIN_WORDS,
+    ).totals
+
+
+# Analytics scenario -----------------------------------------------------------------------------
+
+
+@register("p06_review_analytics_weighted", f"""
+    WITH {_WEIGHTED_REVIEW_SQL}
+    SELECT query_id, brand AS value, count(*) AS negative_review_count,
+           CAST(round(CAST(avg(rating) AS DECIMAL(30, 12)), 2) AS DOUBLE) AS avg_rating, CAST(sum(helpful_vote) AS BIGINT) AS total_helpful_votes
+    FROM fitting GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY negative_review_count DESC, avg_rating, value) <= 10""")
+def review_analytics_weighted(spark, folder):
+    """Which brands collect most matching reviews of the fitting mood?"""
+    return analytics.review_analytics(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _WEIGHTED_REVIEWS), "weighted", PLAIN_WORDS
+    ).brands
+
+
+_ANALYTIC_QUERIES = [(1, "with from"), (2, "great this")]
+
+
+@register("p06_review_analytics_lucene", f"""
+    WITH {_review_match_sql(_ANALYTIC_QUERIES, False)},
+    rows AS (SELECT f.*, coalesce(p.brand, 'Unknown') AS brand, coalesce(p.category, 'Electronics') AS category FROM fitting f LEFT JOIN v_products p ON p.product_id = f.product_id),
+    every AS (SELECT query_id, unnest(generate_series(CAST(min(rating) AS INT), CAST(max(rating) AS INT))) AS b FROM rows GROUP BY 1),
+    long AS (
+      SELECT query_id, 'brand' AS facet, brand AS value, count(*) AS n, round_even(avg(rating), 2) AS avg_rating, CAST(sum(helpful_vote) AS BIGINT) AS helpful_votes FROM rows GROUP BY 1, 3
+      UNION ALL SELECT query_id, 'category', category, count(*), round_even(avg(rating), 2), CAST(sum(helpful_vote) AS BIGINT) FROM rows GROUP BY 1, 3
+      UNION ALL SELECT query_id, 'summary', NULL, count(*), round_even(avg(rating), 2), CAST(sum(helpful_vote) AS BIGINT) FROM rows GROUP BY 1)
+    SELECT * FROM long QUALIFY facet = 'summary' OR row_number() OVER (PARTITION BY query_id, facet ORDER BY n DESC,
+      CASE WHEN facet = 'brand' THEN avg_rating END NULLS FIRST, value) <= 10
+    UNION ALL SELECT e.query_id, 'rating', CAST(e.b AS VARCHAR) || '.0', count(r.rating), round_even(avg(r.rating), 2), CAST(coalesce(sum(r.helpful_vote), 0) AS BIGINT)
+    FROM every e LEFT JOIN rows r ON r.query_id = e.query_id AND floor(r.rating) = e.b GROUP BY e.query_id, e.b""")
+def review_analytics_lucene(spark, folder):
+    """All four reports of the relevance match."""
+    from shelfsift.operators.facets import analytics_bundle
+
+    rows, _ = analytics.matched_reviews(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _ANALYTIC_QUERIES), "lucene", PRODUCT
+    )
+    return analytics_bundle(rows)
+
+
+@register("p06_review_analytics_ladder")
+def review_analytics_ladder(spark, folder):
+    """Exact counts, averages of the first thousand hits."""
+    return analytics.review_analytics(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _ANALYTIC_QUERIES), "ladder"
+    ).brands
+
+
+# Autocomplete, semantic comparison, overall analytics -----------------------------------------------
+
+
+@register("p07_autocomplete", f"""
+    WITH {C.queries_sql([(1, 'sm'), (2, 'r')])}, {PRODUCTS_SQL}, hits AS (
+      SELECT query_id, product_id, title, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, product_id) AS r FROM (
+        SELECT query_id, product_id, title,
+               (len([w for w in t if starts_with(w, q)]) > 0)::INT + (len([i for i in range(1, len(t)) if starts_with(t[i] || ' ' || t[i+1], q)]) < 0)::INT AS n
+        FROM queries, (SELECT *, {C.tokens_sql('title')} AS t FROM v_products)) WHERE n > 0 QUALIFY r <= 5)
+    SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY min(r)) AS rank FROM hits WHERE query_id = 1 GROUP BY 1, 2""")
+def autocomplete_titles(spark, folder):
+    """Titles of the first five hits; a single letter gets none."""
+    rows = autocomplete.suggest_titles(views.products(spark, folder), C.query_table(spark, [(1, "sm"), (2, "r")]))
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("p08_semantic_comparison")
+def semantic_comparison(spark, folder):
+    """Documents by hashed vectors, candidates only, next to keyword matches."""
+    from shelfsift.operators import vectors
+
+    docs = table(spark, folder, "documents")
+    embedded = vectors.dense(vectors.hashed_features(docs, "doc_id", "text", 256), 256)
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return semantic.semantic_and_keyword(C.document_index(spark, folder), embedded, queries, {}, 10, 256, approximate=True)
+
+
+@register("p09_overall_analytics", f"""
+    WITH {PRODUCTS_SQL}, {REVIEWS_SQL}, agg AS (
+      SELECT product_id, count(*) AS c, round_even(sum(rating) / count(*), 2) AS a, sum(helpful_vote) AS h FROM v_reviews GROUP BY 1),
+    e AS (SELECT round_even(avg(coalesce(a, 0)), 2) AS a, sum(coalesce(c, 0)) AS c, sum(coalesce(h, 0)) AS h FROM v_products p LEFT JOIN agg ON agg.product_id = p.product_id),
+    r AS (SELECT CAST(round(CAST(avg(rating) AS DECIMAL(30, 12)), 2) AS DOUBLE) AS a, count(*) AS c, sum(helpful_vote) AS h FROM v_reviews)
+    SELECT 'lucene' AS engine, 'avg_rating' AS metric, CAST(a AS DOUBLE) AS value FROM e UNION ALL SELECT 'lucene', 'review_count', CAST(c AS DOUBLE) FROM e
+    UNION ALL SELECT 'lucene', 'helpful_votes', CAST(h AS DOUBLE) FROM e UNION ALL SELECT 'weighted', 'avg_rating', a FROM r
+    UNION ALL SELECT 'weighted', 'review_count', CAST(c AS DOUBLE) FROM r UNION ALL SELECT 'weighted', 'helpful_votes', CAST(h AS DOUBLE) FROM r
+    UNION ALL SELECT 'ladder', 'product_count', CAST(count(*) AS DOUBLE) FROM v_products
+    UNION ALL SELECT 'ladder', 'rating=' || printf('%.1f', rating), CAST(count(*) AS DOUBLE) FROM v_products GROUP BY rating""")
+def overall_analytics(spark, folder):
+    from shelfsift.operators import enrich, review_stats
+
+    reviews = views.reviews(spark, folder)
+    products = enrich.enrich_products(
+        views.products(spark, folder).select("product_id", "title", "rating"), review_stats.review_aggregates(reviews)
+    )
+    return analytics.overall_analytics(products, reviews)

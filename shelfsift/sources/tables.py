@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.operators.limits import first_n, first_per_key
@@ -32,11 +32,12 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str, order: st
     return target.unionByName(earliest.join(target.select(key), key, "left_anti").select(*target.columns))
 
 
-def capped(products: DataFrame, reviews: DataFrame, limit: int, order: str) -> tuple[DataFrame, DataFrame]:
+def capped(products: DataFrame, reviews: DataFrame, limit: int, order: str,
+           bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The first ``limit`` rows of both tables for a trial load; 0 means all."""
     if limit <= 0:
         return products, reviews
-    return first_n(products, limit, order), first_n(reviews, limit, order)
+    return first_n(products, limit, order, bucket), first_n(reviews, limit, order, bucket)
 
 
 class TableStore:
