@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfsift.functions.distance import ladder_edits
 from shelfsift.operators.fuzzy import expand_terms
 from shelfsift.operators.match import SCORE_DIGITS
-from shelfsift.operators.postings import TextIndex, query_terms, vocabulary
+from shelfsift.operators.postings import TextIndex, near_terms, query_terms, vocabulary
 from shelfsift.operators.rank import COVER_SLOTS, with_spans
 from shelfsift.operators.sizes import hinted, is_small
 
@@ -25,8 +25,9 @@ def ladder_matches(index: TextIndex, queries: DataFrame, max_slots: int = COVER_
     """
     terms = expand_terms(query_terms(queries, index.fields), vocabulary(index), ladder_edits, max_expansions=None)
     spelled = terms.select("query_id", "field", "slot", "n_terms", "term", "typos")
-    postings = index.positions.select("doc_id", "field", "field_no", "term", "pos")
-    hits = postings.join(hinted(spelled, is_small(spelled)), ["field", "term"]).repartition("query_id", "doc_id")
+    small = is_small(spelled)
+    postings = near_terms(index.positions, spelled, small).select("doc_id", "field", "field_no", "term", "pos")
+    hits = postings.join(hinted(spelled, small), ["field", "term"]).repartition("query_id", "doc_id")
     # The closest span and the best spelling come out of one pass over the hits.
     spans = with_spans(hits.withColumn("weight", F.lit(1.0)), ["query_id", "doc_id", "field"], max_slots)
     rows = spans.groupBy("query_id", "doc_id", "slot", "n_terms").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import Analyzer
-from shelfsift.operators.postings import IndexField, TextIndex
+from shelfsift.operators.postings import IndexField, TextIndex, near_terms
 from shelfsift.operators.sizes import hinted, is_small
 
 # Okapi BM25 (Robertson & Zaragoza 2009).
@@ -26,7 +26,7 @@ def lookup(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     handling splits frequent terms.
     """
     wanted = terms.select("field", "term").distinct()
-    return positions.join(hinted(wanted, small), ["field", "term"], "left_semi")
+    return near_terms(positions, terms, small).join(hinted(wanted, small), ["field", "term"], "left_semi")
 
 
 def term_impacts(index: TextIndex, terms: DataFrame, small: bool, k1: float = K1, b: float = B) -> DataFrame:
@@ -146,7 +146,8 @@ def boolean_match(positions: DataFrame, units: DataFrame) -> DataFrame:
     """
     start = F.when(F.col("n") == 1, 0).otherwise(F.col("pos") - F.col("offset"))
     keys = ["query_id", "grp", "unit", "negated", "n_positive", "n", "doc_id"]
-    found = positions.join(hinted(units, is_small(units)), "term").withColumn("start", start).groupBy(*keys, "start").agg(
+    small = is_small(units)
+    found = near_terms(positions, units, small).join(hinted(units, small), "term").withColumn("start", start).groupBy(*keys, "start").agg(
         F.count(F.lit(1)).alias("c")
     ).filter(F.col("c") >= F.col("n"))
     found = found.repartition("query_id", "doc_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("places"))

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from shelfsift.functions.text import PRODUCT, Analyzer, shingles
 
 
+TERM_BUCKETS = 256
+
+
 @dataclass(frozen=True)
 class IndexField:
     """One searchable field: where its text is and how it becomes terms.
@@ -92,6 +95,7 @@ class TextIndex:
     fields: list[IndexField]
     positions: DataFrame
     statistics: DataFrame
+    words: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame, fields: list[IndexField], id_column: str, chained: bool = False) -> "TextIndex":
@@ -103,15 +107,14 @@ class TextIndex:
         return [f.name for f in self.fields]
 
     def save(self, path: str) -> None:
-        """Write both tables; postings lie sorted by term, so a search skips most row groups."""
-        self.positions.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(
-            f"{path}/positions"
-        )
+        """Write positions, statistics and the distinct words."""
+        save_positions(self.positions, f"{path}/positions")
+        vocabulary(self).write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, fields: list[IndexField]) -> "TextIndex":
-        return cls(fields, spark.read.parquet(f"{path}/positions"), spark.read.parquet(f"{path}/statistics"))
+        return cls(fields, *[spark.read.parquet(f"{path}/{part}") for part in ("positions", "statistics", "vocabulary")])
 
     def stemmed(self, stems: DataFrame) -> "TextIndex":
         """The same index over stems; ``stems`` maps each distinct term once.
@@ -119,12 +122,36 @@ class TextIndex:
         The stop words are already gone, and lengths and positions stay.
         """
         mapped = self.positions.join(stems, "term", "left").withColumn("term", F.coalesce("stem", "term")).drop("stem")
-        return replace(self, positions=mapped)
+        return replace(self, positions=mapped.drop("term_bucket"), words=None)
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def save_positions(positions: DataFrame, path: str) -> None:
+    """Write positions in folders by term bucket, sorted by term.
+
+    A search opens only the folders of its terms. The range split ends with the
+    document, so a frequent term is spread over many tasks and files.
+    """
+    place = ["term_bucket", "term", "doc_id"]
+    positions.withColumn("term_bucket", term_bucket(F.col("term"))).repartitionByRange(*place).sortWithinPartitions(
+        *place
+    ).write.mode("overwrite").partitionBy("term_bucket").parquet(path)
+
+
+def near_terms(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """Stored positions cut down to the folders of the wanted terms; at most TERM_BUCKETS numbers are fetched."""
+    if not small or "term_bucket" not in positions.columns:
+        return positions
+    rows = terms.select(term_bucket(F.col("term")).alias("b")).distinct().collect()
+    return positions.filter(F.col("term_bucket").isin([r["b"] for r in rows]))
 
 
 def vocabulary(index: TextIndex) -> DataFrame:
     """Distinct (field, term)."""
-    return index.positions.select("field", "term").distinct()
+    return index.words if index.words is not None else index.positions.select("field", "term").distinct()
 
 
 def stem_table(positions: DataFrame) -> DataFrame:

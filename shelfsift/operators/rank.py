@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfsift.operators.match import SCORE_DIGITS
+from shelfsift.operators.postings import near_terms
 from shelfsift.operators.sizes import hinted, is_small
 
 COVER_SLOTS = 8
@@ -14,7 +15,8 @@ COVER_SLOTS = 8
 
 def _placed(positions: DataFrame, slots: DataFrame) -> DataFrame:
     """Occurrences of the ranking words, placed by (query, document) for all later steps."""
-    return positions.join(hinted(slots, is_small(slots)), "term").repartition("query_id", "doc_id")
+    small = is_small(slots)
+    return near_terms(positions, slots, small).join(hinted(slots, small), "term").repartition("query_id", "doc_id")
 
 
 def frequency_rank(positions: DataFrame, slots: DataFrame) -> DataFrame:

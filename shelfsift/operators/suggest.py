@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfsift.functions.text import PRODUCT
 from shelfsift.operators.limits import top_k
 from shelfsift.operators.match import SCORE_DIGITS, term_impacts
-from shelfsift.operators.postings import IndexField, TextIndex, query_terms, vocabulary
+from shelfsift.operators.postings import IndexField, TextIndex, near_terms, query_terms, vocabulary
 from shelfsift.operators.sizes import hinted, is_small, materialized
 
 MIN_PREFIX = 2
@@ -45,8 +45,9 @@ def prefix_search(index: TextIndex, queries: DataFrame) -> DataFrame:
     )
     started = last.join(prefix_terms(last, vocabulary(index)), ["field", "prefix"]).select("query_id", "field", "term")
     started = materialized(started)
-    postings = index.positions.select("doc_id", "field", "term")
-    begun = postings.join(hinted(started, is_small(started)), ["field", "term"]).groupBy(
+    few = is_small(started)
+    postings = near_terms(index.positions, started, few).select("doc_id", "field", "term")
+    begun = postings.join(hinted(started, few), ["field", "term"]).groupBy(
         "query_id", "doc_id", "field"
     ).agg(F.lit(1.0).alias("score"))
     return scored.unionByName(begun).groupBy("query_id", "doc_id").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfsift.functions.text import ENGLISH_REVIEW, Analyzer
 from shelfsift.operators import enrich, facets, limits
 from shelfsift.operators.sizes import materialized
-from shelfsift.plans.search import fitting_reviews, review_matches
+from shelfsift.plans.search import NO_INDEX, SearchIndex, fitting_reviews, review_matches
 
 # Hits the ladder dialect looks at for its averages.
 SAMPLE = 1000
@@ -27,13 +27,16 @@ class Analytics:
 
 
 def matched_reviews(reviews: DataFrame, products: DataFrame, queries: DataFrame, dialect: str,
-                    analyzer: Analyzer = ENGLISH_REVIEW, stemming: bool = False, keep: bool = True):
+                    analyzer: Analyzer = ENGLISH_REVIEW, stemming: bool = False, keep: bool = True,
+                    stored: SearchIndex = NO_INDEX):
     """(matches with rating, votes, brand and category; hit order) for all four reports.
 
     The reports read the matches several times, so they are computed once and
     kept in the shared folder; ``keep=False`` leaves them lazy.
     """
-    matches, _, order = review_matches(reviews, queries, dialect, analyzer, fuzziness=False, stemming=stemming)
+    matches, _, order = review_matches(
+        reviews, queries, dialect, analyzer, fuzziness=False, stemming=stemming, stored=stored
+    )
     fitting = fitting_reviews(matches, reviews, queries, "helpful_vote", "product_id")
     attributes = products.select("product_id", "brand", "category")
     how = "inner" if dialect == "weighted" else "left"
@@ -42,8 +45,9 @@ def matched_reviews(reviews: DataFrame, products: DataFrame, queries: DataFrame,
 
 
 def review_analytics(reviews: DataFrame, products: DataFrame, queries: DataFrame, dialect: str,
-                     analyzer: Analyzer = ENGLISH_REVIEW, stemming: bool = False) -> Analytics:
-    rows, order = matched_reviews(reviews, products, queries, dialect, analyzer, stemming)
+                     analyzer: Analyzer = ENGLISH_REVIEW, stemming: bool = False,
+                     stored: SearchIndex = NO_INDEX) -> Analytics:
+    rows, order = matched_reviews(reviews, products, queries, dialect, analyzer, stemming, stored=stored)
     by = ["query_id"]
     if dialect == "lucene":
         bundle = facets.analytics_bundle(rows, by)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfsift import schemas
 from shelfsift.functions.normalize import embedding_text
-from shelfsift.functions.text import PLAIN_WORDS
+from shelfsift.functions.text import ENGLISH_REVIEW, PLAIN_WORDS
 from shelfsift.operators import enrich, match, vectors
+from shelfsift.operators.postings import TextIndex, save_positions
 from shelfsift.plans import search
 from shelfsift.sources import jsonl
 from shelfsift.sources.tables import TableStore, capped
@@ -60,16 +61,29 @@ def build_indexes(store: TableStore, products: DataFrame, reviews: DataFrame,
     """Write what searches read: postings, statistics, weighted positions and vectors."""
     search.product_index(products).save(f"{store.root}/product_index")
     search.review_index(reviews).save(f"{store.root}/review_index")
-    weighted = [
-        ("product_positions", search.class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)),
-        ("review_positions", search.class_positions(reviews, match.REVIEW_CLASSES, "review_id", PLAIN_WORDS)),
-    ]
-    for name, positions in weighted:
-        store.write(name, positions.repartition("term").sortWithinPartitions("term", "doc_id"))
+    save_positions(
+        search.class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS),
+        f"{store.root}/product_positions",
+    )
+    save_positions(
+        search.class_positions(reviews, match.REVIEW_CLASSES, "review_id", ENGLISH_REVIEW),
+        f"{store.root}/review_positions",
+    )
     if embeddings:
         store.write("product_vectors", embed_products(products, model))
 
 
+def stored_index(store: TableStore, products: DataFrame, reviews: DataFrame) -> search.SearchIndex:
+    """The written postings, for searches that should not analyse the texts again."""
+    spark = store.spark
+    return search.SearchIndex(
+        products=TextIndex.load(spark, f"{store.root}/product_index", search.product_fields(products)),
+        reviews=TextIndex.load(spark, f"{store.root}/review_index", search.review_fields()),
+        product_positions=spark.read.parquet(f"{store.root}/product_positions"),
+        review_positions=spark.read.parquet(f"{store.root}/review_positions"),
+    )
+
+
 def run(spark: SparkSession, processed: str, store_path: str, limit: int = 0, reset: bool = False,
         model: Callable[[list[str]], list[list[float]]] | None = None, embeddings: bool = True) -> dict[str, DataFrame]:
     """Load the processed folder in file order."""

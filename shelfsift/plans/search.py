@@ -72,8 +72,25 @@ def product_index(products: DataFrame, exact_attributes: bool = False) -> TextIn
     return TextIndex.of(products, product_fields(products, exact_attributes), "product_id")
 
 
+def review_fields(analyzer: Analyzer = ENGLISH_REVIEW) -> list[IndexField]:
+    return [IndexField(n, analyzer=analyzer) for n in REVIEW_SEARCHABLE]
+
+
 def review_index(reviews: DataFrame, analyzer: Analyzer = ENGLISH_REVIEW) -> TextIndex:
-    return TextIndex.of(reviews, [IndexField(n, analyzer=analyzer) for n in REVIEW_SEARCHABLE], "review_id")
+    return TextIndex.of(reviews, review_fields(analyzer), "review_id")
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """Postings that are already there; what is missing is derived from the tables on the fly."""
+
+    products: TextIndex | None = None
+    reviews: TextIndex | None = None
+    product_positions: DataFrame | None = None
+    review_positions: DataFrame | None = None
+
+
+NO_INDEX = SearchIndex()
 
 
 def class_positions(df: DataFrame, classes: dict[str, str], id_column: str, analyzer: Analyzer) -> DataFrame:
@@ -191,14 +208,17 @@ def _marked_products(page: DataFrame, products: DataFrame, marks: DataFrame, fie
 
 
 def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
-                         wanted: ProductFilter = ProductFilter(), k: int = 10) -> SearchResult:
+                         wanted: ProductFilter = ProductFilter(), k: int = 10,
+                         stored: SearchIndex = NO_INDEX) -> SearchResult:
     """Filters, text match, hits, highlights and facets."""
     predicate = wanted.predicate()
     kept = products.filter(predicate)
     by_score = [F.desc("score"), F.asc("doc_id")]
     fields = ["title", "description", "review_text"]
     if dialect == "weighted":
-        positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)
+        positions = stored.product_positions
+        if positions is None:
+            positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)
         page = weighted_basic_hits(products, positions, queries, PLAIN_WORDS, wanted, k)
         marks = match.highlight_terms(match.query_units(queries, PLAIN_WORDS))
         hits = _marked_products(page.select("query_id", "doc_id", "score", "rank"), products, marks, fields[:2], dialect, few_hits(queries, k))
@@ -209,7 +229,7 @@ def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
         matches, marks = lucene_matches(index, queries, BASIC_BOOSTS)
         order = by_score
     else:
-        index = product_index(products)
+        index = stored.products or product_index(products)
         matches = ladder.ladder_matches(index, queries)
         marks = highlight.spelled_terms(query_terms(queries, index.fields))
         order = ladder.ladder_order()
@@ -222,18 +242,21 @@ def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
     return SearchResult(hits, limits.match_totals(matches), _product_facets(facet_rows, dialect, ["query_id"]))
 
 
-def product_scenario(products: DataFrame, queries: DataFrame, dialect: str, k: int = 10) -> SearchResult:
+def product_scenario(products: DataFrame, queries: DataFrame, dialect: str, k: int = 10,
+                     stored: SearchIndex = NO_INDEX) -> SearchResult:
     """Product search as the comparison runs it: boosts and typos, ladder, or cover density."""
+    index = stored.products or product_index(products)
     fields = ["title", "features", "description", "review_text"]
     if dialect == "lucene":
-        matches, marks = lucene_matches(product_index(products), queries, SCENARIO_BOOSTS, prefix_length=1)
+        matches, marks = lucene_matches(index, queries, SCENARIO_BOOSTS, prefix_length=1)
         order = [F.desc("score"), F.asc("doc_id")]
     elif dialect == "ladder":
-        index = product_index(products)
         matches, order = ladder.ladder_matches(index, queries), ladder.ladder_order()
         marks = highlight.spelled_terms(query_terms(queries, index.fields))
     else:
-        positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)
+        positions = stored.product_positions
+        if positions is None:
+            positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)
         matches, marks = weighted_matches(positions, queries, PLAIN_WORDS)
         rating = "average_rating" if "average_rating" in products.columns else "rating"
         count = "rating_number" if "rating_number" in products.columns else "review_count"
@@ -255,11 +278,12 @@ def fitting_reviews(matches: DataFrame, reviews: DataFrame, queries: DataFrame,
 
 
 def review_matches(reviews: DataFrame, queries: DataFrame, dialect: str, analyzer: Analyzer = ENGLISH_REVIEW,
-                   fuzziness: bool = True, stemming: bool = False) -> tuple[DataFrame, DataFrame, list[Column]]:
+                   fuzziness: bool = True, stemming: bool = False,
+                   stored: SearchIndex = NO_INDEX) -> tuple[DataFrame, DataFrame, list[Column]]:
     """(matches, words to mark, hit order) of reviews in one dialect, before the rating filter."""
     by_votes = [F.desc("score"), F.desc("helpful_vote"), F.asc("doc_id")]
     if dialect == "lucene":
-        index = review_index(reviews, analyzer)
+        index = stored.reviews or review_index(reviews, analyzer)
         stems = stem_table(index.positions) if stemming else None
         matches, marks = lucene_matches(index, queries, REVIEW_BOOSTS, fuzziness, stems=stems)
         return matches, marks, by_votes
@@ -268,15 +292,18 @@ def review_matches(reviews: DataFrame, queries: DataFrame, dialect: str, analyze
         marks = highlight.spelled_terms(query_terms(queries, index.fields))
         order = ladder.ladder_order(limits.sort_column("helpful_vote", REVIEW_SORTABLE))
         return ladder.ladder_matches(index, queries), marks, order
-    positions = class_positions(reviews, match.REVIEW_CLASSES, "review_id", analyzer)
+    positions = stored.review_positions
+    if positions is None:
+        positions = class_positions(reviews, match.REVIEW_CLASSES, "review_id", analyzer)
     matches, marks = weighted_matches(positions, queries, analyzer)
     return matches, marks, by_votes
 
 
 def review_scenario(reviews: DataFrame, products: DataFrame, queries: DataFrame, dialect: str, k: int = 10,
-                    analyzer: Analyzer = ENGLISH_REVIEW, stemming: bool = False) -> SearchResult:
+                    analyzer: Analyzer = ENGLISH_REVIEW, stemming: bool = False,
+                    stored: SearchIndex = NO_INDEX) -> SearchResult:
     """Review evidence: matching reviews of the fitting mood, most helpful first among equals."""
-    matches, marks, order = review_matches(reviews, queries, dialect, analyzer, stemming=stemming)
+    matches, marks, order = review_matches(reviews, queries, dialect, analyzer, stemming=stemming, stored=stored)
     if dialect == "weighted":
         # This dialect keeps reviews normalised: only reviews of known products count.
         known = enrich.of_known_products(reviews, products)

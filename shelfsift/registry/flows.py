@@ -10,6 +10,7 @@ from shelfsift.plans import analytics, autocomplete, load, prepare, search, sema
 from shelfsift.registry import corpora as C
 from shelfsift.registry import matching as M
 from shelfsift.registry import register
+from shelfsift.registry.highlights import mark_sql
 from shelfsift.session import scratch_path
 from shelfsift.sources import views
 from shelfsift.sources.views import PRODUCTS_SQL, REVIEWS_SQL, table
@@ -115,11 +116,28 @@ def basic_facets_lucene(spark, folder):
     return _basic(spark, folder, "lucene", C.MISSPELT_QUERIES).facets
 
 
-@register("p03_basic_search_ladder")
+@register("p03_basic_search_ladder", f"""
+    WITH {M.MISSPELT_LADDER_SQL}, marks AS (SELECT query_id, list_distinct(list(term)) AS terms FROM raw_terms GROUP BY 1)
+    SELECT l.query_id, l.doc_id AS product_id, l.score, l.rank, {mark_sql('title', 'em')} AS title_mark FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {M.LADDER_ORDER_SQL}) AS rank FROM ladder_rows
+      WHERE doc_id IN (SELECT product_id FROM v_products WHERE {_FILTER_SQL}) QUALIFY rank <= 10) l
+    JOIN v_products v ON v.product_id = l.doc_id JOIN marks m ON m.query_id = l.query_id""")
 def basic_search_ladder(spark, folder):
     """Hits with the whole fields marked."""
     hits = _basic(spark, folder, "ladder", C.MISSPELT_QUERIES).hits
-    return hits.select("query_id", "product_id", "score", "rank", "highlights")
+    return hits.select(
+        "query_id", "product_id", "score", F.col("rank").cast("long").alias("rank"),
+        F.col("highlights")["title"][0].alias("title_mark"),
+    )
+
+
+@register("p03_basic_facets_ladder", f"""
+    WITH {M.MISSPELT_LADDER_SQL}, rows AS (SELECT l.query_id, v.* FROM ladder_rows l JOIN v_products v ON v.product_id = l.doc_id WHERE {_FILTER_SQL})
+    SELECT query_id, 'brand' AS facet, brand AS value, count(*) AS n FROM rows GROUP BY 1, 3
+    UNION ALL SELECT query_id, 'category', category, count(*) FROM rows GROUP BY 1, 3""")
+def basic_facets_ladder(spark, folder):
+    """Every value of the matched and filtered rows."""
+    return _basic(spark, folder, "ladder", C.MISSPELT_QUERIES).facets
 
 
 @register("p03_basic_search_weighted", f"""
@@ -148,7 +166,10 @@ def product_scenario_lucene(spark, folder):
     return _scenario_hits(spark, folder, "lucene", C.MISSPELT_QUERIES)
 
 
-@register("p04_product_scenario_ladder")
+@register("p04_product_scenario_ladder", f"""
+    WITH {M.MISSPELT_LADDER_SQL}
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {M.LADDER_ORDER_SQL}) AS rank,
+           count(*) OVER (PARTITION BY query_id) AS total FROM ladder_rows QUALIFY rank <= 10""")
 def product_scenario_ladder(spark, folder):
     return _scenario_hits(spark, folder, "ladder", C.MISSPELT_QUERIES)
 
@@ -173,6 +194,7 @@ def product_scenario_weighted(spark, folder):
 
 # Review scenario -----------------------------------------------------------------------------
 
+_ANALYTIC_QUERIES = [(1, "with from"), (2, "great this")]
 _REVIEW_QUERIES = [(1, "wiht fromm"), (2, "great with this")]
 _REVIEW_FIELDS_SQL = [("title", True), ("text", True)]
 _FITS = "CASE WHEN contains(lower(q.q), 'great') THEN r.rating >= 4 ELSE r.rating <= 2 END"
@@ -214,12 +236,28 @@ def review_evidence_stemmed(spark, folder):
     return result.snippets
 
 
-@register("p05_review_evidence_ladder")
+def _review_ladder_sql(queries) -> str:
+    """CTE ``fitting``: ladder rows of reviews whose rating fits the query."""
+    return f"""{C.queries_sql(queries)}, {REVIEWS_SQL}, {PRODUCTS_SQL}, {C.postings_sql('v_reviews', 'review_id', _REVIEW_FIELDS_SQL)},
+    {C.query_terms_sql(_REVIEW_FIELDS_SQL, name='raw_terms')}, {M.ladder_sql('raw_terms', 3)},
+    fitting AS (SELECT s.*, r.rating, r.helpful_vote, r.product_id, r.text FROM ladder_rows s
+                JOIN v_reviews r ON r.review_id = s.doc_id JOIN queries q ON q.query_id = s.query_id WHERE {_FITS})"""
+
+
+_VOTES_ORDER = "words DESC, typos, helpful_vote DESC, span, attribute, exact DESC, doc_id"
+
+
+@register("p05_review_evidence_ladder", f"""
+    WITH {_review_ladder_sql(_REVIEW_QUERIES)}, marks AS (SELECT query_id, list_distinct(list(term)) AS terms FROM raw_terms GROUP BY 1),
+    page AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_VOTES_ORDER}) AS rank FROM fitting QUALIFY rank <= 10)
+    SELECT f.query_id, f.rank, f.doc_id AS review_id, f.product_id, p.title AS product_title, f.rating, f.helpful_vote, {mark_sql('text', 'em')} AS snippet
+    FROM page f JOIN marks m ON m.query_id = f.query_id LEFT JOIN v_products p ON p.product_id = f.product_id""")
 def review_evidence_ladder(spark, folder):
+    """Votes come after words and typos; the whole text is marked."""
     result = search.review_scenario(
         views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _REVIEW_QUERIES), "ladder"
     )
-    return result.snippets
+    return result.snippets.withColumn("rank", F.col("rank").cast("long"))
 
 
 _WEIGHTED_REVIEWS = [(1, "with from"), (2, "great or this")]
@@ -256,9 +294,6 @@ def review_analytics_weighted(spark, folder):
     ).brands
 
 
-_ANALYTIC_QUERIES = [(1, "with from"), (2, "great this")]
-
-
 @register("p06_review_analytics_lucene", f"""
     WITH {_review_match_sql(_ANALYTIC_QUERIES, False)},
     rows AS (SELECT f.*, coalesce(p.brand, 'Unknown') AS brand, coalesce(p.category, 'Electronics') AS category FROM fitting f LEFT JOIN v_products p ON p.product_id = f.product_id),
@@ -281,7 +316,15 @@ def review_analytics_lucene(spark, folder):
     return analytics_bundle(rows)
 
 
-@register("p06_review_analytics_ladder")
+@register("p06_review_analytics_ladder", f"""
+    WITH {_review_ladder_sql(_ANALYTIC_QUERIES)},
+    rows AS (SELECT f.*, coalesce(p.brand, 'Unknown') AS brand FROM fitting f LEFT JOIN v_products p ON p.product_id = f.product_id),
+    sample AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_VOTES_ORDER}) <= 1000),
+    counts AS (SELECT query_id, brand AS value, count(*) AS negative_review_count FROM rows GROUP BY 1, 2
+               QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY negative_review_count DESC, value) <= 10),
+    metrics AS (SELECT query_id, brand AS value, round_even(avg(rating), 2) AS avg_rating, CAST(sum(helpful_vote) AS BIGINT) AS v FROM sample GROUP BY 1, 2)
+    SELECT c.query_id, c.value, c.negative_review_count, m.avg_rating, coalesce(m.v, 0) AS total_helpful_votes
+    FROM counts c LEFT JOIN metrics m ON m.query_id = c.query_id AND m.value = c.value""")
 def review_analytics_ladder(spark, folder):
     """Exact counts, averages of the first thousand hits."""
     return analytics.review_analytics(
@@ -294,10 +337,11 @@ def review_analytics_ladder(spark, folder):
 
 @register("p07_autocomplete", f"""
     WITH {C.queries_sql([(1, 'sm'), (2, 'r')])}, {PRODUCTS_SQL}, hits AS (
-      SELECT query_id, product_id, title, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, product_id) AS r FROM (
-        SELECT query_id, product_id, title,
-               (len([w for w in t if starts_with(w, q)]) > 0)::INT + (len([i for i in range(1, len(t)) if starts_with(t[i] || ' ' || t[i+1], q)]) < 0)::INT AS n
-        FROM queries, (SELECT *, {C.tokens_sql('title')} AS t FROM v_products)) WHERE n > 0 QUALIFY r <= 5)
+      SELECT query_id, product_id, title,
+        -- One word asks one field for one prefix, and the pairs and triples of words for none.
+        row_number() OVER (PARTITION BY query_id ORDER BY product_id) AS r
+      FROM queries, (SELECT *, {C.tokens_sql('title')} AS t FROM v_products)
+      WHERE len([w for w in t if starts_with(w, q)]) > 0 QUALIFY r <= 5)
     SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY min(r)) AS rank FROM hits WHERE query_id = 1 GROUP BY 1, 2""")
 def autocomplete_titles(spark, folder):
     """Titles of the first five hits; a single letter gets none."""

@@ -23,7 +23,7 @@ _TOP_SQL = f"""{M._DOC_SQL}, {C.bm25_sql()}, {M._DOC_SCORES},
               JOIN marks m ON m.query_id = t.query_id)"""
 
 
-def _mark_sql(text: str, tag: str, terms: str = "terms") -> str:
+def mark_sql(text: str, tag: str, terms: str = "terms") -> str:
     """Words of a text marked, by cutting it into words and gaps."""
     word = "p"
     return f"""array_to_string([CASE WHEN list_contains({terms}, {C.fold_sql(f'lower({word})')}) THEN '<{tag}>' || p || '</{tag}>' ELSE p END
@@ -41,7 +41,7 @@ def _shown(spark, folder, source=None):
 
 
 @register("h01_mark_whole_field", f"""
-    WITH {_TOP_SQL} SELECT query_id, doc_id, {_mark_sql('text', 'mark')} AS marked FROM shown""")
+    WITH {_TOP_SQL} SELECT query_id, doc_id, {mark_sql('text', 'mark')} AS marked FROM shown""")
 def mark_whole_field(spark, folder):
     rows = _shown(spark, folder)
     return rows.select("query_id", "doc_id", highlight.mark_all(F.col("text"), F.col("terms")).alias("marked"))
@@ -57,7 +57,7 @@ def _fragment_sql(words: int) -> str:
 
 
 @register("h02_best_fragment", f"""
-    WITH {_TOP_SQL}, {_fragment_sql(24)} SELECT query_id, doc_id, {_mark_sql('run', 'mark')} AS fragment FROM chosen""")
+    WITH {_TOP_SQL}, {_fragment_sql(24)} SELECT query_id, doc_id, {mark_sql('run', 'mark')} AS fragment FROM chosen""")
 def best_fragment(spark, folder):
     """The 24 neighbouring words with most query words."""
     rows = _shown(spark, folder)
@@ -74,7 +74,7 @@ def _pieces_sql(size: int, count: int, source: str = "shown", text: str = "text"
 
 
 @register("h03_character_fragments", f"""
-    WITH {_TOP_SQL}, {_pieces_sql(180, 2)} SELECT query_id, doc_id, CAST(no - 1 AS INT) AS no, rtrim({_mark_sql('piece', 'em')}) AS fragment FROM best""")
+    WITH {_TOP_SQL}, {_pieces_sql(180, 2)} SELECT query_id, doc_id, CAST(no - 1 AS INT) AS no, rtrim({mark_sql('piece', 'em')}) AS fragment FROM best""")
 def character_fragments(spark, folder):
     """Two pieces of about 180 characters."""
     pieces = highlight.fragments(F.col("text"), F.col("terms"), 180, 2)
@@ -105,7 +105,7 @@ def _product_hits(spark, folder):
       UNION ALL SELECT query_id, product_id || ':features', features, terms FROM hits
       UNION ALL SELECT query_id, product_id || ':description', description, terms FROM hits),
     {_pieces_sql(100, 5, 'fields')}
-    SELECT query_id, split_part(doc_id, ':', 1) AS product_id, split_part(doc_id, ':', 2) AS field, no, rtrim({_mark_sql('piece', 'em')}) AS fragment FROM best""")
+    SELECT query_id, split_part(doc_id, ':', 1) AS product_id, split_part(doc_id, ':', 2) AS field, no, rtrim({mark_sql('piece', 'em')}) AS fragment FROM best""")
 def field_fragments(spark, folder):
     """Default-size pieces on three fields as a map; fields without a hit are absent."""
     rows = _product_hits(spark, folder)
@@ -148,10 +148,10 @@ def _review_result(spark, folder):
 
 _FIRST_PIECES = f"""keyed AS (SELECT query_id, review_id || ':title' AS doc_id, title AS text, terms FROM hits),
     {_pieces_sql(120, 1, 'keyed')},
-    titles AS (SELECT query_id, split_part(doc_id, ':', 1) AS review_id, rtrim({_mark_sql('piece', 'em')}) AS t FROM best),
+    titles AS (SELECT query_id, split_part(doc_id, ':', 1) AS review_id, rtrim({mark_sql('piece', 'em')}) AS t FROM best),
     keyed2 AS (SELECT query_id, review_id AS doc_id, text, terms FROM hits),
     {_pieces_sql(180, 2, 'keyed2').replace('cut AS', 'cut2 AS').replace('FROM cut', 'FROM cut2').replace('numbered AS', 'numbered2 AS').replace('FROM numbered', 'FROM numbered2').replace('counted AS', 'counted2 AS').replace('FROM counted', 'FROM counted2').replace('best AS', 'best2 AS')},
-    bodies AS (SELECT query_id, doc_id AS review_id, rtrim({_mark_sql('piece', 'em')}) AS b FROM best2 WHERE no = 1)"""
+    bodies AS (SELECT query_id, doc_id AS review_id, rtrim({mark_sql('piece', 'em')}) AS b FROM best2 WHERE no = 1)"""
 
 
 @register("h05_evidence_snippets", f"""
@@ -254,19 +254,9 @@ def _three_dialects(spark, folder):
 _WEIGHTED_U1 = M._CHAINED_SQL.replace(C.queries_sql(M._ECONOMY) + ",", "").replace(PRODUCTS_SQL + ",", "")
 _THREE_SQL = f"""{M._PRODUCT_SQL}, {C.bm25_sql()}, {M._BOOSTED},
     lucene AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10),
-    {M._expanded_sql('qterms', 0, 'ladder', None).replace('qterms AS (', 'lterms AS (')},
-    lhits AS (SELECT q.query_id, p.doc_id, p.field, p.field_no, p.pos, q.slot, q.typos, q.n_terms FROM posts p JOIN lterms q ON q.field = p.field AND q.term = p.term),
-    per_slot AS (SELECT query_id, doc_id, slot, n_terms, min(typos) AS typos, min(field_no) AS attribute FROM lhits GROUP BY 1, 2, 3, 4),
-    lwords AS (SELECT query_id, doc_id, n_terms, count(*) AS words, sum(typos) AS typos, min(attribute) AS attribute,
-                     count(*) FILTER (typos = 0) AS exact FROM per_slot GROUP BY 1, 2, 3),
-    llast AS (SELECT query_id, doc_id, field, pos, n_terms, max(CASE WHEN slot = 0 THEN pos END) OVER w AS a,
-               max(CASE WHEN slot = 1 THEN pos END) OVER w AS b, max(CASE WHEN slot = 2 THEN pos END) OVER w AS c
-             FROM lhits WINDOW w AS (PARTITION BY query_id, doc_id, field ORDER BY pos)),
-    lspans AS (SELECT query_id, doc_id, min(pos - least(a, b, c) + 1) AS span FROM llast
-              WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT = n_terms GROUP BY 1, 2),
-    ladder AS (SELECT w.query_id, w.doc_id,
-               row_number() OVER (PARTITION BY w.query_id ORDER BY words DESC, typos, coalesce(s.span, 1000000), attribute, exact DESC, w.doc_id) AS rank
-               FROM lwords w LEFT JOIN lspans s ON s.query_id = w.query_id AND s.doc_id = w.doc_id QUALIFY rank <= 10),
+    {M.ladder_sql('qterms', 3)},
+    ladder AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {M.LADDER_ORDER_SQL}) AS rank
+               FROM ladder_rows QUALIFY rank <= 10),
     {_WEIGHTED_U1},
     wslots AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY term) AS slot FROM hits),
     wlast AS (SELECT query_id, doc_id, pos, n_terms,

@@ -346,22 +346,35 @@ def composite_basic_search(spark, folder):
     return hits.select("query_id", "doc_id", "score", "rating", "review_count", F.col("rank").cast("long").alias("rank"))
 
 
+def ladder_sql(raw_terms: str, slots: int = 2, posts: str = "posts") -> str:
+    """CTE ``ladder_rows`` (query_id, doc_id, words, typos, span, attribute, exact, score)."""
+    last = ", ".join(f"max(CASE WHEN slot = {i} THEN pos END) OVER w AS s{i}" for i in range(slots))
+    starts = ", ".join(f"s{i}" for i in range(slots))
+    seen = " + ".join(f"(s{i} IS NOT NULL)::INT" for i in range(slots))
+    spelled = _expanded_sql(raw_terms, 0, "ladder", None).replace("qterms AS (", "lterms AS (")
+    span = "coalesce(s.span, 1000000)"
+    return f"""{spelled},
+    lhits AS (SELECT q.query_id, p.doc_id, p.field, p.field_no, p.pos, q.slot, q.typos, q.n_terms FROM {posts} p
+              JOIN lterms q ON q.field = p.field AND q.term = p.term),
+    lslots AS (SELECT query_id, doc_id, slot, n_terms, min(typos) AS typos, min(field_no) AS attribute FROM lhits GROUP BY 1, 2, 3, 4),
+    lwords AS (SELECT query_id, doc_id, n_terms, count(*) AS words, CAST(sum(typos) AS BIGINT) AS typos, min(attribute) AS attribute,
+                      count(*) FILTER (typos = 0) AS exact FROM lslots GROUP BY 1, 2, 3),
+    llast AS (SELECT query_id, doc_id, field, pos, n_terms, {last} FROM lhits WINDOW w AS (PARTITION BY query_id, doc_id, field ORDER BY pos)),
+    lspans AS (SELECT query_id, doc_id, min(pos - least({starts}) + 1) AS span FROM llast WHERE {seen} = n_terms GROUP BY 1, 2),
+    ladder_rows AS (
+      SELECT w.query_id, w.doc_id, w.words, w.typos, {span} AS span, w.attribute, w.exact,
+             round((w.words - 1 + (2 * w.n_terms - w.typos + 1 / CAST(1 + {span} AS DOUBLE)) / (2 * w.n_terms + 1)) / w.n_terms, 6) AS score
+      FROM lwords w LEFT JOIN lspans s ON s.query_id = w.query_id AND s.doc_id = w.doc_id)"""
+
+
+LADDER_ORDER_SQL = "words DESC, typos, span, attribute, exact DESC, doc_id"
+MISSPELT_LADDER_SQL = f"""{C.queries_sql(C.MISSPELT_QUERIES)}, {C.PRODUCT_POSTINGS_SQL}, {C.query_terms_sql(C.PRODUCT_FIELDS_SQL, name='raw_terms')},
+    {ladder_sql('raw_terms')}"""
+
+
 @register("f12_ladder_search", f"""
-    WITH {C.queries_sql(C.MISSPELT_QUERIES)}, {C.PRODUCT_POSTINGS_SQL}, {C.query_terms_sql(C.PRODUCT_FIELDS_SQL, name='raw_terms')},
-    {_expanded_sql('raw_terms', 0, 'ladder', None)},
-    hits AS (SELECT q.query_id, p.doc_id, p.field, p.field_no, p.pos, q.slot, q.typos, q.n_terms FROM posts p JOIN qterms q ON q.field = p.field AND q.term = p.term),
-    per_slot AS (SELECT query_id, doc_id, slot, n_terms, min(typos) AS typos, min(field_no) AS attribute FROM hits GROUP BY 1, 2, 3, 4),
-    words AS (SELECT query_id, doc_id, n_terms, count(*) AS words, CAST(sum(typos) AS BIGINT) AS typos, min(attribute) AS attribute,
-                     count(*) FILTER (typos = 0) AS exact FROM per_slot GROUP BY 1, 2, 3),
-    last AS (SELECT query_id, doc_id, field, pos, n_terms,
-               max(CASE WHEN slot = 0 THEN pos END) OVER w AS a, max(CASE WHEN slot = 1 THEN pos END) OVER w AS b
-             FROM hits WINDOW w AS (PARTITION BY query_id, doc_id, field ORDER BY pos)),
-    spans AS (SELECT query_id, doc_id, min(pos - least(a, b) + 1) AS span FROM last
-              WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT = n_terms GROUP BY 1, 2)
-    SELECT w.query_id, w.doc_id, w.words, w.typos, coalesce(s.span, 1000000) AS span, w.attribute, w.exact,
-           round((w.words - 1 + (2 * w.n_terms - w.typos + 1 / CAST(1 + coalesce(s.span, 1000000) AS DOUBLE)) / (2 * w.n_terms + 1)) / w.n_terms, 6) AS score,
-           row_number() OVER (PARTITION BY w.query_id ORDER BY words DESC, typos, span, attribute, exact DESC, w.doc_id) AS rank
-    FROM words w LEFT JOIN spans s ON s.query_id = w.query_id AND s.doc_id = w.doc_id QUALIFY rank <= 20""")
+    WITH {MISSPELT_LADDER_SQL}
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {LADDER_ORDER_SQL}) AS rank FROM ladder_rows QUALIFY rank <= 20""")
 def ladder_search(spark, folder):
     """Misspelt product queries ranked by words, typos, closeness, attribute and exactness."""
     found = ladder.ladder_matches(C.product_index(spark, folder), C.query_table(spark, C.MISSPELT_QUERIES))
