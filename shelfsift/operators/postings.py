@@ -12,7 +12,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfsift.functions.stem import stem
 from shelfsift.functions.text import PRODUCT, Analyzer, shingles
+from shelfsift.operators.sizes import hinted, is_small
 
 
 TERM_BUCKETS = 256
@@ -107,9 +109,9 @@ class TextIndex:
         return [f.name for f in self.fields]
 
     def save(self, path: str) -> None:
-        """Write positions, statistics and the distinct words."""
+        """Write positions, statistics and the distinct words with their stems."""
         save_positions(self.positions, f"{path}/positions")
-        vocabulary(self).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        stemmed_vocabulary(self).write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
 
     @classmethod
@@ -151,13 +153,27 @@ def near_terms(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame
 
 def vocabulary(index: TextIndex) -> DataFrame:
     """Distinct (field, term)."""
-    return index.words if index.words is not None else index.positions.select("field", "term").distinct()
+    if index.words is not None:
+        return index.words.select("field", "term")
+    return index.positions.select("field", "term").distinct()
+
+
+def stemmed_vocabulary(index: TextIndex) -> DataFrame:
+    """Distinct (field, term) with the stem; the Python stemmer sees no corpus rows."""
+    if index.words is not None:
+        return index.words
+    return vocabulary(index).withColumn("stem", stem("term"))
+
+
+def folded_to_stems(index: TextIndex, sharing: DataFrame) -> TextIndex:
+    """The index over stems, cut to the words in ``sharing`` (field, term, stem)."""
+    small = is_small(sharing)
+    rows = near_terms(index.positions, sharing, small).join(hinted(sharing, small), ["field", "term"])
+    return replace(index, positions=rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"), words=None)
 
 
 def stem_table(positions: DataFrame) -> DataFrame:
     """(term, stem): the Python stemmer sees every distinct term once, no corpus rows."""
-    from shelfsift.functions.stem import stem
-
     return positions.select("term").distinct().select("term", stem("term").alias("stem"))
 
 
@@ -168,8 +184,11 @@ def term_statistics(positions: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, fields: list[IndexField],
-                stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(query_id, field, slot, term, n_terms): the query text as each field would index it."""
+                mapped: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, field, slot, term, n_terms): the query text as each field would index it.
+
+    ``mapped`` is applied to every term, for instance the stemmer.
+    """
     per_field = queries.select(
         "query_id",
         F.inline(F.array(*[
@@ -178,4 +197,4 @@ def query_terms(queries: DataFrame, fields: list[IndexField],
         ])),
     )
     rows = per_field.select("query_id", "field", F.posexplode("terms").alias("slot", "term"), F.size("terms").alias("n_terms"))
-    return rows if stem is None else rows.withColumn("term", stem(F.col("term")))
+    return rows if mapped is None else rows.withColumn("term", mapped(F.col("term")))

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions import filters
 from shelfsift.functions.filters import ProductFilter
+from shelfsift.functions.stem import stem
 from shelfsift.functions.text import ENGLISH_REVIEW, PLAIN_WORDS, PRODUCT, Analyzer
 from shelfsift.operators import enrich, facets, fuzzy, highlight, ladder, limits, match, rank, trigram
 from shelfsift.operators.postings import (
-    IndexField, TextIndex, query_terms, stem_table, term_positions, vocabulary,
+    IndexField, TextIndex, folded_to_stems, query_terms, stemmed_vocabulary, term_positions, vocabulary,
 )
-from shelfsift.operators.sizes import MAX_BROADCAST_ROWS, hinted, is_small
+from shelfsift.operators.sizes import MAX_BROADCAST_ROWS, hinted, is_small, materialized
 from shelfsift.schemas import PRODUCT_SEARCHABLE, REVIEW_SEARCHABLE, REVIEW_SORTABLE
 
 DIALECTS = ["lucene", "ladder", "weighted"]
@@ -109,23 +110,22 @@ def filtered(hits: DataFrame, source: DataFrame, id_column: str, predicate: Colu
 
 
 def lucene_matches(index: TextIndex, queries: DataFrame, boosts: dict[str, float], fuzziness: bool = True,
-                   prefix_length: int = 0, stems: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scores, words to mark). With ``stems`` both sides meet on stems, else misspellings may match."""
-    terms = query_terms(queries, index.fields)
-    if stems is not None:
-        index = index.stemmed(stems)
-        from shelfsift.functions.stem import stem
-
-        spelled = terms.withColumn("term", stem("term"))
-        marks = spelled.withColumnRenamed("term", "stem").join(stems, "stem").select("query_id", "term")
-        marks = highlight.spelled_terms(marks.unionByName(terms.select("query_id", "term")))
-    else:
-        spelled = terms
-        marks = None
+                   prefix_length: int = 0, stemming: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(scores, words to mark) of documents with any of the words or near spellings of them."""
+    terms = query_terms(queries, index.fields, stem if stemming else None)
+    known = vocabulary(index)
+    if stemming:
+        # Stems of the distinct words only; corpus rows are looked up by the words that share a stem.
+        words = materialized(stemmed_vocabulary(index))
+        known = words.select("field", F.col("stem").alias("term")).distinct()
     if fuzziness:
-        spelled = fuzzy.expand_terms(spelled, vocabulary(index), prefix_length=prefix_length)
-    scores = match.any_term_match(index, spelled, boosts)
-    return scores, marks if marks is not None else highlight.spelled_terms(spelled)
+        terms = fuzzy.expand_terms(terms, known, prefix_length=prefix_length)
+    if not stemming:
+        return match.any_term_match(index, terms, boosts), highlight.spelled_terms(terms)
+    wanted = terms.select("field", F.col("term").alias("stem")).distinct()
+    sharing = materialized(words.join(hinted(wanted, is_small(wanted)), ["field", "stem"]))
+    marks = terms.select("query_id", "field", F.col("term").alias("stem")).join(sharing, ["field", "stem"])
+    return match.any_term_match(folded_to_stems(index, sharing), terms, boosts), highlight.spelled_terms(marks)
 
 
 # Weighted dialect -------------------------------------------------------------
@@ -284,8 +284,7 @@ def review_matches(reviews: DataFrame, queries: DataFrame, dialect: str, analyze
     by_votes = [F.desc("score"), F.desc("helpful_vote"), F.asc("doc_id")]
     if dialect == "lucene":
         index = stored.reviews or review_index(reviews, analyzer)
-        stems = stem_table(index.positions) if stemming else None
-        matches, marks = lucene_matches(index, queries, REVIEW_BOOSTS, fuzziness, stems=stems)
+        matches, marks = lucene_matches(index, queries, REVIEW_BOOSTS, fuzziness, stemming=stemming)
         return matches, marks, by_votes
     if dialect == "ladder":
         index = review_index(reviews, PRODUCT)
