@@ -21,7 +21,7 @@ BATCH = 100
 RETRIES = 5
 
 # One block of the exact search: so many queries against so many vectors.
-_QUERIES_PER_BLOCK = 2048
+_QUERIES_PER_BLOCK = 1024
 _VECTORS_PER_BLOCK = 200_000
 
 
@@ -188,44 +188,62 @@ def candidate_count(k: int) -> int:
     return max(10 * k, 50)
 
 
-def _band_keys(dimensions: int, tables: int, bits: int, seed: int):
-    planes = np.random.RandomState(seed).standard_normal((dimensions, tables * bits))
+def _signatures(dimensions: int, bands: int, bits: int, seed: int):
+    planes = np.random.RandomState(seed).standard_normal((dimensions, bands * bits))
     powers = 1 << np.arange(bits)
+    spare = -(bands * bits) % 64
 
-    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                sides = (_unit_rows(frame["embedding"]) @ planes > 0).reshape(len(frame), tables, bits)
-                yield pd.DataFrame({"id": frame["id"].to_numpy(), "keys": list((sides * powers).sum(axis=2))})
+                sides = _unit_rows(frame["embedding"]) @ planes > 0
+                keys = (sides.reshape(len(frame), bands, bits) * powers).sum(axis=2)
+                words = np.packbits(np.pad(sides, ((0, 0), (0, spare))), axis=1).view(np.int64)
+                yield pd.DataFrame({"id": frame["id"].to_numpy(), "keys": list(keys), "signature": list(words)})
 
-    return keys
+    return sign
 
 
-def hyperplane_buckets(vectors: DataFrame, id_column: str, embedding: str, dimensions: int, tables: int = 24,
+def hyperplane_buckets(vectors: DataFrame, id_column: str, embedding: str, dimensions: int, bands: int = 64,
                        bits: int = 6, seed: int = 7) -> DataFrame:
-    """(id, band, key): bucket of every vector per band of random hyperplanes (Charikar 2002)."""
+    """(id, band, key, signature): bucket of every vector per band of random hyperplanes (Charikar 2002).
+
+    The signature holds the side of all planes; the share of equal bits of two
+    signatures estimates their angle. Worth storing by (band, key), so that a
+    query opens its own buckets only.
+    """
     rows = vectors.select(F.col(id_column).alias("id"), F.col(embedding).alias("embedding"))
     kind = rows.schema["id"].dataType.simpleString()
-    keyed = rows.mapInPandas(_band_keys(dimensions, tables, bits, seed), f"id {kind}, keys array<long>")
-    return keyed.select("id", F.posexplode("keys").alias("band", "key"))
+    signed = rows.mapInPandas(
+        _signatures(dimensions, bands, bits, seed), f"id {kind}, keys array<long>, signature array<long>"
+    )
+    return signed.select("id", F.posexplode("keys").alias("band", "key"), "signature")
 
 
 def candidate_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, id_column: str = "doc_id",
-                         embedding: str = "embedding", candidates: int | None = None, **planes) -> DataFrame:
-    """(query_id, doc_id, cosine, score, rank) among the vectors that share most bands with the query.
+                         embedding: str = "embedding", candidates: int | None = None,
+                         buckets: DataFrame | None = None, **planes) -> DataFrame:
+    """(query_id, doc_id, cosine, score, rank) among the vectors that share a bucket with the query.
 
-    Shared bands are counted map-side, the candidates are cut before anything
-    else moves, and only they are compared exactly.
+    The pairs of one vector leave one task together, so they collapse before
+    the shuffle. The candidates with most equal signature bits stay, and only
+    they are compared exactly.
     """
     limit = candidates or candidate_count(k)
     asked = queries.select("query_id", F.col("embedding").alias("query_vector"))
     small = is_small(asked, _QUERIES_PER_BLOCK)
-    wanted = hyperplane_buckets(queries, "query_id", "embedding", dimensions, **planes).withColumnRenamed("id", "query_id")
-    stored = hyperplane_buckets(vectors, id_column, embedding, dimensions, **planes).withColumnRenamed("id", "doc_id")
-    shared = stored.join(hinted(wanted, small), ["band", "key"]).groupBy("query_id", "doc_id").agg(
-        F.count(F.lit(1)).alias("bands")
+    wanted = hyperplane_buckets(queries, "query_id", "embedding", dimensions, **planes).select(
+        F.col("id").alias("query_id"), "band", "key", F.col("signature").alias("asked")
+    )
+    if buckets is None:
+        buckets = hyperplane_buckets(vectors, id_column, embedding, dimensions, **planes)
+    differing = F.aggregate(
+        F.zip_with("signature", "asked", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
     )
-    chosen = top_k(shared, limit, [F.desc("bands"), F.asc("doc_id")]).select("query_id", "doc_id")
+    shared = buckets.withColumnRenamed("id", "doc_id").join(hinted(wanted, small), ["band", "key"]).groupBy(
+        "query_id", "doc_id"
+    ).agg(F.min(differing).alias("differing"))
+    chosen = top_k(shared, limit, [F.asc("differing"), F.asc("doc_id")]).select("query_id", "doc_id")
     pairs = vectors.select(F.col(id_column).alias("doc_id"), F.col(embedding).alias("embedding")).join(
         hinted(chosen.join(hinted(asked, small), "query_id"), small), "doc_id"
     )
