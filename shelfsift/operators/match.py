@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import Analyzer
 from shelfsift.operators.postings import IndexField, TextIndex, near_terms
-from shelfsift.operators.sizes import hinted, is_small
+from shelfsift.operators.sizes import hinted, is_small, materialized
 
 # Okapi BM25 (Robertson & Zaragoza 2009).
 K1 = 1.2
@@ -29,41 +30,94 @@ def lookup(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     return near_terms(positions, terms, small).join(hinted(wanted, small), ["field", "term"], "left_semi")
 
 
-def term_impacts(index: TextIndex, terms: DataFrame, small: bool, k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, field, term, impact): BM25 weight of every wanted term in every document.
+def term_frequencies(index: TextIndex, terms: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, field, term, dl, tf) of the wanted terms."""
+    return lookup(index.positions, terms, small).groupBy("doc_id", "field", "term", "dl").agg(
+        F.count(F.lit(1)).alias("tf")
+    )
+
 
-    The table of document frequencies has at most a row per wanted term, so it
-    is as small as the terms are.
+def document_frequencies(tf: DataFrame) -> DataFrame:
+    """(field, term, df), at most a row per wanted term.
+
+    Counting on tf keeps this branch equal to the scoring one, so both read one
+    exchange.
     """
-    tf = lookup(index.positions, terms, small).groupBy("doc_id", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # Counting on tf keeps this branch equal to the other one, so both read one exchange.
-    df = tf.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(index.statistics, "field")
+    return tf.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+
+
+def _impacts(tf: DataFrame, df: DataFrame, statistics: DataFrame, small: bool, k1: float = K1, b: float = B) -> DataFrame:
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = hinted(df.select("field", "term", "avg_dl", idf.alias("idf")), small)
+    weights = df.join(statistics, "field").select("field", "term", "avg_dl", idf.alias("idf"))
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))
-    return tf.join(df, ["field", "term"]).select(
+    return tf.join(hinted(weights, small), ["field", "term"]).select(
         "doc_id", "field", "term", (F.col("idf") * F.col("tf") / (F.col("tf") + norm)).alias("impact")
     )
 
 
+def term_impacts(index: TextIndex, terms: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, field, term, impact): BM25 weight of every wanted term in every document."""
+    tf = term_frequencies(index, terms, small)
+    return _impacts(tf, document_frequencies(tf), index.statistics, small)
+
+
+def _sum_slots(hits: DataFrame) -> DataFrame:
+    """Best spelling per slot, slots added up. Rows are placed by (query, document) once for all steps."""
+    slots = hits.repartition("query_id", "doc_id").groupBy("query_id", "doc_id", "field", "slot", "n_terms").agg(
+        F.max(F.col("impact") * F.col("weight")).alias("score")
+    )
+    return slots.groupBy("query_id", "doc_id", "field", "n_terms").agg(
+        F.sum("score").alias("score"), F.count(F.lit(1)).alias("matched")
+    )
+
+
+def _weighted(terms: DataFrame) -> DataFrame:
+    return terms if "weight" in terms.columns else terms.withColumn("weight", F.lit(1.0))
+
+
 def field_scores(index: TextIndex, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, field, score, matched, n_terms).
 
     ``terms`` may hold several spellings per slot with a weight each; the best
-    one counts. Rows are placed by (query, document) once, every later step
-    groups within that placement.
+    one counts.
     """
-    if "weight" not in terms.columns:
-        terms = terms.withColumn("weight", F.lit(1.0))
     small = is_small(terms)
-    hits = term_impacts(index, terms, small).join(hinted(terms, small), ["field", "term"])
-    hits = hits.repartition("query_id", "doc_id")
-    slots = hits.groupBy("query_id", "doc_id", "field", "slot", "n_terms").agg(
-        F.max(F.col("impact") * F.col("weight")).alias("score")
+    return _sum_slots(term_impacts(index, terms, small).join(hinted(_weighted(terms), small), ["field", "term"]))
+
+
+def _needed(above: int, share: float):
+    return F.when(F.col("n_terms") <= above, F.col("n_terms")).otherwise(
+        F.floor(F.round(F.col("n_terms") * share, 9))
     )
-    return slots.groupBy("query_id", "doc_id", "field", "n_terms").agg(
-        F.sum("score").alias("score"), F.count(F.lit(1)).alias("matched")
+
+
+def minimum_match(scores: DataFrame, above: int = 2, share: float = 0.7) -> DataFrame:
+    """Up to ``above`` words all must match in a field, beyond that the given share, rounded down."""
+    return scores.filter(F.col("matched") >= _needed(above, share))
+
+
+def minimum_match_scores(index: TextIndex, terms: DataFrame, above: int = 2, share: float = 0.7) -> DataFrame:
+    """Field scores of the documents with enough of the words.
+
+    Whoever holds ``m`` of ``n`` words holds one of any ``n - m + 1`` of them.
+    So each query meets the corpus through its rarest words only, and its
+    frequent words are looked up for the documents found that way; a word that
+    stands in most documents and most queries never pairs them all. The term
+    frequencies are read four times and computed once.
+    """
+    small = is_small(terms)
+    tf = materialized(term_frequencies(index, terms, small))
+    df = document_frequencies(tf)
+    impacts = _impacts(tf, df, index.statistics, small)
+    place = F.row_number().over(W.partitionBy("query_id", "field").orderBy(F.coalesce("df", F.lit(0)), "slot"))
+    rare = terms.join(df, ["field", "term"], "left").withColumn("place", place).filter(
+        F.col("place") <= F.col("n_terms") - _needed(above, share) + 1
+    ).select("query_id", "field", "term")
+    candidates = tf.join(hinted(rare, small), ["field", "term"]).select("query_id", "doc_id", "field").distinct()
+    hits = impacts.join(candidates, ["doc_id", "field"]).join(
+        hinted(_weighted(terms), small), ["query_id", "field", "term"]
     )
+    return minimum_match(_sum_slots(hits), above, share)
 
 
 def best_field(scores: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:

@@ -17,7 +17,8 @@ from shelfsift.functions.text import PRODUCT, Analyzer, shingles
 from shelfsift.operators.sizes import hinted, is_small
 
 
-TERM_BUCKETS = 256
+TERM_BUCKETS = 64
+PUSHED_TERMS = 1000
 
 
 @dataclass(frozen=True)
@@ -144,11 +145,21 @@ def save_positions(positions: DataFrame, path: str) -> None:
 
 
 def near_terms(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Stored positions cut down to the folders of the wanted terms; at most TERM_BUCKETS numbers are fetched."""
+    """Stored positions cut down to the folders of the wanted terms.
+
+    At most TERM_BUCKETS numbers are fetched for it; few terms are fetched
+    themselves, so that the scan can skip row groups of the sorted files too.
+    """
     if not small or "term_bucket" not in positions.columns:
         return positions
-    rows = terms.select(term_bucket(F.col("term")).alias("b")).distinct().collect()
-    return positions.filter(F.col("term_bucket").isin([r["b"] for r in rows]))
+    wanted = terms.select("term", term_bucket(F.col("term")).alias("b")).distinct()
+    few = wanted.limit(PUSHED_TERMS + 1).collect()
+    if len(few) <= PUSHED_TERMS:
+        positions = positions.filter(F.col("term").isin([r["term"] for r in few]))
+        buckets = {r["b"] for r in few}
+    else:
+        buckets = {r["b"] for r in wanted.select("b").distinct().collect()}
+    return positions.filter(F.col("term_bucket").isin(sorted(buckets)))
 
 
 def vocabulary(index: TextIndex) -> DataFrame:

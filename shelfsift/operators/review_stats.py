@@ -37,19 +37,23 @@ def review_aggregates(reviews: DataFrame, order: str = "ord") -> DataFrame:
 
 def load_counters(normalized: DataFrame, product_ids: DataFrame, scanned: DataFrame,
                   cap: int | None) -> DataFrame:
-    """What a review load saw, kept and skipped, as one row."""
-    per_product = normalized.join(product_ids.select("product_id").distinct(), "product_id", "left_semi").groupBy(
-        "product_id"
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    kept = F.least(F.col("_n"), F.lit(cap).cast("long")) if cap else F.col("_n")
+    """What a review load saw, kept and skipped, as one row.
+
+    The reviews are counted per product first; what is joined and capped after
+    that are the counts.
+    """
+    known = product_ids.select("product_id").distinct().withColumn("_known", F.lit(True))
+    per_product = normalized.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).join(known, "product_id", "left")
+    matched = F.when(F.col("_known"), F.col("_n")).otherwise(0)
+    kept = F.least(matched, F.lit(cap).cast("long")) if cap else matched
     zero = F.lit(0).cast("long")
     return per_product.agg(
         scanned.select(F.count(F.lit(1))).scalar().alias("scanned"),
-        normalized.select(F.count(F.lit(1))).scalar().alias("normalized"),
-        F.coalesce(F.sum("_n"), zero).alias("matched_products"),
+        F.coalesce(F.sum("_n"), zero).alias("normalized"),
+        F.coalesce(F.sum(matched), zero).alias("matched_products"),
         F.coalesce(F.sum(kept), zero).alias("accepted"),
-        F.coalesce(F.sum(F.col("_n") - kept), zero).alias("skipped_per_product_cap"),
-        F.count(F.lit(1)).alias("products_with_reviews"),
+        F.coalesce(F.sum(matched - kept), zero).alias("skipped_per_product_cap"),
+        F.count("_known").alias("products_with_reviews"),
     )
 
 

@@ -38,9 +38,8 @@ def hashed_features(df: DataFrame, id_column: str, text: str, dimensions: int =
     number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
     words = df.select(F.col(id_column).alias("doc_id"), F.explode(analyzer.terms(F.col(text))).alias("term"))
-    sums = words.select("doc_id", (number % dimensions).cast("int").alias("dim"), sign.alias("s")).repartition(
-        "doc_id"
-    ).groupBy("doc_id", "dim").agg(F.sum("s").alias("s")).filter(F.col("s") != 0)
+    # The words of one text are summed map-side, so at most ``dimensions`` rows of it move.
+    sums = words.select("doc_id", (number % dimensions).cast("int").alias("dim"), sign.alias("s")).groupBy("doc_id", "dim").agg(F.sum("s").alias("s")).filter(F.col("s") != 0)
     norms = sums.groupBy("doc_id").agg(
         F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"), F.collect_list(F.struct("dim", "s")).alias("parts")
     )

@@ -85,7 +85,8 @@ def stored_index(store: TableStore, products: DataFrame, reviews: DataFrame) ->
 
 
 def run(spark: SparkSession, processed: str, store_path: str, limit: int = 0, reset: bool = False,
-        model: Callable[[list[str]], list[list[float]]] | None = None, embeddings: bool = True) -> dict[str, DataFrame]:
+        model: Callable[[list[str]], list[list[float]]] | None = None, embeddings: bool = True,
+        indexes: bool = True) -> dict[str, DataFrame]:
     """Load the processed folder in file order."""
     place = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -96,5 +97,6 @@ def run(spark: SparkSession, processed: str, store_path: str, limit: int = 0, re
         TableStore(spark, store_path), read("products", schemas.ENRICHED_PRODUCT_SCHEMA),
         read("reviews", schemas.ENRICHED_REVIEW_SCHEMA), limit=limit, reset=reset, bucket=jsonl.split_of(),
     )
-    build_indexes(TableStore(spark, store_path), tables["product_documents"], tables["review_documents"], model, embeddings)
+    if indexes:
+        build_indexes(TableStore(spark, store_path), tables["product_documents"], tables["review_documents"], model, embeddings)
     return tables

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfsift.functions.normalize import normalize_products, normalize_reviews
 from shelfsift.operators import enrich
 from shelfsift.operators.review_stats import load_counters, review_aggregates
+from shelfsift.operators.sizes import materialized
 from shelfsift.sources import jsonl
 from shelfsift.sources.tables import manifest_row
 
@@ -30,13 +31,18 @@ def accepted_products(lines: DataFrame, limit: int | None) -> DataFrame:
 
 
 def prepare(product_lines: DataFrame, review_lines: DataFrame, product_limit: int | None = PRODUCT_LIMIT,
-            reviews_per_product: int | None = REVIEWS_PER_PRODUCT) -> Prepared:
-    """Normalise, select, cap, aggregate and enrich; everything stays lazy."""
-    products = accepted_products(product_lines, product_limit)
+            reviews_per_product: int | None = REVIEWS_PER_PRODUCT, keep: bool = False) -> Prepared:
+    """Normalise, select, cap, aggregate and enrich.
+
+    ``keep`` writes the selected rows to the shared folder, so that the raw
+    lines are decoded once although several tables come from them.
+    """
+    kept = materialized if keep else lambda df: df
+    products = kept(accepted_products(product_lines, product_limit))
     normalized = normalize_reviews(review_lines)
-    reviews = enrich.cap_per_product(enrich.of_known_products(normalized, products), reviews_per_product)
+    reviews = kept(enrich.cap_per_product(enrich.of_known_products(normalized, products), reviews_per_product))
     full_products = enrich.enrich_products(products, review_aggregates(reviews))
-    full_reviews = enrich.enrich_reviews(reviews, full_products)
+    full_reviews = enrich.enrich_reviews(reviews, products)
     counters = load_counters(normalized, products, review_lines, reviews_per_product)
     return Prepared(full_products, full_reviews, counters)
 
@@ -46,7 +52,7 @@ def run(spark: SparkSession, product_path: str, review_path: str, output: str,
     """Read, prepare and write both tables and the manifest; returns the row counts."""
     has_reviews = jsonl.path_exists(spark, review_path)
     reviews = jsonl.read_json_lines(spark, review_path) if has_reviews else jsonl.no_lines(spark)
-    ready = prepare(jsonl.read_json_lines(spark, product_path), reviews, product_limit, reviews_per_product)
+    ready = prepare(jsonl.read_json_lines(spark, product_path), reviews, product_limit, reviews_per_product, keep=True)
     counts = {
         "product_count": jsonl.write_json_lines(ready.products.drop("ord"), f"{output}/products"),
         "review_count": jsonl.write_json_lines(ready.reviews.drop("ord"), f"{output}/reviews"),

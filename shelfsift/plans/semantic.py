@@ -36,9 +36,9 @@ def semantic_and_keyword(index: TextIndex, embedded: DataFrame, queries: DataFra
         near = vectors.exact_neighbours(embedded, asked, k)
     found = limits.match_totals(near)
     semantic = near.join(found, "query_id").withColumn("section", F.lit("semantic"))
-    scores = match.field_scores(index, query_terms(queries, index.fields))
+    scores = match.minimum_match_scores(index, query_terms(queries, index.fields))
     keyword = limits.page_with_total(
-        match.best_field(match.minimum_match(scores), boosts), k, [F.desc("score"), F.asc("doc_id")]
+        match.best_field(scores, boosts), k, [F.desc("score"), F.asc("doc_id")]
     ).withColumn("section", F.lit("keyword"))
     columns = ["section", "query_id", "doc_id", "score", "rank", "total"]
     return semantic.select(*columns).unionByName(keyword.select(*columns))

@@ -68,7 +68,7 @@ def load_reviews(spark, folder):
     products, reviews = _raw_files(spark, folder)
     processed, root = scratch_path(spark, "processed"), scratch_path(spark, "store")
     prepare.run(spark, products, reviews, processed, None, 5)
-    load.run(spark, processed, root, embeddings=False)
+    load.run(spark, processed, root, indexes=False)
     tables = load.run(spark, processed, root, embeddings=False)
     count = lambda name: tables[name].select(F.count(F.lit(1))).scalar()
     return tables["reviews"].select(

@@ -154,8 +154,7 @@ def minimum_should_match(spark, folder):
     """Every benchmark passage as a query; seven tenths of its words must occur."""
     index = C.document_index(spark, folder)
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    scores = match.field_scores(index, postings.query_terms(queries, index.fields))
-    return _page(match.best_field(match.minimum_match(scores)))
+    return _page(match.best_field(match.minimum_match_scores(index, postings.query_terms(queries, index.fields))))
 
 
 _TYPED = [(1, "sm"), (2, "red wi"), (3, "small ring"), (4, "blue w")]
