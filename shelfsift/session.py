@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_FOLDER = "spark.checkpoint.dir"
 
-def local_session(cores: int = 8, app: str = "shelfsift") -> SparkSession:
-    """A local session for tests and benchmarks; on a cluster the session comes from the submitter."""
-    spark = (
+
+def local_session(cores: int = 8, app: str = "shelfsift", shared: str = "/tmp/checkpoints") -> SparkSession:
+    """A local session for tests and benchmarks; on a cluster the session comes from the submitter.
+
+    ``shared`` becomes the shared folder only where the environment names none.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -21,22 +25,20 @@ def local_session(cores: int = 8, app: str = "shelfsift") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if spark.conf.get(_FOLDER, None) is None:
+        spark.stop()
+        spark = builder.config(_FOLDER, shared).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
-
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a temporary
-    folder is chosen, and remembered in the session.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach, as named by the cluster in ``spark.checkpoint.dir``."""
+    configured = spark.conf.get(_FOLDER, None)
     if configured is None:
-        configured = tempfile.mkdtemp(prefix="shelfsift-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError(f"{_FOLDER} must name a folder that the driver and all executors share")
     return configured
 
 
