@@ -72,6 +72,14 @@ def joined(big: DataFrame, other: DataFrame, on: list[str], how: str = "inner")
     return big.join(other, condition, how).drop(*(f"__r_{c}" for c in on))
 
 
+def map_frames(rows: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """mapInPandas whose results carry ``keys`` through as text, so that nulls and long numbers stay exact."""
+    kinds = dict(rows.dtypes)
+    as_text = rows.withColumns({k: F.col(k).cast("string") for k in keys})
+    names = "".join(f"`{k}` string, " for k in keys)
+    return as_text.mapInPandas(function, names + schema).withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root), root the smallest node; large-star and small-star.
 

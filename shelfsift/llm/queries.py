@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm import exact_dedup as exact
-from shelfsift.llm import mixing, simhash
+from shelfsift.llm import merkle, mixing, packing, simhash
+
+#: Vocabulary of the packed ids.
+TOKENIZER = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,9 +37,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def op1_simhash(spark, folder):
     """Fingerprint and component of every document; the component is named by its smallest doc_id."""
     found = simhash.near_dedup(documents(spark, folder), ["doc_id"])
-    names = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(names, "root").select(
-        "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select(
+        "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@register("op3_merkle")
+def op3_merkle(spark, folder):
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return merkle.fingerprints(documents(spark, folder))
 
 
 @register("op5_mixing", r"""
@@ -78,3 +86,13 @@ def op8_exact_dedup(spark, folder):
     """Which row stays of equal texts, for every document."""
     found = exact.exact_dedup(documents(spark, folder))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@register("op10_packing")
+def op10_packing(spark, folder):
+    """Where every piece of every document stands in the packed sequences."""
+    import public_tokenizers
+
+    pieces = packing.pack(documents(spark, folder), ["doc_id"], public_tokenizers.path(TOKENIZER))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

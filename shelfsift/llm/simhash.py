@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.llm.common import components, stored
+from shelfsift.llm.common import components, map_frames, stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints compared at once; bounds the memory of a tile pair.
@@ -42,8 +42,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
             yield frame.assign(fp=prints)
 
     rows = docs.select(*keys, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes if name != "__text")
-    return rows.mapInPandas(run, f"{kinds}, fp long")
+    return map_frames(rows, keys, run, "fp long")
 
 
 def _forest(edges: np.ndarray, nodes: int) -> np.ndarray:
@@ -68,7 +67,8 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Links (value of a, value of b) of at most ``radius`` differing bits, thinned to a forest."""
     found = []
     for start in range(0, len(a), 256):
-        near = np.bitwise_count(a[start:start + 256, None] ^ b[None, :]) <= radius
+        differing = a[start:start + 256, None] ^ b[None, :]
+        near = np.bitwise_count(differing.view(np.uint64)) <= radius  # of a signed number it counts the absolute value's
         i, j = np.nonzero(near)
         found.append(np.stack([i + start, j + len(a)], 1))
     edges = np.concatenate(found)
@@ -119,16 +119,17 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame:
-    """Every document's ``keys`` with ``fp`` and ``root``, the smallest fingerprint reachable over links.
+    """Every document's ``keys`` with ``fp`` and ``component``, the smallest first key reachable over links.
 
     Null and wordless texts have fingerprint zero and are linked like any other. Rows of equal fingerprint are
     compared once, as a class. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, keys), "simhash-prints")
-    classes = stored(prints.select("fp").distinct(), "simhash-classes")
-    roots = components(links(classes, radius))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    return prints.join(classes.withColumn("root", F.coalesce("root", "fp")), "fp")
+    classes = stored(prints.groupBy("fp").agg(F.min(keys[0]).alias("low")), "simhash-classes")
+    roots = components(links(classes, radius)).withColumnRenamed("node", "fp")
+    classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = classes.groupBy("root").agg(F.min("low").alias("component"))
+    return prints.join(classes.join(names, "root").select("fp", "component"), "fp")
 
 
 def hexadecimal(fp):
