@@ -45,7 +45,7 @@ class WordIds:
 
     def __call__(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
-        new = list(set(words) - self.known.keys())
+        new = [word for word in set(words) if word not in self.known]
         if new:
             if len(self.known) > REMEMBERED:
                 self.known = {}

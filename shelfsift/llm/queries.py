@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm import exact_dedup as exact
-from shelfsift.llm import merkle, mixing, packing, simhash
+from shelfsift.llm import html_text, license_scan, merkle, mixing, packing, secret_scan, simhash, toxicity
 
 #: Vocabulary of the packed ids.
 TOKENIZER = "word_bpe_49k.json"
@@ -96,3 +96,36 @@ def op10_packing(spark, folder):
     pieces = packing.pack(documents(spark, folder), ["doc_id"], public_tokenizers.path(TOKENIZER))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@register("op2_html_text")
+def op2_html_text(spark, folder):
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    found = html_text.extract(pages, ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark, folder):
+    """Expected severity of every document, and whether it is toxic."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = docs.select("doc_id", toxicity.severity(model, F.col("text")).alias("s")).select("doc_id", "s.*")
+    return scored.select(
+        "doc_id", F.col("expected").alias("expected_severity"), "toxic_probability", "grade",
+        (F.col("toxic_probability") >= 0.5).alias("toxic"))
+
+
+@register("op7_license_scan")
+def op7_license_scan(spark, folder):
+    """License phrases and notices in every document."""
+    return license_scan.scan(documents(spark, folder)).drop("spans")
+
+
+@register("op9_secret_scan")
+def op9_secret_scan(spark, folder):
+    """Secrets in every document, by fixed patterns and by character models."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
