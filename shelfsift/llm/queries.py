@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm import exact_dedup as exact
-from shelfsift.llm import html_text, license_scan, merkle, mixing, packing, secret_scan, simhash, toxicity
+from shelfsift.llm import html_text, license_scan, merkle, mixing, packing, secret_scan, simhash, substring_dedup, toxicity
 
 #: Vocabulary of the packed ids.
 TOKENIZER = "word_bpe_49k.json"
@@ -129,3 +129,9 @@ def op9_secret_scan(spark, folder):
     docs = documents(spark, folder).select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.train(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register("op6_substring_dedup")
+def op6_substring_dedup(spark, folder):
+    """Passages that repeat across documents, and the class of every document."""
+    return substring_dedup.substring_dedup(documents(spark, folder))

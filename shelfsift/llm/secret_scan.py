@@ -53,9 +53,10 @@ def _codes(string: Column) -> Column:
 
 def _pairs(string: Column) -> Column:
     """A number for each pair of neighbouring characters, 0 the first."""
-    codes, n = _codes(string), len(SYMBOLS)
-    return F.transform(
-        F.sequence(F.lit(1), F.length(string) - 1), lambda i: (F.element_at(codes, i) - 1) * n + F.element_at(codes, i + 1) - 1)
+    n = len(SYMBOLS)
+    following = F.slice(_codes(string), 2, F.length(string))
+    pairs = F.zip_with(_codes(string), following, lambda a, b: (a - 1) * n + b - 1)
+    return F.filter(pairs, lambda p: p.isNotNull())  # the last character has no following one
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[float]:
@@ -115,9 +116,11 @@ def scan(docs: DataFrame, ratio: list[float], key: str = "doc_id", text: str = "
 
     rows = rows.withColumn("__3", F.filter("__3", secret))
 
+    def of_kind(k: int):
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))
+
     def listed(kinds: range) -> Column:
-        marked = F.concat(*(F.transform(f"__{k}", lambda s, k=k: F.struct(
-            s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))) for k in kinds))
+        marked = F.concat(*(F.transform(f"__{k}", of_kind(k)) for k in kinds))
         names = F.array(*map(F.lit, KINDS))
         return F.array_join(F.transform(F.array_sort(marked), lambda s: F.concat_ws(
             ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -119,7 +119,7 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame:
-    """Every document's ``keys`` with ``fp`` and ``component``, the smallest first key reachable over links.
+    """Every document's ``keys`` with ``fp``, ``root``, the smallest fingerprint of its component, and ``component``, its smallest first key.
 
     Null and wordless texts have fingerprint zero and are linked like any other. Rows of equal fingerprint are
     compared once, as a class. An empty table gives an empty result.
@@ -129,7 +129,7 @@ def near_dedup(docs: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFr
     roots = components(links(classes, radius)).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = classes.groupBy("root").agg(F.min("low").alias("component"))
-    return prints.join(classes.join(names, "root").select("fp", "component"), "fp")
+    return prints.join(classes.join(names, "root").select("fp", "root", "component"), "fp")
 
 
 def hexadecimal(fp):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Labelled rows of each label that the fit takes at most, in the order of a hash of their keys.
 SAMPLE = 1500
 #: Words that become features at most, and their least log-odds z-score between toxic and other rows.
-FEATURES, LEAST_Z = 400, 4.0
+FEATURES, LEAST_Z = 400, 2.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
