@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,24 @@ from pyspark.sql import functions as F
 #: Labelled rows of each label that the fit takes at most, in the order of a hash of their keys.
 SAMPLE = 1500
 #: Words that become features at most, and their least log-odds z-score between toxic and other rows.
-FEATURES, LEAST_Z = 400, 2.5
+FEATURES, LEAST_Z = 400, 2.8
+#: Lengths of the beginnings of words that are features beside the words; words whose features a task remembers.
+BEGINNINGS, REMEMBERED = (4, 5, 6), 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def features_of(word: str) -> list[str]:
+    """The word and its beginnings, which inflected forms share."""
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
+
+
+def feature_counts(text: str | None) -> Counter:
+    words = Counter(_WORD.findall((text or "").lower()))
+    found: Counter = Counter()
+    for word, n in words.items():
+        for feature in features_of(word):
+            found[feature] += n
+    return found
 
 
 @dataclass(frozen=True)
@@ -30,10 +42,18 @@ class Ordinal:
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False, repr=False)
 
     def score(self, text: str | None) -> float:
-        words = _WORD.findall((text or "").lower())
-        counts = Counter(filter(self.weights.__contains__, words))
+        counts: Counter = Counter()
+        for word in _WORD.findall((text or "").lower()):
+            told = self.known.get(word)
+            if told is None:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                told = self.known[word] = tuple(f for f in features_of(word) if f in self.weights)
+            if told:
+                counts.update(told)
         return sum(self.weights[w] * math.log1p(n) for w, n in counts.items())
 
     def above(self, text: str | None) -> list[float]:
@@ -43,7 +63,7 @@ class Ordinal:
 
 
 def select_features(rows: list[Counter], toxic: np.ndarray) -> list[str]:
-    """Words whose log-odds of occurring in toxic rows stand out, strongest first."""
+    """Words whose odds of occurring are clearly higher in toxic rows, strongest first."""
     seen = [Counter(), Counter()]
     for counts, y in zip(rows, toxic):
         seen[int(y)].update(counts.keys())
@@ -54,7 +74,7 @@ def select_features(rows: list[Counter], toxic: np.ndarray) -> list[str]:
         c, d = n[1] - seen[1][word] + 0.5, n[0] - seen[0][word] + 0.5
         return (math.log(a / c) - math.log(b / d)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
-    ranked = sorted(((abs(z(w)), w) for w in seen[0].keys() | seen[1].keys()), key=lambda x: (-x[0], x[1]))
+    ranked = sorted(((z(w), w) for w in seen[0].keys() | seen[1].keys()), key=lambda x: (-x[0], x[1]))
     return [w for value, w in ranked[:FEATURES] if value >= LEAST_Z]
 
 
@@ -111,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(sample) for y in (0, 1)]
     rows = docs.select(key, "text").join(F.broadcast(chosen[0].union(chosen[1])), key)  # at most twice ``sample`` rows
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
-    counted = rows.select(key, "toxic", word.alias("word")).groupBy(key, "toxic", "word").count()
+    words = rows.select(key, "toxic", word.alias("w")).groupBy(key, "toxic", "w").count()
+    begins = [F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in BEGINNINGS]
+    words = words.select(key, "toxic", "count", F.explode(F.array_compact(F.array("w", *begins))).alias("word"))
+    counted = words.groupBy(key, "toxic", "word").agg(F.sum("count").alias("count"))
     # Words of one row say nothing about other rows.
     common = counted.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 4").select("word")
     told = counted.join(common, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "count"))).alias("counts"))
