@@ -15,8 +15,8 @@ from shelfsift.llm.common import map_frames, running_total, stored
 
 LENGTH, END = 4096, 2
 BUCKETS, DIMENSIONS, BITS = 256, 3, 12
-#: Words a task remembers with their ids, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 40
+#: Words a worker remembers with their ids, and the longest of them in characters.
+REMEMBERED, LONGEST = 800_000, 40
 
 
 @lru_cache(maxsize=2)
@@ -58,6 +58,12 @@ class WordIds:
         return ids
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that its tasks share the words that they have learned."""
+    return WordIds(path)
+
+
 def projection(size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of every id, and random directions of the buckets."""
     ids = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +98,7 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 def tokenized(docs: DataFrame, keys: list[str], tokenizer: str, text: str = "text") -> DataFrame:
     """``keys``, curve, n and the ids of every document, the end mark included."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         bucket, directions = projection(encode.tokenizer.get_vocab_size() + 1)
         for frame in frames:
             ids = list(map(encode, frame.pop("__text")))
