@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsift.llm.common import stored
+
 #: Labelled rows of each label that the fit takes at most, in the order of a hash of their keys.
 SAMPLE = 1500
 #: Words that become features at most, and their least log-odds z-score between toxic and other rows.
@@ -27,15 +29,6 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
 
 
-def feature_counts(text: str | None) -> Counter:
-    words = Counter(_WORD.findall((text or "").lower()))
-    found: Counter = Counter()
-    for word, n in words.items():
-        for feature in features_of(word):
-            found[feature] += n
-    return found
-
-
 @dataclass(frozen=True)
 class Ordinal:
     """P(grade > k) = sigmoid(weights . x - thresholds[k]); the weights are shared, the thresholds ascend."""
@@ -62,20 +55,17 @@ class Ordinal:
         return [1 / (1 + math.exp(min(700.0, t - at))) for t in self.thresholds]
 
 
-def select_features(rows: list[Counter], toxic: np.ndarray) -> list[str]:
-    """Words whose odds of occurring are clearly higher in toxic rows, strongest first."""
-    seen = [Counter(), Counter()]
-    for counts, y in zip(rows, toxic):
-        seen[int(y)].update(counts.keys())
-    n = [max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))]
-
-    def z(word: str) -> float:
-        a, b = seen[1][word] + 0.5, seen[0][word] + 0.5
-        c, d = n[1] - seen[1][word] + 0.5, n[0] - seen[0][word] + 0.5
-        return (math.log(a / c) - math.log(b / d)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+def select_features(counted: DataFrame, clean: int, toxic: int) -> list[str]:
+    """Features whose odds of occurring are clearly higher in toxic rows, strongest first; at most FEATURES.
 
-    ranked = sorted(((z(w), w) for w in seen[0].keys() | seen[1].keys()), key=lambda x: (-x[0], x[1]))
-    return [w for value, w in ranked[:FEATURES] if value >= LEAST_Z]
+    ``counted`` has a row per labelled row and feature; ``clean`` and ``toxic`` are the numbers of labelled rows.
+    """
+    seen = counted.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
+    a, b = F.col("t") + 0.5, F.col("c") + 0.5
+    c, d = toxic - F.col("t") + 0.5, clean - F.col("c") + 0.5
+    z = (F.ln(a / c) - F.ln(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    best = seen.withColumn("z", F.round(z, 9)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(FEATURES)
+    return [r.word for r in best.select("word").collect()]
 
 
 def grades(rows: list[Counter], toxic: np.ndarray, features: list[str]) -> np.ndarray:
@@ -135,15 +125,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     begins = [F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in BEGINNINGS]
     words = words.select(key, "toxic", "count", F.explode(F.array_compact(F.array("w", *begins))).alias("word"))
     counted = words.groupBy(key, "toxic", "word").agg(F.sum("count").alias("count"))
-    # Words of one row say nothing about other rows.
-    common = counted.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 4").select("word")
-    told = counted.join(common, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "count"))).alias("counts"))
-    found = [(Counter(r.counts or {}), r.toxic) for r in
-             rows.select(key, "toxic").join(told, key, "left").orderBy(key).select("counts", "toxic").collect()]
-    if len(set(y for _, y in found)) < 2:
+    counted = stored(counted, "toxicity-counts")
+    sizes = [rows.filter(F.col("toxic") == y).count() for y in (0, 1)]
+    if not all(sizes):
         return Ordinal({}, (50.0, 60.0))
-    counts, toxic = [c for c, _ in found], np.array([y for _, y in found])
-    features = select_features(counts, toxic)
+    features = select_features(counted, *sizes)
+    chosen = counted.join(F.broadcast(docs.sparkSession.createDataFrame([(f,) for f in features], "word string")), "word")
+    told = chosen.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "count"))).alias("counts"))
+    found = rows.select(key, "toxic").join(told, key, "left").orderBy(key).select("counts", "toxic").collect()
+    counts, toxic = [Counter(r.counts or {}) for r in found], np.array([r.toxic for r in found])
     return fit_ordinal(counts, grades(counts, toxic, features), features)
 
 
