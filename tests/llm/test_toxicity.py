@@ -7,12 +7,12 @@ from shelfsift.llm import toxicity
 
 @pytest.fixture(scope="module")
 def labels(spark, folder):
-    return spark.read.parquet(f"{folder.rsplit('/', 1)[0]}/sf0.01/labels.parquet")
+    return spark.read.parquet(f"{folder.rsplit('/', 1)[0]}/sf0.1/labels.parquet")
 
 
 @pytest.fixture(scope="module")
 def labelled(spark, folder):
-    return spark.read.parquet(f"{folder.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    return spark.read.parquet(f"{folder.rsplit('/', 1)[0]}/sf0.1/documents.parquet")
 
 
 def test_held_out_rows(labelled, labels):
@@ -20,8 +20,8 @@ def test_held_out_rows(labelled, labels):
     held = labelled.join(labels.filter("doc_id % 2 = 1"), "doc_id")
     rows = held.select("toxic", toxicity.severity(model, F.col("text")).alias("s")).select("toxic", "s.*").collect()
     hits = [r for r in rows if r.toxic_probability >= 0.5]
-    assert sum(r.toxic for r in hits) / len(hits) > 0.8
-    assert sum(r.toxic for r in hits) / sum(r.toxic for r in rows) > 0.6  # from two dozen toxic rows
+    assert sum(r.toxic for r in hits) / len(hits) > 0.9
+    assert sum(r.toxic for r in hits) / sum(r.toxic for r in rows) > 0.9
     assert all(0 <= r.expected <= 2 for r in rows)
 
 
