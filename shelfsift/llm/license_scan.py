@@ -61,23 +61,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), _GAP), "")
     rows = docs.select(F.col(key).alias("id"), words.alias("words")).withColumn("uid", F.monotonically_increasing_id())
     size = F.size("words")
-    grams = F.arrays_zip(F.col("words").alias("w1"), F.slice("words", 2, size).alias("w2"), F.slice("words", 3, size).alias("w3"))
-    rolled = rows.select("uid", "id", size.cast("long").alias("n"), F.posexplode_outer(grams).alias("pos", "g"))
-    rolled = rolled.select("uid", "id", "n", "pos", "g.*").withColumn("gram", F.xxhash64("w1", "w2"))
+    # The number of words rides on the first gram: nothing that is computed from the text stands beside the generator.
+    grams = F.arrays_zip(
+        F.col("words").alias("w1"), F.slice("words", 2, size).alias("w2"), F.slice("words", 3, size).alias("w3"),
+        F.array(size.cast("long")).alias("n"))
+    rolled = rows.select("uid", "id", F.posexplode(grams).alias("pos", "g"))
+    rolled = rolled.select("uid", "id", "pos", "g.*").withColumn("gram", F.xxhash64("w1", "w2"))
     met = (
         (F.col("gram") == F.col("hash")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2"))
         & (F.col("t3").isNull() | (F.col("w3") == F.col("t3")))
     )
     hits = rolled.join(F.broadcast(templates(docs.sparkSession)), met, "left")
-    hits = hits.filter("template IS NOT NULL OR pos IS NULL OR pos = 0")  # one row of every document stays
+    hits = hits.filter("template IS NOT NULL OR pos = 0")  # one row of every document stays
     diagonal = (F.col("pos") - F.col("at")).alias("diagonal")
-    votes = hits.groupBy("uid", "id", "n", "notice", "template", "label", "grams", diagonal).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    votes = hits.groupBy("uid", "id", "notice", "template", "label", "grams", diagonal).agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     line = W.partitionBy("uid", "notice", "template").orderBy("diagonal")
     apart = ~F.col("notice") | (F.col("diagonal") - F.lag("diagonal", 1, -1 << 30).over(line) > NEAR)
     merged = votes.withColumn("group", F.sum(F.when(apart, 1).otherwise(0)).over(line)).groupBy(
-        "uid", "id", "n", "notice", "template", "label", "grams", "group"
-    ).agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
+        "uid", "id", "notice", "template", "label", "grams", "group"
+    ).agg(F.max("n").alias("n"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
     share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
     fits = (F.col("high") - F.col("low") + 1) <= 2 * F.col("grams")
     base = F.coalesce(~F.col("notice") & (share == 1.0), F.lit(False))
