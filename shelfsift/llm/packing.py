@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,14 +18,22 @@ LENGTH, END = 4096, 2
 BUCKETS, DIMENSIONS, BITS = 256, 3, 12
 #: Words a worker remembers with their ids, and the longest of them in characters.
 REMEMBERED, LONGEST = 800_000, 40
+#: A word of Latin letters and the marks at its end; the tokenizer parts the two whatever they are.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizers(path: str):
+    """The tokenizer, and a second one for single words of lower-case Latin letters, which needs no patterns."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.normalizers import Sequence
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    return Tokenizer.from_file(path)
+    whole, letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    letters.normalizer = Sequence([])
+    letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return whole, letters
 
 
 class WordIds:
@@ -34,23 +43,46 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.letters = _tokenizers(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _encode(self, tokenizer, words: list[str]) -> list[bytes]:
+        """Ids of each word, all words in one call; the tokenizer tells the word of every id."""
+        found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, self.kind).tobytes()
+        cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * self.kind.itemsize
+        cuts = cuts.tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: list[str]) -> None:
+        """Plain words that differ in their case or the marks at their end are tokenized once, without the patterns."""
+        plain, other, split = {}, [], []
+        for word in words:
+            m = _PLAIN.fullmatch(word)
+            if not m:
+                other.append(word)
+                continue
+            stem, marks = m[1].lower(), m[2]
+            split.append((word, stem, marks))
+            if stem not in self.known:
+                plain[stem] = True
+            if marks not in self.known:
+                other.append(marks)
+        for tokenizer, parts in ((self.letters, list(plain)), (self.tokenizer, other)):
+            self.known.update(zip(parts, self._encode(tokenizer, parts)))
+        for word, stem, marks in split:
+            self.known[word] = self.known[stem] + self.known[marks]
 
     def __call__(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
         new = [word for word in set(words) if word not in self.known]
         if new:
             if len(self.known) > REMEMBERED:
-                self.known = {}
+                self.known = {"": b""}
                 new = list(set(words))
-            self.known.update(zip(new, self._encode(new)))
+            self._learn(new)
         ids = b"".join(map(self.known.__getitem__, words)) + self.end
         for word in new:
             if len(word) > LONGEST:
