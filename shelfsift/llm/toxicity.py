@@ -17,10 +17,10 @@ from shelfsift.llm.common import stored
 
 #: Labelled rows of each label that the fit takes at most, in the order of a hash of their keys.
 SAMPLE = 1500
-#: Words that become features at most, and their least log-odds z-score between toxic and other rows.
-FEATURES, LEAST_Z = 400, 2.8
+#: Words that become features at most, and their least signed root of the likelihood ratio between toxic and other rows.
+FEATURES, LEAST_ROOT = 400, 4.0
 #: Lengths of the beginnings of words that are features beside the words; words whose features a task remembers.
-BEGINNINGS, REMEMBERED = (4, 5, 6), 500_000
+BEGINNINGS, REMEMBERED = (3, 4, 5, 6, 7, 8), 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,10 +61,15 @@ def select_features(counted: DataFrame, clean: int, toxic: int) -> list[str]:
     ``counted`` has a row per labelled row and feature; ``clean`` and ``toxic`` are the numbers of labelled rows.
     """
     seen = counted.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-    a, b = F.col("t") + 0.5, F.col("c") + 0.5
-    c, d = toxic - F.col("t") + 0.5, clean - F.col("c") + 0.5
-    z = (F.ln(a / c) - F.ln(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    best = seen.withColumn("z", F.round(z, 9)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(FEATURES)
+    both = (F.col("t") + F.col("c")) / (toxic + clean)
+
+    def part(seen_: Column, expected: Column) -> Column:
+        return F.when(seen_ > 0, seen_ * F.ln(seen_ / expected)).otherwise(0.0)
+
+    ratio = 2 * (part(F.col("t"), toxic * both) + part(F.col("c"), clean * both)
+                 + part(toxic - F.col("t"), toxic * (1 - both)) + part(clean - F.col("c"), clean * (1 - both)))
+    telling = seen.filter(F.col("t") / toxic > F.col("c") / clean).withColumn("root", F.round(F.sqrt(F.greatest(ratio, F.lit(0.0))), 9))
+    best = telling.filter(F.col("root") >= LEAST_ROOT).orderBy(F.desc("root"), "word").limit(FEATURES)
     return [r.word for r in best.select("word").collect()]
 
 
@@ -77,8 +82,12 @@ def grades(rows: list[Counter], toxic: np.ndarray, features: list[str]) -> np.nd
     return np.where(toxic == 1, np.where(marks > middle, 2, 1), 0)
 
 
-def fit_ordinal(rows: list[Counter], grade: np.ndarray, features: list[str], steps: int = 400, ridge: float = 1e-3) -> Ordinal:
-    """Maximum likelihood of the cumulative-link model, with a small ridge, by full gradients with adaptive steps."""
+def fit_ordinal(rows: list[Counter], grade: np.ndarray, features: list[str], steps: int = 400, ridge: float = 1e-4) -> Ordinal:
+    """Maximum likelihood of the cumulative-link model, with a small ridge, by full gradients with adaptive steps.
+
+    Rows of a label together weigh as the square root of their number: a rare label counts for more than its share, but
+    rows of the other one are not given up for it.
+    """
     place = {w: i for i, w in enumerate(features)}
     entries = [(i, place[w], math.log1p(n)) for i, counts in enumerate(rows) for w, n in counts.items() if w in place]
     i, j, x = (np.array(c) for c in zip(*entries)) if entries else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -87,7 +96,8 @@ def fit_ordinal(rows: list[Counter], grade: np.ndarray, features: list[str], ste
     # Ascending thresholds: the first, and the logarithms of the steps between them.
     theta = np.concatenate([np.zeros(m), [1.0], np.zeros(levels - 1)])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    balance = np.where(grade > 0, 0.5 / max(1, (grade > 0).sum()), 0.5 / max(1, (grade == 0).sum()))[:, None]
+    roots = np.sqrt([max(1, (grade == 0).sum()), max(1, (grade > 0).sum())])
+    balance = (1 / roots / roots.sum())[(grade > 0).astype(int)][:, None]
     for step in range(1, steps + 1):
         jumps = np.exp(theta[m + 1:])
         cuts = theta[m] + np.concatenate([[0], np.cumsum(jumps)])
