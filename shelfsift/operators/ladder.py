@@ -9,14 +9,14 @@ from shelfsift.functions.distance import ladder_edits
 from shelfsift.operators.fuzzy import expand_terms
 from shelfsift.operators.match import SCORE_DIGITS
 from shelfsift.operators.postings import TextIndex, near_terms, query_terms, vocabulary
-from shelfsift.operators.rank import COVER_SLOTS, with_spans
+from shelfsift.operators.rank import with_spans
 from shelfsift.operators.sizes import hinted, is_small
 
 # Span of words that do not all occur in one field.
 NO_SPAN = 1_000_000
 
 
-def ladder_matches(index: TextIndex, queries: DataFrame, max_slots: int = COVER_SLOTS) -> DataFrame:
+def ladder_matches(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, words, typos, span, attribute, exact, n_terms, score).
 
     Criteria in order: more words matched, fewer typos, words closer together,
@@ -29,10 +29,10 @@ def ladder_matches(index: TextIndex, queries: DataFrame, max_slots: int = COVER_
     postings = near_terms(index.positions, spelled, small).select("doc_id", "field", "field_no", "term", "pos")
     hits = postings.join(hinted(spelled, small), ["field", "term"]).repartition("query_id", "doc_id")
     # The closest span and the best spelling come out of one pass over the hits.
-    spans = with_spans(hits.withColumn("weight", F.lit(1.0)), ["query_id", "doc_id", "field"], max_slots)
+    spans = with_spans(hits.withColumn("weight", F.lit(1.0)), ["query_id", "doc_id", "field"])
     rows = spans.groupBy("query_id", "doc_id", "slot", "n_terms").agg(
         F.min("typos").alias("typos"), F.min("field_no").alias("attribute"),
-        F.min(F.col("pos") - F.col("start") + 1).alias("span"),
+        F.min(F.col("end") - F.col("pos") + 1).alias("span"),
     ).groupBy("query_id", "doc_id", "n_terms").agg(
         F.count(F.lit(1)).alias("words"), F.sum("typos").alias("typos"), F.min("attribute").alias("attribute"),
         F.count_if(F.col("typos") == 0).alias("exact"), F.coalesce(F.min("span"), F.lit(NO_SPAN)).alias("span"),

@@ -170,10 +170,19 @@ def test_covers_against_brute_force(spark):
     assert {(d, s) for d, s, _ in got} == {(d, s) for d, s, _ in expected}
 
 
-def test_too_many_words_fail_instead_of_losing_some(spark):
-    hits = spark.createDataFrame([(1, 0, 1, 1, 0, 9, 1.0)], "query_id int, grp int, doc_id int, pos int, slot int, n_terms int, weight double")
-    with pytest.raises(Exception, match="more than 8 distinct words"):
-        rank.covers(hits, ["query_id", "grp", "doc_id"]).collect()
+def test_covers_of_thirty_words(spark):
+    rng = random.Random(5)
+    rows = [(1, 0, 1, pos, slot, 30, 1.0) for pos, slot in enumerate([*range(30), *(rng.randrange(30) for _ in range(400))], 1)]
+    rows += [(2, 0, 1, pos, slot, 2, w) for pos, slot, w in [(1, 0, 1.0), (4, 1, 0.5), (5, 0, 0.25), (9, 0, 1.0)]]
+    names = "query_id int, grp int, doc_id int, pos int, slot int, n_terms int, weight double"
+    got = rank.covers(spark.createDataFrame(rows, names), ["query_id", "grp", "doc_id"]).collect()
+    last, expected = {}, {}
+    for _, _, _, pos, slot, _, _ in rows[:430]:
+        last[slot] = pos
+        if len(last) == 30:
+            expected.setdefault(min(last.values()), pos)
+    assert {r.start: r.end for r in got if r.query_id == 1} == expected
+    assert {(r.start, r.end, r.weight) for r in got if r.query_id == 2} == {(1, 4, 2 / 3), (4, 5, 2 / 6)}
 
 
 def test_trigram_similarity_by_hand(spark):
