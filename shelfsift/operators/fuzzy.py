@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from shelfsift.functions.distance import MAX_EDITS, auto_edits, deletion_keys, edit_distance
 from shelfsift.operators.sizes import hinted, is_small, materialized
 
-# Expansions per term of a fuzzy match, the customary engine default.
-MAX_EXPANSIONS = 50
-
 
 def deletion_index(vocab: DataFrame) -> DataFrame:
     """(field, key, term): the vocabulary under its deletion keys; worth storing next to an index."""
@@ -41,11 +38,11 @@ def similar_terms(wanted: DataFrame, vocab: DataFrame, edits: Callable[[Column],
 
 
 def expand_terms(terms: DataFrame, vocab: DataFrame, edits: Callable[[Column], Column] = auto_edits,
-                 prefix_length: int = 0, max_expansions: int | None = MAX_EXPANSIONS) -> DataFrame:
+                 prefix_length: int = 0, max_expansions: int | None = None) -> DataFrame:
     """Query terms replaced by their spellings in the vocabulary.
 
     Adds ``typos`` and ``weight`` = 1 - typos / length of the shorter word.
-    ``max_expansions`` keeps the closest spellings of each term; None keeps all.
+    All spellings are kept, unless ``max_expansions`` asks for the closest of each term only.
     The result is materialised: scoring reads it several times, and the
     vocabulary behind it takes a pass over the corpus.
     """

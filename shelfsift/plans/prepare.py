@@ -13,9 +13,6 @@ from shelfsift.operators.sizes import materialized
 from shelfsift.sources import jsonl
 from shelfsift.sources.tables import manifest_row
 
-PRODUCT_LIMIT = 100_000
-REVIEWS_PER_PRODUCT = 5
-
 
 @dataclass(frozen=True)
 class Prepared:
@@ -30,9 +27,9 @@ def accepted_products(lines: DataFrame, limit: int | None) -> DataFrame:
     return jsonl.first_in_file_order(valid, None if limit is None else max(limit, 1))
 
 
-def prepare(product_lines: DataFrame, review_lines: DataFrame, product_limit: int | None = PRODUCT_LIMIT,
-            reviews_per_product: int | None = REVIEWS_PER_PRODUCT, keep: bool = False) -> Prepared:
-    """Normalise, select, cap, aggregate and enrich.
+def prepare(product_lines: DataFrame, review_lines: DataFrame, product_limit: int | None = None,
+            reviews_per_product: int | None = None, keep: bool = False) -> Prepared:
+    """Normalise, select, aggregate and enrich; everything is taken unless the caller sets a limit.
 
     ``keep`` writes the selected rows to the shared folder, so that the raw
     lines are decoded once although several tables come from them.
@@ -48,7 +45,7 @@ def prepare(product_lines: DataFrame, review_lines: DataFrame, product_limit: in
 
 
 def run(spark: SparkSession, product_path: str, review_path: str, output: str,
-        product_limit: int | None = PRODUCT_LIMIT, reviews_per_product: int | None = REVIEWS_PER_PRODUCT) -> dict:
+        product_limit: int | None = None, reviews_per_product: int | None = None) -> dict:
     """Read, prepare and write both tables and the manifest; returns the row counts."""
     has_reviews = jsonl.path_exists(spark, review_path)
     reviews = jsonl.read_json_lines(spark, review_path) if has_reviews else jsonl.no_lines(spark)

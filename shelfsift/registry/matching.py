@@ -53,7 +53,7 @@ def term_join(spark, folder):
 _SPELLED = [(1, "wiht"), (2, "fromm"), (3, "thier"), (4, "hte"), (5, "of")]
 
 
-def _expanded_sql(queries: str, prefix: int, edits: str = "auto", cap: int | None = 50) -> str:
+def _expanded_sql(queries: str, prefix: int, edits: str = "auto", cap: int | None = None) -> str:
     """CTE ``qterms`` with the spellings of every query term."""
     allowed = {
         "auto": "CASE WHEN length(q.term) <= 2 THEN 0 WHEN length(q.term) <= 5 THEN 1 ELSE 2 END",
