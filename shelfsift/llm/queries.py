@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm import exact_dedup as exact
-from shelfsift.llm import html_text, license_scan, merkle, mixing, packing, secret_scan, simhash, substring_dedup, toxicity
+from shelfsift.llm import fill_middle, html_text, license_scan, merkle, mixing, packing, secret_scan, simhash
+from shelfsift.llm import substring_dedup, toxicity
 
 #: Vocabulary of the packed ids.
 TOKENIZER = "word_bpe_49k.json"
@@ -135,3 +136,31 @@ def op9_secret_scan(spark, folder):
 def op6_substring_dedup(spark, folder):
     """Passages that repeat across documents, and the class of every document."""
     return substring_dedup.substring_dedup(documents(spark, folder))
+
+
+@register("op13_fill_middle", r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                 regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok
+               FROM documents),
+    d AS (SELECT *, CAST(len(tok) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+            CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+            CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+    f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                           OR h3 % 100 >= 50 THEN 'plain'
+                         WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+            least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM d),
+    c AS (SELECT *, array_to_string(tok[1:a], '') AS pre, array_to_string(tok[a + 1:b], '') AS mid,
+            array_to_string(tok[b + 1:], '') AS suf FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                  ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM c""")
+def op13_fill_middle(spark, folder):
+    """How every document is set out for fill-in-middle, and its text rebuilt from that."""
+    found = fill_middle.rearrange(documents(spark, folder).select("doc_id", "text"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"))
