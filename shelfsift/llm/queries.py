@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfsift.llm import exact_dedup as exact
 from shelfsift.llm import fill_middle, html_text, license_scan, merkle, mixing, packing, secret_scan, simhash
-from shelfsift.llm import substring_dedup, toxicity
+from shelfsift.llm import substring_dedup, token_files, toxicity
+from shelfsift.session import scratch_path
 
 #: Vocabulary of the packed ids.
 TOKENIZER = "word_bpe_49k.json"
@@ -164,3 +165,14 @@ def op13_fill_middle(spark, folder):
     return found.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(text, 256).alias("restored_sha256"))
+
+
+@register("op12_token_files")
+def op12_token_files(spark, folder):
+    """Ids of every document, written to files of coded blocks and read back from them."""
+    import public_tokenizers
+
+    target = scratch_path(spark, "token-files")
+    token_files.write(documents(spark, folder).select("doc_id", "text"), public_tokenizers.path(TOKENIZER), target)
+    found = token_files.read(spark, target)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
