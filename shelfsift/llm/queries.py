@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm import exact_dedup as exact
+from shelfsift.llm import conversation_repair as repairs
 from shelfsift.llm import fill_middle, html_text, license_scan, merkle, mixing, packing, secret_scan, simhash
 from shelfsift.llm import substring_dedup, token_files, toxicity
+from shelfsift.llm.common import located
 from shelfsift.session import scratch_path
 
 #: Vocabulary of the packed ids.
@@ -176,3 +178,34 @@ def op12_token_files(spark, folder):
     token_files.write(documents(spark, folder).select("doc_id", "text"), public_tokenizers.path(TOKENIZER), target)
     found = token_files.read(spark, target)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with some rows dropped, emptied, cut short, repeated or given another role, as their keys fall."""
+    rows = located(rows)
+    name, turn, role, text = (
+        F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    kind = (F.crc32(F.concat(name, F.lit(":"), turn)) % 20).alias("kind")
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), "__file", "__row", kind)
+    one = F.lit(0)
+    return rows.filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", ""))
+        .otherwise(F.col("text")).alias("text"),
+        "__file", "__row", F.explode(F.when(F.col("kind") == 3, F.array(one, one)).otherwise(F.array(one))).alias("copy"),
+    ).drop("copy")
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark, folder):
+    """Faults of every damaged conversation, its cheapest edits and the digest of what they make of it."""
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    found = repairs.repair(damaged(rows))
+    digests = repairs.digests(found).withColumnRenamed("conv", "named")
+    every = rows.select("conv_id").distinct()
+    every = every.join(found.conversations, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    every = every.join(digests, F.col("conv_id").eqNullSafe(F.col("named")), "left")
+    figures = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select(
+        "conv_id", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in figures),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
