@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -16,72 +17,107 @@ from shelfsift.llm.common import map_frames, running_total, stored
 
 LENGTH, END = 4096, 2
 BUCKETS, DIMENSIONS, BITS = 256, 3, 12
-#: Words a worker remembers with their ids, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 40
+#: Words a worker remembers since it last put older ones aside (it keeps those too), and the longest of them in
+#: characters: some 40 MB in all.
+REMEMBERED, LONGEST = 100_000, 40
 #: A word of Latin letters and the marks at its end; the tokenizer parts the two whatever they are.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# Steps of a tokenizer that lower-cases, parts letters from marks and drops white space.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @lru_cache(maxsize=2)
-def _tokenizers(path: str):
-    """The tokenizer, and a second one for single words of lower-case Latin letters, which needs no patterns."""
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    from tokenizers.normalizers import Sequence
+
+    return Tokenizer.from_file(path)
+
+
+def goes_by_words(tokenizer) -> bool:
+    """Whether the ids of a text are those of its words, and those of a word of letters don't hang on their case."""
+    steps = json.loads(tokenizer.to_str())
+    normal, pieces, model = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}, steps["model"]
+    first = (pieces.get("pretokenizers") or [{}])[0]
+    return (
+        [step["type"] for step in normal.get("normalizers", [])] == _NORMALIZERS
+        and first.get("pattern") == {"Regex": _PIECES} and first.get("behavior") == "Removed"
+        and model["type"] == "BPE" and not model["dropout"]
+    )
+
+
+def _byte_letters() -> dict[int, str]:
+    """How the tokenizer's model writes the bytes of Latin letters beyond ASCII."""
     from tokenizers.pre_tokenizers import ByteLevel
 
-    whole, letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    letters.normalizer = Sequence([])
-    letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-    return whole, letters
+    written = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {c: written.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
 
 class WordIds:
-    """Ids of whole texts, made word by word: no token of the vocabulary reaches over a space or line end.
+    """Ids of whole texts, made word by word where no token of the vocabulary reaches over a space or line end.
 
-    A word's ids depend on the word alone, so each is tokenized once and then looked up.
+    A word's ids then depend on the word alone, so each is tokenized once and looked up from then on. Words not seen since
+    others filled the memory twice are tokenized anew. Texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.letters = _tokenizers(path)
+        self.tokenizer = _tokenizer(path)
+        self.by_words = goes_by_words(self.tokenizer)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END], self.kind).tobytes()
+        self.end = self._packed([END])
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        if self.by_words:
+            self.pieces, self.letters = self.tokenizer.model.tokenize, _byte_letters()
 
-    def _encode(self, tokenizer, words: list[str]) -> list[bytes]:
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of each word, all words in one call; the tokenizer tells the word of every id."""
-        found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, self.kind).tobytes()
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = self._packed(found.ids)
         cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * self.kind.itemsize
         cuts = cuts.tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _stem(self, stem: str) -> bytes:
+        """Ids of lower-case Latin letters, straight from the model: no pattern parts them."""
+        ids = self.older.get(stem)
+        if ids is None:
+            ids = self._packed([t.id for t in self.pieces(stem if stem.isascii() else stem.translate(self.letters))])
+        self.known[stem] = ids
+        return ids
+
     def _learn(self, words: list[str]) -> None:
-        """Plain words that differ in their case or the marks at their end are tokenized once, without the patterns."""
-        plain, other, split = {}, [], []
+        """Words that differ in their case or the marks at their end share what was found for their letters."""
+        known, other, plain = self.known, [], []
         for word in words:
-            m = _PLAIN.fullmatch(word)
-            if not m:
+            ids = self.older.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif m := _PLAIN.fullmatch(word):
+                stem, marks = m[1].lower(), m[2]
+                plain.append((word, stem, marks))
+                if marks not in known:
+                    other.append(marks)
+            else:
                 other.append(word)
-                continue
-            stem, marks = m[1].lower(), m[2]
-            split.append((word, stem, marks))
-            if stem not in self.known:
-                plain[stem] = True
-            if marks not in self.known:
-                other.append(marks)
-        for tokenizer, parts in ((self.letters, list(plain)), (self.tokenizer, other)):
-            self.known.update(zip(parts, self._encode(tokenizer, parts)))
-        for word, stem, marks in split:
-            self.known[word] = self.known[stem] + self.known[marks]
+        known.update(zip(other, self._encode(other)))
+        for word, stem, marks in plain:
+            ids = known.get(stem)
+            known[word] = (self._stem(stem) if ids is None else ids) + known[marks]
 
     def __call__(self, text: str | None) -> bytes:
+        if not self.by_words:
+            return self._packed(self.tokenizer.encode(text or "", add_special_tokens=False).ids) + self.end
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
         words = (text or "").replace("\n", " ").split(" ")
         new = [word for word in set(words) if word not in self.known]
         if new:
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-                new = list(set(words))
             self._learn(new)
         ids = b"".join(map(self.known.__getitem__, words)) + self.end
         for word in new:
@@ -90,7 +126,7 @@ class WordIds:
         return ids
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One per worker process, so that its tasks share the words that they have learned."""
     return WordIds(path)

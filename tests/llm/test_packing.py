@@ -25,6 +25,21 @@ def test_word_by_word_equals_the_whole(text):
     assert np.frombuffer(encode(text), encode.kind).tolist() == ids_of(text)
 
 
+def test_words_put_aside_and_found_again(documents, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    encode = packing.WordIds(PATH)
+    for r in documents.collect() + documents.collect():
+        assert np.frombuffer(encode(r.text), encode.kind).tolist() == ids_of(r.text)
+
+
+def test_a_tokenizer_that_keeps_white_space_takes_whole_texts(documents):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not encode.by_words
+    for r in documents.limit(50).collect():
+        assert np.frombuffer(encode(r.text), encode.kind).tolist() == whole.encode(r.text or "").ids + [2]
+
+
 @pytest.mark.parametrize("length", [4096, 64])
 def test_round_trip(documents, odd, length):
     for docs in (documents, odd, odd.union(odd)):
