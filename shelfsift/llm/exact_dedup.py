@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm.common import ascii_lower, located, stored
+from shelfsift.operators.sizes import is_small
 from shelfsift.session import scratch_path
 
 _STATE = {
@@ -16,6 +17,8 @@ _STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # Each partition has a store of its own, which would otherwise reserve megabytes before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -45,8 +48,9 @@ def exact_dedup(
     Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Of equal texts
     the row with the largest key stays (null lowest; of equal keys the last row of the last file).
     The stream's state holds, per digest, the stable identifier and content locator of the row to keep and the
-    number of rows. Full texts are compared within each digest; texts that differ in spite of an equal digest
-    are told apart by the texts themselves. An empty table gives an empty result.
+    number of rows. Full texts are compared where a digest was met more than once; texts that differ in spite of an
+    equal digest are told apart by the texts themselves. Very long texts are only hashed and compared, other columns are not
+    read, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = located(docs)
@@ -56,9 +60,12 @@ def exact_dedup(
     staged = stored(rows.select("id", "digest", "__file", "__row"), "exact-staged")
     groups = _streamed(spark, staged, files_per_batch)
 
-    # Within a digest the smallest and the largest text are equal only if all its texts are; map-side first.
+    # Within a digest the smallest and the largest text are equal only if all its texts are; map-side first. Few
+    # digests that were met again are broadcast, so that no other text is shuffled.
+    hits = groups.filter("n > 1").select("digest")
+    met = rows.join(F.broadcast(hits), "digest", "left_semi") if is_small(hits) else rows
     clash = stored(
-        rows.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+        met.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
         .filter("low <> high").select("digest"), "exact-clash",
     )
     best = F.max(F.struct("id", "__file", "__row")).alias("best")

@@ -1,5 +1,7 @@
 from collections import defaultdict
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfsift.llm.exact_dedup import exact_dedup
@@ -35,5 +37,28 @@ def test_repeated_rows_keep_one(spark, odd):
     assert df.filter("kept").count() == len({(r.text or "").translate(A_Z) for r in odd.collect()})
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_bytes_are_compared_whether_or_not_the_hits_are_few(odd, monkeypatch, small):
+    monkeypatch.setattr("shelfsift.llm.exact_dedup.is_small", lambda df: small)
+    assert found(exact_dedup(odd)) == expected(odd.collect())
+    short = exact_dedup(odd, digest=lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1))
+    assert found(short) == expected(odd.collect())
+
+
+def test_stores_of_many_partitions_take_little_disk(spark, documents):
+    local = Path(spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+
+    def used():
+        return sum(p.stat().st_blocks * 512 for p in local.parent.rglob("*") if p.is_file())
+
+    parts, before = spark.conf.get("spark.sql.shuffle.partitions"), used()
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        exact_dedup(documents)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert used() - before < 50 << 20
+
+
 def test_empty(empty):
     assert exact_dedup(empty).count() == 0
