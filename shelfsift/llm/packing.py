@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,10 @@ from shelfsift.llm.common import map_frames, running_total, stored
 
 LENGTH, END = 4096, 2
 BUCKETS, DIMENSIONS, BITS = 256, 3, 12
-#: Words a worker remembers since it last put older ones aside (it keeps those too), and the longest of them in
-#: characters: some 40 MB in all.
-REMEMBERED, LONGEST = 100_000, 40
+#: Stems a worker remembers from one piece of work to the next (some 20 MB) and characters of a piece, unless a text has more.
+REMEMBERED, PIECE = 150_000, 1 << 22
 #: A word of Latin letters and the marks at its end; the tokenizer parts the two whatever they are.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 # Steps of a tokenizer that lower-cases, parts letters from marks and drops white space.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -55,80 +56,102 @@ def _byte_letters() -> dict[int, str]:
     return {c: written.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
 
+def _gathered(pool: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that ``codes`` name, one behind the other, and their lengths; ``pool`` holds all runs in order."""
+    starts = np.cumsum(lengths) - lengths
+    chosen = lengths[codes]
+    ends = np.cumsum(chosen)
+    place = np.repeat(starts[codes] - (ends - chosen), chosen) + np.arange(ends[-1] if len(ends) else 0)
+    return pool[place], chosen
+
+
 class WordIds:
     """Ids of whole texts, made word by word where no token of the vocabulary reaches over a space or line end.
 
-    A word's ids then depend on the word alone, so each is tokenized once and looked up from then on. Words not seen since
-    others filled the memory twice are tokenized anew. Texts of other tokenizers are encoded whole.
+    The ids of a word then depend on the word alone, and words that differ in their case or the marks at their end share
+    those of their letters. Texts are taken in pieces: the distinct words of a piece are found and parted column by
+    column, each distinct stem is tokenized once, and the ids are gathered. Texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.by_words = goes_by_words(self.tokenizer)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = self._packed([END])
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         if self.by_words:
             self.pieces, self.letters = self.tokenizer.model.tokenize, _byte_letters()
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, all words in one call; the tokenizer tells the word of every id."""
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = self._packed(found.ids)
-        cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * self.kind.itemsize
-        cuts = cuts.tolist()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return array(self.code, ids).tobytes()
 
     def _stem(self, stem: str) -> bytes:
         """Ids of lower-case Latin letters, straight from the model: no pattern parts them."""
-        ids = self.older.get(stem)
-        if ids is None:
-            ids = self._packed([t.id for t in self.pieces(stem if stem.isascii() else stem.translate(self.letters))])
-        self.known[stem] = ids
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Words that differ in their case or the marks at their end share what was found for their letters."""
-        known, other, plain = self.known, [], []
-        for word in words:
-            ids = self.older.get(word)
-            if ids is not None:
-                known[word] = ids
-            elif m := _PLAIN.fullmatch(word):
-                stem, marks = m[1].lower(), m[2]
-                plain.append((word, stem, marks))
-                if marks not in known:
-                    other.append(marks)
-            else:
-                other.append(word)
-        known.update(zip(other, self._encode(other)))
-        for word, stem, marks in plain:
+        return self._packed([t.id for t in self.pieces(stem if stem.isascii() else stem.translate(self.letters))])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words in order and how many each has, all in one call; the tokenizer tells the word of every id."""
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, self.kind), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+
+    def _stemmed(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct stems in order and how many each has."""
+        known = self.stems
+        found = []
+        for stem in stems:
             ids = known.get(stem)
-            known[word] = (self._stem(stem) if ids is None else ids) + known[marks]
+            if ids is None:
+                ids = known[stem] = self._stem(stem)
+            found.append(ids)
+        if len(known) > REMEMBERED:
+            self.stems = dict(zip(stems[:REMEMBERED], found))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        return np.frombuffer(b"".join(found), self.kind), lengths
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in order and how many each has."""
+        parted = pc.extract_regex(words, _PLAIN)
+        plain = pc.is_valid(parted)
+        stems = pc.utf8_lower(pc.fill_null(pc.struct_field(parted, "stem"), "")).dictionary_encode()
+        others = pc.if_else(plain, pc.fill_null(pc.struct_field(parted, "marks"), ""), words).dictionary_encode()
+        runs = (self._stemmed(stems.dictionary.to_pylist()), self._encoded(others.dictionary.to_pylist()))
+        pool, lengths = (np.concatenate(both) for both in zip(*runs))
+        codes = np.empty(2 * len(words), np.int64)
+        codes[0::2] = stems.indices.to_numpy(zero_copy_only=False)
+        codes[1::2] = others.indices.to_numpy(zero_copy_only=False) + len(stems.dictionary)
+        ids, chosen = _gathered(pool, lengths, codes)
+        return ids, chosen[0::2] + chosen[1::2]
+
+    def _piece(self, texts: list[str]) -> list[bytes]:
+        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        ids, lengths = _gathered(*self._distinct(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
+        ends = np.concatenate([[0], np.cumsum(lengths)])[words.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() + self.end for a, b in zip(ends, ends[1:])]
+
+    def many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text and the end mark."""
+        texts = [text or "" for text in texts]
+        if not self.by_words:
+            return [self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end for t in texts]
+        found: list[bytes] = []
+        piece, size = [], 0
+        for text in texts:
+            if piece and size + len(text) > PIECE:
+                found += self._piece(piece)
+                piece, size = [], 0
+            piece.append(text)
+            size += len(text)
+        return found + self._piece(piece) if piece else found
 
     def __call__(self, text: str | None) -> bytes:
-        if not self.by_words:
-            return self._packed(self.tokenizer.encode(text or "", add_special_tokens=False).ids) + self.end
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {"": b""}
-        words = (text or "").replace("\n", " ").split(" ")
-        new = [word for word in set(words) if word not in self.known]
-        if new:
-            self._learn(new)
-        ids = b"".join(map(self.known.__getitem__, words)) + self.end
-        for word in new:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return ids
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One per worker process, so that its tasks share the words that they have learned."""
+    """One per worker process, so that its tasks share the stems that they have learned."""
     return WordIds(path)
 
 
@@ -169,7 +192,7 @@ def tokenized(docs: DataFrame, keys: list[str], tokenizer: str, text: str = "tex
         encode = word_ids(tokenizer)
         bucket, directions = projection(encode.tokenizer.get_vocab_size() + 1)
         for frame in frames:
-            ids = list(map(encode, frame.pop("__text")))
+            ids = encode.many(frame.pop("__text"))
             vectors = np.zeros((len(ids), BUCKETS))
             for i, b in enumerate(ids):
                 vectors[i] = np.bincount(bucket[np.frombuffer(b, encode.kind)], minlength=BUCKETS)

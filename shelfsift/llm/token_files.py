@@ -179,7 +179,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = word_ids(tokenizer)
         for frame in frames:
-            yield frame[["key"]].assign(ids=[ids_of(t) for t in frame["text"]])
+            yield frame[["key"]].assign(ids=ids_of.many(frame["text"]))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     ids = stored(

@@ -25,11 +25,13 @@ def test_word_by_word_equals_the_whole(text):
     assert np.frombuffer(encode(text), encode.kind).tolist() == ids_of(text)
 
 
-def test_words_put_aside_and_found_again(documents, monkeypatch):
+def test_pieces_and_forgotten_stems(documents, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 200)
+    monkeypatch.setattr(packing, "PIECE", 10_000)
     encode = packing.WordIds(PATH)
-    for r in documents.collect() + documents.collect():
-        assert np.frombuffer(encode(r.text), encode.kind).tolist() == ids_of(r.text)
+    texts = [r.text for r in documents.collect()] + [None, "", " ", "\n"] + [r.text for r in documents.collect()]
+    for text, found in zip(texts, encode.many(texts), strict=True):
+        assert np.frombuffer(found, encode.kind).tolist() == ids_of(text)
 
 
 def test_a_tokenizer_that_keeps_white_space_takes_whole_texts(documents):
