@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ SAMPLE = 1500
 #: Words that become features at most, and their least signed root of the likelihood ratio between toxic and other rows.
 FEATURES, LEAST_ROOT = 400, 4.0
 #: Lengths of the beginnings of words that are features beside the words; words whose features a task remembers.
-BEGINNINGS, REMEMBERED = (3, 4, 5, 6, 7, 8), 500_000
+BEGINNINGS, REMEMBERED = (3, 4, 5, 6, 7, 8), 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,9 +38,15 @@ class Ordinal:
     thresholds: tuple[float, ...]
     known: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False, repr=False)
 
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        """The first letters, as many as the shortest beginning has, without which a word has no feature."""
+        return frozenset(f.rstrip("*")[:BEGINNINGS[0]] for f in self.weights)
+
     def score(self, text: str | None) -> float:
         counts: Counter = Counter()
-        for word in _WORD.findall((text or "").lower()):
+        heads, size = self.heads, BEGINNINGS[0]
+        for word in [w for w in _WORD.findall((text or "").lower()) if w[:size] in heads]:
             told = self.known.get(word)
             if told is None:
                 if len(self.known) > REMEMBERED:
@@ -126,10 +133,15 @@ def fit_ordinal(rows: list[Counter], grade: np.ndarray, features: list[str], ste
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> Ordinal:
-    """A model from at most ``sample`` labelled rows of either label; without both labels every severity is 0."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(key, "toxic").dropDuplicates([key])
+    """A model from at most ``sample`` labelled keys of either label; without both labels every severity is 0.
+
+    Keys are taken in the order of a hash, null ones and null labels left out; a key with both labels is toxic, and of
+    the rows of one key the one with the smallest text counts, so repeated rows don't widen the sample.
+    """
+    known = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(sample) for y in (0, 1)]
-    rows = docs.select(key, "text").join(F.broadcast(chosen[0].union(chosen[1])), key)  # at most twice ``sample`` rows
+    rows = docs.select(key, "text").join(F.broadcast(chosen[0].union(chosen[1])), key)  # at most twice ``sample`` keys
+    rows = stored(rows.groupBy(key, "toxic").agg(F.min("text").alias("text")), "toxicity-rows")
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
     words = rows.select(key, "toxic", word.alias("w")).groupBy(key, "toxic", "w").count()
     begins = [F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in BEGINNINGS]
