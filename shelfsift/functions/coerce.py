@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What counts as a number in a text, and words that mean yes.
 NUMBER_PATTERN = r"\d+(?:\.\d+)?"
 TRUE_WORDS = ["1", "true", "t", "yes", "y"]
 
@@ -21,7 +22,12 @@ _FALSE_VALUES = (
     r"\A(?:BOOLEAN:false|STRING:|ARRAY:\[\]|OBJECT:\{\}"
     r"|(?:BIGINT|DECIMAL|DOUBLE|FLOAT):-?0+(?:\.0*)?(?:[eE][-+]?\d+)?)\z"
 )
-_TEXT_DEPTH = 3
+
+# Control characters stand nowhere in JSON text as they are, so these two can stand in for an escaped backslash and an
+# escaped quote. A string is then all that lies between two quotes.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+# Keys (with their colon) and strings, empty lists and objects, numbers and words.
+_JSON_PIECE = r'"[^"]*+"\s*+:?+|\[\s*+\]|\{\s*+\}|-?+[0-9][0-9.eE+-]*+|true|false|null'
 
 
 class Field(NamedTuple):
@@ -82,37 +88,34 @@ def scalar_text(field: Field) -> Column:
     return F.when(field.kind == "BOOLEAN", F.initcap(field.text)).otherwise(field.text)
 
 
-def _nested_text(kind: Column, variant: Column, text: Column, depth: int) -> Column:
-    plain = F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(F.coalesce(text, F.lit("")))
-    if depth == 0:
-        return plain
-    # Typed elements and written elements side by side, in file order.
-    items = F.when(
-        kind == "ARRAY",
-        F.arrays_zip(
-            variant.try_cast("array<variant>").alias("v"), F.from_json(text, "array<string>").alias("t")
-        ),
-    )
-    by_key = variant.try_cast("map<string,variant>")
-    entries = F.when(
-        kind == "OBJECT",
-        F.transform(
-            F.map_entries(F.from_json(text, "map<string,string>")),
-            lambda e: F.struct(F.try_element_at(by_key, e["key"]).alias("v"), e["value"].alias("t")),
-        ),
-    )
-    inner = F.transform(
-        F.coalesce(items, entries), lambda x: _nested_text(kind_of(x["v"]), x["v"], x["t"], depth - 1)
+def _leaf_text(piece: Column) -> Column:
+    """One value of a nested one: strings unescaped, booleans capitalised, nulls and empty lists and objects as ''."""
+    inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+    written = F.replace(F.replace(inner, F.lit(_BACKSLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"'))
+    decoded = F.from_json(F.concat(F.lit('["'), written, F.lit('"]')), "array<string>")[0]
+    return (
+        F.when(piece.startswith('"'), F.when(inner.rlike(r"[\x01\x02\\]"), decoded).otherwise(inner))
+        .when(piece.isin("true", "false"), F.initcap(piece))
+        .when((piece == "null") | piece.startswith("[") | piece.startswith("{"), "")
+        .otherwise(piece)
     )
-    return F.coalesce(F.array_join(inner, " "), plain)
+
+
+def nested_text(text: Column) -> Column:
+    """Values of a JSON list or object joined by one blank in file order, whatever their depth.
+
+    Joining level by level gives the same as joining all values in order, so one pass over the text does. Keys are the
+    strings before a colon.
+    """
+    masked = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    pieces = F.regexp_extract_all(masked, F.lit(_JSON_PIECE), F.lit(0))
+    values = F.filter(pieces, lambda p: ~(p.startswith('"') & p.endswith(":")))
+    return F.array_join(F.transform(values, _leaf_text), " ")
 
 
 def as_text(field: Field) -> Column:
-    """Lists and objects joined by one blank in file order, nulls as ''; three levels deep."""
-    nested = F.when(
-        field.kind.isin("ARRAY", "OBJECT"),
-        _nested_text(field.kind, F.parse_json(field.text), field.text, _TEXT_DEPTH),
-    )
+    """Lists and objects joined by one blank in file order, nulls as '', at any depth."""
+    nested = F.when(field.kind.isin("ARRAY", "OBJECT"), nested_text(field.text))
     return F.coalesce(nested, scalar_text(field), F.lit(""))
 
 
@@ -139,6 +142,11 @@ def bool_from_text(text: Column, default: bool = False) -> Column:
     )
 
 
+def parse_count(field: Field) -> Column:
+    """The number without its fraction; null where no long holds it."""
+    return parse_number(field).try_cast("long")
+
+
 def parse_bool(field: Field, default: bool = False) -> Column:
     kind, text = field
     return (

@@ -71,7 +71,7 @@ def normalize_products(raw: DataFrame) -> DataFrame:
         "_features": C.as_text(f["features"]),
         "_described": C.as_text(f["description"]),
         "_stars": C.parse_number(f["stars"]),
-        "_votes": C.parse_number(f["votes"]).cast("int"),
+        "_votes": C.parse_count(f["votes"]),
     })
     joined = F.concat_ws(" ", F.nullif("_described", F.lit("")), F.nullif("_features", F.lit("")))
     return rows.select(
@@ -138,7 +138,7 @@ def normalize_reviews(raw: DataFrame) -> DataFrame:
         C.parse_number(f["stars"]).alias("rating"),
         C.as_text(f["headline"]).alias("title"),
         C.as_text(f["body"]).alias("text"),
-        C.parse_number(f["helpful_vote"]).cast("int").alias("helpful_vote"),
+        C.parse_count(f["helpful_vote"]).alias("helpful_vote"),
         C.parse_bool(f["bought"]).alias("verified_purchase"),
         C.digits_to_long(F.col("_stamp")).alias("timestamp"),
     )

@@ -1,4 +1,4 @@
-"""English stemming by the published suffix-stripping algorithm (Porter 1980).
+"""English stemming by the published suffix-stripping algorithms: Porter's of 1980 and his later English (Porter2) one.
 
 Meant for the distinct terms of a vocabulary, never for corpus rows.
 """
@@ -99,3 +99,115 @@ def stem_word(word: str) -> str:
 @F.pandas_udf(T.StringType())
 def stem(terms: pd.Series) -> pd.Series:
     return terms.map(stem_word)
+
+
+# The later algorithm ----------------------------------------------------------
+
+# Word tables of the algorithm's description.
+WHOLE_WORDS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl",
+    "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+KEPT_AFTER_PLURALS = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
+LONG_BEGINNINGS = ["gener", "commun", "arsen"]
+LATER_STEP_2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize",
+    "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful",
+    "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og",
+    "fulli": "ful", "lessli": "less", "li": "",
+}
+LATER_STEP_3 = {
+    "tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
+    "ative": "",
+}
+LATER_STEP_4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive",
+    "ize", "ion",
+]
+DOUBLES = ["bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"]
+LI_ENDINGS = "cdeghkmnrt"
+
+_VOWELS = "aeiouy"
+_REGION = re.compile("[aeiouy][^aeiouy]")
+_SHORT = re.compile("(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+
+
+def _regions(word: str) -> tuple[int, int]:
+    """Where the regions behind the first and the second consonant that follows a vowel begin."""
+    first = next((len(b) for b in LONG_BEGINNINGS if word.startswith(b)), None)
+    if first is None:
+        found = _REGION.search(word)
+        first = found.end() if found else len(word)
+    found = _REGION.search(word, first)
+    return first, found.end() if found else len(word)
+
+
+def _without_plural(word: str) -> str:
+    if word.endswith("sses"):
+        return word[:-2]
+    if word.endswith(("ied", "ies")):
+        return word[:-2] if len(word) > 4 else word[:-1]
+    if word.endswith("s") and not word.endswith(("us", "ss")) and any(c in _VOWELS for c in word[:-2]):
+        return word[:-1]
+    return word
+
+
+def _without_participle(word: str, first: int) -> str:
+    for suffix in ("eedly", "ingly", "edly", "eed", "ing", "ed"):
+        if not word.endswith(suffix):
+            continue
+        stem = word[:-len(suffix)]
+        if suffix.startswith("eed"):
+            return stem + "ee" if len(stem) >= first else word
+        if not any(c in _VOWELS for c in stem):
+            return word
+        if stem.endswith(("at", "bl", "iz")):
+            return stem + "e"
+        if stem[-2:] in DOUBLES:
+            return stem[:-1]
+        return stem + "e" if len(stem) <= first and _SHORT.search(stem) else stem
+    return word
+
+
+def _longest(word: str, suffixes) -> str | None:
+    return next((s for s in sorted(suffixes, key=len, reverse=True) if word.endswith(s)), None)
+
+
+def later_stem(word: str) -> str:
+    """Stem of a lower-case word by the later algorithm."""
+    if len(word) <= 2:
+        return word
+    if word in WHOLE_WORDS:
+        return WHOLE_WORDS[word]
+    word = re.sub("(^|[aeiouy])y", r"\1Y", word.lstrip("'"))
+    first, second = _regions(word)
+    word = _without_plural(re.sub("('s'|'s|')$", "", word))
+    if word in KEPT_AFTER_PLURALS:
+        return word
+    word = _without_participle(word, first)
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in _VOWELS:
+        word = word[:-1] + "i"
+    suffix = _longest(word, LATER_STEP_2)
+    if suffix and len(word) - len(suffix) >= first:
+        stem = word[:-len(suffix)]
+        if {"ogi": stem.endswith("l"), "li": stem[-1:] in tuple(LI_ENDINGS)}.get(suffix, True):
+            word = stem + LATER_STEP_2[suffix]
+    suffix = _longest(word, LATER_STEP_3)
+    if suffix and len(word) - len(suffix) >= (second if suffix == "ative" else first):
+        word = word[:-len(suffix)] + LATER_STEP_3[suffix]
+    suffix = _longest(word, LATER_STEP_4)
+    if suffix and len(word) - len(suffix) >= second and (suffix != "ion" or word[-4:-3] in ("s", "t")):
+        word = word[:-len(suffix)]
+    if word.endswith("e"):
+        at = len(word) - 1
+        if at >= second or (at >= first and not _SHORT.search(word[:-1])):
+            word = word[:-1]
+    elif word.endswith("ll") and len(word) - 1 >= second:
+        word = word[:-1]
+    return word.lower()
+
+
+@F.pandas_udf(T.StringType())
+def english_stem(terms: pd.Series) -> pd.Series:
+    return terms.map(later_stem)

@@ -31,6 +31,17 @@ ENGLISH_STOP_WORDS = [
 ]
 
 
+# The stop words of the later English stemmer's word list, which relational text search leaves out.
+SEARCH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
+has had having do does did doing a an the and but if or because as until while of at by for with about against between
+into through during before after above below to from up down in out on off over under again further then once here there
+when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
+just don should now
+""".split()
+
+
 def fold(text: Column) -> Column:
     """ASCII letters for accented Latin ones; expects lower case. Plain ASCII passes untouched."""
     out = F.translate(text, ACCENTED, PLAIN)
@@ -41,11 +52,15 @@ def fold(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How a field becomes terms. Stop words keep their position but yield no term."""
+    """How a field becomes terms. Stop words keep their position but yield no term.
+
+    With ``stems`` searches compare the stems of the words; the tables hold the words themselves.
+    """
 
     folded: bool = True
     possessive: bool = False
     stop_words: tuple[str, ...] = ()
+    stems: bool = False
 
     def tokens(self, text: Column) -> Column:
         """All words in order, stop words included, as ``array<string>``."""
@@ -77,6 +92,7 @@ class Analyzer:
 
 PRODUCT = Analyzer()
 PLAIN_WORDS = Analyzer(folded=False)
+ENGLISH_TEXT = Analyzer(folded=False, stop_words=tuple(SEARCH_STOP_WORDS), stems=True)
 ENGLISH_REVIEW = Analyzer(possessive=True, stop_words=tuple(ENGLISH_STOP_WORDS))
 
 

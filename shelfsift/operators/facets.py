@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Longest list that fills gaps between buckets.
+GAP_STEP = 1 << 15
+
 # Price buckets, lower end included, upper end not.
 PRICE_RANGES = [
     ("*-50.0", None, 50.0), ("50.0-100.0", 50.0, 100.0), ("100.0-300.0", 100.0, 300.0),
@@ -47,7 +50,10 @@ def terms_facet(df: DataFrame, column: str, n: int = 10, by: list[str] = []) ->
 
 
 def distribution_map(df: DataFrame, column: str, by: list[str] = []) -> DataFrame:
-    """All values of a low-cardinality attribute as one map per group."""
+    """All values of a low-cardinality attribute as one map per group, for the edge of a flow.
+
+    ``value_counts`` is the same in long form, for attributes of any number of values.
+    """
     pair = F.struct("value", "n")
     return value_counts(df, column, by).groupBy(*by).agg(
         F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("distribution")
@@ -74,15 +80,28 @@ def range_buckets(df: DataFrame, column: str, ranges=PRICE_RANGES, by: list[str]
     return df.groupBy(*by).agg(*counts).select(*by, F.inline(rows))
 
 
+def gaps_filled(counts: DataFrame, slot: str, order: Column, kept: list[str], name: str) -> DataFrame:
+    """Rows with integer ``slot`` and, behind each, one per number that is missing before the next by ``order``.
+
+    ``name`` holds the number, ``slot`` that of the row it came from; a row that has no slot stays as it is. The numbers are made
+    in steps of four sizes, so no row ever holds a list longer than GAP_STEP, however far an outlier lies.
+    """
+    following = F.lead(slot).over(order)
+    rows = counts.withColumn("_end", F.coalesce(following, F.col(slot) + 1) - 1).select(*kept, slot, "_end", F.col(slot).cast("long").alias(name))
+    for step in (GAP_STEP ** 3, GAP_STEP ** 2, GAP_STEP, 1):
+        until = F.least(F.col("_end").cast("long"), F.col(name) + step * GAP_STEP - 1)
+        rows = rows.select(*kept, slot, "_end", F.explode_outer(F.sequence(name, until, F.lit(step).cast("long"))).alias(name))
+    return rows.drop("_end")
+
+
 def histogram(df: DataFrame, column: str, width: float = 1.0, by: list[str] = []) -> DataFrame:
     """Counts per interval, keyed by its lower end; gaps between the ends are filled with 0."""
     slot = F.floor(F.col(column) / width).alias("_slot")
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, slot).agg(F.count(F.lit(1)).alias("n"))
-    every = counts.groupBy(*by).agg(F.min("_slot").alias("_a"), F.max("_slot").alias("_b")).filter(
-        F.col("_a").isNotNull()
-    ).select(*by, F.explode(F.sequence("_a", "_b")).alias("_slot"))
-    return every.join(counts, [*by, "_slot"], "left").select(
-        *by, (F.col("_slot") * float(width)).alias("value"), F.coalesce("n", F.lit(0)).alias("n")
+    window = (W.partitionBy(*by) if by else W).orderBy("_slot")
+    every = gaps_filled(counts, "_slot", window, [*by, "n"], "_at")
+    return every.select(
+        *by, (F.col("_at") * float(width)).alias("value"), F.when(F.col("_at") == F.col("_slot"), F.col("n")).otherwise(F.lit(0)).alias("n")
     )
 
 
@@ -150,11 +169,8 @@ def analytics_bundle(df: DataFrame, by: list[str] = ["query_id"], n: int = 10,
     tie = F.when(F.col("facet") == "brand", F.col("avg_rating"))
     best = _best(terms, [*by, "facet"], [F.desc("n"), tie.asc(), F.asc("value")], n)
     rest = _grouping_facets(keyed, by, {"rating": ["bucket"], "summary": []}, rounding)
-    following = F.lead("bucket").over(W.partitionBy(*by, "facet").orderBy("bucket"))
-    rest = rest.withColumn("_next", F.coalesce(following, F.col("bucket") + 1)).select(
-        *by, "facet", "bucket", "n", "avg_rating", "helpful_votes",
-        F.explode_outer(F.sequence("bucket", F.col("_next") - 1)).alias("_slot"),
-    )
+    in_order = W.partitionBy(*by, "facet").orderBy("bucket")
+    rest = gaps_filled(rest, "bucket", in_order, [*by, "facet", "n", "avg_rating", "helpful_votes"], "_slot")
     filler = F.col("_slot") != F.col("bucket")
     zero = F.lit(0).cast("long")
     rest = rest.select(

@@ -16,14 +16,18 @@ from shelfsift.operators.sizes import hinted, is_small
 NO_SPAN = 1_000_000
 
 
-def ladder_matches(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, words, typos, span, attribute, exact, n_terms, score).
+def ladder_terms(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """Query words with every spelling of theirs in the vocabulary; they match, and they are what hits are marked with."""
+    return expand_terms(query_terms(queries, index.fields), vocabulary(index), ladder_edits, max_expansions=None)
+
+
+def ladder_matches(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, doc_id, words, typos, span, attribute, exact, n_terms, score) for ``ladder_terms``.
 
     Criteria in order: more words matched, fewer typos, words closer together,
     an earlier attribute, more exact words. ``score`` folds the first three
     into (0, 1].
     """
-    terms = expand_terms(query_terms(queries, index.fields), vocabulary(index), ladder_edits, max_expansions=None)
     spelled = terms.select("query_id", "field", "slot", "n_terms", "term", "typos")
     small = is_small(spelled)
     postings = near_terms(index.positions, spelled, small).select("doc_id", "field", "field_no", "term", "pos")

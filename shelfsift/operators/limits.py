@@ -2,73 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfsift.operators.sizes import materialized
+
 # Up to this many rows Spark's own top-n (a bounded heap per task) is the best plan.
 SMALL_LIMIT = 1000
-BUCKETS = 4096
 
 
-def value_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
-    """An integer that grows with a numeric column and takes at most ``buckets`` values."""
-    low = df.select(F.min(column)).scalar()
-    high = df.select(F.max(column)).scalar()
-    width = F.floor((high - low) / buckets) + 1
-    return F.floor((F.col(column) - low) / width)
+def dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows dealt out by ranges of the order, with their range as ``_part``; kept, so that all later steps see one dealing.
+
+    Spark samples quantiles for the borders: neither outliers nor clumps of values make a range much larger than
+    others, and any type can be ordered. Only rows alike in the whole order stay together.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialized(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def _rows_before(df: DataFrame, bucket: str) -> DataFrame:
-    """Per bucket its size and the rows in all earlier ones; one row per bucket, so small."""
-    sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+def _rows_before(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """(range, rows in earlier ones, its own rows), in order; a row per range comes to the driver."""
+    sizes = sorted(map(tuple, rows.groupBy("_part").agg(F.count(F.lit(1))).collect()))
+    found, before = [], 0
+    for part, n in sizes:
+        found.append((part, before, n))
+        before += n
+    return found
 
 
-def first_n(df: DataFrame, n: int, order: str, bucket: Column | None = None) -> DataFrame:
+def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
     """The first ``n`` rows by a unique column.
 
-    A large ``n`` is cut by bucket: buckets before the boundary pass whole and
-    without a shuffle, only the boundary bucket is sorted. ``bucket`` must grow
-    with ``order``; a numeric order column needs none.
+    For a large ``n`` only the column is dealt out, to find the last value
+    wanted; then the rows up to it pass where they are.
     """
     if n <= SMALL_LIMIT:
         return df.orderBy(order).limit(max(n, 0))
-    df = df.withColumn("_bucket", value_bucket(df, order) if bucket is None else bucket)
-    open_buckets = _rows_before(df, "_bucket").filter(F.col("_before") < n)
-    boundary = open_buckets.select(F.max("_bucket")).scalar()
-    taken = open_buckets.select(F.max("_before")).scalar()
-    whole = df.filter(F.col("_bucket") < boundary)
-    rank = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
-    cut = (
-        df.filter(F.col("_bucket") == boundary)
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= F.lit(n) - taken)
-        .drop("_rank")
-    )
-    return whole.unionByName(cut).drop("_bucket")
-
-
-def numbered(df: DataFrame, order: str, bucket: Column | None = None, name: str = "row_no") -> DataFrame:
-    """A global 1-based row number by a unique column, ranked bucket by bucket."""
-    df = df.withColumn("_bucket", value_bucket(df, order) if bucket is None else bucket)
-    before = _rows_before(df, "_bucket").drop("_n")
-    # Without a bucket of the caller's there are at most BUCKETS rows to send around.
-    placed = df.join(F.broadcast(before) if bucket is None else before, "_bucket")
-    local = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
-    return placed.withColumn(name, local + F.col("_before")).drop("_bucket", "_before")
-
-
-def pages(df: DataFrame, order: str, size: int, bucket: Column | None = None) -> DataFrame:
+    keys = dealt(df.select(order), order)
+    holder = [(part, n - before) for part, before, size in _rows_before(keys) if before < n <= before + size]
+    if not holder:
+        return df
+    part, nth = holder[0]
+    last = keys.filter(F.col("_part") == part).orderBy(order).offset(nth - 1).limit(1).first()[0]
+    if isinstance(last, Row):
+        last = F.struct(*(F.lit(value).alias(name) for name, value in last.asDict().items()))
+    return df.filter(F.col(order) <= last)
+
+
+def numbered(df: DataFrame, order: str, name: str = "row_no") -> DataFrame:
+    """A global 1-based row number by a unique column, ranked range by range."""
+    return _numbered(df, [F.col(order)], name)
+
+
+def _numbered(df: DataFrame, order: list[Column], name: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """Rows of the ranges that hold the numbers from ``first`` to ``last``, with their number."""
+    rows = dealt(df, *order)
+    held = [(part, before) for part, before, n in _rows_before(rows) if before + n >= first and (last is None or before < last)]
+    before = F.broadcast(df.sparkSession.createDataFrame(held, "_part int, _before long"))  # a row per range
+    local = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return rows.join(before, "_part").withColumn(name, local + F.col("_before")).drop("_part", "_before")
+
+
+def pages(df: DataFrame, order: str, size: int) -> DataFrame:
     """Every row with the page it falls on (0-based)."""
-    rows = numbered(df, order, bucket)
-    return rows.withColumn("page", F.floor((F.col("row_no") - 1) / size))
+    return numbered(df, order).withColumn("page", F.floor((F.col("row_no") - 1) / size))
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One 1-based page of an ordered table; only the rows up to its end are kept on the way."""
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    """One 1-based page of an ordered table.
+
+    The first pages come from a bounded heap per task; a deep one from the
+    ranges that hold it, the others are only counted.
+    """
+    first, last = (page - 1) * size + 1, page * size
+    if last <= SMALL_LIMIT:
+        return df.orderBy(*order).offset(first - 1).limit(size)
+    rows = _numbered(df, order, "_no", first, last)
+    return rows.filter(F.col("_no").between(first, last)).orderBy("_no").drop("_no")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfsift.functions.stem import english_stem
 from shelfsift.functions.text import Analyzer
-from shelfsift.operators.postings import IndexField, TextIndex, near_terms
+from shelfsift.operators.postings import PUSHED_TERMS, IndexField, TextIndex, near_terms, stem_table
 from shelfsift.operators.sizes import hinted, is_small, materialized
 
 # Okapi BM25 (Robertson & Zaragoza 2009).
@@ -15,9 +16,6 @@ K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
 
-# A posting every document has, for groups that only exclude.
-ANY_DOCUMENT = ""
-
 
 def lookup(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """Postings of the wanted (field, term) pairs.
@@ -131,14 +129,6 @@ def best_field(scores: DataFrame, boosts: dict[str, float] | None = None) -> Dat
     return scores.groupBy("query_id", "doc_id").agg(F.round(F.max(boosted), SCORE_DIGITS).alias("score"))
 
 
-def minimum_match(scores: DataFrame, above: int = 2, share: float = 0.7) -> DataFrame:
-    """Up to ``above`` words all must match in a field, beyond that the given share, rounded down."""
-    needed = F.when(F.col("n_terms") <= above, F.col("n_terms")).otherwise(
-        F.floor(F.round(F.col("n_terms") * share, 9))
-    )
-    return scores.filter(F.col("matched") >= needed)
-
-
 def any_term_match(index: TextIndex, terms: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
     """Documents with at least one query word, by relevance."""
     return best_field(field_scores(index, terms), boosts)
@@ -152,7 +142,8 @@ def query_units(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
 
     Words must all match; ``or`` starts an alternative group; a leading ``-``
     excludes; quotes make a phrase. One row per term, as column expressions, so
-    any number of queries is split at once.
+    any number of queries is split at once. Words are stemmed where the
+    analyzer says so; ``n_positive`` is 0 in a group that only excludes.
     """
     raw = F.regexp_extract_all("q", F.lit(r'-?"[^"]*"|[^\s"]+'), F.lit(0))
     is_or = lambda r: F.lower(r) == "or"
@@ -171,32 +162,34 @@ def query_units(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
     units = units.select("query_id", "grp", "unit", F.col("raw").startswith("-").alias("negated"), placed.alias("placed"))
     units = units.filter(F.size("placed") > 0)
     positive = units.groupBy("query_id", "grp").agg(F.count_if(~F.col("negated")).alias("n_positive"))
-    # A group that only excludes starts from every document.
-    everything = positive.filter("n_positive = 0").select(
-        "query_id", "grp", F.lit(-1).alias("unit"), F.lit(False).alias("negated"),
-        F.array(F.struct(F.lit(0).alias("offset"), F.lit(ANY_DOCUMENT).alias("term"))).alias("placed"),
-        F.lit(1).cast("long").alias("n_positive"),
-    )
-    stated = units.join(positive, ["query_id", "grp"]).withColumn("n_positive", F.greatest("n_positive", F.lit(1)))
-    return stated.unionByName(everything).select(
+    rows = units.join(positive, ["query_id", "grp"]).select(
         "query_id", "grp", "unit", "negated", "n_positive", F.size("placed").alias("n"), F.inline("placed")
     )
+    return rows.withColumn("term", english_stem("term")) if analyzer.stems else rows
 
 
-def with_any_document(positions: DataFrame, documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Postings plus one per document for queries that only exclude."""
-    every = documents.select(
-        F.col(id_column).alias("doc_id"), F.lit(ANY_DOCUMENT).alias("term"), F.lit(0).alias("pos")
-    )
-    return positions.select("doc_id", "term", "pos").unionByName(every)
+def stemmed_postings(positions: DataFrame, units: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings by stem, cut to the stems of the queries, and (stem, word) of all words that have them.
+
+    The table holds words. The vocabulary (``words`` with term and stem, if it
+    is stored) tells which of them share a stem with a query, and only their
+    postings are read, a join like any other.
+    """
+    asked = units.select(F.col("term").alias("stem")).distinct()
+    known = words if words is not None else stem_table(positions, english_stem)
+    sharing = materialized(known.select("term", "stem").join(hinted(asked, is_small(asked)), "stem"))
+    few = is_small(sharing)
+    rows = near_terms(positions, sharing, few).join(hinted(sharing, few), "term")
+    return rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"), sharing.withColumnRenamed("term", "word")
 
 
-def boolean_match(positions: DataFrame, units: DataFrame) -> DataFrame:
+def boolean_match(positions: DataFrame, units: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(query_id, grp, doc_id) for every alternative that holds.
 
     A phrase holds where all its words lie at one start; a single word needs no
     place, so its occurrences collapse before the shuffle. Excluding is counted
-    in the same aggregation as matching.
+    in the same aggregation as matching. A group that only excludes holds for
+    all ``documents`` (doc_id) but those found; no posting stands for them.
     """
     start = F.when(F.col("n") == 1, 0).otherwise(F.col("pos") - F.col("offset"))
     keys = ["query_id", "grp", "unit", "negated", "n_positive", "n", "doc_id"]
@@ -208,28 +201,45 @@ def boolean_match(positions: DataFrame, units: DataFrame) -> DataFrame:
     groups = found.groupBy("query_id", "grp", "doc_id", "n_positive").agg(
         F.count_if(~F.col("negated")).alias("hit"), F.count_if(F.col("negated")).alias("excluded")
     )
-    return groups.filter((F.col("hit") >= F.col("n_positive")) & (F.col("excluded") == 0)).select(
+    held = groups.filter((F.col("hit") >= F.col("n_positive")) & (F.col("n_positive") > 0) & (F.col("excluded") == 0)).select(
         "query_id", "grp", "doc_id"
     )
-
-
-def matching_documents(positions: DataFrame, units: DataFrame) -> DataFrame:
+    only = units.filter("n_positive = 0").select("query_id", "grp").distinct()
+    few = only.limit(PUSHED_TERMS + 1).collect() if documents is not None else []
+    if not few:
+        return held
+    # The answer to such a group is the table itself but for a few rows, so it is made as that.
+    every = documents.select("doc_id")
+    if len(few) <= PUSHED_TERMS:
+        kind = dict(only.dtypes)
+        group = lambda r: F.struct(*(F.lit(r[c]).cast(kind[c]).alias(c) for c in only.columns))
+        every = every.select("doc_id", F.inline(F.array(*map(group, few))))
+    else:
+        every = every.crossJoin(hinted(only, small))
+    excluded = groups.filter("n_positive = 0").select("query_id", "grp", "doc_id")
+    return held.unionByName(every.join(excluded, ["query_id", "grp", "doc_id"], "left_anti"))
+
+
+def matching_documents(positions: DataFrame, units: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id) of documents for which any alternative holds."""
-    return boolean_match(positions, units).select("query_id", "doc_id").distinct()
+    return boolean_match(positions, units, documents).select("query_id", "doc_id").distinct()
 
 
 def ranked_slots(units: DataFrame) -> DataFrame:
     """(query_id, grp, slot, term, n_terms): the distinct words that count for ranking."""
-    wanted = units.filter(~F.col("negated") & (F.col("term") != ANY_DOCUMENT))
+    wanted = units.filter(~F.col("negated"))
     grouped = wanted.groupBy("query_id", "grp").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return grouped.select(
         "query_id", "grp", F.posexplode("terms").alias("slot", "term"), F.size("terms").alias("n_terms")
     )
 
 
-def highlight_terms(units: DataFrame) -> DataFrame:
-    """(query_id, terms): words to mark in the hits of a query."""
-    wanted = units.filter(~F.col("negated") & (F.col("term") != ANY_DOCUMENT))
+def highlight_terms(units: DataFrame, sharing: DataFrame | None = None) -> DataFrame:
+    """(query_id, terms): words to mark in the hits of a query, with ``sharing`` all that have their stems."""
+    wanted = units.filter(~F.col("negated"))
+    if sharing is not None:
+        stems = sharing.select(F.col("stem").alias("term"), "word")
+        wanted = wanted.join(hinted(stems, is_small(stems)), "term").drop("term").withColumnRenamed("word", "term")
     return wanted.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 

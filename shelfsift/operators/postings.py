@@ -57,12 +57,21 @@ def _length(field: IndexField, i: int) -> Column:
     return F.size(F.filter(tokens, field.keeps)) if field.analyzer.stop_words else F.size(tokens)
 
 
+def _last_kept(field: IndexField, i: int) -> Column:
+    """Place of the last word that isn't a stop word, 0 if there is none."""
+    tokens = F.col(f"_t{i}")
+    if not field.analyzer.stop_words:
+        return F.size(tokens)
+    places = F.transform(tokens, lambda w, at: F.when(field.keeps(w), at + 1).otherwise(0))
+    return F.coalesce(F.array_max(places), F.lit(0))
+
+
 def term_positions(df: DataFrame, fields: list[IndexField], id_column: str, chained: bool = False) -> DataFrame:
     """(doc_id, field, field_no, term, pos, dl, weight), one row per kept word.
 
     The fields of a row are unfolded next to each other, so the table is read
-    once. With ``chained`` the positions of a field go on where the previous
-    one ended.
+    once. With ``chained`` the positions of a field go on after the last kept
+    word of the previous one.
     """
     per_field, before = [], F.lit(0)
     for i, field in enumerate(fields):
@@ -71,7 +80,7 @@ def term_positions(df: DataFrame, fields: list[IndexField], id_column: str, chai
             _length(field, i).alias("dl"), before.alias("before"), F.col(f"_t{i}").alias("tokens"),
         ))
         if chained:
-            before = before + F.size(F.col(f"_t{i}"))
+            before = before + _last_kept(field, i)
     unfolded = _token_columns(df, fields, id_column).select("doc_id", F.inline(F.array(*per_field)))
     rows = unfolded.select(
         "doc_id", "field", "field_no", "dl", "weight", "before", F.posexplode("tokens").alias("at", "term")
@@ -110,9 +119,10 @@ class TextIndex:
         return [f.name for f in self.fields]
 
     def save(self, path: str) -> None:
-        """Write positions, statistics and the distinct words with their stems."""
+        """Write positions, statistics and the distinct words with their stems, sorted so that a beginning is a range."""
         save_positions(self.positions, f"{path}/positions")
-        stemmed_vocabulary(self).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        words = stemmed_vocabulary(self).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+        words.write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
 
     @classmethod
@@ -183,9 +193,9 @@ def folded_to_stems(index: TextIndex, sharing: DataFrame) -> TextIndex:
     return replace(index, positions=rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"), words=None)
 
 
-def stem_table(positions: DataFrame) -> DataFrame:
+def stem_table(positions: DataFrame, stemmer: Callable[[Column], Column] = stem) -> DataFrame:
     """(term, stem): the Python stemmer sees every distinct term once, no corpus rows."""
-    return positions.select("term").distinct().select("term", stem("term").alias("stem"))
+    return positions.select("term").distinct().select("term", stemmer(F.col("term")).alias("stem"))
 
 
 def term_statistics(positions: DataFrame) -> DataFrame:

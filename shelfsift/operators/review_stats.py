@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfsift.operators.facets import half_even
-from shelfsift.operators.limits import first_per_key
+from shelfsift.operators.limits import dealt, first_per_key
 
 TEXTS_PER_PRODUCT = 5
 
@@ -57,31 +57,26 @@ def load_counters(normalized: DataFrame, product_ids: DataFrame, scanned: DataFr
     )
 
 
-def latency_stats(df: DataFrame, value: str, by: list[str], quantile: float = 0.95,
-                  buckets: int = 1024) -> DataFrame:
+def latency_stats(df: DataFrame, value: str, by: list[str], quantile: float = 0.95) -> DataFrame:
     """Count, mean, nearest-rank quantile, minimum and maximum per group.
 
-    The quantile is exact: a histogram finds the bucket that holds the wanted
-    rank, and only the distinct values of that bucket are ordered.
+    The quantile is exact. Equal values are counted first; the distinct ones are dealt out by ranges of group and value,
+    so a group of any size is spread over ranges, outliers or not. Sums per group and range lead to
+    the range that holds the wanted rank.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     basic = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"), half_even(F.sum("_x") / F.count(F.lit(1))).alias("avg_ms"),
         F.min("_x").alias("min_ms"), F.max("_x").alias("max_ms"),
     ).withColumn("_at", F.rint((F.col("count") - 1) * quantile).cast("long"))
-    span = F.col("max_ms") - F.col("min_ms")
-    slot = F.when(span > 0, F.floor((F.col("_x") - F.col("min_ms")) / span * (buckets - 1))).otherwise(0)
-    # Equal values are counted before anything is ordered.
-    counted = rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    placed = counted.join(basic.select(*by, "min_ms", "max_ms", "_at"), by).withColumn("_slot", slot)
-    sizes = placed.groupBy(*by, "_slot", "_at").agg(F.sum("_c").alias("_c"))
-    earlier = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    holder = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).filter(
+    placed = dealt(rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")), *by, "_x")
+    sizes = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_c"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    holder = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).join(basic.select(*by, "_at"), by).filter(
         (F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c"))
-    ).select(*by, "_slot", "_before")
-    inside = placed.join(holder, [*by, "_slot"])
-    running = W.partitionBy(*by).orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    quantiles = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(running)).filter(
+    ).select(*by, "_part", "_before", "_at")
+    running = W.partitionBy(*by, "_part").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    quantiles = placed.join(holder, [*by, "_part"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(running)).filter(
         F.col("_at") < F.col("_upto")
     ).groupBy(*by).agg(F.min("_x").alias("p95_ms"))
     return basic.join(quantiles, by).select(*by, "count", "avg_ms", "p95_ms", "min_ms", "max_ms")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import PRODUCT
 from shelfsift.operators.limits import top_k
 from shelfsift.operators.match import SCORE_DIGITS, term_impacts
-from shelfsift.operators.postings import IndexField, TextIndex, near_terms, query_terms, vocabulary
+from shelfsift.operators.postings import PUSHED_TERMS, IndexField, TextIndex, near_terms, query_terms, vocabulary
 from shelfsift.operators.sizes import hinted, is_small, materialized
 
 MIN_PREFIX = 2
@@ -21,8 +23,17 @@ def suggest_fields(column: str = "title") -> list[IndexField]:
     ]
 
 
+def _started(vocab: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words that begin like any query's last one; few beginnings reach the scan, which opens their range of the sorted words."""
+    few = [r["prefix"] for r in wanted.select("prefix").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(few) > PUSHED_TERMS:
+        return vocab
+    return vocab.filter(reduce(lambda a, b: a | b, (F.col("term").startswith(p) for p in few), F.lit(False)))
+
+
 def prefix_terms(wanted: DataFrame, vocab: DataFrame) -> DataFrame:
     """(field, prefix, term): the vocabulary under its beginnings, as far as any query needs them."""
+    vocab = _started(vocab, wanted)
     bounds = wanted.select(F.min(F.length("prefix")).alias("low"), F.max(F.length("prefix")).alias("high"))
     low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
     until = F.least(F.length("term"), high)

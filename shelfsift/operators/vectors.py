@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,9 +22,13 @@ DIMENSIONS = 768
 BATCH = 100
 RETRIES = 5
 
-# One block of the exact search: so many queries against so many vectors.
+# One block of a search: so many queries against so many vectors, some 100 MB at 768 dimensions.
 _QUERIES_PER_BLOCK = 1024
-_VECTORS_PER_BLOCK = 200_000
+_VECTORS_PER_BLOCK = 20_000
+
+# Bits of a signature; a vector this near a plane counts as on its far side, whatever rounding says.
+BITS = 1024
+_ON_PLANE = 1e-6
 
 
 # Embedding -----------------------------------------------------------------------
@@ -161,12 +167,18 @@ def _few_queries(v: DataFrame, q: DataFrame, k: int, schema: str) -> DataFrame:
     return v.mapInPandas(nearest, schema)
 
 
-def _query_blocks(v: DataFrame, q: DataFrame, k: int, schema: str) -> DataFrame:
-    blocks = max(1, math.ceil(q.count() / _QUERIES_PER_BLOCK))
-    parts = max(1, math.ceil(v.count() / _VECTORS_PER_BLOCK))
+def _blocks(vectors: DataFrame, id_column: str, queries: DataFrame, query_column: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with block and part: every block of queries meets every part of the vectors once, spread by hash."""
+    blocks = max(1, math.ceil(queries.count() / _QUERIES_PER_BLOCK))
+    parts = max(1, math.ceil(vectors.count() / _VECTORS_PER_BLOCK))
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).withColumn("block", everywhere(blocks))
-    right = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", everywhere(parts))
+    left = vectors.withColumn("part", F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int")).withColumn("block", everywhere(blocks))
+    right = queries.withColumn("block", F.pmod(F.xxhash64(query_column), F.lit(blocks)).cast("int")).withColumn("part", everywhere(parts))
+    return left, right
+
+
+def _query_blocks(v: DataFrame, q: DataFrame, k: int, schema: str) -> DataFrame:
+    left, right = _blocks(v, "doc_id", q, "query_id")
 
     def nearest(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(asked):
@@ -187,62 +199,104 @@ def candidate_count(k: int) -> int:
     return max(10 * k, 50)
 
 
-def _signatures(dimensions: int, bands: int, bits: int, seed: int):
-    planes = np.random.RandomState(seed).standard_normal((dimensions, bands * bits))
-    powers = 1 << np.arange(bits)
-    spare = -(bands * bits) % 64
+@lru_cache(maxsize=4)
+def _planes(dimensions: int, bits: int, seed: int) -> np.ndarray:
+    """Directions of random hyperplanes, 1 or -1 in every dimension by a hash, so that SQL can make the same."""
+    signs = [hashlib.md5(f"{seed}:{p}:{d}".encode()).hexdigest()[0] < "8" for p in range(bits) for d in range(dimensions)]
+    return np.where(np.array(signs).reshape(bits, dimensions), 1, -1).astype(np.int8)
+
+
+def _packed_sides(vectors, planes: np.ndarray) -> np.ndarray:
+    """The side of every plane that each vector lies on, 64 to a word."""
+    return np.packbits(_unit_rows(vectors) @ planes.T.astype(np.float64) > _ON_PLANE, axis=1).view(np.int64)
+
+
+def signatures(vectors: DataFrame, id_column: str, embedding: str, dimensions: int, bits: int = BITS, seed: int = 7) -> DataFrame:
+    """(id, signature): sides of random hyperplanes (Charikar 2002), ``bits`` (a multiple of 64) for each vector.
+
+    The share of equal bits of two signatures estimates their angle. Worth storing: a scan reads 128 bytes per
+    vector instead of kilobytes.
+    """
+    planes = _planes(dimensions, bits, seed)
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(embedding).alias("embedding"))
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                sides = _unit_rows(frame["embedding"]) @ planes > 0
-                keys = (sides.reshape(len(frame), bands, bits) * powers).sum(axis=2)
-                words = np.packbits(np.pad(sides, ((0, 0), (0, spare))), axis=1).view(np.int64)
-                yield pd.DataFrame({"id": frame["id"].to_numpy(), "keys": list(keys), "signature": list(words)})
+                yield pd.DataFrame({"id": frame["id"].to_numpy(), "signature": list(_packed_sides(frame["embedding"], planes))})
+
+    return rows.mapInPandas(sign, f"id {rows.schema['id'].dataType.simpleString()}, signature array<long>")
+
 
-    return sign
+def _least_differing(asked: np.ndarray, ids: np.ndarray, words: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the ``limit`` signatures with fewest differing bits, smaller ids first, and the bits."""
+    # Counted without a sign: numpy counts the bits of a negative number's absolute value.
+    differing = np.bitwise_count((words ^ asked).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    best = _best(-differing, ids, limit)
+    return best, differing[best]
 
 
-def hyperplane_buckets(vectors: DataFrame, id_column: str, embedding: str, dimensions: int, bands: int = 64,
-                       bits: int = 6, seed: int = 7) -> DataFrame:
-    """(id, band, key, signature): bucket of every vector per band of random hyperplanes (Charikar 2002).
+def _scan(signed: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc_id, differing): per task the best of each query; so many rows per query and task are shuffled.
 
-    The signature holds the side of all planes; the share of equal bits of two
-    signatures estimates their angle. Worth storing by (band, key), so that a
-    query opens its own buckets only.
+    Few queries travel to every task. More of them meet the signatures in blocks, as in the exact search.
     """
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(embedding).alias("embedding"))
-    kind = rows.schema["id"].dataType.simpleString()
-    signed = rows.mapInPandas(
-        _signatures(dimensions, bands, bits, seed), f"id {kind}, keys array<long>, signature array<long>"
-    )
-    return signed.select("id", F.posexplode("keys").alias("band", "key"), "signature")
+    q_kind, d_kind = asked.schema["id"].dataType.simpleString(), signed.schema["id"].dataType.simpleString()
+    schema = f"query_id {q_kind}, doc_id {d_kind}, differing long"
+
+    def best_of(query_ids, query_words, frame: pd.DataFrame) -> pd.DataFrame:
+        ids, words = frame["id"].to_numpy(), np.stack(frame["signature"])
+        parts = []
+        for query, own in zip(query_ids, query_words):
+            best, differing = _least_differing(own, ids, words, limit)
+            parts.append(pd.DataFrame({"query_id": query, "doc_id": ids[best], "differing": differing}))
+        return pd.concat(parts)
+
+    def cut(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["query_id", "differing", "doc_id"]).groupby("query_id").head(limit)
+
+    if is_small(asked, _QUERIES_PER_BLOCK):
+        rows = asked.toPandas()
+        if not len(rows):
+            return signed.sparkSession.createDataFrame([], schema)
+        ids, words = rows["id"].to_numpy(), np.stack(rows["signature"])
+
+        def few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept = None
+            for frame in frames:
+                if len(frame):
+                    found = best_of(ids, words, frame)
+                    kept = cut(found if kept is None else pd.concat([kept, found]))
+            if kept is not None:
+                yield kept
+
+        return signed.mapInPandas(few, schema)
+
+    def many(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "differing": []})
+        return best_of(queries["id"].to_numpy(), np.stack(queries["signature"]), vectors)
+
+    left, right = _blocks(signed, "id", asked, "id")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(many, schema)
 
 
 def candidate_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, id_column: str = "doc_id",
                          embedding: str = "embedding", candidates: int | None = None,
-                         buckets: DataFrame | None = None, **planes) -> DataFrame:
-    """(query_id, doc_id, cosine, score, rank) among the vectors that share a bucket with the query.
+                         signed: DataFrame | None = None, **planes) -> DataFrame:
+    """(query_id, doc_id, cosine, score, rank) among the ``candidates`` vectors whose signatures differ least.
 
-    The pairs of one vector leave one task together, so they collapse before
-    the shuffle. The candidates with most equal signature bits stay, and only
-    they are compared exactly.
+    The number of exact comparisons per query doesn't grow with the corpus. What grows is a scan of the signatures
+    (``signed``, if stored), of which each task passes on its best only.
     """
     limit = candidates or candidate_count(k)
     asked = queries.select("query_id", F.col("embedding").alias("query_vector"))
     small = is_small(asked, _QUERIES_PER_BLOCK)
-    wanted = hyperplane_buckets(queries, "query_id", "embedding", dimensions, **planes).select(
-        F.col("id").alias("query_id"), "band", "key", F.col("signature").alias("asked")
-    )
-    if buckets is None:
-        buckets = hyperplane_buckets(vectors, id_column, embedding, dimensions, **planes)
-    differing = F.aggregate(
-        F.zip_with("signature", "asked", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
-    )
-    shared = buckets.withColumnRenamed("id", "doc_id").join(hinted(wanted, small), ["band", "key"]).groupBy(
-        "query_id", "doc_id"
-    ).agg(F.min(differing).alias("differing"))
-    chosen = top_k(shared, limit, [F.asc("differing"), F.asc("doc_id")]).select("query_id", "doc_id")
+    wanted = signatures(queries, "query_id", "embedding", dimensions, **planes)
+    if signed is None:
+        signed = signatures(vectors, id_column, embedding, dimensions, **planes)
+    found = _scan(signed, wanted, limit)
+    chosen = top_k(found, limit, [F.asc("differing"), F.asc("doc_id")]).select("query_id", "doc_id")
     pairs = vectors.select(F.col(id_column).alias("doc_id"), F.col(embedding).alias("embedding")).join(
         hinted(chosen.join(hinted(asked, small), "query_id"), small), "doc_id"
     )

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift import schemas
 from shelfsift.functions.normalize import embedding_text
-from shelfsift.functions.text import ENGLISH_REVIEW, PLAIN_WORDS
-from shelfsift.operators import enrich, match, vectors
-from shelfsift.operators.postings import TextIndex, save_positions
-from shelfsift.plans import search
+from shelfsift.functions.stem import english_stem
+from shelfsift.functions.text import ENGLISH_TEXT
+from shelfsift.operators import enrich, match, suggest, vectors
+from shelfsift.operators.postings import TextIndex, save_positions, stem_table
+from shelfsift.plans import autocomplete, search
 from shelfsift.sources import jsonl
 from shelfsift.sources.tables import TableStore, capped
 
@@ -29,14 +30,14 @@ def embed_products(products: DataFrame, model: Callable[[list[str]], list[list[f
 
 
 def load_tables(store: TableStore, products: DataFrame, reviews: DataFrame, order: str = "ord", limit: int = 0,
-                reset: bool = False, bucket: Column | None = None) -> dict[str, DataFrame]:
+                reset: bool = False, take: Callable[[DataFrame, int], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Merge both tables in the relational and in the document way.
 
     Documents keep the last of several reviews with one id and test against
     all products read; the relational tables keep the first and test against
     the products of this load.
     """
-    some_products, some_reviews = capped(products, reviews, limit, order, bucket)
+    some_products, some_reviews = capped(products, reviews, limit, order, take)
     relational = _conformed(some_products, schemas.PRODUCT_SCHEMA, schemas.PRODUCT_DEFAULTS, order)
     known = enrich.of_known_products(some_reviews, some_products)
     rows = _conformed(known, schemas.REVIEW_SCHEMA, schemas.REVIEW_DEFAULTS, order)
@@ -60,15 +61,15 @@ def build_indexes(store: TableStore, products: DataFrame, reviews: DataFrame,
                   model: Callable[[list[str]], list[list[float]]] | None = None, embeddings: bool = True) -> None:
     """Write what searches read: postings, statistics, weighted positions and vectors."""
     search.product_index(products).save(f"{store.root}/product_index")
+    autocomplete.title_index(products).save(f"{store.root}/title_index")
     search.review_index(reviews).save(f"{store.root}/review_index")
-    save_positions(
-        search.class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS),
-        f"{store.root}/product_positions",
-    )
-    save_positions(
-        search.class_positions(reviews, match.REVIEW_CLASSES, "review_id", ENGLISH_REVIEW),
-        f"{store.root}/review_positions",
-    )
+    for name, rows, classes, key in (
+        ("product", products, match.PRODUCT_CLASSES, "product_id"), ("review", reviews, match.REVIEW_CLASSES, "review_id"),
+    ):
+        path = f"{store.root}/{name}_positions"
+        save_positions(search.class_positions(rows, classes, key, ENGLISH_TEXT), path)
+        words = stem_table(store.spark.read.parquet(path), english_stem)
+        words.write.mode("overwrite").parquet(f"{store.root}/{name}_words")
     if embeddings:
         store.write("product_vectors", embed_products(products, model))
 
@@ -81,6 +82,9 @@ def stored_index(store: TableStore, products: DataFrame, reviews: DataFrame) ->
         reviews=TextIndex.load(spark, f"{store.root}/review_index", search.review_fields()),
         product_positions=spark.read.parquet(f"{store.root}/product_positions"),
         review_positions=spark.read.parquet(f"{store.root}/review_positions"),
+        titles=TextIndex.load(spark, f"{store.root}/title_index", suggest.suggest_fields()),
+        product_words=spark.read.parquet(f"{store.root}/product_words"),
+        review_words=spark.read.parquet(f"{store.root}/review_words"),
     )
 
 
@@ -95,7 +99,7 @@ def run(spark: SparkSession, processed: str, store_path: str, limit: int = 0, re
     read = lambda name, schema: jsonl.read_processed(spark, f"{processed}/{name}", schema).select("*", place)
     tables = load_tables(
         TableStore(spark, store_path), read("products", schemas.ENRICHED_PRODUCT_SCHEMA),
-        read("reviews", schemas.ENRICHED_REVIEW_SCHEMA), limit=limit, reset=reset, bucket=jsonl.split_of(),
+        read("reviews", schemas.ENRICHED_REVIEW_SCHEMA), limit=limit, reset=reset, take=jsonl.first_in_file_order,
     )
     if indexes:
         build_indexes(TableStore(spark, store_path), tables["product_documents"], tables["review_documents"], model, embeddings)

@@ -40,13 +40,13 @@ def prepare(product_lines: DataFrame, review_lines: DataFrame, product_limit: in
     reviews = kept(enrich.cap_per_product(enrich.of_known_products(normalized, products), reviews_per_product))
     full_products = enrich.enrich_products(products, review_aggregates(reviews))
     full_reviews = enrich.enrich_reviews(reviews, products)
-    counters = load_counters(normalized, products, review_lines, reviews_per_product)
+    counters = kept(load_counters(normalized, products, review_lines, reviews_per_product))
     return Prepared(full_products, full_reviews, counters)
 
 
 def run(spark: SparkSession, product_path: str, review_path: str, output: str,
         product_limit: int | None = None, reviews_per_product: int | None = None) -> dict:
-    """Read, prepare and write both tables and the manifest; returns the row counts."""
+    """Read, prepare and write both tables, the counters and the manifest; returns the row counts."""
     has_reviews = jsonl.path_exists(spark, review_path)
     reviews = jsonl.read_json_lines(spark, review_path) if has_reviews else jsonl.no_lines(spark)
     ready = prepare(jsonl.read_json_lines(spark, product_path), reviews, product_limit, reviews_per_product, keep=True)
@@ -54,6 +54,7 @@ def run(spark: SparkSession, product_path: str, review_path: str, output: str,
         "product_count": jsonl.write_json_lines(ready.products.drop("ord"), f"{output}/products"),
         "review_count": jsonl.write_json_lines(ready.reviews.drop("ord"), f"{output}/reviews"),
     }
+    ready.counters.coalesce(1).write.mode("overwrite").json(f"{output}/counters")
     manifest_row(
         spark, product_source=product_path, review_source=review_path if has_reviews else None,
         product_limit=product_limit, max_reviews_per_product=reviews_per_product or None,

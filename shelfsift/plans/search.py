@@ -2,7 +2,7 @@
 
 ``lucene``: any word, boosted fields, best field wins, typos by edit distance.
 ``ladder``: typo-tolerant, ranked criterion by criterion.
-``weighted``: all words (with or, not and phrases), class weights.
+``weighted``: all words by their English stems (with or, not and phrases), class weights.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shelfsift.functions import filters
 from shelfsift.functions.filters import ProductFilter
 from shelfsift.functions.stem import stem
-from shelfsift.functions.text import ENGLISH_REVIEW, PLAIN_WORDS, PRODUCT, Analyzer
+from shelfsift.functions.text import ENGLISH_REVIEW, ENGLISH_TEXT, PLAIN_WORDS, PRODUCT, Analyzer, word_trigrams
 from shelfsift.operators import enrich, facets, fuzzy, highlight, ladder, limits, match, rank, trigram
 from shelfsift.operators.postings import (
     IndexField, TextIndex, folded_to_stems, query_terms, stemmed_vocabulary, term_positions, vocabulary,
@@ -89,6 +89,11 @@ class SearchIndex:
     reviews: TextIndex | None = None
     product_positions: DataFrame | None = None
     review_positions: DataFrame | None = None
+    # (term, stem) of the words in the two tables of positions.
+    product_words: DataFrame | None = None
+    review_words: DataFrame | None = None
+    # Words, pairs and triples of the titles, for completion.
+    titles: TextIndex | None = None
 
 
 NO_INDEX = SearchIndex()
@@ -131,39 +136,69 @@ def lucene_matches(index: TextIndex, queries: DataFrame, boosts: dict[str, float
 # Weighted dialect -------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class WeightedQuery:
+    """Queries split into units, the postings they can meet, and the words to mark."""
+
+    units: DataFrame
+    positions: DataFrame
+    marks: DataFrame
+
+
+def weighted_query(positions: DataFrame, queries: DataFrame, analyzer: Analyzer, words: DataFrame | None = None) -> WeightedQuery:
+    """With a stemming analyzer the query and the postings meet by stem, and every word of that stem is marked."""
+    units = match.query_units(queries, analyzer)
+    if not analyzer.stems:
+        return WeightedQuery(units, positions, match.highlight_terms(units))
+    units = materialized(units)
+    by_stem, sharing = match.stemmed_postings(positions, units, words)
+    return WeightedQuery(units, by_stem, match.highlight_terms(units, sharing))
+
+
+def _ids(rows: DataFrame, id_column: str) -> DataFrame:
+    return rows.select(F.col(id_column).alias("doc_id"))
+
+
 def weighted_basic_hits(products: DataFrame, positions: DataFrame, queries: DataFrame, analyzer: Analyzer,
-                        wanted: ProductFilter, k: int) -> DataFrame:
-    """Text match or trigram match on title or description; score = rank + title similarity."""
+                        wanted: ProductFilter, k: int, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page, words to mark): text match, or trigram match on title or description; score = rank + title similarity."""
     kept = products.filter(wanted.predicate())
-    units = match.query_units(queries, analyzer)
+    asked = weighted_query(positions, queries, analyzer, words)
     keys = ["query_id", "doc_id"]
-    ranked = match.matching_documents(positions, units).join(
-        rank.frequency_rank(positions, match.ranked_slots(units)), keys, "left"
-    ).withColumn("matched", F.lit(True))
-    titles = trigram.similarity(kept, "product_id", "title", queries).withColumnRenamed("similarity", "title_sim")
-    texts = trigram.similar(kept, "product_id", "description", queries).withColumnRenamed("similarity", "text_sim")
-    joined = ranked.join(titles, keys, "full").join(texts, keys, "full")
-    matches = joined.filter(
-        F.col("matched") | (F.col("title_sim") >= trigram.THRESHOLD) | F.col("text_sim").isNotNull()
+    ranked = match.matching_documents(asked.positions, asked.units, _ids(kept, "product_id")).join(
+        rank.frequency_rank(asked.positions, match.ranked_slots(asked.units)), keys, "left"
     )
-    zero = F.lit(0.0)
+    found = [ranked.select(*keys, "score")]
+    for name in ("title", "description"):
+        alike = trigram.similar(kept, "product_id", name, queries)
+        found.append(alike.select(*keys, F.lit(None).cast("double").alias("score")))
+    pairs = found[0].unionByName(found[1]).unionByName(found[2]).groupBy(*keys).agg(F.max("score").alias("score"))
+    # The similarity of the titles counts for every pair found, however low it is.
+    titles = kept.select(F.col("product_id").alias("doc_id"), word_trigrams(F.col("title")).alias("grams"))
+    texts = queries.select("query_id", word_trigrams(F.col("q")).alias("q_grams"))
+    matches = pairs.join(titles, "doc_id").join(hinted(texts, is_small(texts)), "query_id")
+    alike = trigram.similarity_of(F.col("grams"), F.col("q_grams"))
     scored = matches.select(
-        *keys, F.round(F.coalesce("score", zero) + F.coalesce("title_sim", zero), match.SCORE_DIGITS).alias("score")
+        *keys, F.round(F.coalesce("score", F.lit(0.0)) + alike, match.SCORE_DIGITS).alias("score")
     )
     attributes = kept.select(F.col("product_id").alias("doc_id"), "rating", "review_count")
     order = [F.desc("score"), F.desc("rating"), F.desc("review_count"), F.asc("doc_id")]
-    return limits.top_k(scored.join(attributes, "doc_id"), k, order)
+    return limits.top_k(scored.join(attributes, "doc_id"), k, order), asked.marks
 
 
-def weighted_matches(positions: DataFrame, queries: DataFrame, analyzer: Analyzer) -> tuple[DataFrame, DataFrame]:
-    """(scores by cover density, words to mark) of the documents that hold the query."""
-    units = match.query_units(queries, analyzer)
-    matched = match.matching_documents(positions, units)
-    covered = rank.cover_rank(positions, match.ranked_slots(units))
+def weighted_matches(positions: DataFrame, queries: DataFrame, analyzer: Analyzer, documents: DataFrame,
+                     words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scores by cover density, words to mark) of the documents that hold the query.
+
+    ``documents`` (doc_id) are all there are, for queries that only exclude.
+    """
+    asked = weighted_query(positions, queries, analyzer, words)
+    matched = match.matching_documents(asked.positions, asked.units, documents)
+    covered = rank.cover_rank(asked.positions, match.ranked_slots(asked.units))
     scores = matched.join(covered, ["query_id", "doc_id"], "left").withColumn(
         "score", F.coalesce("score", F.lit(0.0))
     )
-    return scores, match.highlight_terms(units)
+    return scores, asked.marks
 
 
 # Flows -------------------------------------------------------------------------
@@ -201,9 +236,9 @@ def _marked_products(page: DataFrame, products: DataFrame, marks: DataFrame, fie
         elif dialect == "ladder":
             parts[name] = F.array(highlight.mark_all(text, terms, "em"))
         elif name == "title":
-            parts[name] = F.array(highlight.mark_all(text, terms))
+            parts[name] = F.array(highlight.mark_all(text, terms, analyzer=ENGLISH_TEXT))
         else:
-            parts[name] = F.array(highlight.best_fragment(text, terms, 24))
+            parts[name] = F.array(highlight.best_fragment(text, terms, 24, analyzer=ENGLISH_TEXT))
     return rows.withColumn("highlights", highlight.highlight_map(parts)).drop("terms")
 
 
@@ -218,9 +253,8 @@ def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
     if dialect == "weighted":
         positions = stored.product_positions
         if positions is None:
-            positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)
-        page = weighted_basic_hits(products, positions, queries, PLAIN_WORDS, wanted, k)
-        marks = match.highlight_terms(match.query_units(queries, PLAIN_WORDS))
+            positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", ENGLISH_TEXT)
+        page, marks = weighted_basic_hits(products, positions, queries, ENGLISH_TEXT, wanted, k, stored.product_words)
         hits = _marked_products(page.select("query_id", "doc_id", "score", "rank"), products, marks, fields[:2], dialect, few_hits(queries, k))
         # The total is the number of rows returned, and facets look at the filters only.
         return SearchResult(hits, limits.match_totals(page), _product_facets(kept, dialect, []))
@@ -230,9 +264,8 @@ def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
         order = by_score
     else:
         index = stored.products or product_index(products)
-        matches = ladder.ladder_matches(index, queries)
-        marks = highlight.spelled_terms(query_terms(queries, index.fields))
-        order = ladder.ladder_order()
+        terms = ladder.ladder_terms(index, queries)
+        matches, marks, order = ladder.ladder_matches(index, terms), highlight.spelled_terms(terms), ladder.ladder_order()
     matches = filtered(matches, products, "product_id", predicate)
     page = limits.top_k(matches, k, order).select("query_id", "doc_id", "score", "rank")
     hits = _marked_products(page, products, marks, fields, dialect, few_hits(queries, k))
@@ -251,13 +284,14 @@ def product_scenario(products: DataFrame, queries: DataFrame, dialect: str, k: i
         matches, marks = lucene_matches(index, queries, SCENARIO_BOOSTS, prefix_length=1)
         order = [F.desc("score"), F.asc("doc_id")]
     elif dialect == "ladder":
-        matches, order = ladder.ladder_matches(index, queries), ladder.ladder_order()
-        marks = highlight.spelled_terms(query_terms(queries, index.fields))
+        terms = ladder.ladder_terms(index, queries)
+        matches, marks, order = ladder.ladder_matches(index, terms), highlight.spelled_terms(terms), ladder.ladder_order()
     else:
         positions = stored.product_positions
         if positions is None:
-            positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", PLAIN_WORDS)
-        matches, marks = weighted_matches(positions, queries, PLAIN_WORDS)
+            positions = class_positions(products, match.PRODUCT_CLASSES, "product_id", ENGLISH_TEXT)
+        every = _ids(products, "product_id")
+        matches, marks = weighted_matches(positions, queries, ENGLISH_TEXT, every, stored.product_words)
         rating = "average_rating" if "average_rating" in products.columns else "rating"
         count = "rating_number" if "rating_number" in products.columns else "review_count"
         ranks = products.select(F.col("product_id").alias("doc_id"), F.col(rating).alias("_r"), F.col(count).alias("_c"))
@@ -280,7 +314,10 @@ def fitting_reviews(matches: DataFrame, reviews: DataFrame, queries: DataFrame,
 def review_matches(reviews: DataFrame, queries: DataFrame, dialect: str, analyzer: Analyzer = ENGLISH_REVIEW,
                    fuzziness: bool = True, stemming: bool = False,
                    stored: SearchIndex = NO_INDEX) -> tuple[DataFrame, DataFrame, list[Column]]:
-    """(matches, words to mark, hit order) of reviews in one dialect, before the rating filter."""
+    """(matches, words to mark, hit order) of reviews in one dialect, before the rating filter.
+
+    ``analyzer`` and ``stemming`` are the first dialect's; the weighted one always compares English stems.
+    """
     by_votes = [F.desc("score"), F.desc("helpful_vote"), F.asc("doc_id")]
     if dialect == "lucene":
         index = stored.reviews or review_index(reviews, analyzer)
@@ -288,13 +325,14 @@ def review_matches(reviews: DataFrame, queries: DataFrame, dialect: str, analyze
         return matches, marks, by_votes
     if dialect == "ladder":
         index = review_index(reviews, PRODUCT)
-        marks = highlight.spelled_terms(query_terms(queries, index.fields))
+        terms = ladder.ladder_terms(index, queries)
         order = ladder.ladder_order(limits.sort_column("helpful_vote", REVIEW_SORTABLE))
-        return ladder.ladder_matches(index, queries), marks, order
+        return ladder.ladder_matches(index, terms), highlight.spelled_terms(terms), order
     positions = stored.review_positions
     if positions is None:
-        positions = class_positions(reviews, match.REVIEW_CLASSES, "review_id", analyzer)
-    matches, marks = weighted_matches(positions, queries, analyzer)
+        positions = class_positions(reviews, match.REVIEW_CLASSES, "review_id", ENGLISH_TEXT)
+    every = _ids(reviews, "review_id")
+    matches, marks = weighted_matches(positions, queries, ENGLISH_TEXT, every, stored.review_words)
     return matches, marks, by_votes
 
 
@@ -321,8 +359,8 @@ def review_scenario(reviews: DataFrame, products: DataFrame, queries: DataFrame,
         parts = {n: F.array(highlight.mark_all(c, terms, "em")) for n, c in (("title", title), ("text", text))}
     else:
         parts = {
-            "title": F.array(highlight.mark_all(title, terms)),
-            "text": F.array(highlight.best_fragment(text, terms, 32)),
+            "title": F.array(highlight.mark_all(title, terms, analyzer=ENGLISH_TEXT)),
+            "text": F.array(highlight.best_fragment(text, terms, 32, analyzer=ENGLISH_TEXT)),
         }
     rows = rows.withColumn("highlights", highlight.highlight_map(parts)).drop("terms", "product_title", "brand", "category")
     attributes = products.select("product_id", F.col("title").alias("product_title"), "brand", "category")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfsift.functions.distance import auto_edits, edit_distance
-from shelfsift.functions.text import ENGLISH_REVIEW, PLAIN_WORDS, PRODUCT, shingles, word_trigrams
+from shelfsift.functions.stem import english_stem
+from shelfsift.functions.text import ENGLISH_REVIEW, ENGLISH_TEXT, PLAIN_WORDS, PRODUCT, shingles, word_trigrams
 from shelfsift.operators import match, postings
 from shelfsift.operators.postings import IndexField
 from shelfsift.registry import register
 from shelfsift.registry import corpora as C
+from shelfsift.registry.stems import later_stems_sql, stems_sql
 from shelfsift.sources import views
-from shelfsift.sources.views import PRODUCTS_SQL, REVIEWS_SQL, table
+from shelfsift.sources.views import ENRICHED_SQL, PRODUCTS_SQL, REVIEWS_SQL, table
 
 
 @register("e01_product_analyzer", f"""
@@ -46,7 +48,11 @@ def review_analyzer(spark, folder):
     return rows.select("doc_id", "term", "pos")
 
 
-@register("e03_review_analyzer_stemmed")
+@register("e03_review_analyzer_stemmed", f"""
+    WITH words AS (SELECT doc_id, regexp_extract_all({C.fold_sql("lower(text)")}, '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)*') AS toks FROM documents),
+    rows AS (SELECT doc_id, regexp_replace(unnest(toks), '[''’]s$', '') AS term, generate_subscripts(toks, 1) AS pos FROM words),
+    kept AS (SELECT * FROM rows WHERE term NOT IN ({C.STOP_SQL})), {stems_sql('kept', 'stems')}
+    SELECT k.doc_id, s.stem AS term, CAST(k.pos AS INT) AS pos FROM kept k JOIN stems s ON s.term = k.term""")
 def review_analyzer_stemmed(spark, folder):
     """The same with stems, looked up once per distinct word."""
     index = postings.TextIndex.of(table(spark, folder, "documents"), [IndexField("text", analyzer=ENGLISH_REVIEW)], "doc_id")
@@ -72,12 +78,37 @@ def weighted_vectors(spark, folder):
     return rows.select("doc_id", "term", "pos", "weight")
 
 
-@register("e05_stems")
+@register("e05_stems", f"""
+    WITH words AS (SELECT DISTINCT unnest({C.tokens_sql('text')}) AS term FROM documents), {stems_sql('words', 'stems')}
+    SELECT term, stem FROM stems""")
 def stems(spark, folder):
     """Stem of every distinct word of the documents."""
     return postings.stem_table(C.document_index(spark, folder).positions)
 
 
+@register("e05_later_stems", f"""
+    WITH words AS (SELECT DISTINCT unnest({C.tokens_sql('text')}) AS term FROM documents), {later_stems_sql('words', 'stems')}
+    SELECT term, stem FROM stems""")
+def later_stems(spark, folder):
+    """The same by the later algorithm, which the weighted dialect uses."""
+    return postings.stem_table(C.document_index(spark, folder).positions, english_stem)
+
+
+_CLASSES = match.PRODUCT_CLASSES
+
+
+@register("e04_english_vectors", f"""
+    WITH {PRODUCTS_SQL}, {REVIEWS_SQL}, {ENRICHED_SQL}, {C.english_sql('v_enriched', 'product_id', _CLASSES, [(1, 0, 'red', False)])}
+    SELECT doc_id, term, CAST(pos AS INT) AS pos, weight FROM chained""")
+def english_vectors(spark, folder):
+    """Six fields in four classes: stop words gone but counted in the positions, stems in place of the words."""
+    rows = postings.term_positions(
+        views.enriched_products(spark, folder), match.weighted_fields(_CLASSES, ENGLISH_TEXT), "product_id", chained=True
+    )
+    stems = postings.stem_table(rows, english_stem)
+    return rows.join(stems, "term").select("doc_id", F.col("stem").alias("term"), "pos", "weight")
+
+
 @register("e06_shingles", f"""
     WITH {PRODUCTS_SQL}, t AS (SELECT product_id, {C.tokens_sql('description')} AS toks FROM v_products)
     SELECT product_id, n, array_to_string(toks[i:i + n - 1], ' ') AS shingle

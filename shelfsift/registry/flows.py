@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfsift.functions.filters import ProductFilter
-from shelfsift.functions.text import PLAIN_WORDS, PRODUCT
+from shelfsift.functions.text import PRODUCT
+from shelfsift.operators import match, suggest
+from shelfsift.operators.postings import TextIndex
 from shelfsift.plans import analytics, autocomplete, load, prepare, search, semantic
 from shelfsift.registry import corpora as C
 from shelfsift.registry import matching as M
+from shelfsift.registry import vectors as X
 from shelfsift.registry import register
-from shelfsift.registry.highlights import mark_sql
+from shelfsift.registry.highlights import fragment_sql, mark_sql
 from shelfsift.session import scratch_path
 from shelfsift.sources import views
-from shelfsift.sources.views import PRODUCTS_SQL, REVIEWS_SQL, table
+from shelfsift.sources.views import ENRICHED_SQL, PRODUCTS_SQL, REVIEWS_SQL, table
 
 # Prepare and load -----------------------------------------------------------------
 
@@ -58,6 +61,37 @@ def prepare_products(spark, folder):
     return ready.products.drop("ord", "average_rating", "rating_number", "title_suggest")
 
 
+@register("p01_prepare_reviews", f"""
+    WITH {_PREPARED_SQL}
+    SELECT k.review_id, k.product_id, k.user_id, k.rating, k.title, k.text, k.helpful_vote, k.verified_purchase, k.timestamp,
+           p.title AS product_title, p.brand, p.category
+    FROM kept k JOIN v_products p ON p.product_id = k.product_id""")
+def prepare_reviews(spark, folder):
+    """The reviews of the same preparation, with what they take over from their product, read back from its files."""
+    from shelfsift import schemas
+    from shelfsift.sources import jsonl
+
+    products, reviews = _raw_files(spark, folder)
+    out = scratch_path(spark, "processed")
+    prepare.run(spark, products, reviews, out, None, 5)
+    return jsonl.read_processed(spark, f"{out}/reviews", schemas.ENRICHED_REVIEW_SCHEMA)
+
+
+@register("p01_prepare_counters", """
+    WITH known AS (SELECT d.doc_id, d.doc_id % 150 AS product FROM documents d WHERE d.doc_id % 150 IN (SELECT p_partkey FROM part)),
+    capped AS (SELECT product, count(*) AS n FROM known GROUP BY 1)
+    SELECT (SELECT count(*) FROM documents) AS scanned, (SELECT count(*) FROM documents) AS normalized,
+           (SELECT count(*) FROM known) AS matched_products, CAST((SELECT sum(least(n, 5)) FROM capped) AS BIGINT) AS accepted,
+           CAST((SELECT sum(greatest(n - 5, 0)) FROM capped) AS BIGINT) AS skipped_per_product_cap,
+           (SELECT count(*) FROM capped) AS products_with_reviews""")
+def prepare_counters(spark, folder):
+    """What the preparation counted on its way, read back from its files."""
+    products, reviews = _raw_files(spark, folder)
+    out = scratch_path(spark, "processed")
+    prepare.run(spark, products, reviews, out, None, 5)
+    return spark.read.json(f"{out}/counters")
+
+
 @register("p02_load", f"""
     WITH {_PREPARED_SQL}
     SELECT k.review_id, k.product_id, k.user_id, k.rating, k.title, k.text, k.helpful_vote, k.verified_purchase, k.timestamp,
@@ -117,13 +151,13 @@ def basic_facets_lucene(spark, folder):
 
 
 @register("p03_basic_search_ladder", f"""
-    WITH {M.MISSPELT_LADDER_SQL}, marks AS (SELECT query_id, list_distinct(list(term)) AS terms FROM raw_terms GROUP BY 1)
+    WITH {M.MISSPELT_LADDER_SQL}, marks AS (SELECT query_id, list_distinct(list(term)) AS terms FROM lterms GROUP BY 1)
     SELECT l.query_id, l.doc_id AS product_id, l.score, l.rank, {mark_sql('title', 'em')} AS title_mark FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {M.LADDER_ORDER_SQL}) AS rank FROM ladder_rows
       WHERE doc_id IN (SELECT product_id FROM v_products WHERE {_FILTER_SQL}) QUALIFY rank <= 10) l
     JOIN v_products v ON v.product_id = l.doc_id JOIN marks m ON m.query_id = l.query_id""")
 def basic_search_ladder(spark, folder):
-    """Hits with the whole fields marked."""
+    """Hits with the whole fields marked, by the spellings that matched."""
     hits = _basic(spark, folder, "ladder", C.MISSPELT_QUERIES).hits
     return hits.select(
         "query_id", "product_id", "score", F.col("rank").cast("long").alias("rank"),
@@ -140,13 +174,59 @@ def basic_facets_ladder(spark, folder):
     return _basic(spark, folder, "ladder", C.MISSPELT_QUERIES).facets
 
 
+_ENGLISH_QUERIES = [(1, "red widgets"), (2, "the red widget"), (3, "smalls rings or -red"), (4, "-small"), (5, "things -hot")]
+_ENGLISH_WORDS = [
+    (1, 0, "red", False), (1, 0, "widgets", False), (2, 0, "the", False), (2, 0, "red", False), (2, 0, "widget", False),
+    (3, 0, "smalls", False), (3, 0, "rings", False), (3, 1, "red", True), (4, 0, "small", True), (5, 0, "things", False),
+    (5, 0, "hot", True),
+]
+
+
+def _english_products_sql(among: str = "TRUE") -> str:
+    words = C.english_sql("v_enriched", "product_id", match.PRODUCT_CLASSES, _ENGLISH_WORDS, among)
+    return f"{C.queries_sql(_ENGLISH_QUERIES)}, {PRODUCTS_SQL}, {REVIEWS_SQL}, {ENRICHED_SQL}, {words}"
+
+
+def _marked_sql(text: str) -> str:
+    return mark_sql(text, "mark", "coalesce(k.terms, [])", folded=False)
+
+
+def _basic_weighted(spark, folder):
+    return search.basic_product_search(
+        views.enriched_products(spark, folder), C.query_table(spark, _ENGLISH_QUERIES), "weighted", _FILTER)
+
+
 @register("p03_basic_search_weighted", f"""
+    WITH {_english_products_sql(_FILTER_SQL)}, {C.FREQUENCY_SQL},
+    {M._grams_sql('qgrams', 'queries', 'query_id', 'q')}, {M._grams_sql('tgrams', 'v_products', 'product_id', 'title')},
+    {M._grams_sql('dgrams', 'v_products', 'product_id', 'description')}, {M._similarity_sql('tsims', 'tgrams')}, {M._similarity_sql('dsims', 'dgrams')},
+    found AS (SELECT query_id, doc_id FROM matched UNION SELECT query_id, doc_id FROM tsims WHERE similarity >= 0.3
+              UNION SELECT query_id, doc_id FROM dsims WHERE similarity >= 0.3),
+    texts AS (SELECT m.query_id, m.doc_id, r.score FROM matched m JOIN ranked r ON r.query_id = m.query_id AND r.doc_id = m.doc_id),
+    scored AS (SELECT f.query_id, round(coalesce(x.score, 0) + coalesce(t.similarity, 0), 6) AS score, v.* FROM found f
+               JOIN v_enriched v ON v.product_id = f.doc_id LEFT JOIN texts x ON x.query_id = f.query_id AND x.doc_id = f.doc_id
+               LEFT JOIN tsims t ON t.query_id = f.query_id AND t.doc_id = f.doc_id WHERE {_FILTER_SQL}),
+    page AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rating DESC, review_count DESC, product_id) AS rank
+             FROM scored QUALIFY rank <= 10)
+    SELECT p.query_id, p.product_id, p.score, p.rank, count(*) OVER (PARTITION BY p.query_id) AS total,
+           {_marked_sql('p.title')} AS title_mark, {_marked_sql('p.description')} AS description_mark
+    FROM page p LEFT JOIN marks k ON k.query_id = p.query_id""")
+def basic_search_weighted(spark, folder):
+    """Stems, stop words and exclusions; text or trigram match, filters, both marks, and the total of the page."""
+    result = _basic_weighted(spark, folder)
+    return result.hits.join(result.totals, "query_id").select(
+        "query_id", "product_id", "score", F.col("rank").cast("long").alias("rank"), "total",
+        F.col("highlights")["title"][0].alias("title_mark"), F.col("highlights")["description"][0].alias("description_mark"),
+    )
+
+
+@register("p03_basic_facets_weighted", f"""
     WITH f AS (SELECT p_brand AS brand, p_type AS category FROM part WHERE (p_partkey % 400) BETWEEN 20 AND 350 AND 1 + p_size % 5 >= 2)
     SELECT * FROM (SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM f GROUP BY 2 ORDER BY n DESC, value LIMIT 10)
     UNION ALL SELECT * FROM (SELECT 'category', category, count(*) AS n FROM f GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10)""")
-def basic_search_weighted(spark, folder):
+def basic_facets_weighted(spark, folder):
     """Facets look at the filters only, whatever the query says."""
-    return _basic(spark, folder, "weighted", C.PRODUCT_QUERIES).facets
+    return _basic_weighted(spark, folder).facets
 
 
 # Product scenario -------------------------------------------------------------------------
@@ -175,21 +255,22 @@ def product_scenario_ladder(spark, folder):
 
 
 @register("p04_product_scenario_weighted", f"""
-    WITH {M._CHAINED_SQL},
-    slots AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY term) AS slot FROM hits),
-    last AS (SELECT query_id, doc_id, pos, n_terms,
-               max(CASE WHEN slot = 1 THEN {{'p': pos, 'w': weight}} END) OVER w AS a, max(CASE WHEN slot = 2 THEN {{'p': pos, 'w': weight}} END) OVER w AS b,
-               max(CASE WHEN slot = 3 THEN {{'p': pos, 'w': weight}} END) OVER w AS c
-             FROM slots WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos)),
-    complete AS (SELECT query_id, doc_id, least(a.p, b.p, c.p) AS s, pos AS e,
-                   n_terms / (coalesce(1 / a.w, 0) + coalesce(1 / b.w, 0) + coalesce(1 / c.w, 0)) AS hm
-                 FROM last WHERE (a.p IS NOT NULL)::INT + (b.p IS NOT NULL)::INT + (c.p IS NOT NULL)::INT = n_terms),
-    spans AS (SELECT query_id, doc_id, s, min(e) AS e, arg_min(hm, e) AS hm FROM complete GROUP BY 1, 2, 3),
-    scored AS (SELECT query_id, doc_id, round(sum(hm / (e - s + 1)), 6) AS score FROM spans GROUP BY 1, 2)
-    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rating DESC, review_count DESC, doc_id) AS rank,
-           count(*) OVER (PARTITION BY query_id) AS total FROM scored JOIN v_products v ON v.product_id = doc_id QUALIFY rank <= 10""")
+    WITH {_english_products_sql()}, {C.COVER_SQL},
+    scored AS (SELECT m.query_id, m.doc_id, coalesce(c.score, 0) AS score FROM matched m
+               LEFT JOIN covered c ON c.query_id = m.query_id AND c.doc_id = m.doc_id),
+    page AS (SELECT s.*, v.title, v.description, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rating DESC, review_count DESC, doc_id) AS rank,
+                    count(*) OVER (PARTITION BY query_id) AS total
+             FROM scored s JOIN v_enriched v ON v.product_id = doc_id QUALIFY rank <= 10)
+    SELECT p.query_id, p.doc_id, p.score, p.rank, p.total, {_marked_sql('p.title')} AS title_mark, {_marked_sql('p.description')} AS description_mark
+    FROM page p LEFT JOIN marks k ON k.query_id = p.query_id""")
 def product_scenario_weighted(spark, folder):
-    return _scenario_hits(spark, folder, "weighted", M._ECONOMY)
+    """Cover density over six fields by stems; a plural, a stop word, and queries that only exclude."""
+    result = search.product_scenario(
+        views.enriched_products(spark, folder), C.query_table(spark, _ENGLISH_QUERIES), "weighted")
+    return result.hits.join(result.totals, "query_id").select(
+        "query_id", F.col("product_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"), "total",
+        F.col("highlights")["title"][0].alias("title_mark"), F.col("highlights")["description"][0].alias("description_mark"),
+    )
 
 
 # Review scenario -----------------------------------------------------------------------------
@@ -248,7 +329,7 @@ _VOTES_ORDER = "words DESC, typos, helpful_vote DESC, span, attribute, exact DES
 
 
 @register("p05_review_evidence_ladder", f"""
-    WITH {_review_ladder_sql(_REVIEW_QUERIES)}, marks AS (SELECT query_id, list_distinct(list(term)) AS terms FROM raw_terms GROUP BY 1),
+    WITH {_review_ladder_sql(_REVIEW_QUERIES)}, marks AS (SELECT query_id, list_distinct(list(term)) AS terms FROM lterms GROUP BY 1),
     page AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_VOTES_ORDER}) AS rank FROM fitting QUALIFY rank <= 10)
     SELECT f.query_id, f.rank, f.doc_id AS review_id, f.product_id, p.title AS product_title, f.rating, f.helpful_vote, {mark_sql('text', 'em')} AS snippet
     FROM page f JOIN marks m ON m.query_id = f.query_id LEFT JOIN v_products p ON p.product_id = f.product_id""")
@@ -260,23 +341,41 @@ def review_evidence_ladder(spark, folder):
     return result.snippets.withColumn("rank", F.col("rank").cast("long"))
 
 
-_WEIGHTED_REVIEWS = [(1, "with from"), (2, "great or this")]
+_WEIGHTED_REVIEWS = [(1, "the thtions thing"), (2, "great or ertions"), (3, "attions -thing"), (4, "-thing"), (5, "erings or oning thbles")]
+_WEIGHTED_WORDS = [
+    (1, 0, "the", False), (1, 0, "thtions", False), (1, 0, "thing", False), (2, 0, "great", False), (2, 1, "ertions", False),
+    (3, 0, "attions", False), (3, 0, "thing", True), (4, 0, "thing", True), (5, 0, "erings", False), (5, 1, "oning", False),
+    (5, 1, "thbles", False),
+]
 _WEIGHTED_REVIEW_SQL = f"""{C.queries_sql(_WEIGHTED_REVIEWS)}, {REVIEWS_SQL}, {PRODUCTS_SQL},
-    words AS (SELECT *, {C.tokens_sql('title', False)} || {C.tokens_sql('text', False)} AS t FROM v_reviews),
+    {C.english_sql('v_reviews', 'review_id', match.REVIEW_CLASSES, _WEIGHTED_WORDS)},
     fitting AS (
-      SELECT q.query_id, r.*, p.brand, p.category, p.title AS product_title FROM words r JOIN v_products p ON p.product_id = r.product_id, queries q
-      WHERE CASE q.query_id WHEN 1 THEN list_contains(t, 'with') AND list_contains(t, 'from')
-                 ELSE list_contains(t, 'great') OR list_contains(t, 'this') END AND {_FITS})"""
+      SELECT m.query_id, r.*, p.brand, p.category, p.title AS product_title FROM matched m JOIN v_reviews r ON r.review_id = m.doc_id
+      JOIN v_products p ON p.product_id = r.product_id JOIN queries q ON q.query_id = m.query_id WHERE {_FITS})"""
 
 
 @register("p05_review_evidence_weighted", f"""
-    WITH {_WEIGHTED_REVIEW_SQL} SELECT query_id, count(*) AS total FROM fitting GROUP BY 1""")
+    WITH {_WEIGHTED_REVIEW_SQL}, {C.COVER_SQL},
+    page AS (SELECT f.*, coalesce(c.score, 0) AS score, count(*) OVER (PARTITION BY f.query_id) AS total,
+                    row_number() OVER (PARTITION BY f.query_id ORDER BY coalesce(c.score, 0) DESC, f.helpful_vote DESC, f.review_id) AS rank
+             FROM fitting f LEFT JOIN covered c ON c.query_id = f.query_id AND c.doc_id = f.review_id QUALIFY rank <= 10),
+    shown AS (SELECT p.query_id, p.review_id AS doc_id, p.text, coalesce(k.terms, []) AS terms FROM page p LEFT JOIN marks k ON k.query_id = p.query_id),
+    {fragment_sql(32, folded=False)}
+    SELECT p.query_id, p.review_id, p.product_id, p.product_title, p.rating, p.helpful_vote, p.score, p.rank, p.total,
+           {mark_sql('p.title', 'mark', 'c.terms', folded=False)} AS title_mark,
+           CASE WHEN c.run = '' THEN p.text ELSE {mark_sql('c.run', 'mark', 'c.terms', folded=False)} END AS snippet
+    FROM page p JOIN chosen c ON c.query_id = p.query_id AND c.doc_id = p.review_id""")
 def review_evidence_weighted(spark, folder):
-    """Totals of the boolean match with the rating filter and the product join."""
-    return search.review_scenario(
-        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _WEIGHTED_REVIEWS), "weighted",
-        analyzer=PLAIN_WORDS,
-    ).totals
+    """Boolean match by stems, mood of the query, known products; cover rank, page, marks and snippets."""
+    from shelfsift.operators import highlight
+
+    result = search.review_scenario(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _WEIGHTED_REVIEWS), "weighted")
+    titles = result.hits.select(
+        "query_id", "review_id", "score",
+        F.coalesce(F.try_element_at("highlights", F.lit("title"))[0], F.lit("")).alias("title_mark"))
+    return highlight.snippets(result.hits).join(titles, ["query_id", "review_id"]).join(result.totals, "query_id").withColumn(
+        "rank", F.col("rank").cast("long"))
 
 
 # Analytics scenario -----------------------------------------------------------------------------
@@ -290,10 +389,30 @@ def review_evidence_weighted(spark, folder):
 def review_analytics_weighted(spark, folder):
     """Which brands collect most matching reviews of the fitting mood?"""
     return analytics.review_analytics(
-        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _WEIGHTED_REVIEWS), "weighted", PLAIN_WORDS
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _WEIGHTED_REVIEWS), "weighted"
     ).brands
 
 
+@register("p06_review_reports_weighted", f"""
+    WITH {_WEIGHTED_REVIEW_SQL}
+    SELECT query_id, 'category' AS report, category AS value, count(*) AS n, CAST(NULL AS DOUBLE) AS avg_rating FROM fitting GROUP BY 1, 3
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) <= 10
+    UNION ALL SELECT query_id, 'rating', CAST(rating AS VARCHAR), count(*), NULL FROM fitting GROUP BY 1, rating
+    UNION ALL SELECT query_id, 'summary', NULL, count(*), CAST(round(CAST(avg(rating) AS DECIMAL(30, 12)), 2) AS DOUBLE) FROM fitting GROUP BY 1""")
+def review_reports_weighted(spark, folder):
+    """The other three reports of the same matches."""
+    found = analytics.review_analytics(
+        views.reviews(spark, folder), views.products(spark, folder), C.query_table(spark, _WEIGHTED_REVIEWS), "weighted")
+    none, text = F.lit(None).cast("double").alias("avg_rating"), F.col("value").cast("string").alias("value")
+    return (
+        found.categories.select("query_id", F.lit("category").alias("report"), text, F.col("negative_review_count").alias("n"), none)
+        .unionByName(found.ratings.select("query_id", F.lit("rating").alias("report"), text, "n", none))
+        .unionByName(found.summary.select(
+            "query_id", F.lit("summary").alias("report"), F.lit(None).cast("string").alias("value"),
+            F.col("matched_negative_reviews").alias("n"), "avg_rating"))
+    )
+
+
 @register("p06_review_analytics_lucene", f"""
     WITH {_review_match_sql(_ANALYTIC_QUERIES, False)},
     rows AS (SELECT f.*, coalesce(p.brand, 'Unknown') AS brand, coalesce(p.category, 'Electronics') AS category FROM fitting f LEFT JOIN v_products p ON p.product_id = f.product_id),
@@ -344,12 +463,24 @@ def review_analytics_ladder(spark, folder):
       WHERE len([w for w in t if starts_with(w, q)]) > 0 QUALIFY r <= 5)
     SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY min(r)) AS rank FROM hits WHERE query_id = 1 GROUP BY 1, 2""")
 def autocomplete_titles(spark, folder):
-    """Titles of the first five hits; a single letter gets none."""
-    rows = autocomplete.suggest_titles(views.products(spark, folder), C.query_table(spark, [(1, "sm"), (2, "r")]))
+    """Titles of the first five hits from the stored words of the titles; a single letter gets none."""
+    products, path = views.products(spark, folder), scratch_path(spark, "title-index")
+    autocomplete.title_index(products).save(path)
+    kept = search.SearchIndex(titles=TextIndex.load(spark, path, suggest.suggest_fields()))
+    rows = autocomplete.suggest_titles(products, C.query_table(spark, [(1, "sm"), (2, "r")]), stored=kept)
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("p08_semantic_comparison")
+@register("p08_semantic_comparison", f"""
+    WITH queries AS (SELECT item_id AS query_id, text AS q FROM benchmark), {C.DOCUMENT_POSTINGS_SQL}, {C.query_terms_sql([('text', True)])}, {C.bm25_sql()},
+    {X.hashed_sql('d_sparse', 'documents', 'doc_id', 'text', 256)}, {X.hashed_sql('q_sparse', 'queries', 'query_id', 'q', 256)},
+    {X.dense_sql('vectors', 'd_sparse', 'doc_id', 'v', 256)}, {X.dense_sql('asked', 'q_sparse', 'query_id', 'q', 256)},
+    {X.candidates_sql('vectors', 'asked', 256)},
+    scored AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM field_scores
+               WHERE matched >= CASE WHEN n_terms <= 2 THEN n_terms ELSE floor(round(n_terms * 0.7, 9)) END GROUP BY 1, 2)
+    SELECT 'semantic' AS section, query_id, doc_id, round(round((1 + c) / 2, 6), 4) AS score,
+           row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM near
+    UNION ALL SELECT 'keyword', query_id, doc_id, round(score, 4), rank, total FROM ({M._page_sql('scored')})""")
 def semantic_comparison(spark, folder):
     """Documents by hashed vectors, candidates only, next to keyword matches."""
     from shelfsift.operators import vectors
@@ -357,7 +488,8 @@ def semantic_comparison(spark, folder):
     docs = table(spark, folder, "documents")
     embedded = vectors.dense(vectors.hashed_features(docs, "doc_id", "text", 256), 256)
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return semantic.semantic_and_keyword(C.document_index(spark, folder), embedded, queries, {}, 10, 256, approximate=True)
+    rows = semantic.semantic_and_keyword(C.document_index(spark, folder), embedded, queries, {}, 10, 256, approximate=True)
+    return rows.withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("p09_overall_analytics", f"""

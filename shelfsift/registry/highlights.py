@@ -23,10 +23,10 @@ _TOP_SQL = f"""{M._DOC_SQL}, {C.bm25_sql()}, {M._DOC_SCORES},
               JOIN marks m ON m.query_id = t.query_id)"""
 
 
-def mark_sql(text: str, tag: str, terms: str = "terms") -> str:
+def mark_sql(text: str, tag: str, terms: str = "terms", folded: bool = True) -> str:
     """Words of a text marked, by cutting it into words and gaps."""
-    word = "p"
-    return f"""array_to_string([CASE WHEN list_contains({terms}, {C.fold_sql(f'lower({word})')}) THEN '<{tag}>' || p || '</{tag}>' ELSE p END
+    word = C.fold_sql("lower(p)") if folded else "lower(p)"
+    return f"""array_to_string([CASE WHEN list_contains({terms}, {word}) THEN '<{tag}>' || p || '</{tag}>' ELSE p END
         for p in regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')], '')"""
 
 
@@ -47,17 +47,19 @@ def mark_whole_field(spark, folder):
     return rows.select("query_id", "doc_id", highlight.mark_all(F.col("text"), F.col("terms")).alias("marked"))
 
 
-def _fragment_sql(words: int) -> str:
-    return f"""units AS (SELECT query_id, doc_id, terms, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*') AS u FROM shown),
-    starts AS (SELECT *, unnest(generate_series(1, greatest(len(u) - {words - 1}, 1))) AS s FROM units),
+def fragment_sql(words: int, folded: bool = True) -> str:
+    """CTE ``chosen`` (query_id, doc_id, terms, run) of the rows in ``shown``."""
+    first = "lower(regexp_extract(x, '[\\p{L}\\p{N}]+'))"
+    return f"""pieces AS (SELECT query_id, doc_id, terms, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*') AS u FROM shown),
+    starts AS (SELECT *, unnest(generate_series(1, greatest(len(u) - {words - 1}, 1))) AS s FROM pieces),
     scored_starts AS (SELECT query_id, doc_id, terms, u, s, len([x for x in u[s:s + {words - 1}]
-                      if list_contains(terms, {C.fold_sql("lower(regexp_extract(x, '[\\p{L}\\p{N}]+'))")})]) AS h FROM starts),
+                      if list_contains(terms, {C.fold_sql(first) if folded else first})]) AS h FROM starts),
     chosen AS (SELECT query_id, doc_id, terms, rtrim(array_to_string(u[s:s + {words - 1}], '')) AS run FROM scored_starts
                QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY h DESC, s) = 1)"""
 
 
 @register("h02_best_fragment", f"""
-    WITH {_TOP_SQL}, {_fragment_sql(24)} SELECT query_id, doc_id, {mark_sql('run', 'mark')} AS fragment FROM chosen""")
+    WITH {_TOP_SQL}, {fragment_sql(24)} SELECT query_id, doc_id, {mark_sql('run', 'mark')} AS fragment FROM chosen""")
 def best_fragment(spark, folder):
     """The 24 neighbouring words with most query words."""
     rows = _shown(spark, folder)
@@ -240,7 +242,7 @@ def _three_dialects(spark, folder):
             found = match.any_term_match(index, terms, C.PRODUCT_BOOSTS)
             order = [F.desc("score"), F.asc("doc_id")]
         elif dialect == "ladder":
-            found, order = ladder.ladder_matches(index, queries), ladder.ladder_order()
+            found, order = ladder.ladder_matches(index, ladder.ladder_terms(index, queries)), ladder.ladder_order()
         else:
             units = match.query_units(queries, PLAIN_WORDS)
             found = rank.cover_rank(M.weighted_positions(spark, folder), match.ranked_slots(units))

@@ -102,12 +102,12 @@ def _similarity_sql(name: str, grams: str) -> str:
 
 
 @register("d08_trigram_join", f"""
-    WITH {C.queries_sql(_GRAM_QUERIES)}, {_grams_sql('qgrams', 'queries', 'query_id', 'q')}, {_grams_sql('dgrams', 'part', 'p_partkey', 'p_name')},
-    {_similarity_sql('sims', 'dgrams')}
-    SELECT query_id, doc_id, similarity FROM sims""")
+    WITH {C.queries_sql(_GRAM_QUERIES)}, {PRODUCTS_SQL}, {_grams_sql('qgrams', 'queries', 'query_id', 'q')},
+    {_grams_sql('dgrams', 'v_products', 'product_id', 'description')}, {_similarity_sql('sims', 'dgrams')}
+    SELECT query_id, doc_id, similarity FROM sims WHERE similarity >= 0.2""")
 def trigram_join(spark, folder):
-    """Similarity of every pair that shares a trigram."""
-    return trigram.similarity(table(spark, folder, "part"), "p_partkey", "p_name", C.query_table(spark, _GRAM_QUERIES))
+    """Pairs of query and description that share a fifth of their trigrams."""
+    return trigram.similar(views.products(spark, folder), "product_id", "description", C.query_table(spark, _GRAM_QUERIES), 0.2)
 
 
 _DOC_SCORES = "scored AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM field_scores GROUP BY 1, 2)"
@@ -224,8 +224,8 @@ _BOOLEAN = [
 def boolean_phrase_match(spark, folder):
     """All words, alternatives, exclusions, phrases, and a query that only excludes."""
     docs = table(spark, folder, "documents")
-    positions = match.with_any_document(C.document_index(spark, folder).positions, docs)
-    return match.matching_documents(positions, match.query_units(C.query_table(spark, _BOOLEAN), PRODUCT))
+    units = match.query_units(C.query_table(spark, _BOOLEAN), PRODUCT)
+    return match.matching_documents(C.document_index(spark, folder).positions, units, docs.select("doc_id"))
 
 
 _ECONOMY = [(1, "economy"), (2, "red widget"), (3, "small ring economy")]
@@ -338,7 +338,7 @@ def composite_basic_search(spark, folder):
     """Text match or trigram match, filters, and the sum of rank and title similarity."""
     from shelfsift.plans.search import weighted_basic_hits
 
-    hits = weighted_basic_hits(
+    hits, _ = weighted_basic_hits(
         views.products(spark, folder), weighted_positions(spark, folder), C.query_table(spark, _COMPOSITE),
         PLAIN_WORDS, _COMPOSITE_FILTER, 10,
     )
@@ -376,7 +376,8 @@ MISSPELT_LADDER_SQL = f"""{C.queries_sql(C.MISSPELT_QUERIES)}, {C.PRODUCT_POSTIN
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {LADDER_ORDER_SQL}) AS rank FROM ladder_rows QUALIFY rank <= 20""")
 def ladder_search(spark, folder):
     """Misspelt product queries ranked by words, typos, closeness, attribute and exactness."""
-    found = ladder.ladder_matches(C.product_index(spark, folder), C.query_table(spark, C.MISSPELT_QUERIES))
+    index = C.product_index(spark, folder)
+    found = ladder.ladder_matches(index, ladder.ladder_terms(index, C.query_table(spark, C.MISSPELT_QUERIES)))
     page = limits.top_k(found, 20, ladder.ladder_order())
     return page.drop("n_terms").withColumn("rank", F.col("rank").cast("long"))
 

@@ -21,22 +21,28 @@ def _packed(df, *columns, order):
 
 @register("b01_nested_to_text", """
     SELECT p_partkey, p_name || '  ' || p_brand || ' ' || p_type || ' ' || CAST(p_size AS VARCHAR) AS as_text,
-           CASE WHEN p_size < 3 THEN '' ELSE p_type || ' ' || p_name END AS details_text
+           CASE WHEN p_size < 3 THEN '' ELSE p_type || ' ' || p_name END AS details_text,
+           repeat(' ', p_size % 12) || 'a "' || p_name || '" \\ é' || repeat(' True  7.5', p_size % 12) AS deep_text
     FROM part""")
 def nested_to_text(spark, folder):
-    """A list with a null and a nested object, and an object whose keys are not in sorted order."""
+    """A list with a null and a nested object, an object whose keys are not in sorted order, and up to 12 levels."""
     p = table(spark, folder, "part")
     nested = F.to_json(F.struct(F.col("p_type").alias("z"), F.col("p_size").alias("a")))
     line = F.concat(
         F.lit('{"v":["'), "p_name", F.lit('",null,"'), "p_brand", F.lit('",'), nested, F.lit('],"d":'),
         F.when(F.col("p_size") < 3, "{}").otherwise(
             F.to_json(F.struct(F.col("p_type").alias("y"), F.array("p_name").alias("b")))
-        ), F.lit("}"),
+        ),
+        # Every level is an object with a null before and three values behind.
+        F.lit(',"deep":{"k":'), F.expr("""repeat('{"x":[null,', CAST(p_size % 12 AS INT))"""),
+        F.lit('"a \\"'), "p_name", F.lit('\\" \\\\ \\u00e9"'), F.expr("""repeat(',true],"y":{},"z":7.50}', CAST(p_size % 12 AS INT))"""),
+        F.lit("}}"),
     )
     raw = p.select("p_partkey", F.parse_json(line).alias("v"), F.from_json(line, "map<string,string>").alias("t"))
     return raw.select(
         "p_partkey", C.as_text(C.raw_field(F.col("v"), F.col("t"), "v")).alias("as_text"),
         C.as_text(C.raw_field(F.col("v"), F.col("t"), "d")).alias("details_text"),
+        C.as_text(C.raw_field(F.col("v"), F.col("t"), "deep")).alias("deep_text"),
     )
 
 
@@ -103,8 +109,8 @@ def first_truthy(spark, folder):
            CASE WHEN p_size % 2 = 0 THEN p_brand || ' ' ELSE '' END || p_type || '  ' || p_name AS description,
            CASE WHEN p_size % 3 = 0 THEN p_type ELSE 'Parts' END AS category,
            CASE WHEN p_size % 5 = 0 THEN p_brand WHEN p_size % 5 = 1 THEN 'Maker ' || p_brand ELSE 'Unknown' END AS brand,
-           p_retailprice AS price, CAST(1 + p_size % 5 AS DOUBLE) AS rating, p_size * 10 AS review_count,
-           CAST(1 + p_size % 5 AS DOUBLE) AS average_rating, p_size * 10 AS rating_number
+           p_retailprice AS price, CAST(1 + p_size % 5 AS DOUBLE) AS rating, CAST(p_size * 10 AS BIGINT) AS review_count,
+           CAST(1 + p_size % 5 AS DOUBLE) AS average_rating, CAST(p_size * 10 AS BIGINT) AS rating_number
     FROM part WHERE p_size <> 7""")
 def normalize_product(spark, folder):
     """Parts packed as raw lines that use the alias keys; those of size 7 lack a title."""
@@ -134,7 +140,7 @@ def normalize_product(spark, folder):
     SELECT sha1(concat(CAST(doc_id % 150 AS VARCHAR), ':', source, ':', CAST(1700000000 + doc_id AS VARCHAR), ':',
                 substring(text, 1, 80))) AS review_id,
            CAST(doc_id % 150 AS VARCHAR) AS product_id, source AS user_id, CAST(1 + doc_id % 5 AS DOUBLE) AS rating,
-           lang || ' ' || source AS title, text, CAST(n_chars % 100 AS INT) AS helpful_vote,
+           lang || ' ' || source AS title, text, CAST(n_chars % 100 AS BIGINT) AS helpful_vote,
            doc_id % 3 = 0 AS verified_purchase, 1700000000 + doc_id AS timestamp
     FROM documents WHERE doc_id % 150 > 0""")
 def normalize_review(spark, folder):
@@ -199,12 +205,16 @@ def embedding_text(spark, folder):
 
 
 @register("b12_clean_highlight", """
-    SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
-        html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&apos;', ''''),
-        '&nbsp;', ' '), '&amp;', '&'), '<em>', '<mark>'), '</em>', '</mark>') AS cleaned
+    SELECT page_id, replace(replace(replace(replace(replace(replace(
+        html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '<em>', '<mark>'), '</em>', '</mark>')
+        || ' &lt;' || chr(CAST(160 + page_id AS INT)) || '€ é¬it;😀𝔸&bogus;&' AS cleaned
     FROM pages""")
 def clean_highlight(spark, folder):
-    return table(spark, folder, "pages").select("page_id", display.clean_highlight(F.col("html")).alias("cleaned"))
+    """Pages with references of all kinds behind them: named, bare, decimal, hexadecimal, unknown and doubly escaped."""
+    more = F.concat(
+        "html", F.lit(" &amp;lt;&#"), (160 + F.col("page_id")).cast("string"),
+        F.lit(";&#x80; &eacute;&notit;&#x1F600;&Aopf;&bogus;&"))
+    return table(spark, folder, "pages").select("page_id", display.clean_highlight(more).alias("cleaned"))
 
 
 @register("b14_display_formats", """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Names and types of the columns.
 PRODUCT_SCHEMA = T.StructType([
     T.StructField("product_id", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -15,9 +16,9 @@ PRODUCT_SCHEMA = T.StructType([
     T.StructField("brand", T.StringType()),
     T.StructField("price", T.DoubleType()),
     T.StructField("rating", T.DoubleType()),
-    T.StructField("review_count", T.IntegerType()),
+    T.StructField("review_count", T.LongType()),
     T.StructField("average_rating", T.DoubleType()),
-    T.StructField("rating_number", T.IntegerType()),
+    T.StructField("rating_number", T.LongType()),
     T.StructField("avg_review_rating", T.DoubleType()),
     T.StructField("loaded_review_count", T.LongType()),
     T.StructField("helpful_votes", T.LongType()),
@@ -31,7 +32,7 @@ REVIEW_SCHEMA = T.StructType([
     T.StructField("rating", T.DoubleType()),
     T.StructField("title", T.StringType()),
     T.StructField("text", T.StringType()),
-    T.StructField("helpful_vote", T.IntegerType()),
+    T.StructField("helpful_vote", T.LongType()),
     T.StructField("verified_purchase", T.BooleanType()),
     T.StructField("timestamp", T.LongType()),
 ])

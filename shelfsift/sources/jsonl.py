@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsift.operators.limits import first_n
-
 RAW_SCHEMA = T.StructType([
     T.StructField("value", T.StringType()),
     T.StructField("ord", T.StructType([
@@ -35,13 +33,26 @@ def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_of(ord_column: str = "ord") -> Column:
-    """The file split a line comes from: a bucket that grows with file order."""
+    """The file split a line comes from; it grows with file order."""
     return F.struct(F.col(f"{ord_column}.file"), F.col(f"{ord_column}.start"))
 
 
 def first_in_file_order(df: DataFrame, n: int | None) -> DataFrame:
-    """First ``n`` rows in file order; ``None`` lifts the limit."""
-    return df if n is None else first_n(df, n, "ord", split_of())
+    """First ``n`` rows in file order of lines as they were read, filtered or parsed; ``None`` lifts the limit.
+
+    The splits before the one that holds the ``n``-th row pass whole where they are. That one is read by one task in
+    the order of its lines, so its first rows are cut off as they come: nothing is sorted, also where a packed file is one
+    split. A row per split comes to the driver.
+    """
+    if n is None:
+        return df
+    split, left = split_of(), max(n, 0)
+    for file, start, rows in sorted(df.groupBy("ord.file", "ord.start").agg(F.count(F.lit(1))).collect()):
+        if rows >= left:
+            border = F.struct(F.lit(file).alias("file"), F.lit(start).alias("start"))
+            return df.filter(split < border).unionByName(df.filter(split == border).limit(left))
+        left -= rows
+    return df
 
 
 def read_json_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import time
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsift.operators.limits import first_n, first_per_key
 
 MANIFEST_VERSION = 1
+# Buckets of a keyed table, unless its store is made with another number.
+BUCKETS = 32
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -33,23 +38,27 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str, order: st
 
 
 def capped(products: DataFrame, reviews: DataFrame, limit: int, order: str,
-           bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The first ``limit`` rows of both tables for a trial load; 0 means all."""
+           take: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` rows of both tables for a trial load, by ``order`` or as ``take`` takes them; 0 means all."""
     if limit <= 0:
         return products, reviews
-    return first_n(products, limit, order, bucket), first_n(reviews, limit, order, bucket)
+    take = take or (lambda df, n: first_n(df, n, order))
+    return take(products, limit), take(reviews, limit)
 
 
 class TableStore:
-    """Parquet tables under one folder, each version in a folder of its own.
+    """Parquet tables under one folder.
 
-    A merge reads the current version and writes the next one, so a failed job
-    leaves the current version whole and no task reads what it overwrites.
+    A keyed table lies in buckets by a hash of its key. Every load writes the buckets that its keys fall in to a folder of its own,
+    and then the next version of a small table that says which folder holds the current rows of each bucket.
+    Other buckets stay as they are. A version counts once it is complete, so a failed job leaves the
+    current one whole, no task reads what it overwrites, and earlier versions can still be read.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     def _versions(self, name: str) -> list[int]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -65,13 +74,35 @@ class TableStore:
         return sorted(done)
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self._versions(name) or self._versions(f"{name}/current"))
+
+    def _current(self, name: str) -> tuple[int, str, list[tuple[int, int, int]]]:
+        """(version, schema, [(bucket, folder, number of buckets)]) of a keyed table; version 0 where there is none."""
+        versions = self._versions(f"{name}/current")
+        if not versions:
+            return 0, "", []
+        rows = self.spark.read.parquet(f"{self.root}/{name}/current/v{versions[-1]}").collect()  # a row per bucket
+        return versions[-1], rows[0]["schema"], sorted((r.bucket, r.folder, r.buckets) for r in rows if r.bucket >= 0)
+
+    def _rows(self, name: str, schema: str, places: list[tuple[int, int, int]]) -> DataFrame:
+        kind = T.StructType.fromJson(json.loads(schema))
+        if not places:
+            return self.spark.createDataFrame([], kind)
+        paths = [f"{self.root}/{name}/rows/v{folder}/_bucket={bucket}" for bucket, folder, _ in places]
+        return self.spark.read.schema(kind).parquet(*paths)
 
     def read(self, name: str) -> DataFrame:
+        version, schema, places = self._current(name)
+        if version:
+            return self._rows(name, schema, places)
         return self.spark.read.parquet(f"{self.root}/{name}/v{self._versions(name)[-1]}")
 
+    def files(self, name: str) -> list[str]:
+        """Paths of the current files of a table."""
+        return sorted(self.read(name).inputFiles())
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the next complete version and return it as a table."""
+        """Write the next complete version of a table without a key and return it."""
         versions = self._versions(name)
         path = f"{self.root}/{name}/v{versions[-1] + 1 if versions else 1}"
         df.write.mode("overwrite").parquet(path)
@@ -79,10 +110,27 @@ class TableStore:
 
     def load(self, name: str, incoming: DataFrame, key: str, order: str, *, reset: bool = False,
              keep: str = "last") -> DataFrame:
-        """Merge rows into a keyed table; ``reset`` starts from an empty one."""
-        stored = incoming.drop(order).limit(0) if reset or not self.exists(name) else self.read(name)
+        """Merge rows into a keyed table; ``reset`` starts from an empty one.
+
+        Only the buckets that an incoming key falls in are read, merged and written.
+        """
+        version, schema, places = self._current(name)
+        number = places[0][2] if places else self.buckets
+        if reset or not version:
+            schema, places, number = incoming.drop(order).schema.json(), [], self.buckets
+        bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(number)).cast("int")
+        touched = {r[0] for r in incoming.select(bucket.alias("b")).distinct().collect()}  # at most a row per bucket
+        stored = self._rows(name, schema, [place for place in places if place[0] in touched])
         merge = upsert if keep == "last" else insert_if_absent
-        return self.write(name, merge(stored, incoming, key, order))
+        merged = merge(stored, incoming, key, order).withColumn("_bucket", bucket)
+        place = ["_bucket", F.xxhash64(F.col(key).cast("string"))]
+        merged.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").partitionBy("_bucket").parquet(
+            f"{self.root}/{name}/rows/v{version + 1}")
+        now = [(b, folder, number, schema) for b, folder, _ in places if b not in touched]
+        now += [(b, version + 1, number, schema) for b in touched] + [(-1, 0, number, schema)]
+        self.spark.createDataFrame(now, "bucket int, folder int, buckets int, schema string").coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.root}/{name}/current/v{version + 1}")
+        return self.read(name)
 
 
 def manifest(products: DataFrame, reviews: DataFrame, **parameters: object) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfsift.operators import enrich, review_stats
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -48,6 +50,11 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def enriched_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Products with the texts of their first reviews, the sixth field that searches read."""
+    return enrich.enrich_products(products(spark, folder), review_stats.review_aggregates(reviews(spark, folder)))
+
+
 PRODUCTS_SQL = """
 v_products AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS title, lower(p_type) AS features,
@@ -66,3 +73,11 @@ v_reviews AS (
          CAST(d.n_chars % 100 AS INT) AS helpful_vote, (d.doc_id % 2 = 0) AS verified_purchase,
          1700000000 + d.doc_id * 100 AS timestamp, d.lang AS lang, d.doc_id AS ord
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+# After the two views above: products with the texts of their first five reviews that have any.
+ENRICHED_SQL = """
+v_enriched AS (
+  SELECT p.*, coalesce(t.review_text, '') AS review_text FROM v_products p LEFT JOIN (
+    SELECT product_id, string_agg(text, ' ' ORDER BY ord) AS review_text FROM (
+      SELECT * FROM v_reviews WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY ord) <= 5) GROUP BY 1) t
+  ON t.product_id = p.product_id)"""

@@ -1,11 +1,15 @@
 import gzip
 import hashlib
 import json
+import random
+from html import unescape
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfsift.functions import coerce as C
+from shelfsift.functions import display
 from shelfsift.functions.normalize import normalize_products, normalize_reviews
 from shelfsift.plans import load, prepare
 from shelfsift.sources import jsonl
@@ -75,6 +79,55 @@ def test_truth(spark, value, truth):
     assert row.select(C.truthy(C.raw_field(F.col("p"), F.col("t"), "v"))).first()[0] is truth
 
 
+def joined(value):
+    """Nested values joined level by level."""
+    if value is None:
+        return ""
+    if isinstance(value, (list, dict)):
+        return " ".join(joined(v) for v in (value.values() if isinstance(value, dict) else value))
+    return str(value)
+
+
+def test_nested_values_of_any_depth(spark):
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(3) if depth else 2
+        if kind == 0:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 1:
+            return {f'k{i}":[{rng.choice("ab")}': value(depth - 1) for i in range(rng.randrange(4))}
+        return rng.choice([None, True, False, 0, -7, 12.5, "", "plain", 'quo"te', "back\\slash\\", "é\n\t漢", ', "x": [1', "\\\""])
+
+    values = [[value(depth)] for depth in range(13) for _ in range(30)]
+    chain = "leaf"
+    for level in range(40):
+        chain = [None, chain] if level % 2 else {"a": chain, "b": {}}
+    values.append(chain)
+    rows = [(i, json.dumps({"v": v}, ensure_ascii=bool(i % 2))) for i, v in enumerate(values)]
+    raw_rows = spark.createDataFrame(rows, "i int, value string").select(
+        "i", F.parse_json("value").alias("p"), F.from_json("value", "map<string,string>").alias("t"))
+    got = raw_rows.select("i", C.as_text(C.raw_field(F.col("p"), F.col("t"), "v")).alias("text")).collect()
+    assert {r.i: r.text for r in got} == {i: joined(v) for i, v in enumerate(values)}
+
+
+def test_counts_beyond_an_int(spark):
+    rows = [{"parent_asin": "P", "title": str(n), "rating_number": n} for n in (2**31, 5e9, 1e30, "7,000,000,000 ratings", -3)]
+    assert {t: r.review_count for t, r in by_title(spark, rows).items()} == {
+        str(2**31): 2**31, "5000000000.0": 5 * 10**9, "1e+30": None, "7,000,000,000 ratings": 7 * 10**9, "-3": -3}
+
+
+def test_character_references(spark):
+    named = [f"&{name}" for name in html5]
+    numbers = [f"&#{n};" for n in [*range(0x180), 0x2019, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFF,
+                                   0x110000, 10**30]]
+    numbers += [f"&#x{n:X}" for n in (0, 0x80, 0xE9, 0x2019, 0x1F600, 0x110000, 16**20)] + ["&#;", "&#x;", "&#xg;", "&#0065 &#00;"]
+    mixed = ["", "plain", "&", "a & b", "&amp;lt;", "&ampamp;", "&notit;", "&notin;", "&eacutex", "&bogus;", "a&lt;b&gt;c&quot;", "&&amp&", "&a" * 40]
+    texts = named + numbers + mixed + [a + b for a, b in zip(named, reversed(named))] + ["x" * 50_000 + "&eacute;" * 5000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", display.unescape(F.col("t")).alias("t")).collect()
+    assert [r.t for r in sorted(got)] == [unescape(t) for t in texts]
+
+
 def write(tmp_path, name, content):
     path = tmp_path / name
     data = "\n".join(content).encode() + b"\n"
@@ -107,6 +160,16 @@ def test_file_order_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_a_limit_inside_one_packed_file(spark, tmp_path):
+    write(tmp_path, "a.jsonl.gz", [json.dumps({"parent_asin": f"a{i:05d}", "title": "t"}) for i in range(6000)])
+    write(tmp_path, "b.jsonl", [json.dumps({"parent_asin": f"b{i:05d}", "title": "t" if i % 2 else ""}) for i in range(100)])
+    rows = normalize_products(jsonl.read_json_lines(spark, str(tmp_path)))
+    for n in (1, 4321, 6000, 6020, 9000):
+        ids = sorted(r.product_id for r in jsonl.first_in_file_order(rows, n).select("product_id").collect())
+        assert ids == ([f"a{i:05d}" for i in range(6000)] + [f"b{i:05d}" for i in range(1, 100, 2)])[:n]
+    assert jsonl.read_json_lines(spark, str(tmp_path), 6010).count() == 6010
+
+
 def test_prepare_and_load(spark, tmp_path):
     products = write(tmp_path, "products.jsonl", lines(RAW_PRODUCTS, blank=True))
     reviews = write(tmp_path, "reviews.jsonl.gz", lines(RAW_REVIEWS))
@@ -115,6 +178,8 @@ def test_prepare_and_load(spark, tmp_path):
     assert counts == {"product_count": 6, "review_count": 7}
     manifest = spark.read.json(f"{out}/manifest").first()
     assert (manifest["product_count"], manifest["max_reviews_per_product"], manifest["version"]) == (6, 5, 1)
+    counted = spark.read.json(f"{out}/counters").first()
+    assert (counted.scanned, counted.accepted, counted.skipped_per_product_cap) == (11, 7, 2)
     stored = {r.title: r for r in spark.read.json(f"{out}/products").collect()}
     p1 = stored["Aurora Wireless Headphones"]
     # Five kept in input order, the empty text uses up a review but no text.

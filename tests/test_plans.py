@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfsift.functions.filters import ProductFilter
-from shelfsift.operators import limits, match, postings
-from shelfsift.plans import search
+from shelfsift.operators import limits, match, postings, suggest, trigram
+from shelfsift.plans import autocomplete, search
 from shelfsift.sources import views
 
 SEARCH_QUERIES = [
@@ -62,6 +62,25 @@ def test_written_postings_open_only_the_folders_of_the_terms(spark, folder, tmp_
     assert sorted(found.collect()) == sorted(match.any_term_match(index, terms).collect())
 
 
+def test_completion_reads_the_stored_words_only(spark, folder, tmp_path):
+    products = views.products(spark, folder)
+    autocomplete.title_index(products).save(str(tmp_path / "titles"))
+    kept = search.SearchIndex(titles=postings.TextIndex.load(spark, str(tmp_path / "titles"), suggest.suggest_fields()))
+    queries = spark.createDataFrame([(1, "sm"), (2, "red wi")], "query_id int, q string")
+    scores = suggest.prefix_search(kept.titles, queries)
+    assert "regexp_extract_all" not in plan(scores, "tree").replace("regexp_extract_all(q", "")
+    read = autocomplete.search_as_you_type(products, queries, stored=kept).hits.select("query_id", "product_id", "score").collect()
+    live = autocomplete.search_as_you_type(products, queries).hits.select("query_id", "product_id", "score").collect()
+    assert sorted(read) == sorted(live) and live
+
+
+def test_trigram_pairs_are_counted_where_the_texts_lie(spark, folder):
+    queries = spark.createDataFrame([(1, "red widget")], "query_id int, q string")
+    text = plan(trigram.similar(views.products(spark, folder), "product_id", "title", queries), "tree")
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id", text)) == text.count("Exchange hashpartitioning(doc_id") >= 1
+    assert not re.search(r"Exchange hashpartitioning\((doc_id|query_id)[^)]*, *(query_id|doc_id)", text)
+
+
 def test_many_queries_take_the_shuffle_path_with_the_same_result(spark, folder, monkeypatch):
     index = search.product_index(views.products(spark, folder))
     queries = spark.createDataFrame([(1, "red widget"), (2, "small ring")], "query_id int, q string")

@@ -1,20 +1,23 @@
 """Search, ranking, facets and vectors on small catalogues and against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfsift.functions import filters
 from shelfsift.functions.distance import edit_distance
-from shelfsift.functions.stem import stem_word
+from shelfsift.functions.stem import LATER_STEP_2, LATER_STEP_3, LATER_STEP_4, WHOLE_WORDS, later_stem, stem_word
 from shelfsift.functions.text import ENGLISH_REVIEW, PRODUCT, word_trigrams
 from shelfsift.operators import facets, fuzzy, highlight, limits, match, postings, rank, review_stats, trigram, vectors
 from shelfsift.plans import analytics, search
+from shelfsift.registry.stems import later_stems_sql, stems_sql
 from shelfsift.sources import tables, views
-from tests.stem_examples import STEP_EXAMPLES
+from tests.stem_examples import LATER_STEMS, LATER_WORDS, STEP_EXAMPLES
 
 PRODUCTS = [
     ("B1", "Sony Wireless Noise Canceling Headphones", "Sony", "Headphones", 349.0, 4.6, 100),
@@ -186,7 +189,7 @@ def test_covers_of_thirty_words(spark):
 
 
 def test_trigram_similarity_by_hand(spark):
-    got = trigram.similarity(ask(spark, "cat"), "query_id", "q", ask(spark, "cat", "cart")).collect()
+    got = trigram.similar(ask(spark, "cat"), "query_id", "q", ask(spark, "cat", "cart"), 0.1).collect()
     assert {(r.query_id, r.similarity) for r in got} == {(1, 1.0), (2, round(2 / 7, 6))}
     assert ask(spark, "ab").select(word_trigrams(F.col("q"))).first()[0] == ["  a", " ab", "ab "]
 
@@ -230,8 +233,8 @@ def test_upsert_is_idempotent_and_duplicates_resolve(spark):
 def test_latency_quantile_is_exact(spark):
     rng = random.Random(1)
     data = [("skewed", 5.0)] * 700 + [("skewed", rng.expovariate(0.01)) for _ in range(300)] + [("one", 3.0)]
-    data += [("same", 2.0)] * 50
-    got = {r.g: r for r in review_stats.latency_stats(spark.createDataFrame(data, "g string, x double"), "x", ["g"], buckets=16).collect()}
+    data += [("same", 2.0)] * 50 + [("outlier", rng.random()) for _ in range(400)] + [("outlier", 1e15)]
+    got = {r.g: r for r in review_stats.latency_stats(spark.createDataFrame(data, "g string, x double"), "x", ["g"]).collect()}
     for g, r in got.items():
         values = sorted(x for k, x in data if k == g)
         assert r.p95_ms == values[min(len(values) - 1, round((len(values) - 1) * 0.95))]
@@ -247,6 +250,125 @@ def test_first_n_and_numbers_on_clumped_keys(spark):
     assert rows == {k: i for i, k in enumerate(keys, 1)}
 
 
+def test_order_with_an_outlier_and_fractions(spark):
+    rng = random.Random(7)
+    values = sorted({rng.random() for _ in range(4000)} | {1e15, -1e15})
+    df = spark.createDataFrame([(v, f"{v:.17f}") for v in values], "v double, t string").repartition(6)
+    assert sorted(r.v for r in limits.first_n(df, 2500, "v").collect()) == values[:2500]
+    assert {r.v: r.row_no for r in limits.numbered(df, "v").collect()} == {v: i for i, v in enumerate(values, 1)}
+    assert sorted(r.t for r in limits.first_n(df, 3000, "t").collect()) == sorted(f"{v:.17f}" for v in values)[:3000]
+    sizes = limits.dealt(df, "v").groupBy("_part").count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) < len(values) / 2
+    for page in (1, 20, 40, 41):
+        rows = limits.page_of(df, [F.desc("v")], page, 100).collect()
+        assert [r.v for r in rows] == values[::-1][(page - 1) * 100:page * 100], page
+
+
+def test_gaps_are_filled_however_far_the_next_bucket_lies(spark):
+    df = spark.createDataFrame([(1, 2.5), (1, 70_001.0), (1, 2.1), (2, -3.0), (2, None)], "g int, x double")
+    got = facets.histogram(df, "x", by=["g"]).collect()
+    first = {r.value: r.n for r in got if r.g == 1}
+    assert len(got) == len(first) + 1 and len(first) == 70_000 and (first[2.0], first[3.0], first[70_001.0]) == (2, 0, 1)
+    plain = facets.histogram(df.filter("g = 1"), "x", 1000.0).collect()
+    assert [r.n for r in sorted(plain)] == [2] + [0] * 69 + [1]
+    far = facets.gaps_filled(
+        spark.createDataFrame([(0,), (10**12,)], "slot long"), "slot", Window.orderBy("slot"), [], "at")
+    sizes = far.limit(100_000).groupBy("slot").count().collect()
+    assert sum(r["count"] for r in sizes) == 100_000
+
+
+def grams(text):
+    return {w[i:i + 3] for word in re.findall(r"[^\W_]+", text.lower()) for w in [f"  {word} "] for i in range(len(w) - 2)}
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.6, 1.0])
+def test_trigram_join_equals_all_pairs_and_looks_at_few_more(spark, threshold):
+    rng = random.Random(3)
+    words = ["small", "ring", "red", "widget", "smaller", "rings", "blue", "bolt", "anvil", "hot", "gear", "économie", "a", "plate"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))) for _ in range(400)]
+    asked = ["red widgte", "small rign", "hot gear", "qqq", "", "smallest rings of all", "a", "red", "économie"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r.query_id, r.doc_id): r.similarity for r in trigram.similar(docs, "id", "t", ask(spark, *asked), threshold).collect()}
+    wanted = {}
+    for q, query in enumerate(asked, 1):
+        for d, text in enumerate(texts):
+            a, b = grams(query), grams(text)
+            if a | b and round(len(a & b) / len(a | b), 6) >= threshold:
+                wanted[q, d] = round(len(a & b) / len(a | b), 6)
+    assert got == wanted
+    sets = docs.select(F.col("id").alias("doc_id"), word_trigrams(F.col("t")).alias("grams"))
+    sides = ask(spark, *asked).select("query_id", word_trigrams(F.col("q")).alias("q_grams"))
+    looked_at = trigram.candidate_pairs(sets, sides, threshold).count()
+    assert len(wanted) <= looked_at < 3 * len(wanted)
+
+
+def test_inflected_words_stop_words_and_exclusions_in_the_weighted_flows(spark, catalogue):
+    products, reviews = catalogue
+    rows = products.withColumn("review_text", F.when(F.col("product_id") == "B6", "Charged the batteries twice").otherwise(""))
+    queries = ask(spark, "wireless headphone", "the wireless headphones", "Wireless headphones are", "-wireless", "batteries", "mice or -wired",
+                  '"noise canceling"', "-the", "wireless -mouse")
+
+    def ids(result):
+        found = {}
+        for r in result.hits.collect():
+            found.setdefault(r.query_id, []).append(r.product_id)
+        return {q: sorted(v) for q, v in found.items()}
+
+    wanted = {1: ["B1", "B2"], 2: ["B1", "B2"], 3: ["B1", "B2"], 4: ["B3", "B5", "B6"], 5: ["B5", "B6"], 7: ["B1"], 9: ["B1", "B2"],
+              6: ["B1", "B2", "B3", "B4", "B5", "B6"]}
+    scenario = search.product_scenario(rows, queries, "weighted")
+    found = ids(scenario)
+    # The category of the mice is "Mice", whose stem is not that of "mouse".
+    assert found == {**wanted, 6: ["B1", "B2", "B3", "B4", "B5", "B6"]}
+    assert {r.query_id: r.total for r in scenario.totals.collect()} == {q: len(v) for q, v in found.items()}
+    marks = {(r.query_id, r.product_id): r.highlights["title"][0] for r in scenario.hits.collect()}
+    assert marks[1, "B2"] == "Bose Quiet <mark>Wireless</mark> <mark>Headphones</mark>" and marks[5, "B5"] == "<mark>Battery</mark> Pack"
+    basic = ids(search.basic_product_search(rows, queries, "weighted"))
+    assert all(set(wanted[q]) <= set(basic[q]) for q in wanted)
+    evidence = search.review_scenario(reviews, products, ask(spark, "problems of batteries", "-problem"), "weighted")
+    assert sorted((r.query_id, r.review_id) for r in evidence.hits.collect()) == [(1, "R1"), (1, "R3")]
+
+
+def test_ladder_marks_the_spelling_that_matched(spark, catalogue):
+    hits = search.product_scenario(catalogue[0], ask(spark, "wirelss mouse"), "ladder").hits.collect()
+    marks = {r.product_id: r.highlights["title"][0] for r in hits}
+    assert marks["B4"] == "<em>Wireless</em> <em>Mouse</em>"
+
+
+def test_later_stems(spark):
+    words = dict(zip(LATER_WORDS.split(), LATER_STEMS.split(), strict=True))
+    assert {w: later_stem(w) for w in words} == words
+
+
+def test_both_stemmers_equal_their_sql(spark):
+    import duckdb
+
+    rng = random.Random(11)
+    ends = [*LATER_STEP_2, *LATER_STEP_3, *LATER_STEP_4, "s", "es", "ed", "ing", "eed", "edly", "ingly", "y", "ies", "e", "l", "ll", ""]
+    words = {"".join(rng.choice("aeioybcdlstnwxr") for _ in range(rng.randint(1, 5))) + "".join(rng.choices(ends, k=rng.randint(0, 3)))
+             for _ in range(20_000)} | set(WHOLE_WORDS) | {"été", "a1", "x"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words AS SELECT unnest(?) AS term", [sorted(words)])
+    for chain, function in ((later_stems_sql, later_stem), (stems_sql, stem_word)):
+        found = con.execute(f"WITH {chain('words', 'stems')} SELECT term, stem FROM stems").fetchall()
+        assert {w: s for w, s in found} == {w: function(w) for w in words}
+
+
+def test_a_load_writes_the_buckets_of_its_keys(spark, tmp_path):
+    store = tables.TableStore(spark, str(tmp_path / "store"), buckets=500)
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit("old").alias("v"), F.col("id").alias("ord"))
+    store.load("t", rows, "k", "ord")
+    before = set(store.files("t"))
+    some = rows.filter("id % 1000 = 0").withColumn("v", F.lit("new")).union(spark.createDataFrame([("x", "new", 1), ("x", "newer", 2)], rows.schema))
+    after = set(store.load("t", some, "k", "ord").inputFiles())
+    assert len(after - before) <= 6 and len(before - after) <= 6 and len(before) > 300
+    assert {r.v: r["count"] for r in store.read("t").groupBy("v").count().collect()} == {"old": 4995, "new": 5, "newer": 1}
+    store.load("t", some.withColumn("v", F.lit("never")), "k", "ord", keep="first")
+    assert store.read("t").filter("v = 'never'").count() == 0 and store.read("t").count() == 5001
+    assert store.load("t", some, "k", "ord", reset=True).count() == 6
+    assert store.load("empty", some.limit(0), "k", "ord").count() == 0
+
+
 def test_highlight_fragments(spark):
     text = "zero " * 30 + "the battery and the problem here " + "zero " * 30 + "battery"
     df = spark.createDataFrame([(text, ["battery", "problem"])], "t string, terms array<string>")
