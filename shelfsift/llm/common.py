@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,14 @@ def located(docs: DataFrame) -> DataFrame:
         return add(stored(docs, "located"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hands Python workers at most so many rows at a time from now on: in a session that runs one operator after the
+    other, what a batch of whole texts takes stays small beside what the workers and the state already hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; texts of one byte per character take the fast built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
