@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm import exact_dedup, mixing, packing, queries, simhash, toxicity
-from shelfsift.llm.common import joined, located, stored
+from shelfsift.llm.common import joined, located, small_batches, stored
 
 PLACE = ["__file", "__row"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents more likely toxic than not go; null texts stay."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.severity(model, F.col("text"))["toxic_probability"] < 0.5)
 
@@ -32,6 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by SimHash the one with the smallest doc_id stays; null doc_ids only if no other is there."""
+    small_batches(spark)
     docs, columns = located(docs), docs.columns
     found = simhash.near_dedup(docs, ["doc_id", *PLACE])
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *PLACE)
@@ -50,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences with their ids."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, ["doc_id"], public_tokenizers.path(queries.TOKENIZER))
