@@ -478,7 +478,7 @@ def autocomplete_titles(spark, folder):
     {X.candidates_sql('vectors', 'asked', 256)},
     scored AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM field_scores
                WHERE matched >= CASE WHEN n_terms <= 2 THEN n_terms ELSE floor(round(n_terms * 0.7, 9)) END GROUP BY 1, 2)
-    SELECT 'semantic' AS section, query_id, doc_id, round(round((1 + c) / 2, 6), 4) AS score,
+    SELECT 'semantic' AS section, query_id, doc_id, CAST(((1000000 + CAST(round(c * 1000000) AS BIGINT) + 1) // 2 + 50) // 100 AS DOUBLE) / 10000 AS score,
            row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM near
     UNION ALL SELECT 'keyword', query_id, doc_id, round(score, 4), rank, total FROM ({M._page_sql('scored')})""")
 def semantic_comparison(spark, folder):

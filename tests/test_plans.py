@@ -68,7 +68,7 @@ def test_completion_reads_the_stored_words_only(spark, folder, tmp_path):
     kept = search.SearchIndex(titles=postings.TextIndex.load(spark, str(tmp_path / "titles"), suggest.suggest_fields()))
     queries = spark.createDataFrame([(1, "sm"), (2, "red wi")], "query_id int, q string")
     scores = suggest.prefix_search(kept.titles, queries)
-    assert "regexp_extract_all" not in plan(scores, "tree").replace("regexp_extract_all(q", "")
+    assert "p_name" not in plan(scores, "tree")
     read = autocomplete.search_as_you_type(products, queries, stored=kept).hits.select("query_id", "product_id", "score").collect()
     live = autocomplete.search_as_you_type(products, queries).hits.select("query_id", "product_id", "score").collect()
     assert sorted(read) == sorted(live) and live

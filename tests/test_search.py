@@ -264,17 +264,17 @@ def test_order_with_an_outlier_and_fractions(spark):
         assert [r.v for r in rows] == values[::-1][(page - 1) * 100:page * 100], page
 
 
-def test_gaps_are_filled_however_far_the_next_bucket_lies(spark):
+def test_gaps_are_filled_however_far_the_next_bucket_lies(spark, monkeypatch):
     df = spark.createDataFrame([(1, 2.5), (1, 70_001.0), (1, 2.1), (2, -3.0), (2, None)], "g int, x double")
     got = facets.histogram(df, "x", by=["g"]).collect()
     first = {r.value: r.n for r in got if r.g == 1}
     assert len(got) == len(first) + 1 and len(first) == 70_000 and (first[2.0], first[3.0], first[70_001.0]) == (2, 0, 1)
     plain = facets.histogram(df.filter("g = 1"), "x", 1000.0).collect()
     assert [r.n for r in sorted(plain)] == [2] + [0] * 69 + [1]
-    far = facets.gaps_filled(
-        spark.createDataFrame([(0,), (10**12,)], "slot long"), "slot", Window.orderBy("slot"), [], "at")
-    sizes = far.limit(100_000).groupBy("slot").count().collect()
-    assert sum(r["count"] for r in sizes) == 100_000
+    monkeypatch.setattr(facets, "GAP_STEP", 4)
+    slots = spark.createDataFrame([(-200,), (0,), (1,), (255,)], "slot long")
+    filled = facets.gaps_filled(slots, "slot", Window.orderBy("slot"), [], "at").collect()
+    assert sorted(r["at"] for r in filled) == list(range(-200, 256)) and all(r.slot <= r["at"] for r in filled)
 
 
 def grams(text):
