@@ -31,6 +31,41 @@ def test_article_without_its_surroundings(article):
     assert html_text.main_text(page(BOILER + article + END)) == f"Title\n{P1}\n{P2}"
 
 
+ARTICLE = f"<h1>Title</h1><p>{P1}</p><p>{P2.replace('&', '&amp;')}</p>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    'style="overflow:hidden"', 'aria-hidden="false"', 'class="layout with-sidebar"', 'class="page-layout search-layout"',
+    'data-x="display:none hidden"', 'class="hidden-xs-none visible"', 'class="sidebar"', "title='hidden sidebar'"])
+@pytest.mark.parametrize("article", [f"<article>{ARTICLE}</article>", f"<main role=main>{ARTICLE}</main>"])
+def test_wrappers_of_the_article(wrapper, article):
+    assert html_text.main_text(page(f"{BOILER}<div {wrapper}>{article}</div>{END}")) == f"Title\n{P1}\n{P2}"
+
+
+def test_an_article_in_a_sidebar_is_not_the_page():
+    side = "<div class='sidebar'><article><p>Also read this teaser.</p></article></div>"
+    comments = "<section id=comments><article><p>" + "A reader with a long opinion. " * 30 + "</p></article></section>"
+    assert html_text.main_text(page(f"<div class=post>{ARTICLE}</div>{side}{comments}")) == f"Title\n{P1}\n{P2}"
+
+
+@pytest.mark.parametrize("inside,text", [
+    ('a <a href="/the-hidden-valley">valley</a> b', "a valley b"), ('a <span class="search">word</span> b', "a word b"),
+    ('a <a title="the hidden cost">cost</a> b', "a cost b"), ('a <i hidden>x</i>b', "a b"), ('a <span style="display: none">x</span>b', "a b"),
+    ('<a href="/a">Ann</a>, <a href="/b">Bob</a>, <a href="/c">Cid</a>', "Ann, Bob, Cid"),
+    ('</p><ul><li><a href="/a">Ann</a></li><li><a href="/b">Bob</a></li><li><a href="/c">Cid</a></li></ul><p>', "Ann\nBob\nCid"),
+    ('</p><table><tr><td>1</td><td>2</td></tr></table><p>', "1\n2"), ('a <span class="ad">Buy</span> b', "a b")])
+def test_nothing_inside_the_article_is_lost(inside, text):
+    html = page(f"{BOILER}<article><p>{P1}</p><p>{inside}</p><p>{P2.replace('&', '&amp;')}</p></article>{END}")
+    assert html_text.main_text(html) == f"{P1}\n{text}\n{P2}"
+
+
+@pytest.mark.parametrize("attribute", [
+    "hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display : none"', 'class="hidden"', 'class="x ad-box"', "role=navigation"])
+def test_blocks_that_are_not_shown(attribute):
+    html = page(f"<article>{ARTICLE}<div {attribute}><p>{P1}</p></div></article>")
+    assert html_text.main_text(html) == f"Title\n{P1}\n{P2}"
+
+
 def test_blocks_and_references():
     text = html_text.main_text("<p>a\n  <b>b</b>c &eacute;&nbsp;&#x41;<br>d</p><!-- x --><ul><li>e<li>f</ul>")
     assert text == "a bc é A d\ne\nf"
@@ -62,6 +97,9 @@ def test_pages(spark, folder):
 
 
 def test_odd_rows(spark, empty):
-    rows = [(None, None, None), (1, "u", ""), (1, "u", "<p>x</p>")]
-    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()
-    assert sorted((str(r.page_id), r.url, r.text) for r in found) == [("1", "u", ""), ("1", "u", "x"), ("None", None, "")]
+    rows = [(None, None, None, "t", 0), (1, "u", "", "t", 0), (1, "u", "<p>x</p>", "t", 0), (1, "u", "<p>x</p>", None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, __html int")
+    found = html_text.extract(pages, ["page_id", "url"]).collect()
+    assert sorted((str(r.page_id), r.url, r.text) for r in found) == [
+        ("1", "u", ""), ("1", "u", "x"), ("1", "u", "x"), ("None", None, "")]
+    assert html_text.extract(pages.limit(0), ["page_id", "url"]).count() == 0
