@@ -15,6 +15,8 @@ from shelfsift.llm.common import map_frames
 
 #: A longer sentence is cut every so many characters, so that an edit in it stays local.
 LEAF = 120
+#: Bytes of a hash, leaves included: a root is no surer than what lies under it.
+DIGEST = 16
 _PARAGRAPH = re.compile(r"[^\n]*\n+|[^\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?]\s)")
 
@@ -23,7 +25,7 @@ Node = tuple[str, int, tuple]
 
 
 def _hash(text: str) -> str:
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=DIGEST).hexdigest()
 
 
 def _over(children: list[Node]) -> Node:
