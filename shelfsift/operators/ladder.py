@@ -18,7 +18,7 @@ NO_SPAN = 1_000_000
 
 def ladder_terms(index: TextIndex, queries: DataFrame) -> DataFrame:
     """Query words with every spelling of theirs in the vocabulary; they match, and they are what hits are marked with."""
-    return expand_terms(query_terms(queries, index.fields), vocabulary(index), ladder_edits, max_expansions=None)
+    return expand_terms(query_terms(queries, index.fields), vocabulary(index), ladder_edits, keys=index.keys)
 
 
 def ladder_matches(index: TextIndex, terms: DataFrame) -> DataFrame:

@@ -108,6 +108,8 @@ class TextIndex:
     positions: DataFrame
     statistics: DataFrame
     words: DataFrame | None = None
+    # (field, key, term): the words under their deletion keys.
+    keys: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame, fields: list[IndexField], id_column: str, chained: bool = False) -> "TextIndex":
@@ -118,16 +120,23 @@ class TextIndex:
     def field_names(self) -> list[str]:
         return [f.name for f in self.fields]
 
-    def save(self, path: str) -> None:
-        """Write positions, statistics and the distinct words with their stems, sorted so that a beginning is a range."""
+    def save(self, path: str, keys: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Write positions, statistics and the distinct words with their stems, sorted so that a beginning is a range.
+
+        ``keys`` makes the deletion keys of the words, for searches that allow typos.
+        """
         save_positions(self.positions, f"{path}/positions")
         words = stemmed_vocabulary(self).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
         words.write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
+        if keys is not None:
+            known = keys(self.positions.sparkSession.read.parquet(f"{path}/vocabulary").select("field", "term"))
+            save_by_bucket(known, f"{path}/keys", "key", "term")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, fields: list[IndexField]) -> "TextIndex":
-        return cls(fields, *[spark.read.parquet(f"{path}/{part}") for part in ("positions", "statistics", "vocabulary")])
+    def load(cls, spark: SparkSession, path: str, fields: list[IndexField], keys: bool = False) -> "TextIndex":
+        parts = ("positions", "statistics", "vocabulary", *(["keys"] if keys else []))
+        return cls(fields, *[spark.read.parquet(f"{path}/{part}") for part in parts])
 
     def stemmed(self, stems: DataFrame) -> "TextIndex":
         """The same index over stems; ``stems`` maps each distinct term once.
@@ -135,7 +144,7 @@ class TextIndex:
         The stop words are already gone, and lengths and positions stay.
         """
         mapped = self.positions.join(stems, "term", "left").withColumn("term", F.coalesce("stem", "term")).drop("stem")
-        return replace(self, positions=mapped.drop("term_bucket"), words=None)
+        return replace(self, positions=mapped.drop("term_bucket"), words=None, keys=None)
 
 
 def term_bucket(term: Column) -> Column:
@@ -148,24 +157,29 @@ def save_positions(positions: DataFrame, path: str) -> None:
     A search opens only the folders of its terms. The range split ends with the
     document, so a frequent term is spread over many tasks and files.
     """
-    place = ["term_bucket", "term", "doc_id"]
-    positions.withColumn("term_bucket", term_bucket(F.col("term"))).repartitionByRange(*place).sortWithinPartitions(
+    save_by_bucket(positions, path, "term", "doc_id")
+
+
+def save_by_bucket(rows: DataFrame, path: str, key: str, then: str) -> None:
+    """Write rows in folders by the bucket of ``key``, range-split and sorted by ``key`` and ``then``."""
+    place = ["term_bucket", key, then]
+    rows.withColumn("term_bucket", term_bucket(F.col(key))).repartitionByRange(*place).sortWithinPartitions(
         *place
     ).write.mode("overwrite").partitionBy("term_bucket").parquet(path)
 
 
-def near_terms(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Stored positions cut down to the folders of the wanted terms.
+def near_terms(positions: DataFrame, terms: DataFrame, small: bool, key: str = "term") -> DataFrame:
+    """Stored positions, or other rows by ``key``, cut down to the folders of the wanted terms.
 
     At most TERM_BUCKETS numbers are fetched for it; few terms are fetched
     themselves, so that the scan can skip row groups of the sorted files too.
     """
     if not small or "term_bucket" not in positions.columns:
         return positions
-    wanted = terms.select("term", term_bucket(F.col("term")).alias("b")).distinct()
+    wanted = terms.select(F.col(key).alias("term"), term_bucket(F.col(key)).alias("b")).distinct()
     few = wanted.limit(PUSHED_TERMS + 1).collect()
     if len(few) <= PUSHED_TERMS:
-        positions = positions.filter(F.col("term").isin([r["term"] for r in few]))
+        positions = positions.filter(F.col(key).isin([r["term"] for r in few]))
         buckets = {r["b"] for r in few}
     else:
         buckets = {r["b"] for r in wanted.select("b").distinct().collect()}
@@ -190,7 +204,7 @@ def folded_to_stems(index: TextIndex, sharing: DataFrame) -> TextIndex:
     """The index over stems, cut to the words in ``sharing`` (field, term, stem)."""
     small = is_small(sharing)
     rows = near_terms(index.positions, sharing, small).join(hinted(sharing, small), ["field", "term"])
-    return replace(index, positions=rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"), words=None)
+    return replace(index, positions=rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"), words=None, keys=None)
 
 
 def stem_table(positions: DataFrame, stemmer: Callable[[Column], Column] = stem) -> DataFrame:

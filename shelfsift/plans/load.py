@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from shelfsift import schemas
 from shelfsift.functions.normalize import embedding_text
 from shelfsift.functions.stem import english_stem
-from shelfsift.functions.text import ENGLISH_TEXT
-from shelfsift.operators import enrich, match, suggest, vectors
+from shelfsift.functions.text import ENGLISH_TEXT, PRODUCT
+from shelfsift.operators import enrich, fuzzy, match, suggest, vectors
 from shelfsift.operators.postings import TextIndex, save_positions, stem_table
 from shelfsift.plans import autocomplete, search
 from shelfsift.sources import jsonl
@@ -60,9 +60,12 @@ def _conformed(df: DataFrame, schema, defaults: dict, order: str) -> DataFrame:
 def build_indexes(store: TableStore, products: DataFrame, reviews: DataFrame,
                   model: Callable[[list[str]], list[list[float]]] | None = None, embeddings: bool = True) -> None:
     """Write what searches read: postings, statistics, weighted positions and vectors."""
-    search.product_index(products).save(f"{store.root}/product_index")
+    keys = fuzzy.stored_keys
+    search.product_index(products).save(f"{store.root}/product_index", keys)
+    search.product_index(products, exact_attributes=True).save(f"{store.root}/exact_product_index", keys)
     autocomplete.title_index(products).save(f"{store.root}/title_index")
-    search.review_index(reviews).save(f"{store.root}/review_index")
+    search.review_index(reviews).save(f"{store.root}/review_index", keys)
+    search.review_index(reviews, PRODUCT).save(f"{store.root}/plain_review_index", keys)
     for name, rows, classes, key in (
         ("product", products, match.PRODUCT_CLASSES, "product_id"), ("review", reviews, match.REVIEW_CLASSES, "review_id"),
     ):
@@ -77,9 +80,12 @@ def build_indexes(store: TableStore, products: DataFrame, reviews: DataFrame,
 def stored_index(store: TableStore, products: DataFrame, reviews: DataFrame) -> search.SearchIndex:
     """The written postings, for searches that should not analyse the texts again."""
     spark = store.spark
+    read = lambda name, fields: TextIndex.load(spark, f"{store.root}/{name}", fields, keys=True)
     return search.SearchIndex(
-        products=TextIndex.load(spark, f"{store.root}/product_index", search.product_fields(products)),
-        reviews=TextIndex.load(spark, f"{store.root}/review_index", search.review_fields()),
+        products=read("product_index", search.product_fields(products)),
+        reviews=read("review_index", search.review_fields()),
+        exact_products=read("exact_product_index", search.product_fields(products, exact_attributes=True)),
+        plain_reviews=read("plain_review_index", search.review_fields(PRODUCT)),
         product_positions=spark.read.parquet(f"{store.root}/product_positions"),
         review_positions=spark.read.parquet(f"{store.root}/review_positions"),
         titles=TextIndex.load(spark, f"{store.root}/title_index", suggest.suggest_fields()),

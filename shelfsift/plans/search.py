@@ -94,6 +94,9 @@ class SearchIndex:
     review_words: DataFrame | None = None
     # Words, pairs and triples of the titles, for completion.
     titles: TextIndex | None = None
+    # Products with brand and category as whole values; reviews with all their words.
+    exact_products: TextIndex | None = None
+    plain_reviews: TextIndex | None = None
 
 
 NO_INDEX = SearchIndex()
@@ -124,7 +127,7 @@ def lucene_matches(index: TextIndex, queries: DataFrame, boosts: dict[str, float
         words = materialized(stemmed_vocabulary(index))
         known = words.select("field", F.col("stem").alias("term")).distinct()
     if fuzziness:
-        terms = fuzzy.expand_terms(terms, known, prefix_length=prefix_length)
+        terms = fuzzy.expand_terms(terms, known, prefix_length=prefix_length, keys=None if stemming else index.keys)
     if not stemming:
         return match.any_term_match(index, terms, boosts), highlight.spelled_terms(terms)
     wanted = terms.select("field", F.col("term").alias("stem")).distinct()
@@ -259,7 +262,7 @@ def basic_product_search(products: DataFrame, queries: DataFrame, dialect: str,
         # The total is the number of rows returned, and facets look at the filters only.
         return SearchResult(hits, limits.match_totals(page), _product_facets(kept, dialect, []))
     if dialect == "lucene":
-        index = product_index(products, exact_attributes=True)
+        index = stored.exact_products or product_index(products, exact_attributes=True)
         matches, marks = lucene_matches(index, queries, BASIC_BOOSTS)
         order = by_score
     else:
@@ -324,7 +327,7 @@ def review_matches(reviews: DataFrame, queries: DataFrame, dialect: str, analyze
         matches, marks = lucene_matches(index, queries, REVIEW_BOOSTS, fuzziness, stemming=stemming)
         return matches, marks, by_votes
     if dialect == "ladder":
-        index = review_index(reviews, PRODUCT)
+        index = stored.plain_reviews or review_index(reviews, PRODUCT)
         terms = ladder.ladder_terms(index, queries)
         order = ladder.ladder_order(limits.sort_column("helpful_vote", REVIEW_SORTABLE))
         return ladder.ladder_matches(index, terms), highlight.spelled_terms(terms), order

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfsift import registry
 from shelfsift.functions.filters import ProductFilter
 from shelfsift.functions.text import PRODUCT
-from shelfsift.operators import match, suggest
+from shelfsift.operators import fuzzy, match, suggest
 from shelfsift.operators.postings import TextIndex
 from shelfsift.plans import analytics, autocomplete, load, prepare, search, semantic
 from shelfsift.registry import corpora as C
@@ -121,8 +122,15 @@ _BASIC_SQL = f"""{C.queries_sql(C.MISSPELT_QUERIES)}, {PRODUCTS_SQL}, {C.posting
                WHERE doc_id IN (SELECT product_id FROM v_products WHERE {_FILTER_SQL}) GROUP BY 1, 2)"""
 
 
-def _basic(spark, folder, dialect, queries):
-    return search.basic_product_search(views.products(spark, folder), C.query_table(spark, queries), dialect, _FILTER)
+def _basic(spark, folder, dialect, queries, stored=search.NO_INDEX):
+    return search.basic_product_search(views.products(spark, folder), C.query_table(spark, queries), dialect, _FILTER, stored=stored)
+
+
+def _written(spark, index: TextIndex) -> TextIndex:
+    """The index as a load leaves it, opened again."""
+    path = scratch_path(spark, "index")
+    index.save(path, fuzzy.stored_keys)
+    return TextIndex.load(spark, path, index.fields, keys=True)
 
 
 @register("p03_basic_search_lucene", f"""
@@ -130,12 +138,23 @@ def _basic(spark, folder, dialect, queries):
     FROM ({M._page_sql('scored')}) p JOIN v_products v ON v.product_id = p.doc_id""")
 def basic_search_lucene(spark, folder):
     """Misspelt queries with filters: hits and total."""
-    result = _basic(spark, folder, "lucene", C.MISSPELT_QUERIES)
+    return _hits_and_total(_basic(spark, folder, "lucene", C.MISSPELT_QUERIES))
+
+
+def _hits_and_total(result):
     return result.hits.join(result.totals, "query_id").select(
         "query_id", "product_id", "score", F.col("rank").cast("long").alias("rank"), "total", "title", "price"
     )
 
 
+@register("p03_basic_search_lucene_stored", registry.SQL["p03_basic_search_lucene"])
+def basic_search_lucene_stored(spark, folder):
+    """The same from written postings and deletion keys: neither texts nor the vocabulary are analysed again."""
+    index = _written(spark, search.product_index(views.products(spark, folder), exact_attributes=True))
+    stored = search.SearchIndex(exact_products=index)
+    return _hits_and_total(_basic(spark, folder, "lucene", C.MISSPELT_QUERIES, stored))
+
+
 @register("p03_basic_facets_lucene", f"""
     WITH {_BASIC_SQL}, rows AS (SELECT s.query_id, v.* FROM scored s JOIN v_products v ON v.product_id = s.doc_id),
     counts AS (SELECT query_id, 'brand' AS facet, brand AS value, count(*) AS n FROM rows GROUP BY 1, 3
@@ -341,6 +360,17 @@ def review_evidence_ladder(spark, folder):
     return result.snippets.withColumn("rank", F.col("rank").cast("long"))
 
 
+@register("p05_review_evidence_ladder_stored", registry.SQL["p05_review_evidence_ladder"])
+def review_evidence_ladder_stored(spark, folder):
+    """The same from written postings and deletion keys."""
+    reviews = views.reviews(spark, folder)
+    stored = search.SearchIndex(plain_reviews=_written(spark, search.review_index(reviews, PRODUCT)))
+    result = search.review_scenario(
+        reviews, views.products(spark, folder), C.query_table(spark, _REVIEW_QUERIES), "ladder", stored=stored
+    )
+    return result.snippets.withColumn("rank", F.col("rank").cast("long"))
+
+
 _WEIGHTED_REVIEWS = [(1, "the thtions thing"), (2, "great or ertions"), (3, "attions -thing"), (4, "-thing"), (5, "erings or oning thbles")]
 _WEIGHTED_WORDS = [
     (1, 0, "the", False), (1, 0, "thtions", False), (1, 0, "thing", False), (2, 0, "great", False), (2, 1, "ertions", False),

@@ -205,11 +205,16 @@ def test_prepare_and_load(spark, tmp_path):
     tables = TableStore(spark, store)
     docs, texts = tables.read("product_documents"), tables.read("review_documents")
     kept = load.stored_index(tables, docs, texts)
-    queries = spark.createDataFrame([(1, "wireles headphnes"), (2, "keyboard")], "query_id int, q string")
+    queries = spark.createDataFrame([(1, "wireles headphnes"), (2, "keyboard"), (3, "cabel"), (4, "types wel breaks")], "query_id int, q string")
     for dialect in search.DIALECTS:
-        live = search.product_scenario(docs, queries, dialect).hits.select("query_id", "product_id", "score").collect()
-        read = search.product_scenario(docs, queries, dialect, stored=kept).hits.select("query_id", "product_id", "score").collect()
-        assert sorted(live) == sorted(read) and (live or dialect == "weighted")
+        flows = [(search.product_scenario, (docs,))]
+        flows += [(search.basic_product_search, (docs,))] if dialect == "lucene" else []
+        flows += [(search.review_scenario, (texts, docs))] if dialect == "ladder" else []
+        for flow, tables_of in flows:
+            key = "review_id" if flow is search.review_scenario else "product_id"
+            live = flow(*tables_of, queries, dialect).hits.select("query_id", key, "score").collect()
+            read = flow(*tables_of, queries, dialect, stored=kept).hits.select("query_id", key, "score").collect()
+            assert sorted(live) == sorted(read) and (live or dialect == "weighted" or key == "review_id")
     vectors = tables.read("product_vectors").first()
     assert len(vectors.embedding) == 768 and abs(sum(x * x for x in vectors.embedding) - 1) < 1e-4
 
