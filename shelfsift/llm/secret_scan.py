@@ -14,36 +14,65 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 SHORTEST_VALUE = 12
 
-#: Strings that the models judge, and what they are trained on.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Strings that the models judge, as long as the base's shortest value, and what they are trained on.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Documents whose strings train the models at most, in the order of a hash of their keys.
 SAMPLE = 20_000
 #: Least log-likelihood ratio of a secret, in all and per pair of characters.
-LEAST_RATIO, LEAST_MEAN = 12.0, 0.6
+LEAST_RATIO, LEAST_MEAN = 6.0, 0.3
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost matches that don't overlap as array of (start, end, size), in code points; size is the group's length.
+#: Matches whose places are added up in one go; a long text has rounds of as many.
+ROUND = 256
 
-    Matches and the gaps between them alternate, so their lengths add up to the places.
-    """
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (gap, whole, part): each match after the text before it; the text after the last one is a gap without a match."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    both = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"),
-        F.transform(part, F.length).alias("part"))
-    kind = "array<struct<start:bigint,end:bigint,size:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
+
+
+def _placed(matches: Column) -> Column:
+    """The matches as array of (start, end, string), in code points; the string is the match's part.
+
+    Matches and gaps alternate, so their lengths add up to the places. They are added up in rounds, so that the work of
+    appending doesn't grow with the square of their number.
+    """
+    kind = "array<struct<start:bigint,end:bigint,string:string>>"
+    none = F.array().cast(kind)
+
+    def one(state: Column, x: Column) -> Column:
+        begin = state["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
+        own = F.array(F.struct(begin.alias("start"), end.alias("end"), x["part"].alias("string")))
+        return F.struct(end.alias("at"), F.when(x["whole"].isNull(), state["found"]).otherwise(F.concat(state["found"], own)).alias("found"))
+
+    def some(state: Column, number: Column) -> Column:
+        begin = F.struct(state["at"].alias("at"), none.alias("found"))
+        done = F.aggregate(F.slice(matches, number * ROUND + 1, ROUND), begin, one)
+        return F.struct(done["at"].alias("at"), F.concat(state["found"], F.array(done["found"])).alias("found"))
 
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        own = F.struct(begin.alias("start"), end.alias("end"), x["part"].cast("long").alias("size"))
-        return F.struct(end.alias("at"), F.when(x["size"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(own))).alias("found"))
+    rounds = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / ROUND).cast("int"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+    return F.when(F.size(matches) > 1, F.flatten(F.aggregate(rounds, start, some)["found"])).otherwise(none)
 
-    return F.when(F.size(whole) > 0, F.aggregate(both, start, add, lambda s: s["found"])).otherwise(F.array().cast(kind))
+
+def spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """Leftmost matches that don't overlap as array of (start, end, string), in code points; the string is the group."""
+    # Bound as the one element of an array, so that the pattern isn't matched again in every round.
+    return F.element_at(F.transform(F.array(_matches(text, pattern, group)), _placed), 1)
+
+
+def _blanked(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
+    """The text with as many blanks in place of every match whose part is at least so long."""
+    def one(x: Column) -> Column:
+        blank = F.when(F.length(x["part"]) >= least, F.repeat(F.lit(" "), F.length(x["whole"]))).otherwise(x["whole"])
+        return F.concat(x["gap"], F.coalesce(blank, F.lit("")))
+
+    return F.array_join(F.transform(_matches(text, pattern, group), one), "")
 
 
 def _codes(string: Column) -> Column:
@@ -96,25 +125,25 @@ def log_ratio(string: Column, ratio: list[float]) -> Column:
     return F.aggregate(_pairs(string), F.lit(0.0), lambda total, p: total + F.get(table, p.cast("int")))
 
 
+def looks_random(string: Column, ratio: list[float]) -> Column:
+    """Whether a string is likelier under the random model than under the ordinary one by both margins."""
+    value = log_ratio(string, ratio)
+    return (value >= LEAST_RATIO) & (value >= LEAST_MEAN * (F.length(string) - 1))
+
+
 def scan(docs: DataFrame, ratio: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``key``, n_assign, n_access, n_hex, base, spans; the last two as kind:start:end lists.
 
-    Base matches are those of the fixed patterns, long enough ones. A Markov span is a string of at least 20 characters
-    that touches no base span and is likelier under the random model than under the ordinary one by the stated margins. Null and
-    empty texts have no spans; each row stands alone, so repeated rows and equal keys have equal results.
+    Base matches are those of the fixed patterns, long enough ones. A Markov span is a run of at least 12 characters outside
+    all base spans that is likelier under the random model than under the ordinary one by the stated margins. Null and
+    empty texts have no spans; each row stands alone, so repeated rows and equal keys have equal results, a long text is
+    scanned whole, other columns play no part, and an empty table gives an empty result.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    long_enough = F.filter(spans(F.col("__t"), ASSIGN, 1), lambda s: s["size"] >= SHORTEST_VALUE)
-    rows = rows.withColumns({"__0": long_enough, "__1": spans(F.col("__t"), ACCESS), "__2": spans(F.col("__t"), HEX)})
-    rows = rows.withColumn("__3", spans(F.col("__t"), CANDIDATE))
-    taken = F.concat("__0", "__1", "__2")
-
-    def secret(s: Column) -> Column:
-        free = ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        value = log_ratio(F.substring(F.col("__t"), s["start"] + 1, s["size"]), ratio)
-        return free & (value >= LEAST_RATIO) & (value >= LEAST_MEAN * (s["size"] - 1))
-
-    rows = rows.withColumn("__3", F.filter("__3", secret))
+    long_enough = F.filter(spans(F.col("__t"), ASSIGN, 1), lambda s: F.length(s["string"]) >= SHORTEST_VALUE)
+    rest = _blanked(_blanked(F.col("__t"), ASSIGN, 1, SHORTEST_VALUE), f"{ACCESS}|{HEX}")
+    rows = rows.withColumns({"__0": long_enough, "__1": spans(F.col("__t"), ACCESS), "__2": spans(F.col("__t"), HEX), "__rest": rest})
+    rows = rows.withColumn("__3", F.filter(spans(F.col("__rest"), CANDIDATE), lambda s: looks_random(s["string"], ratio)))
 
     def of_kind(k: int):
         return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfsift.llm import secret_scan
 
@@ -48,6 +49,41 @@ def test_characters_tell_random_strings_from_words(spark, ratio):
     assert {r.doc_id: bool(r.spans) for r in found} == {i: s for i, _, s in rows}
 
 
+def test_strings_of_twelve_characters_and_borders_of_base_spans(spark, ratio):
+    rows = [(1, "é x9Kd02bX7e41A y"), (2, "éé secret=a1b2c3d4e5f6 x9Kd02bX7e41A"), (3, "pre_0123456789abcdef0123_9Kd02bX7e41Aq"), (4, "x9Kd02bX7e4")]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratio).collect()
+    assert {r.doc_id: r.spans for r in found} == {
+        1: "markov:2:15", 2: "assign:3:22,markov:23:36", 3: "hex:4:24,markov:24:38", 4: ""}
+
+
+def test_many_matches_in_one_text(spark, ratio):
+    n = 3 * secret_scan.ROUND + 5
+    text = " é ".join(f"{i:016x} password=abc{i:012d} é_x9Kd02bX7e41A" for i in range(n))
+    row = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratio).first()
+    assert row.base == brute(text) and (row.n_assign, row.n_hex) == (n, n)
+    places = [m.start() for m in re.finditer("_x9Kd02bX7e41A", text)]
+    assert [s for s in row.spans.split(",") if s[0] == "m"] == [f"markov:{p}:{p + 14}" for p in places]
+
+
+def test_held_out_strings(spark, documents):
+    """Trained on one half of the documents, the models tell the other half's base values from its other long words."""
+    ratio = secret_scan.train(documents.filter("doc_id % 2 = 0"))
+    texts = documents.filter("doc_id % 2 = 1")
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{12,}"), F.lit(0))).alias("s")).distinct()
+    hidden = {"".join(re.findall("[0-9a-f]{16,}|AKIA[A-Z0-9]{14,}", r.s)): r.s for r in words.collect()}
+    told = {r.s: r.x for r in words.select("s", secret_scan.looks_random(F.col("s"), ratio).alias("x")).collect()}
+    secrets = {s for part, s in hidden.items() if part and part == s and not s.isdigit()}  # digits alone are card numbers here
+    assert secrets and all(told[s] for s in secrets)
+    assert sum(told[s] for s in told if s.isalpha()) == 0
+
+
+def test_other_columns_and_repeated_rows(spark, ratio):
+    rows = [(1, "token=abcdefghijklm", "x", 1), (1, "token=abcdefghijklm", "y", 2), (None, None, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, __0 int")
+    found = sorted(map(str, (r.spans for r in secret_scan.scan(docs, ratio).collect())))
+    assert found == ["", "assign:0:19", "assign:0:19"]
+
+
 def test_nothing_to_train_on(empty, odd):
     ratio = secret_scan.train(empty)
     assert set(ratio) == {0.0}
