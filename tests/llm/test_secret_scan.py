@@ -65,8 +65,9 @@ def test_many_matches_in_one_text(spark, ratio):
     assert [s for s in row.spans.split(",") if s[0] == "m"] == [f"markov:{p}:{p + 14}" for p in places]
 
 
-def test_held_out_strings(spark, documents):
+def test_held_out_strings(spark):
     """Trained on one half of the documents, the models tell the other half's base values from its other long words."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     ratio = secret_scan.train(documents.filter("doc_id % 2 = 0"))
     texts = documents.filter("doc_id % 2 = 1")
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{12,}"), F.lit(0))).alias("s")).distinct()
