@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +29,22 @@ LEAST_RATIO, LEAST_MEAN = 6.0, 0.3
 ROUND = 256
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, as the one element of an array, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (gap, whole, part): each match after the text before it; the text after the last one is a gap without a match."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
+
+    def zipped(whole: Column) -> Column:
+        part = F.transform(whole, lambda w: F.regexp_extract(w, pattern, group)) if group else whole
+        # Without a match the text needn't be searched again for the gaps.
+        gaps = F.when(F.size(whole) > 0, F.split(text, pattern, -1)).otherwise(F.array(text))
+        return F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
+
+    return _bound(whole, zipped)
 
 
 def _placed(matches: Column) -> Column:
@@ -62,17 +74,16 @@ def _placed(matches: Column) -> Column:
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost matches that don't overlap as array of (start, end, string), in code points; the string is the group."""
-    # Bound as the one element of an array, so that the pattern isn't matched again in every round.
-    return F.element_at(F.transform(F.array(_matches(text, pattern, group)), _placed), 1)
+    return _bound(_matches(text, pattern, group), _placed)
 
 
-def _blanked(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
-    """The text with as many blanks in place of every match whose part is at least so long."""
+def _blanked(matches: Column, least: int = 1) -> Column:
+    """The text of the matches with as many blanks in place of every one whose part is at least so long."""
     def one(x: Column) -> Column:
         blank = F.when(F.length(x["part"]) >= least, F.repeat(F.lit(" "), F.length(x["whole"]))).otherwise(x["whole"])
         return F.concat(x["gap"], F.coalesce(blank, F.lit("")))
 
-    return F.array_join(F.transform(_matches(text, pattern, group), one), "")
+    return F.array_join(F.transform(matches, one), "")
 
 
 def _codes(string: Column) -> Column:
@@ -121,8 +132,20 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
 
 def log_ratio(string: Column, ratio: list[float]) -> Column:
-    table = F.lit(ratio)
-    return F.aggregate(_pairs(string), F.lit(0.0), lambda total, p: total + F.get(table, p.cast("int")))
+    """Sum of the ratios of neighbouring characters, in one pass: the state is the last character's number and the sum."""
+    n = len(SYMBOLS)
+    by_number = [0.0] * (128 * 128)  # what follows no character adds nothing
+    for i, a in enumerate(SYMBOLS):
+        for j, b in enumerate(SYMBOLS):
+            by_number[ord(a) * 128 + ord(b)] = ratio[i * n + j]
+    table = F.lit(by_number)
+
+    def add(state: Column, c: Column) -> Column:
+        number = F.ascii(c)
+        return F.struct(number.alias("last"), (state["total"] + F.get(table, state["last"] * 128 + number)).alias("total"))
+
+    begin = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("total"))
+    return F.aggregate(F.split(string, ""), begin, add, lambda state: state["total"])
 
 
 def looks_random(string: Column, ratio: list[float]) -> Column:
@@ -140,10 +163,17 @@ def scan(docs: DataFrame, ratio: list[float], key: str = "doc_id", text: str = "
     scanned whole, other columns play no part, and an empty table gives an empty result.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    long_enough = F.filter(spans(F.col("__t"), ASSIGN, 1), lambda s: F.length(s["string"]) >= SHORTEST_VALUE)
-    rest = _blanked(_blanked(F.col("__t"), ASSIGN, 1, SHORTEST_VALUE), f"{ACCESS}|{HEX}")
-    rows = rows.withColumns({"__0": long_enough, "__1": spans(F.col("__t"), ACCESS), "__2": spans(F.col("__t"), HEX), "__rest": rest})
-    rows = rows.withColumn("__3", F.filter(spans(F.col("__rest"), CANDIDATE), lambda s: looks_random(s["string"], ratio)))
+    def assigned(m: Column) -> Column:
+        own = F.filter(_placed(m), lambda s: F.length(s["string"]) >= SHORTEST_VALUE)
+        return F.struct(own.alias("spans"), _blanked(m, SHORTEST_VALUE).alias("rest"))
+
+    def judged(rest: Column) -> Column:
+        return F.filter(spans(rest, CANDIDATE), lambda s: looks_random(s["string"], ratio))
+
+    rows = rows.withColumns({
+        "__first": _bound(_matches(F.col("__t"), ASSIGN, 1), assigned), "__1": spans(F.col("__t"), ACCESS), "__2": spans(F.col("__t"), HEX)})
+    others = _bound(F.col("__first.rest"), lambda t: _bound(_matches(t, f"{ACCESS}|{HEX}"), _blanked))
+    rows = rows.withColumns({"__0": F.col("__first.spans"), "__3": _bound(others, judged)})
 
     def of_kind(k: int):
         return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))
