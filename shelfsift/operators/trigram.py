@@ -20,6 +20,20 @@ def similarity_of(grams: Column, others: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(common, union), SCORE_DIGITS), F.lit(0.0))
 
 
+def similarity(df: DataFrame, id_column: str, text: str, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, similarity) of every pair that shares a trigram, however few.
+
+    The trigrams of a text leave one task together, so they are counted per pair before the shuffle.
+    """
+    grams = lambda rows, key, n: rows.select(key, F.size("grams").alias(n), F.explode("grams").alias("gram"))
+    own = grams(df.select(F.col(id_column).alias("doc_id"), word_trigrams(F.col(text)).alias("grams")), "doc_id", "n")
+    asked = grams(queries.select("query_id", word_trigrams(F.col("q")).alias("grams")), "query_id", "n_query")
+    shared = own.join(hinted(asked, is_small(asked)), "gram").groupBy("query_id", "doc_id", "n", "n_query").agg(
+        F.count(F.lit(1)).alias("common"))
+    ratio = F.col("common") / (F.col("n") + F.col("n_query") - F.col("common"))
+    return shared.select("query_id", "doc_id", F.round(ratio, SCORE_DIGITS).alias("similarity"))
+
+
 def _least_shared(n: Column, threshold: float) -> Column:
     """Trigrams that a set of ``n`` shares at least with any set as similar as the threshold; rounding lets a few more in."""
     return F.ceil(n * (threshold - 1e-6))

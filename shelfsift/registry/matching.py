@@ -104,10 +104,10 @@ def _similarity_sql(name: str, grams: str) -> str:
 @register("d08_trigram_join", f"""
     WITH {C.queries_sql(_GRAM_QUERIES)}, {PRODUCTS_SQL}, {_grams_sql('qgrams', 'queries', 'query_id', 'q')},
     {_grams_sql('dgrams', 'v_products', 'product_id', 'description')}, {_similarity_sql('sims', 'dgrams')}
-    SELECT query_id, doc_id, similarity FROM sims WHERE similarity >= 0.2""")
+    SELECT query_id, doc_id, similarity FROM sims""")
 def trigram_join(spark, folder):
-    """Pairs of query and description that share a fifth of their trigrams."""
-    return trigram.similar(views.products(spark, folder), "product_id", "description", C.query_table(spark, _GRAM_QUERIES), 0.2)
+    """Similarity of every pair of query and description that share a trigram."""
+    return trigram.similarity(views.products(spark, folder), "product_id", "description", C.query_table(spark, _GRAM_QUERIES))
 
 
 _DOC_SCORES = "scored AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM field_scores GROUP BY 1, 2)"

@@ -15,6 +15,7 @@ from shelfsift.functions.stem import LATER_STEP_2, LATER_STEP_3, LATER_STEP_4, W
 from shelfsift.functions.text import ENGLISH_REVIEW, PRODUCT, word_trigrams
 from shelfsift.operators import facets, fuzzy, highlight, limits, match, postings, rank, review_stats, trigram, vectors
 from shelfsift.plans import analytics, search
+from shelfsift.registry import matching
 from shelfsift.registry.stems import later_stems_sql, stems_sql
 from shelfsift.sources import tables, views
 from tests.stem_examples import LATER_STEMS, LATER_WORDS, STEP_EXAMPLES
@@ -194,6 +195,24 @@ def test_trigram_similarity_by_hand(spark):
     assert ask(spark, "ab").select(word_trigrams(F.col("q"))).first()[0] == ["  a", " ab", "ab "]
 
 
+def test_trigram_similarity_keeps_every_pair_that_shares_one(spark):
+    texts = ["small ring", "ring of a thousand very long words that share next to nothing", "blue", "", "red"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    asked = ["rign", "red widgte", "qqq", ""]
+    got = {(r.query_id, r.doc_id): r.similarity for r in trigram.similarity(docs, "id", "t", ask(spark, *asked)).collect()}
+    pairs = {(q, d): (grams(a), grams(b)) for q, a in enumerate(asked, 1) for d, b in enumerate(texts)}
+    assert got == {key: round(len(a & b) / len(a | b), 6) for key, (a, b) in pairs.items() if a & b}
+    assert 0 < min(got.values()) < 0.1
+
+
+def test_the_trigram_join_has_no_threshold(spark, folder):
+    products = views.products(spark, folder).select("product_id", "description").collect()
+    found = matching.trigram_join(spark, folder).collect()
+    asked = {q: grams(text) for q, text in matching._GRAM_QUERIES}
+    assert len(found) == sum(bool(a & grams(p.description)) for a in asked.values() for p in products)
+    assert min(r.similarity for r in found) < 0.2
+
+
 def test_price_buckets_and_filters(spark, catalogue):
     products, _ = catalogue
     got = {r.value: r.n for r in facets.range_buckets(products, "price").collect()}
