@@ -173,14 +173,16 @@ def stemmed_postings(positions: DataFrame, units: DataFrame, words: DataFrame |
 
     The table holds words. The vocabulary (``words`` with term and stem, if it
     is stored) tells which of them share a stem with a query, and only their
-    postings are read, a join like any other.
+    postings are read, a join like any other. They are kept: matching and
+    ranking read them several times, and the texts behind them once.
     """
     asked = units.select(F.col("term").alias("stem")).distinct()
     known = words if words is not None else stem_table(positions, english_stem)
     sharing = materialized(known.select("term", "stem").join(hinted(asked, is_small(asked)), "stem"))
     few = is_small(sharing)
     rows = near_terms(positions, sharing, few).join(hinted(sharing, few), "term")
-    return rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"), sharing.withColumnRenamed("term", "word")
+    by_stem = materialized(rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"))
+    return by_stem, sharing.withColumnRenamed("term", "word")
 
 
 def boolean_match(positions: DataFrame, units: DataFrame, documents: DataFrame | None = None) -> DataFrame:

@@ -6,11 +6,13 @@ can stay lazy (small jobs) or be written once and read by many searches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsift.functions.stem import stem
 from shelfsift.functions.text import PRODUCT, Analyzer, shingles
@@ -193,11 +195,26 @@ def vocabulary(index: TextIndex) -> DataFrame:
     return index.positions.select("field", "term").distinct()
 
 
+def with_stems(words: DataFrame, stemmer: Callable[[Column], Column] = stem) -> DataFrame:
+    """Distinct words (a column ``term``) with their ``stem``.
+
+    The stemmer works on whole batches of rows, not as an expression: a condition on the stem, like the one that
+    a join adds, would else be moved below ``distinct`` and stem every word of the corpus.
+    """
+    stems_of = stemmer.func
+
+    def stemmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(stem=stems_of(frame["term"]))
+
+    return words.mapInPandas(stemmed, T.StructType([*words.schema, T.StructField("stem", T.StringType())]))
+
+
 def stemmed_vocabulary(index: TextIndex) -> DataFrame:
     """Distinct (field, term) with the stem; the Python stemmer sees no corpus rows."""
     if index.words is not None:
         return index.words
-    return vocabulary(index).withColumn("stem", stem("term"))
+    return with_stems(vocabulary(index), stem)
 
 
 def folded_to_stems(index: TextIndex, sharing: DataFrame) -> TextIndex:
@@ -209,7 +226,7 @@ def folded_to_stems(index: TextIndex, sharing: DataFrame) -> TextIndex:
 
 def stem_table(positions: DataFrame, stemmer: Callable[[Column], Column] = stem) -> DataFrame:
     """(term, stem): the Python stemmer sees every distinct term once, no corpus rows."""
-    return positions.select("term").distinct().select("term", stemmer(F.col("term")).alias("stem"))
+    return with_stems(positions.select("term").distinct(), stemmer)
 
 
 def term_statistics(positions: DataFrame) -> DataFrame:

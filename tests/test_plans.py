@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfsift.functions.filters import ProductFilter
+from shelfsift.functions.stem import english_stem, stem
+from shelfsift.functions.text import ENGLISH_TEXT
 from shelfsift.operators import limits, match, postings, suggest, trigram
 from shelfsift.plans import autocomplete, search
 from shelfsift.sources import views
@@ -88,3 +90,20 @@ def test_many_queries_take_the_shuffle_path_with_the_same_result(spark, folder,
     small = sorted(match.any_term_match(index, terms).collect())
     monkeypatch.setattr(match, "is_small", lambda df: False)
     assert sorted(match.any_term_match(index, terms).collect()) == small
+
+
+def test_stemmer_stays_above_the_distinct_words(spark, folder):
+    """A join on the stem adds a condition on it, which must not reach the postings."""
+    positions = search.review_index(views.reviews(spark, folder)).positions
+    wanted = spark.createDataFrame([("thing",)], "stem string")
+    for stemmer in (stem, english_stem):
+        text = plan(postings.stem_table(positions, stemmer).join(wanted, "stem"), "tree")
+        assert "EvalPython" not in text.split("HashAggregate")[-1]
+        assert text.rindex("MapInPandas") < text.index("HashAggregate")
+
+
+def test_stemmed_postings_are_made_once(spark, folder):
+    positions = search.class_positions(views.reviews(spark, folder), match.REVIEW_CLASSES, "review_id", ENGLISH_TEXT)
+    queries = spark.createDataFrame([(1, "thing or -great")], "query_id int, q string")
+    asked = search.weighted_query(positions, queries, ENGLISH_TEXT)
+    assert not re.search("Scan parquet|Generate", plan(asked.positions, "tree"))
