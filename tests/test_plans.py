@@ -107,3 +107,10 @@ def test_stemmed_postings_are_made_once(spark, folder):
     queries = spark.createDataFrame([(1, "thing or -great")], "query_id int, q string")
     asked = search.weighted_query(positions, queries, ENGLISH_TEXT)
     assert not re.search("Scan parquet|Generate", plan(asked.positions, "tree"))
+
+
+def test_raw_lines_are_dealt_out_and_their_kinds_read_once(spark, folder):
+    text = plan(entry.queries()["b05_normalize_product"](spark, folder), "tree")
+    assert text.index("Generate") < text.index("Exchange hashpartitioning(ord")
+    # Once for all keys of a line, for the last category, and for the two keys of the details.
+    assert len(re.findall("schema_of_variant", text)) <= 6
