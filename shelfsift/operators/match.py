@@ -15,6 +15,8 @@ from shelfsift.operators.sizes import hinted, is_small, materialized
 K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
+# So many of the rarest words a document must share with a query before all its words are looked up, for minimum match.
+RARE_SHARED = 3
 
 
 def lookup(positions: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
@@ -59,9 +61,13 @@ def term_impacts(index: TextIndex, terms: DataFrame, small: bool) -> DataFrame:
     return _impacts(tf, document_frequencies(tf), index.statistics, small)
 
 
-def _sum_slots(hits: DataFrame) -> DataFrame:
-    """Best spelling per slot, slots added up. Rows are placed by (query, document) once for all steps."""
-    slots = hits.repartition("query_id", "doc_id").groupBy("query_id", "doc_id", "field", "slot", "n_terms").agg(
+def _sum_slots(hits: DataFrame, placed: bool = False) -> DataFrame:
+    """Best spelling per slot, slots added up. Rows are placed by (query, document) once for all steps.
+
+    ``placed`` rows lie with others of their document and field already, and stay there.
+    """
+    rows = hits if placed else hits.repartition("query_id", "doc_id")
+    slots = rows.groupBy("query_id", "doc_id", "field", "slot", "n_terms").agg(
         F.max(F.col("impact") * F.col("weight")).alias("score")
     )
     return slots.groupBy("query_id", "doc_id", "field", "n_terms").agg(
@@ -97,25 +103,35 @@ def minimum_match(scores: DataFrame, above: int = 2, share: float = 0.7) -> Data
 def minimum_match_scores(index: TextIndex, terms: DataFrame, above: int = 2, share: float = 0.7) -> DataFrame:
     """Field scores of the documents with enough of the words.
 
-    Whoever holds ``m`` of ``n`` words holds one of any ``n - m + 1`` of them.
+    Whoever holds ``m`` of ``n`` words holds ``j`` of any ``n - m + j`` of them.
     So each query meets the corpus through its rarest words only, and its
-    frequent words are looked up for the documents found that way; a word that
-    stands in most documents and most queries never pairs them all. The term
-    frequencies are read four times and computed once.
+    frequent words are looked up for the documents that hold ``RARE_SHARED`` of
+    those; a word that stands in most documents and most queries never pairs
+    them all, and one rare word in common is not enough. The term
+    frequencies are read four times and computed once. Candidates meet their
+    words by document, and are added up and cut there, so that of all pairs
+    only those with enough words move on.
     """
     small = is_small(terms)
     tf = materialized(term_frequencies(index, terms, small))
     df = document_frequencies(tf)
     impacts = _impacts(tf, df, index.statistics, small)
-    place = F.row_number().over(W.partitionBy("query_id", "field").orderBy(F.coalesce("df", F.lit(0)), "slot"))
-    rare = terms.join(df, ["field", "term"], "left").withColumn("place", place).filter(
-        F.col("place") <= F.col("n_terms") - _needed(above, share) + 1
-    ).select("query_id", "field", "term")
-    candidates = tf.join(hinted(rare, small), ["field", "term"]).select("query_id", "doc_id", "field").distinct()
+    slot = ["query_id", "field", "slot"]
+    place = F.row_number().over(W.partitionBy("query_id", "field").orderBy("df", "slot"))
+    # Known spellings of a slot count together; one without any comes first.
+    slots = terms.join(df, ["field", "term"], "left").groupBy(*slot, "n_terms").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
+    shared = F.least(_needed(above, share), F.lit(RARE_SHARED))
+    rare = slots.withColumn("place", place).withColumn("shared", shared).filter(
+        F.col("place") <= F.col("n_terms") - _needed(above, share) + F.col("shared")
+    ).join(terms.select(*slot, "term").distinct(), slot).select(*slot, "shared", "term")
+    # Several spellings of one slot in a document let it pass more easily, none is lost by them.
+    met = tf.select("doc_id", "field", "term").join(hinted(rare, small), ["field", "term"])
+    met = met.groupBy("query_id", "doc_id", "field", "shared").agg(F.count(F.lit(1)).alias("met"))
+    candidates = met.filter(F.col("met") >= F.col("shared")).select("query_id", "doc_id", "field")
     hits = impacts.join(candidates, ["doc_id", "field"]).join(
         hinted(_weighted(terms), small), ["query_id", "field", "term"]
     )
-    return minimum_match(_sum_slots(hits), above, share)
+    return minimum_match(_sum_slots(hits, placed=True), above, share)
 
 
 def best_field(scores: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:

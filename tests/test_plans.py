@@ -114,3 +114,10 @@ def test_raw_lines_are_dealt_out_and_their_kinds_read_once(spark, folder):
     assert text.index("Generate") < text.index("Exchange hashpartitioning(ord")
     # Once for all keys of a line, for the last category, and for the two keys of the details.
     assert len(re.findall("schema_of_variant", text)) <= 6
+
+
+def test_words_of_candidates_are_added_up_where_the_documents_lie(spark, folder):
+    index = postings.TextIndex.of(views.table(spark, folder, "documents"), [postings.IndexField("text")], "doc_id")
+    queries = spark.createDataFrame([(1, "with from this that")], "query_id int, q string")
+    text = plan(match.minimum_match_scores(index, postings.query_terms(queries, index.fields)), "tree")
+    assert "REPARTITION_BY_COL" not in text

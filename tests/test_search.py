@@ -195,6 +195,23 @@ def test_trigram_similarity_by_hand(spark):
     assert ask(spark, "ab").select(word_trigrams(F.col("q"))).first()[0] == ["  a", " ab", "ab "]
 
 
+def test_minimum_match_equals_looking_at_every_pair(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 31), k=rng.randrange(0, 25))) for _ in range(300)]
+    asked = [" ".join(rng.choices(words, weights=range(1, 31), k=n)) for n in range(1, 16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    index = postings.TextIndex.of(docs, [postings.IndexField("t")], "id")
+    terms = postings.query_terms(ask(spark, *asked), index.fields).withColumn("weight", F.lit(1.0))
+    # Each slot may also be spelled as the word before it.
+    other = terms.withColumn("term", F.concat(F.lit("w"), F.substring("term", 2, 2).cast("int") - 1)).withColumn("weight", F.lit(0.5))
+    for spelled in (terms, terms.unionByName(other)):
+        whole = match.minimum_match(match.field_scores(index, spelled)).collect()
+        got = match.minimum_match_scores(index, spelled).collect()
+        key = lambda r: (r.query_id, r.doc_id, r.field, r.matched, round(r.score, 9))
+        assert len(whole) > 100 and {key(r) for r in got} == {key(r) for r in whole}
+
+
 def test_trigram_similarity_keeps_every_pair_that_shares_one(spark):
     texts = ["small ring", "ring of a thousand very long words that share next to nothing", "blue", "", "red"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
