@@ -53,12 +53,18 @@ def hashed_features(df: DataFrame, id_column: str, text: str, dimensions: int =
 
 
 def dense(features: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(doc_id, embedding): sparse features as one float array per document."""
-    pairs = features.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")
-    )
-    return pairs.select("doc_id", values.alias("embedding"))
+    """(doc_id, embedding): sparse features as one float array per document.
+
+    In the order of their dimensions the weights are joined with the zeros before them, so no dimension is searched for.
+    """
+    entries = F.map_entries(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))))
+    parts = F.filter(F.array_sort(entries), lambda p: p["key"].between(0, dimensions - 1))
+    rows = features.groupBy("doc_id").agg(parts.alias("parts"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+    before = lambda i: F.coalesce(F.get("parts", i.cast("int") - 1)["key"], F.lit(-1))
+    runs = F.transform("parts", lambda p, i: F.concat(zeros(p["key"] - before(i) - 1), F.array(p["value"].cast("float"))))
+    rest = zeros(dimensions - 1 - before(F.size("parts")))
+    return rows.select("doc_id", F.concat(F.flatten(runs), rest).alias("embedding"))
 
 
 def embed_column(df: DataFrame, id_column: str, text: str, model: Callable[[list[str]], list[list[float]]],
@@ -302,7 +308,9 @@ def candidate_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dimensi
     )
     near = pairs.select("query_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), SCORE_DIGITS).alias("cosine"))
     best = top_k(near, k, [F.desc("cosine"), F.asc("doc_id")])
-    return best.withColumn("score", F.round((1 + F.col("cosine")) / 2, SCORE_DIGITS))
+    # Half of a number of six digits can end in a five; as a decimal it isn't below it.
+    half = (1 + F.col("cosine").cast("decimal(10,6)")) / 2
+    return best.withColumn("score", F.round(half, SCORE_DIGITS).cast("double"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

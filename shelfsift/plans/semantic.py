@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.operators import limits, match, vectors
 from shelfsift.operators.postings import TextIndex, query_terms
+from shelfsift.operators.sizes import materialized
 
 
 def query_vectors(queries: DataFrame, dimensions: int = vectors.DIMENSIONS,
@@ -34,6 +35,8 @@ def semantic_and_keyword(index: TextIndex, embedded: DataFrame, queries: DataFra
         near = vectors.candidate_neighbours(embedded, asked, k, dimensions)
     else:
         near = vectors.exact_neighbours(embedded, asked, k)
+    # A few rows per query that the page and the totals both read.
+    near = materialized(near)
     found = limits.match_totals(near)
     semantic = near.join(found, "query_id").withColumn("section", F.lit("semantic"))
     scores = match.minimum_match_scores(index, query_terms(queries, index.fields))

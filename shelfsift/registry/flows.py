@@ -9,6 +9,7 @@ from shelfsift.functions.filters import ProductFilter
 from shelfsift.functions.text import PRODUCT
 from shelfsift.operators import fuzzy, match, suggest
 from shelfsift.operators.postings import TextIndex
+from shelfsift.operators.sizes import materialized
 from shelfsift.plans import analytics, autocomplete, load, prepare, search, semantic
 from shelfsift.registry import corpora as C
 from shelfsift.registry import matching as M
@@ -516,7 +517,8 @@ def semantic_comparison(spark, folder):
     from shelfsift.operators import vectors
 
     docs = table(spark, folder, "documents")
-    embedded = vectors.dense(vectors.hashed_features(docs, "doc_id", "text", 256), 256)
+    # Signatures and exact comparisons both read the vectors.
+    embedded = materialized(vectors.dense(vectors.hashed_features(docs, "doc_id", "text", 256), 256))
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = semantic.semantic_and_keyword(C.document_index(spark, folder), embedded, queries, {}, 10, 256, approximate=True)
     return rows.withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))

@@ -121,3 +121,8 @@ def test_words_of_candidates_are_added_up_where_the_documents_lie(spark, folder)
     queries = spark.createDataFrame([(1, "with from this that")], "query_id int, q string")
     text = plan(match.minimum_match_scores(index, postings.query_terms(queries, index.fields)), "tree")
     assert "REPARTITION_BY_COL" not in text
+
+
+def test_texts_are_embedded_once_for_candidates_and_totals(spark, folder):
+    text = plan(entry.queries()["p08_semantic_comparison"](spark, folder), "tree")
+    assert "md5" not in text and "MapInPandas" not in text

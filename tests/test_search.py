@@ -195,6 +195,21 @@ def test_trigram_similarity_by_hand(spark):
     assert ask(spark, "ab").select(word_trigrams(F.col("q"))).first()[0] == ["  a", " ab", "ab "]
 
 
+def test_dense_fills_all_dimensions(spark):
+    rows = [(1, 0, 0.5), (1, 3, -1.0), (2, 4, 2.0), (2, 2, 1.0), (3, 7, 1.0)]
+    got = vectors.dense(spark.createDataFrame(rows, "doc_id int, dim int, weight double"), 5).collect()
+    assert {r.doc_id: r.embedding for r in got} == {1: [0.5, 0, 0, -1.0, 0], 2: [0, 0, 1.0, 0, 2.0], 3: [0] * 5}
+
+
+def test_scores_of_candidates_are_rounded_half_up(spark):
+    # Cosine 0.578499: half of 1.578499 is 0.7892495, which as a double lies below that.
+    angle = np.arccos(0.578499)
+    near = spark.createDataFrame([(1, [float(np.cos(angle)), float(np.sin(angle))])], "doc_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    row = vectors.candidate_neighbours(near, asked, 1, 2).first()
+    assert (row.cosine, row.score) == (0.578499, 0.78925)
+
+
 def test_minimum_match_equals_looking_at_every_pair(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
