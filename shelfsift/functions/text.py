@@ -70,7 +70,8 @@ class Analyzer:
         pattern = WORD_WITH_APOSTROPHE if self.possessive else WORD
         words = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))
         if self.possessive:
-            words = F.transform(words, lambda w: F.regexp_replace(w, "['’]s$", ""))
+            owned = lambda w: w.endswith("'s") | w.endswith("’s")
+            words = F.transform(words, lambda w: F.when(owned(w), F.substring(w, F.lit(1), F.length(w) - 2)).otherwise(w))
         return words
 
     def count(self, text: Column) -> Column:

@@ -143,9 +143,10 @@ class TextIndex:
     def stemmed(self, stems: DataFrame) -> "TextIndex":
         """The same index over stems; ``stems`` maps each distinct term once.
 
-        The stop words are already gone, and lengths and positions stay.
+        The stop words are already gone, and lengths and positions stay. Rows find their stem in a hash table of
+        the words of a partition, so that the postings of the corpus are dealt out but not sorted.
         """
-        mapped = self.positions.join(stems, "term", "left").withColumn("term", F.coalesce("stem", "term")).drop("stem")
+        mapped = self.positions.join(stems.hint("shuffle_hash"), "term", "left").withColumn("term", F.coalesce("stem", "term")).drop("stem")
         return replace(self, positions=mapped.drop("term_bucket"), words=None, keys=None)
 
 

@@ -126,3 +126,10 @@ def test_words_of_candidates_are_added_up_where_the_documents_lie(spark, folder)
 def test_texts_are_embedded_once_for_candidates_and_totals(spark, folder):
     text = plan(entry.queries()["p08_semantic_comparison"](spark, folder), "tree")
     assert "md5" not in text and "MapInPandas" not in text
+
+
+def test_postings_are_not_sorted_to_meet_their_stems(spark, folder):
+    docs = views.table(spark, folder, "documents")
+    index = postings.TextIndex.of(docs, [postings.IndexField("text")], "doc_id")
+    text = plan(index.stemmed(postings.stem_table(index.positions)).positions, "tree")
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
