@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from shelfsift.functions.stem import stem
 from shelfsift.functions.text import PRODUCT, Analyzer, shingles
-from shelfsift.operators.sizes import hinted, is_small
+from shelfsift.operators.sizes import hinted, is_small, materialized
 
 
 TERM_BUCKETS = 64
@@ -219,10 +219,14 @@ def stemmed_vocabulary(index: TextIndex) -> DataFrame:
 
 
 def folded_to_stems(index: TextIndex, sharing: DataFrame) -> TextIndex:
-    """The index over stems, cut to the words in ``sharing`` (field, term, stem)."""
+    """The index over stems, cut to the words in ``sharing`` (field, term, stem).
+
+    What is left is kept: scores, frequencies and totals read it, and the texts behind it once.
+    """
     small = is_small(sharing)
     rows = near_terms(index.positions, sharing, small).join(hinted(sharing, small), ["field", "term"])
-    return replace(index, positions=rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"), words=None, keys=None)
+    by_stem = materialized(rows.drop("term", "term_bucket").withColumnRenamed("stem", "term"))
+    return replace(index, positions=by_stem, words=None, keys=None)
 
 
 def stem_table(positions: DataFrame, stemmer: Callable[[Column], Column] = stem) -> DataFrame:

@@ -475,3 +475,19 @@ def test_model_batches_and_retries(spark):
     got = vectors.embed_column(df, "id", "t", model, batch=4, delay=0.0).collect()
     assert {r.doc_id: r.embedding[0] for r in got} == {i: float(i) for i in range(10)}
     assert calls.value == 4
+
+
+def test_folding_to_stems_reads_the_texts_once(spark):
+    reads, n = spark.sparkContext.accumulator(0), 50
+
+    def counted(frames):
+        for frame in frames:
+            reads.add(len(frame))
+            yield frame
+
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('batteries battery word', id % 7) AS text")
+    index = postings.TextIndex.of(rows.mapInPandas(counted, rows.schema), [postings.IndexField("text")], "doc_id")
+    sharing = spark.createDataFrame([("text", w, "batteri") for w in ("battery", "batteries")], "field string, term string, stem string")
+    folded = postings.folded_to_stems(index, sharing)
+    assert [folded.positions.filter(F.col("term") == "batteri").count() for _ in range(2)] == [2 * n, 2 * n]
+    assert reads.value == n
