@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import PRODUCT, WORD, Analyzer, fold
+from shelfsift.operators.postings import PUSHED_TERMS
 from shelfsift.operators.sizes import hinted
 
 _PIECE = WORD + r"|[^\p{L}\p{N}]+"
@@ -92,6 +93,15 @@ def spelled_terms(terms: DataFrame) -> DataFrame:
     return terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
+def rows_of(source: DataFrame, id_column: str, page: DataFrame) -> DataFrame:
+    """The source cut to the rows of a kept page (doc_id) where their ids are few.
+
+    They are fetched and reach the scan as a list, so a source that is itself a join doesn't shuffle all its texts for them.
+    """
+    few = page.select("doc_id").distinct().limit(PUSHED_TERMS + 1).collect()
+    return source if len(few) > PUSHED_TERMS else source.filter(F.col(id_column).isin([r["doc_id"] for r in few]))
+
+
 def with_source(hits: DataFrame, source: DataFrame, id_column: str, terms: DataFrame, small: bool) -> DataFrame:
     """Hits next to their source row and the words to mark; the text is fetched for hits only.
 

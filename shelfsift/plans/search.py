@@ -350,8 +350,11 @@ def review_scenario(reviews: DataFrame, products: DataFrame, queries: DataFrame,
         fitting = fitting_reviews(matches, known, queries, "helpful_vote")
     else:
         fitting = fitting_reviews(matches, reviews, queries, "helpful_vote")
-    page = limits.top_k(fitting, k, order).select("query_id", "doc_id", "score", "rank")
-    rows = highlight.with_source(page, reviews, "review_id", marks, few_hits(queries, k))
+    # The page and the totals both read the matches.
+    fitting = materialized(fitting)
+    page = materialized(limits.top_k(fitting, k, order).select("query_id", "doc_id", "score", "rank"))
+    shown = highlight.rows_of(reviews, "review_id", page)
+    rows = highlight.with_source(page, shown, "review_id", marks, few_hits(queries, k))
     terms, title, text = F.col("terms"), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
     if dialect == "lucene":
         parts = {

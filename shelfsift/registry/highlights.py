@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfsift.functions import display
 from shelfsift.functions.text import PLAIN_WORDS, PRODUCT
 from shelfsift.operators import highlight, ladder, limits, match, postings
+from shelfsift.operators.sizes import materialized
 from shelfsift.plans.search import few_hits, overlap, side_by_side
 from shelfsift.registry import corpora as C
 from shelfsift.registry import matching as M
@@ -137,8 +138,8 @@ def _review_result(spark, folder):
     reviews, queries = views.reviews(spark, folder), C.query_table(spark, _QUERIES)
     matches, marks, order = S.review_matches(reviews, queries, "lucene", PRODUCT, fuzziness=False)
     fitting = S.fitting_reviews(matches, reviews, queries, "helpful_vote")
-    page = limits.top_k(fitting, 10, order).select("query_id", "doc_id", "score", "rank")
-    rows = highlight.with_source(page, reviews, "review_id", marks, S.few_hits(queries, 10))
+    page = materialized(limits.top_k(fitting, 10, order).select("query_id", "doc_id", "score", "rank"))
+    rows = highlight.with_source(page, highlight.rows_of(reviews, "review_id", page), "review_id", marks, S.few_hits(queries, 10))
     parts = {
         "title": highlight.fragments(F.col("title"), F.col("terms"), 120, 1),
         "text": highlight.fragments(F.col("text"), F.col("terms"), 180, 2),

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from shelfsift.functions.filters import ProductFilter
 from shelfsift.functions.stem import english_stem, stem
 from shelfsift.functions.text import ENGLISH_TEXT
-from shelfsift.operators import limits, match, postings, suggest, trigram
+from shelfsift.operators import highlight, limits, match, postings, suggest, trigram
 from shelfsift.plans import autocomplete, search
 from shelfsift.sources import views
 
@@ -76,6 +76,26 @@ def test_completion_reads_the_stored_words_only(spark, folder, tmp_path):
     assert sorted(read) == sorted(live) and live
 
 
+def test_texts_are_not_shuffled_for_labels_that_nobody_reads(spark, folder):
+    reviews = views.reviews(spark, folder)
+    positions = search.class_positions(reviews, match.REVIEW_CLASSES, "review_id", ENGLISH_TEXT)
+    assert "Join" not in plan(positions, "tree")
+    # The rows of a page are cut out below the join that their ratings need.
+    page = spark.createDataFrame([("3",), ("5",)], "doc_id string")
+    shown = highlight.rows_of(reviews, "review_id", page)
+    assert re.search(r"doc_id\S* as string\) IN \(3,5\)", plan(shown))
+    assert sorted(shown.collect()) == sorted(reviews.filter("review_id IN ('3', '5')").collect())
+
+
+def test_documents_with_several_labels_stay_several_reviews(spark, folder, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "web", 6) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 0, 0), (1, 1, 1), (2, None, 1), (None, 1, 1), (None, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = views.reviews(spark, str(tmp_path)).select("review_id", "rating", "text").collect()
+    assert sorted(found) == [("0", 1.0, "text 0"), ("1", 1.0, "text 1"), ("1", 2.0, "text 1"), ("2", 2.0, "text 2"), ("3", 4.0, "text 3")]
+
+
 def test_trigram_pairs_are_counted_where_the_texts_lie(spark, folder):
     queries = spark.createDataFrame([(1, "red widget")], "query_id int, q string")
     text = plan(trigram.similar(views.products(spark, folder), "product_id", "title", queries), "tree")
