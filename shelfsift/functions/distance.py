@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_EDITS = 2
 _TOO_FAR = MAX_EDITS + 1
+#: Letters at the beginning of a term that its deletion keys are made from.
+KEY_LETTERS = 7
 
 
 def auto_edits(term: Column) -> Column:
@@ -53,22 +57,24 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(plain <= 1, plain).otherwise(F.least(plain, swapped))
 
 
-def _without_one(term: Column) -> Column:
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.length(term)),
-        lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.length(term))),
-    )
-    return F.when(F.length(term) >= 1, shorter).otherwise(F.array().cast("array<string>"))
+def _without(term: Column, places: tuple[int, ...]) -> Column:
+    """The term without the letters at these places, counted from 1 and ascending; places behind its end change nothing."""
+    borders = [0, *places, KEY_LETTERS + 1]
+    return F.concat(*[F.substring(term, a + 1, b - a - 1) for a, b in zip(borders, borders[1:]) if b - a > 1])
 
 
 def deletion_keys(term: Column, edits: Column) -> Column:
-    """The term with up to ``edits`` characters left out, distinct.
+    """The first ``KEY_LETTERS`` letters with up to ``edits`` of them left out, distinct.
 
     Two terms within ``k`` edits always share a form with at most ``k``
-    characters deleted on each side, so equality on these keys finds every
-    pair that the distance test can accept.
+    characters deleted on each side. So do their beginnings: where more was
+    deleted in the one, the other leaves out as many of its last letters, and
+    neither leaves out more than ``k``. Equality on these keys therefore finds
+    every pair that the distance test can accept, and their number doesn't
+    grow with the length of a term.
     """
+    start, letters = F.substring(term, 1, KEY_LETTERS), range(1, KEY_LETTERS + 1)
     none = F.array().cast("array<string>")
-    once = F.when(edits >= 1, F.array_distinct(_without_one(term))).otherwise(none)
-    twice = F.when(edits >= 2, F.flatten(F.transform(once, _without_one))).otherwise(none)
-    return F.array_distinct(F.concat(F.array(term), once, twice))
+    once = F.when(edits >= 1, F.array(*[_without(start, (i,)) for i in letters])).otherwise(none)
+    twice = F.when(edits >= 2, F.array(*[_without(start, pair) for pair in combinations(letters, 2)])).otherwise(none)
+    return F.array_distinct(F.concat(F.array(start), once, twice))

@@ -13,27 +13,16 @@ from shelfsift.operators.postings import near_terms
 from shelfsift.operators.sizes import hinted, is_small, materialized
 
 
-#: Letters of the longest words whose deletion keys are stored; keys grow with the square of the length.
-STORED_LENGTH = 24
-
-
 def deletion_index(vocab: DataFrame) -> DataFrame:
     """(field, key, term): the vocabulary under its deletion keys."""
     return vocab.select("field", "term", F.explode(deletion_keys(F.col("term"), F.lit(MAX_EDITS))).alias("key"))
 
 
-def stored_keys(vocab: DataFrame) -> DataFrame:
-    """The deletion index of the words up to ``STORED_LENGTH``; those of longer words are made when a query is that long."""
-    return deletion_index(vocab.filter(F.length("term") <= STORED_LENGTH))
-
-
 def _near(keyed: DataFrame, vocab: DataFrame, longest: Column, keys: DataFrame | None) -> DataFrame:
     """(field, key, term) of the words that any of the keyed query words may reach."""
-    reached = vocab.filter(F.length("term") <= longest)
     if keys is None:
-        return deletion_index(reached)
-    near = near_terms(keys, keyed, is_small(keyed), "key").select("field", "term", "key")
-    return near.unionByName(deletion_index(reached.filter(F.length("term") > STORED_LENGTH)))
+        return deletion_index(vocab.filter(F.length("term") <= longest))
+    return near_terms(keys, keyed, is_small(keyed), "key").select("field", "term", "key")
 
 
 def similar_terms(wanted: DataFrame, vocab: DataFrame, edits: Callable[[Column], Column] = auto_edits,
@@ -48,7 +37,9 @@ def similar_terms(wanted: DataFrame, vocab: DataFrame, edits: Callable[[Column],
     longest = q.select(F.max(F.length("q_term") + F.col("edits"))).scalar()
     keyed = q.select("*", F.explode(deletion_keys(F.col("q_term"), F.col("edits"))).alias("key"))
     near = _near(keyed, vocab, longest, keys)
-    pairs = near.join(hinted(keyed, is_small(keyed)), ["field", "key"]).select("field", "q_term", "term", "edits").distinct()
+    pairs = near.join(hinted(keyed, is_small(keyed)), ["field", "key"]).filter(
+        F.abs(F.length("q_term") - F.length("term")) <= F.col("edits")
+    ).select("field", "q_term", "term", "edits").distinct()
     guard = F.substring("q_term", 1, prefix_length) == F.substring("term", 1, prefix_length)
     pairs = pairs.filter(guard) if prefix_length else pairs
     return pairs.withColumn("typos", edit_distance(F.col("q_term"), F.col("term"))).filter(

@@ -128,7 +128,9 @@ class TextIndex:
         ``keys`` makes the deletion keys of the words, for searches that allow typos.
         """
         save_positions(self.positions, f"{path}/positions")
-        words = stemmed_vocabulary(self).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+        # The words come from what was written; the texts aren't analysed again for them.
+        written = replace(self, positions=self.positions.sparkSession.read.parquet(f"{path}/positions"))
+        words = stemmed_vocabulary(written).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
         words.write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
         if keys is not None:

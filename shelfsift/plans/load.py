@@ -60,7 +60,7 @@ def _conformed(df: DataFrame, schema, defaults: dict, order: str) -> DataFrame:
 def build_indexes(store: TableStore, products: DataFrame, reviews: DataFrame,
                   model: Callable[[list[str]], list[list[float]]] | None = None, embeddings: bool = True) -> None:
     """Write what searches read: postings, statistics, weighted positions and vectors."""
-    keys = fuzzy.stored_keys
+    keys = fuzzy.deletion_index
     search.product_index(products).save(f"{store.root}/product_index", keys)
     search.product_index(products, exact_attributes=True).save(f"{store.root}/exact_product_index", keys)
     autocomplete.title_index(products).save(f"{store.root}/title_index")

@@ -130,7 +130,7 @@ def _basic(spark, folder, dialect, queries, stored=search.NO_INDEX):
 def _written(spark, index: TextIndex) -> TextIndex:
     """The index as a load leaves it, opened again."""
     path = scratch_path(spark, "index")
-    index.save(path, fuzzy.stored_keys)
+    index.save(path, fuzzy.deletion_index)
     return TextIndex.load(spark, path, index.fields, keys=True)
 
 

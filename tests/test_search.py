@@ -140,6 +140,28 @@ def test_edit_distance_and_deletion_join_against_brute_force(spark):
     assert {(r.q_term, r.term, r.typos) for r in found.collect()} == expected
 
 
+def test_deletion_keys_of_long_words_stay_few_and_find_every_near_word(spark):
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(5, 16))) for _ in range(60)}
+    for word in sorted(words)[::2]:
+        for _ in range(4):  # near words: one or two letters left out, put in, replaced or exchanged
+            near = list(word)
+            for _ in range(rng.randint(1, 2)):
+                i = rng.randrange(len(near) - 1)
+                near[i:i + 2] = rng.choice([[near[i]], [*near[i:i + 2], "b"], [near[i], "c"], near[i:i + 2][::-1]])
+            words.add("".join(near))
+    words, allowed = sorted(words), lambda w: 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
+    asked = words[::3]
+    expected = {(a, b, d) for a in asked for b in words if (d := damerau(a, b)) <= allowed(a)}
+    vocab = spark.createDataFrame([("f", w) for w in words], "field string, term string")
+    wanted = spark.createDataFrame([("f", w) for w in asked], "field string, term string")
+    for keys in (None, fuzzy.deletion_index(vocab)):
+        found = fuzzy.similar_terms(wanted, vocab, keys=keys)
+        assert {(r.q_term, r.term, r.typos) for r in found.collect()} == expected
+    long = spark.createDataFrame([("f", "abcdefghijklmnopqrstuvwxyz")], "field string, term string")
+    assert fuzzy.deletion_index(long).count() <= 1 + 7 + 21
+
+
 @pytest.mark.parametrize("a, b, d", [("ca", "abc", 2), ("wireles", "wireless", 1), ("wiht", "with", 1), ("same", "same", 0)])
 def test_edit_distance_examples(spark, a, b, d):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(edit_distance(F.col("a"), F.col("b"))).first()[0] == d
