@@ -29,7 +29,7 @@ def water_fill(sources: DataFrame, epochs: int = 3) -> DataFrame:
     rises, so a clamped source stays clamped. Weights of null or at most zero get nothing.
     """
     weight = F.greatest(F.coalesce(F.col("weight"), F.lit(0)), F.lit(0))
-    cap = F.col("source_size") * epochs
+    cap = F.col("source_size").cast("long") * epochs
     level = F.when(weight > 0, cap / weight)
 
     def sums(clamped: Column) -> tuple[int, int]:
@@ -45,7 +45,8 @@ def water_fill(sources: DataFrame, epochs: int = 3) -> DataFrame:
         if found == (rest, share):
             break
         rest, share = found
-    open_target = (weight * F.lit(rest)).cast("double") / F.lit(float(share or 1))
+    # As doubles: a weight and a rest below 2 ** 31 are both ints, whose product need not be one.
+    open_target = weight.cast("double") * F.lit(float(rest)) / F.lit(float(share or 1))
     return sources.withColumn("target", F.when(clamped, cap.cast("double")).otherwise(open_target))
 
 

@@ -28,6 +28,17 @@ def test_water_filling(spark, sizes):
     assert {r.source: r.target for r in rows} == pytest.approx(filled(sizes, {r.source: r.weight for r in rows}))
 
 
+def test_water_filling_of_a_billion_words(spark):
+    """Totals that are an int, times weights that are one, need not be one."""
+    sizes = {"a": 600_000_000, "b": 500_000_000, "c": 400_000_000}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    rows = mixing.water_fill(mixing.cycled_weights(table)).collect()
+    assert {r.source: r.target for r in rows} == {"a": 250_000_000.0, "b": 500_000_000.0, "c": 750_000_000.0}
+    table = spark.createDataFrame(list({"a": 900_000_000, "b": 100}.items()), "source string, source_size int")
+    rows = mixing.water_fill(mixing.cycled_weights(table)).collect()
+    assert {r.source: r.target for r in rows} == {"a": 900_000_100.0 - 300, "b": 300.0}
+
+
 def test_words_taken_meet_the_targets(documents, odd):
     for docs in (documents, odd):
         rows = mixing.mix(docs).collect()
