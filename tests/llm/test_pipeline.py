@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfsift.llm import toxicity
+from shelfsift.llm import mixing, toxicity
 from shelfsift.llm.common import LOWER, UPPER
 from tests.llm.test_mixing import filled
 from tests.llm.test_packing import ids_of
@@ -124,3 +125,11 @@ def test_run(spark, documents, empty, folder, tmp_path, kind):
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert (found.count() > 0) == (kind == "documents")
+
+
+def test_mixing_stage_of_a_billion_words(spark, monkeypatch):
+    """Totals and weights are ints, their product need not be one."""
+    monkeypatch.setattr(mixing, "word_count", lambda text: F.lit(400_000_000).cast("long"))
+    docs = spark.createDataFrame([(i, f"text {i}", "abc"[i], "en", 6) for i in range(3)], "doc_id long, text string, source string, lang string, n_chars long")
+    rows = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 2]
